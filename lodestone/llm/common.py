@@ -90,3 +90,22 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select(F.col("component").alias("node"), "component").distinct()
     return stars.unionByName(roots)
+
+
+def whole_runs(batches, keys: list[str]):
+    """Of batches sorted by keys: frames that end where a run of equal keys does. What is held
+    back is a run at most, so runs have to be bounded."""
+    import pandas as pd
+
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        same = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(pdf) if not same.size else int(len(pdf) - same[::-1].cumprod().sum())
+        held = pdf.iloc[cut:]
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)

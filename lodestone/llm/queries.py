@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import itq, langid, merkle, mixing, packing, quality, simhash, toxicity, url_rules
+from lodestone.llm import itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
 from lodestone.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_itq": op1_itq,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_pst": op4_pst,
     "op5_simhash": op5_simhash,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,

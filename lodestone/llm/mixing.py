@@ -77,3 +77,11 @@ def mix(documents: DataFrame, seed: str = "mix", carry: tuple[str, ...] = (), **
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
     copies = F.col("full") + (F.col("before") < F.col("left")).cast("long")
     return rows.select("doc_id", "source", *carry, "size", "source_size", "target", copies.alias("copies"), (F.col("full") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """The columns of documents; each document as often as the mix begins it, whole each time."""
+    names = documents.columns
+    docs = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
+    copies = mix(docs, carry=("__row",)).select("__row", "copies").where("copies > 0")
+    return docs.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)

@@ -102,7 +102,8 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _rerank(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, RUN):
-            x = unit(np.stack(pdf["embedding"].to_numpy()))
+            width = max(map(len, pdf["embedding"]))  # a bucket's vectors are of one length, a batch's may not be
+            x = unit(np.stack([np.pad(v, (0, width - len(v))) for v in pdf["embedding"]]))
             rid, n = pdf["rid"].to_numpy(), pdf["n"].to_numpy()
             links, root, edges = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), []
 

@@ -12,6 +12,7 @@ ranks are dealt to patterns.
 from __future__ import annotations
 
 import array
+import json
 import math
 import os
 import re
@@ -40,6 +41,32 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 UNCLEAR = re.compile(r" (?:\s|\Z)")
 
 
+# Of byte-level BPE: the words that merges stay within.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked_encoding(path: str):
+    """The same ids from tiktoken, which makes them several times faster, if in the file each merge's
+    rank is its token's id, as it is in plain byte-level BPE; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or file.get("normalizer"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    rest = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+        return None
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """A byte-level BPE file's ids of whole texts.
 
@@ -51,6 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = ranked_encoding(path)
         self.clear()
 
     def clear(self) -> None:
@@ -70,9 +98,13 @@ class Encoder:
             self.uses = np.ones(len(self.known), np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
+        if self.ranked:
+            found = map(self.ranked.encode_ordinary, pieces)
+        else:
+            found = (e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False))
+        for piece, ids in zip(pieces, found):
             self.known[piece] = len(self.known)
-            self.flat.extend(e.ids)
+            self.flat.extend(ids)
             self.start.append(len(self.flat))
 
     def encode(self, texts) -> list[np.ndarray]:

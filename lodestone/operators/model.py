@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions import scalars as S
+from lodestone.operators.lineage import materialise
 
 MAX_DEPTH = 1000
 
@@ -41,10 +42,10 @@ def nested_stats(call_sites: DataFrame, args: DataFrame, names: DataFrame) -> Da
     own = own.groupBy("module_id", "call_site_id").agg(F.count("callsite_id").alias("calls"), F.count_if(F.col("callsite_id").isNull()).alias("values"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"))
     steps = args.where("callsite_id IS NOT NULL").select("module_id", "call_site_id", "callsite_id")
     roots = call_sites.where("parent_id IS NULL").join(own.select("module_id", "call_site_id"), ["module_id", "call_site_id"], "left_semi")
-    frontier = roots.select("module_id", F.col("call_site_id").alias("root"), "call_site_id")
-    found = frontier
+    frontier = found = materialise(roots.select("module_id", F.col("call_site_id").alias("root"), "call_site_id"))
+    steps = materialise(steps)
     for _ in range(MAX_DEPTH):
-        frontier = frontier.join(steps, ["module_id", "call_site_id"]).select("module_id", "root", F.col("callsite_id").alias("call_site_id")).persist()
+        frontier = materialise(frontier.join(steps, ["module_id", "call_site_id"]).select("module_id", "root", F.col("callsite_id").alias("call_site_id")))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -134,7 +135,7 @@ def resolved_types(declarations: DataFrame, max_depth: int = 64) -> DataFrame:
     at = declarations.select("module_id", "declaration_id", F.coalesce(target, "declaration_id").alias("to"))
     known = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
     for _ in range(max(1, max_depth.bit_length())):
-        step = at.join(known, ["module_id", "to"], "left").select("module_id", "declaration_id", F.coalesce("next", "to").alias("to")).persist()
+        step = materialise(at.join(known, ["module_id", "to"], "left").select("module_id", "declaration_id", F.coalesce("next", "to").alias("to")))
         same = step.join(at.withColumnRenamed("to", "was"), ["module_id", "declaration_id"]).where(~F.col("to").eqNullSafe(F.col("was"))).isEmpty()
         at = step
         known = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
@@ -146,12 +147,12 @@ def resolved_types(declarations: DataFrame, max_depth: int = 64) -> DataFrame:
 def ancestors(parents: DataFrame, max_depth: int = 1000) -> DataFrame:
     """parents: module_id, id, parent_id, position. (module_id, id, ancestor_id, depth) closure, nearest
     depth of each; a cycle adds nothing new and so ends."""
-    step = parents.select("module_id", "id", "parent_id").distinct()
+    step = materialise(parents.select("module_id", "id", "parent_id").distinct())
     found = frontier = step.select("module_id", "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
     for depth in range(2, max_depth):
         up = frontier.alias("f").join(step.alias("s"), (F.col("f.module_id") == F.col("s.module_id")) & (F.col("f.ancestor_id") == F.col("s.id")))
         up = up.select("f.module_id", "f.id", F.col("s.parent_id").alias("ancestor_id")).distinct()
-        frontier = up.join(found, ["module_id", "id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        frontier = materialise(up.join(found, ["module_id", "id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import components, materialise, words_of
@@ -105,6 +105,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found
 
 
+def _groups(docs: DataFrame, order: Column) -> DataFrame:
+    """docs: fp. (fp, first, component): of each distinct fp the least `order` of its documents, and the
+    group's fp. Exact copies are one row from here on."""
+    firsts = materialise(docs.groupBy("fp").agg(F.min(order).alias("first")))
+    groups = components(links(firsts.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    return firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the carried columns (doc_id among them), fingerprint (16 lowercase
     hex digits) and component_id, the smallest doc_id reachable by links, itself included.
@@ -114,22 +122,18 @@ def near_duplicates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",))
     unless all of its documents have null.
     """
     docs = materialise(fingerprints(documents, carry))
-    firsts = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = components(links(firsts.select("fp")), "a", "b")
-    named = firsts.join(groups.withColumnRenamed("node", "fp"), "fp")
-    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
-    ids = firsts.join(named.join(lowest, "component").select("fp", "lowest"), "fp", "left")
-    ids = ids.select("fp", F.coalesce("lowest", "first").alias("component_id"))
+    groups = _groups(docs, F.col("doc_id"))
+    lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = groups.join(lowest, "component").select("fp", "component_id")
     return docs.join(ids, "fp").select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The columns of documents, one row of each group of near-duplicates: that of smallest doc_id,
-    of equal ones the row of smallest text, source and lang."""
+    null ids last; of rows with equal ids always the same one."""
     names = documents.columns
-    mark = lambda: F.struct(F.xxhash64(*names), F.monotonically_increasing_id())
-    docs = materialise(documents.withColumn("__row", mark()))
-    groups = near_duplicates(docs, ("doc_id", "__row"))
-    # doc_id is the first in the order, so a group's winner carries component_id; combined before the shuffle
-    best = groups.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row"))
+    docs = materialise(documents.withColumn("__row", F.struct(F.xxhash64(*names), F.monotonically_increasing_id())))
+    fps = materialise(fingerprints(docs, ("doc_id", "__row")))
+    groups = _groups(fps, F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row"))
+    best = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return docs.join(best, "__row", "left_semi").select(*names)

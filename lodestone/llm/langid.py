@@ -24,7 +24,7 @@ HELD = (4, 2)
 PER_LANGUAGE = 4000  # documents of a language that its distribution is learned from, about
 ROUNDS, REFINE = 12, 4
 PENALTY = 8.0  # times half the log of the number of trigrams, for each language after the first
-LEAST_SHARE = 0.5  # keep_identified(): of the predicted language
+LEAST_SHARE = 0.25  # keep_identified(): of the predicted language
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -142,7 +142,7 @@ def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents that have a language, one that makes up half of the text at least."""
+    """The documents that have a language, one that makes up a quarter of the text at least."""
     names = documents.columns
     rows = with_languages(documents, learn(documents), "__mixture")
     return rows.where((F.col("__mixture.lang") != UNKNOWN) & (F.col("__mixture.share") >= LEAST_SHARE)).select(*names)

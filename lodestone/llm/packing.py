@@ -32,7 +32,7 @@ CAPACITY = 1024
 UNIT = 4  # tokens; sizes in the linear program are whole units
 GAP = 2e-3  # of the linear program's value that may be left when pricing stops
 MAX_COLUMNS = 2500  # patterns generated at most; the best solution until then is rounded
-CACHED = 250_000  # pieces of text whose ids a Python worker remembers; beyond, those used once go
+CACHED = 350_000  # pieces of text whose ids a Python worker remembers; beyond, those used once go
 RANGE_ROWS, MAX_RANGES = 1000, 65_536
 END = 0  # id put behind each document
 SPECIAL = "<|endoftext|>"

@@ -18,13 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, materialise, words_of
+from lodestone.llm.common import components, fraction_of, materialise, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
 BUCKET = 256
 LEVELS = 3
 
+# of keep_one, which doesn't use fingerprints
+WORDS = 5
+SAMPLE = 20_000  # documents, about, that common shingles are told from
+COMMON = 200_000
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit set where over half the shingles' XXH64 (seed 42) have it; 0 without words."""
@@ -128,12 +134,105 @@ def near_duplicates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",))
     return docs.join(ids, "fp").select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles_of(text: str | None) -> np.ndarray:
+    """The distinct shingles of WORDS words as sorted 64-bit hashes; of a shorter text all words as one,
+    none without words."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(WORDS, len(w))
+    h = np.zeros(len(w) - k + 1, np.uint64)
+    for i in range(k):
+        h += w[i : len(w) - k + 1 + i] * ODD[i]
+    h = (h ^ (h >> np.uint64(32))) * ODD[0]
+    return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of documents, sorted, and how often they are there. They only
+    order shingles, so that what is missed costs time, no pair."""
+    share = SAMPLE / max(1, docs.count())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles_of, pdf["text"])]), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n})
+
+    counts = docs.where(fraction_of("doc_id", "shingles") < share).select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = sorted((r.h, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())
+    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, __row, fp, n, first): of each document a hash of its shingles, their number, and the first ones in
+    an order that has common ones last: as many as two sets of similarity 4/5 can't both have apart."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, often = common.value
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                h = shingles_of(text)
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                rank = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                first = h[np.argsort(rank, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
+                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), first))
+            fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            yield pdf[["doc_id", "__row"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows])
+
+    docs = docs.select("doc_id", "__row", "text")
+    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __row long, fp long, n int, first array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets' similarity is 4/5 or more."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def similar_links(firsts: DataFrame, prefixes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): enough of the pairs of distinct sets within similarity 4/5 to connect all that they connect.
+
+    Such sets share one of their first shingles, at places that leave enough behind them. Each set is first
+    compared with one other of each shingle, then with the others that this hasn't connected it to.
+    """
+    rows = prefixes.join(firsts.select("__row"), "__row", "left_semi").select("fp", "n", F.posexplode("first").alias("i", "h"))
+    rows = materialise(rows)
+    rows = materialise(rows.join(rows.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("m")).where("c > 1"), "h").drop("c"))
+    x, y = rows.select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "m"), rows.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = "a <> b AND 5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
+    held = firsts.join(rows.select("fp").distinct(), "fp", "left_semi").select("fp", "__row")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"fp": pdf["fp"], "s": [shingles_of(t) for t in pdf["text"]]})
+
+    sets = materialise(docs.select("__row", "text").join(held, "__row").select("fp", "text").mapInPandas(run, "fp long, s array<long>"))
+    near = materialise(_similar(x.where("a = m").join(y, "h").where(fits).select("a", "b").distinct(), sets))
+    groups = components(near, "a", "b")
+    x = x.join(groups.toDF("a", "ga"), "a", "left").withColumn("ga", F.coalesce("ga", "a"))
+    y = y.join(groups.toDF("b", "gb"), "b", "left").withColumn("gb", F.coalesce("gb", "b"))
+    rest = x.join(y, "h").where(f"ga < gb AND {fits}").select("a", "b").distinct()
+    return near.unionByName(_similar(rest, sets))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The columns of documents, one row of each group of near-duplicates: that of smallest doc_id,
-    null ids last; of rows with equal ids always the same one."""
+    null ids last; of rows with equal ids always the same one.
+
+    Near-duplicates are documents whose sets of shingles of WORDS words have a Jaccard similarity of 4/5 or more,
+    all of them, compared exactly but for 64-bit hashes; groups are what such pairs connect. Texts without
+    words are one group.
+    """
     names = documents.columns
-    docs = materialise(documents.withColumn("__row", F.struct(F.xxhash64(*names), F.monotonically_increasing_id())))
-    fps = materialise(fingerprints(docs, ("doc_id", "__row")))
-    groups = _groups(fps, F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row"))
+    docs = materialise(documents.withColumn("__hash", F.xxhash64(*names)).withColumn("__row", F.monotonically_increasing_id()))
+    prefixes = materialise(_prefixes(docs))
+    ids = prefixes.select("fp", "__row", "doc_id").join(docs.select("__row", "__hash"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__hash", "__row")
+    firsts = materialise(ids.groupBy("fp").agg(F.min(order).alias("first")).withColumn("__row", F.col("first.__row")))
+    groups = components(similar_links(firsts, prefixes, docs), "a", "b").withColumnRenamed("node", "fp")
+    groups = firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     best = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return docs.join(best, "__row", "left_semi").select(*names)

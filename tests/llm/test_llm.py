@@ -132,6 +132,41 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(documents(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_keep_one_against_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+    g = random.Random(7)
+    rows = [(None, "lone row without id"), (900, None), (901, " \n"), (902, "a b"), (903, "A  b"), (904, "a b c d")]
+    for i in range(60):
+        base = [f"{g.choice('abcd')}{g.randrange(400)}" for _ in range(g.choice([6, 25, 90, 300]))]
+        tail = ["the", "same", "line", "in", "all", "of", "them"] if i % 2 else []
+        for j in range(4):
+            copy = [*base, *tail]
+            for _ in range(g.randrange(1 + len(base) // 40) if j else 0):
+                copy[g.randrange(len(base))] = f"e{g.randrange(10**6)}"
+            copy += [f"e{g.randrange(10**6)}"] * j
+            rows.append((1000 + 10 * i + j, " ".join(copy)))
+    g.shuffle(rows)
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    low, links = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                links += sets[a] != sets[b]
+                low = [low[b] if x == low[a] else x for x in low]
+    assert links > 60
+    ids = {}
+    for (i, _), c in zip(rows, low):
+        ids.setdefault(c, []).append(i)
+    want = Counter(min(x, key=lambda i: (i is None, i or 0)) for x in ids.values())
+    got = simhash.keep_one(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert Counter(r.doc_id for r in got) == want
+    assert all((r.doc_id, r.text) in rows for r in got)
+
+
 @pytest.mark.parametrize("bucket", [1, 8])
 def test_simhash_cuts_large_buckets_again(spark, bucket):
     g = random.Random(5)

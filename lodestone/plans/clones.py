@@ -111,8 +111,7 @@ def h2i_01_hash_ids(spark, sf_dir):
 WITH f AS ({FILES_SQL}), u AS (SELECT hash FROM f GROUP BY hash HAVING count(*) = 1)
 SELECT project, count(*) AS files, count(u.hash) AS unique_files, 0::BIGINT AS contained_clones FROM f LEFT JOIN u USING (hash) GROUP BY project""")
 def agg_31_project_originals(spark, sf_dir):
-    none = spark.createDataFrame([], "host string")
-    return C.project_originals(files(spark, sf_dir), none).withColumn("contained_clones", F.col("contained_clones").cast("long"))
+    return C.project_originals(files(spark, sf_dir), C.project_clones(bags(spark, sf_dir))).withColumn("contained_clones", F.col("contained_clones").cast("long"))
 
 
 @register(f"""

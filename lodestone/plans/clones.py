@@ -22,6 +22,11 @@ def files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("file_id"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
+def passages(spark, sf_dir):
+    """The benchmark's passages as files of a project of their own."""
+    return table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("project"), F.col("item_id").alias("file_id"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
 def bags(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("file_id"), "text")
     return C.file_statistics(d).select("project", "file_id", "token_hash", "total_tokens", "unique_tokens", "file_hash").where("total_tokens > 0")
@@ -138,13 +143,11 @@ WITH f AS ({FILES_SQL}), a AS (SELECT DISTINCT hash FROM f WHERE file_id % 2 = 0
 SELECT hash, 'missing' AS problem FROM a WHERE hash NOT IN (SELECT hash FROM b)
 UNION ALL SELECT hash, 'unknown' FROM b WHERE hash NOT IN (SELECT hash FROM a) UNION ALL SELECT hash, 'duplicate' FROM b WHERE n > 1""")
 def joi_30_reconciliation(spark, sf_dir):
-    f = files(spark, sf_dir)
-    return J.reconcile(f.where("file_id % 3 = 0"), f.where("file_id % 2 = 0"), "hash")
+    return J.reconcile(files(spark, sf_dir), passages(spark, sf_dir), "hash")
 
 
 @register(f"""
 WITH f AS ({FILES_SQL}), a AS (SELECT * FROM f WHERE file_id % 2 = 0), b AS (SELECT * FROM f WHERE file_id % 3 = 0)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE hash NOT IN (SELECT hash FROM a)""")
 def joi_27_merged_datasets(spark, sf_dir):
-    f = files(spark, sf_dir)
-    return J.merge_datasets(f.where("file_id % 2 = 0"), f.where("file_id % 3 = 0"), "hash")
+    return J.merge_datasets(files(spark, sf_dir), passages(spark, sf_dir), "hash")

@@ -343,45 +343,64 @@ def test_pst(spark, docs):
     assert pst.score_documents(documents(spark, rows).limit(0)).count() == 0
 
 
-def test_pst_against_brute_force(spark):
-    g = random.Random(2)
-    rows = [(i, " ".join(g.choices(["a", "b", "a b c", "x y z", "c", f"r{i}"], k=40)), "en", "s") for i in range(60)]
-    got = {r.doc_id: r.score for r in pst.score_documents(documents(spark, rows)).collect()}
-    token = {i: t.encode().split() + [None] for i, t, *_ in rows}
-    train = [x for i, x in token.items() if zlib.crc32(str(i).encode()) % 10]
-    flat = [w for x in train for w in x]
-    n, one, pairs, after = len(flat), Counter(flat), Counter(), Counter()
-    for x in train:
-        pairs.update(zip(x, x[1:-1]))
-        after.update((tuple(x[j - k : j]), x[j]) for j in range(len(x)) for k in (1, 2) if j >= k)
-    least = max(2, pst.LEAST * n)
-    size = {(w,): c for w, c in one.items() if w and c >= least}
-    size |= {p: c for p, c in pairs.items() if c >= least and all((w,) in size for w in p)}
-
-    def root(w):
-        return (one[w] + 0.1) / (n + 0.1 * (len(one) + 1))
-
-    def gain(s):
-        total = 0
-        for (t, w), c in after.items():
-            if t == s:
-                r = max(one[w], 0.1) / n
-                up = r if len(s) == 1 else (after[s[1:], w] + pst.SMOOTH * r) / (size[s[1:]] + pst.SMOOTH)
-                total += c * math.log((c - 1 + pst.SMOOTH * up) / (size[s] - 1 + pst.SMOOTH) / up)
-        return total
-
-    kept = {s: sum(c for (t, _), c in after.items() if t == s) for s in size if gain(s) > 0}
-    assert kept
+def brute_scores(token, held):
+    """token: id -> tokens; what pst.score_documents does, by dictionaries."""
+    train = [x for i, x in token.items() if not held(i)]
+    c = Counter(w for x in train for w in x)
+    n, v = sum(c.values()), len(c)
+    after = Counter((tuple(x[j - k : j]), x[j]) for x in train for j in range(len(x)) for k in range(1, pst.DEPTH + 1) if j >= k)
+    size = Counter()
+    for (s, _), k in after.items():
+        size[s] += k
+    size = {s: k for s, k in size.items() if k >= pst.LEAST}
+    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def unpruned(s, w):
+        return (after[s, w] + pst.PARENT * unpruned(s[1:], w)) / (size[s] + pst.PARENT) if s else root(w)
+
+    gains = {s: [0] * len(pst.SMOOTHS) for s in size}
+    for (s, w), k in after.items():
+        if s in size:
+            q = unpruned(s[1:], w)
+            for i, m in enumerate(pst.SMOOTHS):
+                gains[s][i] += k * round((math.log(k - 1 + m * q) - math.log(size[s] - 1 + m) - math.log(q)) * pst.UNITS)
+    kept = {s: pst.SMOOTHS[g.index(max(g))] for s, g in gains.items() if max(g) > 0}
+    out = {}
     for i, x in token.items():
-        want = 0
+        total = 0
         for j, w in enumerate(x):
             p = root(w)
-            for k in (1, 2):
+            for k in range(1, pst.DEPTH + 1):
                 s = tuple(x[j - k : j])
                 if j >= k and s in kept:
-                    p = (after[s, w] + pst.SMOOTH * p) / (kept[s] + pst.SMOOTH)
-            want += math.log10(p)
-        assert math.isclose(got[i], want, rel_tol=1e-9)
+                    p = (after[s, w] + kept[s] * p) / (size[s] + kept[s])
+            total += math.log10(p)
+        out[i] = total
+    return out, size, kept
+
+
+@pytest.mark.parametrize(("block", "part", "bits"), [(8 << 20, 32 << 20, 12), (300, 32 << 20, 12), (900, 60, 12), (900, 400, 6)])
+def test_pst_against_brute_force(spark, monkeypatch, block, part, bits):
+    """One block and many, salted words and pairs, a filter that is nearly full: the same scores."""
+    for name, value in (("LEAST", 5), ("BLOCK_BYTES", block), ("PART_BYTES", part), ("FILTER_BITS", (bits, bits))):
+        monkeypatch.setattr(pst, name, value)
+    g = random.Random(2)
+    rows = [(i, " ".join(g.choices(["a", "b", "a b c", "x y z a b", "c", "the of the", f"r{i}"], k=40)), "en", "s") for i in range(60)]
+    report = []
+    got = {r.doc_id: r.score for r in pst.score_documents(documents(spark, rows), report).collect()}
+    token = {i: t.encode().split() + [None] for i, t, *_ in rows}
+    want, size, kept = brute_scores(token, lambda i: zlib.crc32(str(i).encode()) % 10 == 0)
+    by_depth = Counter(len(s) for s in size if s[-1] is not None)
+    assert [x.where("n >= 5").count() for x in report[0]][0] >= by_depth[1] and set(by_depth) == {1, 2, 3, 4}
+    assert report[1].select("state").distinct().count() == len(kept)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_pst_does_not_depend_on_the_order_of_rows(spark, monkeypatch, docs):
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 2000)
+    df = documents(spark, docs)
+    one = sorted((str(r) for r in pst.score_documents(df.repartition(5)).collect()))
+    assert one == sorted(str(r) for r in pst.score_documents(df.coalesce(1).sortWithinPartitions("lang", "text")).collect())
 
 
 def test_stages_take_what_the_one_before_made(spark, tmp_path, docs):

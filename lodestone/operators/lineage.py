@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative queries."""
+"""Cutting the lineage of iterative queries by tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -10,28 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if the executors
+    are threads of this process, as in tests; an error on a cluster, whose machines would not see it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         folder = sc.getCheckpointDir()
     return folder
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has already stopped
+        pass
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and outlives
-    any executor. The files go when the driver's Python ends."""
+    any executor. The files go with forget(), or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
 
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has already stopped
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def forget(*dfs: DataFrame) -> None:
+    """Delete the files of what materialise() returned, once nothing that reads them will run again."""
+    for df in dfs:
+        if path := getattr(df, "materialised_at", None):
+            _remove(df.sparkSession, path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.lineage import forget, materialise, shared_folder  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,32 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and outlives
-    any executor. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has already stopped
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind where df has such a column, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:
@@ -80,7 +61,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(last)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

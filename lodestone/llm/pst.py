@@ -1,8 +1,8 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 A context is the last one to DEPTH words before a token; it is admitted if it occurs LEAST times in
-the training documents, however many these are, so more text gives more and longer contexts. An
-admitted context becomes a state if its next-word distribution diverges from its parent's, that of
+the training documents, or a quarter of the root of their number of tokens if that is more, so that more
+text gives more and longer contexts, and each more occurrences to be judged by. An admitted context becomes a state if its next-word distribution diverges from its parent's, that of
 the context one word shorter: if, each occurrence left out in turn, the distribution smoothed with
 the best of the weights SMOOTHS makes its own successors likelier than the parent's does. Each token
 is scored in the longest state that ends before it, smoothed by the shorter ones down to the
@@ -25,25 +25,27 @@ words and pairs (fewer than parts) and totals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_bucket, materialise, words_of
+from lodestone.llm.common import forget, id_bucket, materialise, words_of
 
 HELD = (10, 0)
 DEPTH = 4  # words of the longest context
-LEAST = 20  # occurrences that a context has at least
+LEAST, ROOTS = 20, 0.25  # occurrences that a context has at least: LEAST, or ROOTS times the root of the training tokens
 SMOOTHS = (2.0, 16.0, 128.0, 1024.0)  # weights of the shorter context's distribution to choose from
 PARENT = 64.0  # that weight for the parent's distribution in the test
 BASE = 0.1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 PART_BYTES = 32 << 20  # of text for each part
 MAX_PARTS = 1 << 20
 FILTER_BITS = (12, 26)  # log2 of the filter's size at least and at most
@@ -56,13 +58,15 @@ SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_to
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array's bytes by significance, which compresses numbers that are small or sorted."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """An array compressed, its bytes by significance, which suits numbers that are small or sorted."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes)
 
 
 def unpack(b: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, len(b) // size).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -168,12 +172,16 @@ def block_row(ident: int, docs: list[tuple]) -> dict:
         parts.append(np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), np.uint32, len(words)))
         parts.append(np.zeros(1, np.uint32))
         sizes.append(len(words) + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in ids), np.uint64, len(ids))
+    hashes = np.concatenate([np.array([END], np.uint64), np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in ids), np.uint64, len(ids))])
+    tokens = np.concatenate(parts)
+    order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")  # small numbers for common ones
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
     held = np.array([h for *_, h in docs], np.uint8)
     sizes = np.array(sizes, np.uint64)
     return {
-        "block": ident, "doc_id": [d for d, *_ in docs], "held": held.tobytes(), "sizes": pack(sizes), "words": np.concatenate([np.array([END], np.uint64), hashes]).tobytes(),
-        "counts": b"", "tokens": pack(np.concatenate(parts)), "train": int(sizes[held == 0].sum()), "bytes": sum(len(t) for _, t, _ in docs if t),
+        "block": ident, "doc_id": [d for d, *_ in docs], "held": held.tobytes(), "sizes": pack(sizes), "words": hashes[order].tobytes(),
+        "counts": pack(np.zeros(0, np.int64)), "tokens": pack(rank[tokens]), "train": int(sizes[held == 0].sum()), "bytes": sum(len(t) for _, t, _ in docs if t),
     }
 
 
@@ -353,22 +361,35 @@ def _counted(blocks: DataFrame, parts: int, total: int, least: int) -> tuple[Dat
 
 def _contexts(blocks: DataFrame, corpus: Corpus, words: DataFrame) -> list[DataFrame]:
     """The admitted contexts by depth, words first; sets the corpus's filters and salted pairs."""
-    spark, found = blocks.sparkSession, [words]
+    spark, found, least = blocks.sparkSession, [words], corpus.least
     for depth in range(2, DEPTH + 1):
         shared = spark.sparkContext.broadcast(corpus)
 
-        def count(batches: Iterator[pd.DataFrame], depth: int = depth, shared=shared) -> Iterator[pd.DataFrame]:
+        def send(batches: Iterator[pd.DataFrame], depth: int = depth, shared=shared) -> Iterator[pd.DataFrame]:
+            corpus = shared.value
             for pdf in batches:
                 for b in map(Block, pdf.itertuples()):
-                    grams, may = b.grams(shared.value, depth)
+                    grams, may = b.grams(corpus, depth)
                     at = np.flatnonzero(may[-1] & b.train)
                     state, first, n = np.unique(grams[-1][at], return_index=True, return_counts=True)
                     at = at[first]
-                    word = b.words.view(np.int64)
-                    yield pd.DataFrame({"state": state.view(np.int64), "before": word[b.tokens[at - 1]], "last": word[b.tokens[at]], "n": n})
-
-        sums = blocks.mapInPandas(count, CONTEXT).groupBy("state").agg(F.first("before").alias("before"), F.first("last").alias("last"), F.sum("n").alias("n"))
-        level = materialise(sums.where(F.col("n") >= corpus.least))
+                    part = (state % np.uint64(corpus.parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    state, n, before, last = state[order], n[order], b.words[b.tokens[at[order] - 1]], b.words[b.tokens[at[order]]]
+                    cut = np.searchsorted(part[order], np.arange(corpus.parts + 1))
+                    rows = [(p, pack(state[x:y]), pack(before[x:y]), pack(last[x:y]), pack(n[x:y])) for p, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+                    yield pd.DataFrame(rows, columns=["part", "state", "before", "last", "n"])
+
+        def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            state, before, last, n = (np.concatenate([unpack(x, "<i8") for x in pdf[c]]) for c in ("state", "before", "last", "n"))
+            distinct, first, inverse = np.unique(state, return_index=True, return_inverse=True)
+            sums = np.zeros(len(distinct), np.int64)
+            np.add.at(sums, inverse, n)
+            some = sums >= least
+            return pd.DataFrame({"state": distinct[some], "before": before[first[some]], "last": last[first[some]], "n": sums[some]})
+
+        sent = blocks.mapInPandas(send, "part int, state binary, before binary, last binary, n binary")
+        level = materialise(sent.groupBy("part").applyInPandas(add, CONTEXT))
         n = level.count()
         if not n:
             break
@@ -598,10 +619,12 @@ def score_documents(documents: DataFrame, contexts_to: list | None = None) -> Da
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType
     docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (id_bucket("doc_id", HELD[0]) == HELD[1]).alias("held_out"))
-    blocks = materialise(docs.mapInPandas(blocks_of(BLOCK_BYTES), BLOCK))
-    sums = blocks.agg(F.sum("train").alias("train"), F.sum("bytes").alias("bytes")).first()
+    tokenised = materialise(docs.mapInPandas(blocks_of(BLOCK_BYTES), BLOCK))
+    sums = tokenised.agg(F.sum("train").alias("train"), F.sum("bytes").alias("bytes")).first()
     parts = min(MAX_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums.bytes or 0) // PART_BYTES)))
-    blocks, corpus, words = _counted(blocks, parts, sums.train or 0, LEAST)
+    total = sums.train or 0
+    blocks, corpus, words = _counted(tokenised, parts, total, max(LEAST, math.ceil(ROOTS * math.sqrt(total))))
+    forget(tokenised)
     levels = _contexts(blocks, corpus, words)
     shared = spark.sparkContext.broadcast(corpus)
     tested = materialise(_test(_send(blocks, shared), _sizes(levels, corpus), shared))

@@ -96,12 +96,12 @@ def whole_runs(batches, keys: list[str]):
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int) -> DataFrame:
     """(doc_id, label, text, lang) of labelled documents to learn from: those whose id_bucket modulo
     held[0] isn't held[1]; of each label about per_class rows, drawn by a hash of the id, or all if
-    there are fewer. The bound is on the number of rows, whose texts are whole."""
+    there are fewer. Texts are whole. Of documents of equal id the one of least text counts, once for each label."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(id_bucket("doc_id", held[0]) != held[1])
     shares = {r.label: min(1.0, per_class / r["count"]) for r in known.groupBy("label").count().collect() if r.label in (0, 1)}
     share = F.lit(0.0)
     for value, x in shares.items():
         share = F.when(F.col("label") == value, x).otherwise(share)
     picked = known.where(fraction_of("doc_id", "sample") < share).dropDuplicates()
-    docs = documents.select("doc_id", "text", "lang")
-    return docs.join(F.broadcast(picked), "doc_id")  # picked: about 2 * per_class rows of two numbers
+    docs = documents.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # picked: about 2 * per_class rows of two numbers
+    return docs.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("d")).select("doc_id", "label", "d.text", "d.lang")

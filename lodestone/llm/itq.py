@@ -1,10 +1,14 @@
 """Embedding near-duplicates by iterative quantisation.
 
 Unit vectors are centred, projected on principal axes and turned by a rotation learned so that
-their signs lose least (iterative quantisation). Two such rotations, or as many as fill CODE bits,
-make a balanced binary code. Multi-index Hamming tables hold each 16-bit substring of it once for
-each of its bits with that bit wiped out; vectors that share a table's key are candidates. They are
-compared by their whole codes, and what remains by exact cosine of the original vectors.
+their signs lose least (iterative quantisation). Several such rotations, from different starts, make a
+balanced binary code. Multi-index Hamming tables hold its substrings; vectors that share one are
+candidates, which are compared by exact cosine of the original vectors.
+
+Width and number of the substrings follow from the number of vectors and from how many bits pairs at the
+least cosine differ in, measured on the sample the rotations are learned from: of the widths that
+let all but 1 % of such pairs share a substring, the cheapest. Wider ones for more vectors keep the number of
+candidates of a vector about the same at every size.
 
 Equal vectors are searched for once and counted. A bucket of over BLOCK vectors is dealt out as
 pairs of blocks. Pairs aren't emitted: each pair is judged in the first bucket that it shares,
@@ -20,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, fraction_of, materialise, whole_runs
+from lodestone.llm.common import components, forget, materialise, whole_runs
 
-CODE, SUB = 128, 16
-BLOCK = 512
-SAMPLE = 20_000  # vectors that the rotation is learned from, about
-MAX_HAMMING = 40  # of CODE bits: cosine 0.9 differs in 18, with deviation 4
+BLOCK = 128
+SAMPLE = 3000  # vectors that the rotations are learned from, about
+RECALL = 0.99  # share of the pairs at the least cosine that meet in a table
+CARRIED = 15.0  # cost of a row that meets others, which carries its vector, in rows that don't
+COMPARED = 0.3  # cost of a candidate, likewise
+WIDTHS = range(4, 32)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -34,12 +40,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
-    """(dim, bits): principal axes times the rotation that brings them closest to their signs."""
-    centred = x - x.mean(axis=0)
-    _, axes = np.linalg.eigh(centred.T @ centred)
+def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """(dim, bits): principal axes times the rotation that brings them closest to their signs. x: centred."""
+    _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :bits]
-    v = centred @ axes
+    v = x @ axes
     r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
@@ -47,64 +52,84 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.
     return axes @ r
 
 
-def learn_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and (dim, CODE) projection for vectors such as the sample x."""
-    bits = min(x.shape[1], 64)
-    turns = [learn_rotation(x, bits, seed) for seed in range(-(-CODE // bits))]
-    return x.mean(axis=0), np.hstack(turns)[:, :CODE]
-
-
-def encode(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(n, 2) uint64 codes."""
-    mean, projection = model
-    return np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little").view("<u8")
+def pairs_at(x: np.ndarray, least: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors like the sample's, each beside one at the cosine `least`: towards another of the sample's
+    vectors, and in any direction."""
+    g = np.random.default_rng(seed)
+    a = x[g.integers(0, len(x), 1000)]
+    out = []
+    for b in (x[g.integers(0, len(x), 1000)], g.normal(size=a.shape)):
+        away = b - (a * b).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(away, axis=1)
+        ok = size > 1e-9
+        if ok.any():
+            out.append((a[ok], least * a[ok] + np.sqrt(1 - least**2) * away[ok] / size[ok, None]))
+    return out
+
+
+def choose(differing: list[np.ndarray], n: int) -> tuple[int, int]:
+    """(width, tables) of the substrings for n vectors; differing: shares of bits in which pairs differ."""
+    best = None
+    for width in WIDTHS:
+        tables = 1
+        while any((1 - (1 - (1 - d) ** width) ** tables).mean() < RECALL for d in differing):
+            tables += 1 + tables // 16
+            if tables > 100_000:
+                break
+        else:
+            met = n / 2.0**width
+            cost = tables * (1 + CARRIED * -np.expm1(-met) + COMPARED * met)
+            if best is None or cost < best[0]:
+                best = cost, width, tables
+    return (best or (0, 1, 1))[1:]
+
+
+class Codes:
+    """Mean and projections for vectors such as the sample x, and the width of substrings."""
+
+    def __init__(self, x: np.ndarray, n: int, least: float) -> None:
+        self.mean = x.mean(axis=0)
+        centred, bits = x - self.mean, min(x.shape[1], 64)
+        turns = [learn_rotation(centred, bits, seed) for seed in range(-(-256 // bits))]
+        sign = lambda v: (v - self.mean) @ np.hstack(turns) >= 0
+        differing = [(sign(a) != sign(b)).mean(axis=1) for a, b in pairs_at(x, least)]
+        self.width, self.tables = choose(differing, n)
+        while len(turns) * bits < self.width * self.tables:
+            turns.append(learn_rotation(centred, bits, len(turns)))
+        self.projection = np.hstack(turns)[:, : self.width * self.tables]
+
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, tables) numbers."""
+        power = 1 << np.arange(self.width)
+        parts = [(((x[i : i + 500] - self.mean) @ self.projection >= 0).reshape(-1, self.tables, self.width) @ power) for i in range(0, len(x), 500)]
+        return np.concatenate(parts).astype(np.int32)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of the first bucket (table * SUB + wiped bit) that codes a and b share; CODE if none."""
-    d = (a ^ b).view("<u2").reshape(len(a), CODE // SUB)
-    table = np.argmax(np.bitwise_count(d) <= 1, axis=1)
-    sub = d[np.arange(len(d)), table]
-    ok = np.bitwise_count(sub) <= 1
-    wiped = np.where(sub > 0, np.log2(np.maximum(sub, 1)), 0).astype(np.int64)
-    return np.where(ok, table * SUB + wiped, CODE)
+RUN = ["sig", "bi", "bj"]
 
 
 def _pairs(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs that are judged in their bucket and close by code, for rows sorted
-    by bucket: each row with the one k further, for k up to the longest bucket."""
-    run = pdf.groupby(["sig", "bi", "bj"], sort=False).ngroup().to_numpy()
-    codes = pdf[["c0", "c1"]].to_numpy(np.int64).view(np.uint64)
-    bucket, block, cross = pdf["bucket"].to_numpy(), pdf["block"].to_numpy(), (pdf["bi"] != pdf["bj"]).to_numpy()
+    """Row numbers of the pairs of each bucket, for rows sorted by bucket: each row with the one k
+    further, for k up to the longest bucket; of two blocks, one of each."""
+    run = pdf.groupby(RUN, sort=False).ngroup().to_numpy()
+    block, cross = pdf["block"].to_numpy(), (pdf["bi"] != pdf["bj"]).to_numpy()
     for k in range(1, len(run)):
         i = np.flatnonzero(run[:-k] == run[k:])
         if not len(i):
             return
         j = i + k
-        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= MAX_HAMMING
-        near &= ~cross[i] | (block[i] != block[j])
-        i, j = i[near], j[near]
-        mine = _first_shared(codes[i], codes[j]) == bucket[i]
-        yield i[mine], j[mine]
-
+        ok = ~cross[i] | (block[i] != block[j])
+        yield i[ok], j[ok]
 
-RUN = ["sig", "bi", "bj"]
-
-
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in whole_runs(batches, RUN):
-        keep = np.zeros(len(pdf), bool)
-        for i, j in _pairs(pdf):
-            keep[i] = keep[j] = True
-        yield pdf[keep]
 
-
-def _rerank(least: float):
+def _judge(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, RUN):
             width = max(map(len, pdf["embedding"]))  # a bucket's vectors are of one length, a batch's may not be
             x = unit(np.stack([np.pad(v, (0, width - len(v))) for v in pdf["embedding"]]))
-            rid, n = pdf["rid"].to_numpy(), pdf["n"].to_numpy()
+            width = max(map(len, pdf["code"]))
+            code = np.stack([np.pad(v, (0, width - len(v)), constant_values=-1) for v in pdf["code"]])
+            rid, n, table = pdf["rid"].to_numpy(), pdf["n"].to_numpy(), pdf["table"].to_numpy()
             links, root, edges = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), []
 
             def find(v: int) -> int:
@@ -116,6 +141,8 @@ def _rerank(least: float):
             for i, j in _pairs(pdf):
                 close = np.einsum("ij,ij->i", x[i], x[j]) >= least
                 i, j = i[close], j[close]
+                first = (code[i] == code[j]).argmax(axis=1) == table[i]
+                i, j = i[first], j[first]
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
                 for a, b in zip(i, j):
@@ -134,10 +161,13 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, block: int = BLOCK,
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
     do vectors of different length. Repeated rows are vectors of their own and link with each
-    other. A null vec_id counts as a link of others, is never kept, and names no component.
+    other. A null vec_id counts as a link of others, is never kept, and names no component. An empty table
+    gives no rows; columns other than vec_id and embedding aren't read. The rotations are learned
+    from about `sample` distinct vectors, drawn by a hash of their components, so that the result
+    doesn't depend on how rows are stored.
     """
     spark = embeddings.sparkSession
-    vectors = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = embeddings.select("vec_id", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid, other = vectors.where(good), vectors.where(~good)
@@ -146,33 +176,30 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, block: int = BLOCK,
 
     models = {}
     for dim, count in reps.groupBy("dim").count().collect():  # a row for each length of vector
-        some = reps.where(F.col("dim") == dim).where(fraction_of("rid", "itq") < min(1.0, sample / count)).select("embedding")
-        x = np.array([r.embedding for r in some.toLocalIterator()])
-        models[dim] = learn_codes(unit(x)) if len(x) else (np.zeros(dim), np.eye(dim, CODE))
+        draw = F.pmod(F.xxhash64(F.lit("itq"), "embedding"), F.lit(1 << 30)) < min(1.0, sample / count) * (1 << 30)
+        x = np.array([r.embedding for r in reps.where((F.col("dim") == dim) & draw).select("embedding").toLocalIterator()], np.float64).reshape(-1, dim)
+        x = x[np.lexsort(x.T)] if len(x) else np.eye(dim)
+        models[dim] = Codes(unit(x), count, least)
     shared = spark.sparkContext.broadcast(models)
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                c = encode(unit(np.stack(part["embedding"].to_numpy())), shared.value[dim]).view(np.int64)
-                yield pd.DataFrame({"rid": part["rid"], "dim": part["dim"], "c0": c[:, 0], "c1": c[:, 1]})
-
-    coded = reps.select("rid", "dim", "embedding").mapInPandas(codes, "rid long, dim int, c0 long, c1 long")
-    coded = coded.withColumn("bucket", F.explode(F.array(*map(F.lit, range(CODE)))))
-    at = f"CAST(bucket DIV {SUB} AS INT)"
-    sub = F.expr(f"shiftright(IF({at} < 4, c0, c1), ({at} % 4) * {SUB}) & {(1 << SUB) - 1}L & ~shiftleft(1L, CAST(bucket % {SUB} AS INT))")
-    coded = materialise(coded.withColumn("sig", F.xxhash64("dim", "bucket", sub)))
-    large = coded.groupBy("sig").count().where(F.col("count") > block)
-    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    rows = coded.join(large, "sig", "left").withColumn("blocks", blocks)
+                yield part.assign(code=list(shared.value[dim].substrings(unit(np.stack(part["embedding"].to_numpy())))))
+
+    kind = reps.schema["embedding"].dataType.simpleString()
+    coded = materialise(reps.select("rid", "dim", "n", "embedding").mapInPandas(codes, f"rid long, dim int, n long, embedding {kind}, code array<int>"))
+    keys = coded.select("rid", "dim", F.posexplode("code").alias("table", "sub")).select("rid", "table", F.xxhash64("dim", "table", "sub").alias("sig"))
+    met = keys.groupBy("sig").count().where("count > 1")
+    rows = keys.join(met, "sig").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "bucket", "rid", "c0", "c1")
+    rows = rows.select("sig", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "table", "rid")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, *RUN).sortWithinPartitions(*RUN).mapInPandas(_members, rows.schema)
-    found = materialise(found).join(reps.select("rid", "n", "embedding"), "rid")
-    judged = found.repartition(parts, *RUN).sortWithinPartitions(*RUN).mapInPandas(_rerank(least), "rid long, links long, other long")
+    rows = rows.join(coded.select("rid", "n", "embedding", "code"), "rid")
+    judged = rows.repartition(parts, *RUN).sortWithinPartitions(*RUN).mapInPandas(_judge(least), "rid long, links long, other long")
     judged = materialise(judged)
+    forget(coded)
 
     counts = judged.groupBy("rid").agg(F.sum("links").alias("links"))
     groups = components(judged.where("rid <> other"), "rid", "other").withColumnRenamed("node", "rid")

@@ -45,7 +45,7 @@ LEAST, ROOTS = 20, 0.25  # occurrences that a context has at least: LEAST, or RO
 SMOOTHS = (2.0, 16.0, 128.0, 1024.0)  # weights of the shorter context's distribution to choose from
 PARENT = 64.0  # that weight for the parent's distribution in the test
 BASE = 0.1
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 PART_BYTES = 32 << 20  # of text for each part
 MAX_PARTS = 1 << 20
 FILTER_BITS = (12, 26)  # log2 of the filter's size at least and at most

@@ -1,13 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; the unlabelled text is a sample of all documents,
-whatever their label. A small network on features of the text minimises the non-negative
+whatever their label. A small network on counts and hashed trigrams of the text minimises the non-negative
 unbiased risk with the logistic loss, for the class prior estimated beforehand; its logistic
 output is then the probability of quality.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,40 +20,58 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import fraction_of, id_bucket
 
 HELD = (4, 2)
-POSITIVES, UNLABELLED = 8000, 16000  # rows that the network is fitted on, about
+POSITIVES, UNLABELLED = 6000, 12_000  # rows that the network is fitted on, about
 HIDDEN = 24
-STEPS = 3000  # updates at least
-CLASSES = np.zeros((256, 9))
-for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"#$%&*@^~+=_", b"|<>{}[]()/\\", b" \t", b"\n")):
-    CLASSES[list(_set), _i] = 1
-FEATURES = 9 + 11
+STEPS = 2000  # updates at least
+PRIOR_STEPS = 300  # updates of the classifier that the prior is estimated with: few, so that it doesn't learn its rows by heart
+CLASSES, MEASURES, GRAMS = 9, 11, 512  # shares of kinds of characters; measures of words and lines; hashed byte trigrams
+FEATURES = CLASSES + MEASURES + GRAMS
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Kind of each code point up to U+FFFF by Unicode category, so that scripts are alike: small letters, capitals, other
+    letters and marks, digits, `.,;:` and such, `!?`, symbols, brackets and quotes, white space. Those beyond are other letters."""
+    if not _KINDS:
+        by_category = {"Ll": 0, "Lu": 1, "Lt": 1, "Lo": 2, "Lm": 2, "Mn": 2, "Mc": 2, "Me": 2, "Nd": 3, "Nl": 3, "No": 3, "Po": 4, "Pd": 4, "Ps": 7, "Pe": 7, "Pi": 7, "Pf": 7, "Zs": 8, "Zl": 8, "Zp": 8}
+        table = np.array([by_category.get(unicodedata.category(chr(i)), 6) for i in range(0x10000)], np.uint8)
+        for i, marks in ((5, "!?\u00a1\u00bf\uff01\uff1f"), (6, "#$%&*@^~+=_|<>\\"), (7, "/"), (8, "\t\n\r\x0b\x0c")):
+            table[[ord(c) for c in marks]] = i
+        _KINDS.append(table)
+    return _KINDS[0]
 
 
 def features_of(text: str | None) -> np.ndarray:
-    """Shares of byte classes, and measures of words, lines, repeats and compression; zeros if empty."""
-    b = (text or "").encode("utf-8", "surrogatepass")
-    out = np.zeros(FEATURES)
-    if not b:
+    """Shares of kinds of characters, measures of words, lines, repeats and compression, and a bag of hashed byte
+    trigrams of the lower-cased text, of length 1; zeros if empty."""
+    text = text or ""
+    out = np.zeros(FEATURES, np.float32)
+    if not text:
         return out
-    n = len(b)
-    shares = np.bincount(np.frombuffer(b, np.uint8), minlength=256) @ CLASSES / n
-    out[:9] = np.sqrt(shares)
-    words, lines = b.split(), b.split(b"\n")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    shares = np.bincount(np.where(points < 0x10000, kinds()[np.minimum(points, 0xFFFF)], 2), minlength=CLASSES) / len(points)
+    out[:CLASSES] = np.sqrt(shares)
+    b = text.encode("utf-8", "surrogatepass")
+    n, words, lines = len(points), text.split(), text.split("\n")
     count, distinct = max(1, len(words)), len(set(words))
     again = sum(x == y for x, y in zip(words, words[1:]))
-    out[9:] = (
+    out[CLASSES : CLASSES + MEASURES] = (
         np.log1p(n) / 10,
         np.log1p(count) / 10,
-        n / count / 10,
+        min(n / count / 10, 10.0),
         distinct / count,
         np.log1p(distinct) / np.log1p(count),
         np.sqrt(again / count),
         len(set(lines)) / len(lines),
         np.log1p(n / len(lines)) / 10,
-        len(zlib.compress(b, 1)) / n,
-        sum(not w[-1:].isalnum() and w[-1] < 128 for w in words) / count,
+        len(zlib.compress(b, 1)) / len(b),
+        sum(not w[-1].isalnum() for w in words) / count,
         sum(len(w) > 1 and w.isupper() for w in words) / count,
     )
+    low = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
+    code = ((low[:-2] << 16) | (low[1:-1] << 8) | low[2:]) * np.uint32(2654435761)
+    bag = np.sqrt(np.bincount((code >> np.uint32(23)).astype(np.int64), minlength=GRAMS))
+    out[CLASSES + MEASURES :] = bag / np.linalg.norm(bag)
     return out
 
 
@@ -80,6 +99,24 @@ class Network:
         return [np.clip((x - self.mean) / self.scale, -8, 8).T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
 
 
+    def contrast(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Gradient of positives x against unlabelled y, weighed alike."""
+        as_positive = self.backward(x, (_sigmoid(self.logits(x)) - 1) / len(x))
+        return [a + b for a, b in zip(as_positive, self.backward(y, _sigmoid(self.logits(y)) / len(y)))]
+
+    def risk(self, x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+        """The non-negative risk of positives x and unlabelled y, and the direction to descend: its gradient, or, where the
+        estimated risk of negatives is below 0, that which makes it rise again."""
+        zp, zu = self.logits(x), self.logits(y)
+        # losses: positive log(1 + e^-z), negative log(1 + e^z)
+        negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+        value = prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative)
+        as_negative = [a - b for a, b in zip(self.backward(y, _sigmoid(zu) / len(y)), self.backward(x, prior * _sigmoid(zp) / len(x)))]
+        if negative < 0:
+            return value, [-a for a in as_negative]
+        return value, [a + b for a, b in zip(self.backward(x, prior * (_sigmoid(zp) - 1) / len(x)), as_negative)]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -89,27 +126,16 @@ def _train(m: Network, pos: np.ndarray, unl: np.ndarray, prior: float | None, ep
     g, lr, step = np.random.default_rng(seed), 0.01, 0
     m1, m2 = [np.zeros_like(w) for w in m.w], [np.zeros_like(w) for w in m.w]
     batches = max(1, len(unl) // 256)
-    epochs = max(epochs, -(-STEPS // batches))
+    epochs = max(1 if prior is None else epochs, -(-(PRIOR_STEPS if prior is None else STEPS) // batches))
     for _ in range(epochs):
         p_order, u_order = np.array_split(g.permutation(len(pos)), batches), np.array_split(g.permutation(len(unl)), batches)
         for p, u in zip(p_order, u_order):
             if not len(p) or not len(u):
                 continue
-            x, y, step = pos[p], unl[u], step + 1
-            zp, zu = m.logits(x), m.logits(y)
-            if prior is None:
-                grad = [a + b for a, b in zip(m.backward(x, (_sigmoid(zp) - 1) / len(p)), m.backward(y, _sigmoid(zu) / len(u)))]
-            else:
-                # losses: positive log(1 + e^-z), negative log(1 + e^z)
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                as_negative = [a - b for a, b in zip(m.backward(y, _sigmoid(zu) / len(u)), m.backward(x, prior * _sigmoid(zp) / len(p)))]
-                if negative >= 0:
-                    as_positive = m.backward(x, prior * (_sigmoid(zp) - 1) / len(p))
-                    grad = [a + b for a, b in zip(as_positive, as_negative)]
-                else:
-                    grad = [-a for a in as_negative]
+            step += 1
+            grad = m.contrast(pos[p], unl[u]) if prior is None else m.risk(pos[p], unl[u], prior)[1]
             for i, d in enumerate(grad):
-                d = d + 1e-4 * m.w[i]
+                d = d + (1e-3 if prior is None else 1e-4) * m.w[i]
                 m1[i], m2[i] = 0.9 * m1[i] + 0.1 * d, 0.999 * m2[i] + 0.001 * d * d
                 m.w[i] -= lr * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
     return m
@@ -129,7 +155,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, epochs: int = 30, seed: int = 11) -> N
     if not len(pos) or not len(unl):
         m.w = [np.zeros_like(w) for w in m.w]
         return m
-    m.mean, m.scale = unl.mean(axis=0), unl.std(axis=0) + 1e-3
+    lexical = np.arange(FEATURES) >= CLASSES + MEASURES
+    m.mean, m.scale = unl.mean(axis=0), np.where(lexical, 5 * (unl.std(axis=0) + 2e-2), unl.std(axis=0) + 1e-3)  # many trigrams count as one measure
     plain = Network(seed)
     plain.mean, plain.scale = m.mean, m.scale
     half = lambda x, k: x[k::2] if len(x) > 1 else x
@@ -140,21 +167,24 @@ def fit(pos: np.ndarray, unl: np.ndarray, epochs: int = 30, seed: int = 11) -> N
 
 def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network:
     """Fits on about so many positives and unlabelled documents, drawn by hashes of their ids among
-    those that aren't held out. Features are made on the executors."""
+    those that aren't held out; of documents of equal id the one of least text counts. Features are made on the executors,
+    what comes to the driver is a kilobyte a row."""
     free = id_bucket("doc_id", HELD[0]) != HELD[1]
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").where(free).select("doc_id").dropDuplicates()
     good = good.where(fraction_of("doc_id", "positive") < min(1.0, positives / max(1, good.count())))
-    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL").where(free)
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").where(free)
     some = docs.where(fraction_of("doc_id", "unlabelled") < min(1.0, unlabelled / max(1, docs.count()))).withColumn("p", F.lit(0))
     rows = docs.join(F.broadcast(good), "doc_id").withColumn("p", F.lit(1)).unionByName(some)  # good: about `positives` ids
+    rows = rows.groupBy("doc_id", "p").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["doc_id", "p"]].assign(x=[features_of(t) for t in pdf["text"]])
+            x = [features_of(t).astype("<f2").tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "p": pdf["p"], "x": x})
 
-    found = rows.mapInPandas(run, "doc_id long, p int, x array<double>").toPandas()
-    found = found.sort_values(["p", "doc_id"], kind="stable")
-    part = lambda k: np.array(found.loc[found["p"] == k, "x"].tolist()).reshape(-1, FEATURES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = sorted((r.p, r.doc_id, r.x) for r in rows.mapInPandas(run, f"doc_id {kind}, p int, x binary").toLocalIterator())
+    part = lambda k: np.frombuffer(b"".join(x for p, _, x in found if p == k), "<f2").astype(np.float32).reshape(-1, FEATURES)
     return fit(part(1), part(0))
 
 
@@ -174,8 +204,9 @@ def with_scores(documents: DataFrame, model: Network, name: str = "quality") ->
 def quality(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= least) of every document.
 
-    Null and empty texts get the score of an empty text, repeated rows repeated scores; without
-    positives or unlabelled documents to learn from all score 0.5.
+    Null and empty texts get the score of an empty text, repeated rows repeated scores, rows with a null doc_id scores
+    too; an empty table gives no rows. Without positives or unlabelled documents to learn from all score 0.5. Other
+    columns aren't read.
     """
     scored = with_scores(documents.select("doc_id", "text"), train(documents, labels), "score")
     held = id_bucket("doc_id", HELD[0]) == HELD[1]

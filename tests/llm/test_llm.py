@@ -72,6 +72,30 @@ def test_itq(spark):
     assert next(r.component_id for r in got if r.vec_id == 1007) == next(r.component_id for r in got if r.vec_id == 0)
 
 
+def test_itq_tables_find_pairs_of_off_centre_vectors():
+    """Recall at the least cosine, for vectors whose mean is large too; more vectors, wider substrings."""
+    g = np.random.default_rng(1)
+    for shift in (0.0, 1.0, 2.0):
+        x = itq.unit(g.normal(size=(3000, 32)) + shift)
+        model = itq.Codes(x, 100_000, 0.9)
+        for a, b in itq.pairs_at(itq.unit(g.normal(size=(500, 32)) + shift), 0.9, seed=9):
+            met = (model.substrings(a) == model.substrings(b)).any(axis=1).mean()
+            assert met > 0.95, (shift, met)
+    d = [np.full(10, 0.14)]
+    widths = [itq.choose(d, n)[0] for n in (1000, 100_000, 10_000_000)]
+    assert widths == sorted(set(widths))
+
+
+def test_itq_does_not_depend_on_partitions(spark):
+    g = np.random.default_rng(4)
+    centres = g.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + g.normal(0, 0.2, 16)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, itq.near_vectors(df.repartition(7), block=8).collect()))
+    assert one == sorted(map(tuple, itq.near_vectors(df.coalesce(1), block=64, sample=5000).collect()))
+    assert itq.near_vectors(df.limit(0)).count() == 0
+
+
 def test_mixing(spark, docs):
     df = documents(spark, docs)
     got = mixing.mix(df).collect()
@@ -247,6 +271,51 @@ def test_toxicity_scores_do_not_depend_on_the_batch():
     assert np.allclose(alone, model.scores(texts), atol=1e-6)
 
 
+def test_toxicity_gradients_are_those_of_differences():
+    g = np.random.default_rng(3)
+    model = toxicity.Model(3)
+    model.emb = model.emb.astype(np.float64)
+    model.conv = [c.astype(np.float64) for c in model.conv]
+    model.bias = model.bias + g.normal(0, 0.1, model.bias.shape)
+    texts = [toxicity.word_features(words(12, i)) for i in range(5)] + [toxicity.word_features("")]
+    labels, weight = np.array([0, 1, 1, 0, 1, 0.0]), np.array([1, 2, 1, 1, 0.5, 1])
+    batch = toxicity.from_words(texts)
+
+    def loss():
+        z = model.logits(batch)
+        return float((weight * (np.logaddexp(0, z) - labels * z)).mean())
+
+    grads = toxicity.gradients(model, batch, labels, weight)
+    rows, sums = grads.pop("emb")
+    model.intercept = 0.0
+    dense = np.zeros_like(model.emb)
+    dense[rows] = sums
+    for name, value, grad in [("out", model.out, grads["out"]), ("bias", model.bias, grads["bias"]), ("emb", model.emb, dense), *((f"conv{i}", c, grads[f"conv{i}"]) for i, c in enumerate(model.conv))]:
+        flat, want = value.reshape(-1), np.asarray(grad).reshape(-1)
+        for i in np.argsort(-np.abs(want))[:12]:
+            old, h = flat[i], 1e-4
+            flat[i] = old + h
+            up = loss()
+            flat[i] = old - h
+            down = loss()
+            flat[i] = old
+            assert math.isclose((up - down) / (2 * h), want[i], rel_tol=2e-2, abs_tol=1e-5), (name, i)
+
+
+def test_toxicity_pools_the_maximum_over_windows_of_words():
+    model = toxicity.Model(5)
+    for text in ("a", "a b", "c d e f g a", ""):
+        batch = toxicity.tokenised([text])
+        got, _ = model.pooled(batch)
+        x = [model.emb[toxicity._hashed(w)].sum(axis=0) for w in text.split()] + [np.zeros(toxicity.DIM)] * toxicity.PAD
+        want = []
+        for k, conv, bias in zip(toxicity.WIDTHS, model.conv, model.bias):
+            windows = [sum(x[i + j] @ conv[j] for j in range(k)) + bias for i in range(len(text.split()))] + [bias]
+            want.append(np.max(windows, axis=0))
+        assert np.allclose(got[0], np.concatenate(want), atol=1e-5)
+        assert np.allclose(toxicity.Model.pooled(model, toxicity.from_words([toxicity.word_features(text)]))[0], got, atol=1e-5)
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, "quality")
     got = quality.quality(docs, labels).collect()
@@ -256,6 +325,65 @@ def test_quality(spark):
     assert {r.score for r in quality.quality(docs.limit(20), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_risk_has_both_branches():
+    g = np.random.default_rng(2)
+    x, y = g.normal(1, 1, (40, quality.FEATURES)), g.normal(0, 1, (60, quality.FEATURES))
+    seen = set()
+    for prior, sign in ((0.3, 1), (0.95, 1), (0.95, -1)):
+        m = quality.Network(1)
+        m.w[0] *= 0.2
+        m.w[2] *= 3 * sign
+        value, grad = m.risk(x, y, prior)
+
+        def losses():
+            zp, zu = ((np.tanh(np.clip(v, -8, 8) @ m.w[0] + m.w[1]) @ m.w[2] + m.w[3]) for v in (x, y))
+            negative = np.mean(np.log(1 + np.exp(zu))) - prior * np.mean(np.log(1 + np.exp(zp)))  # noqa: B023
+            return prior * np.mean(np.log(1 + np.exp(-zp))), negative  # noqa: B023
+
+        positive, negative = losses()
+        seen.add(negative < 0)
+        assert math.isclose(value, positive + max(0, negative), rel_tol=1e-6)
+        for w, d in zip(m.w, grad):
+            flat, want = w.reshape(-1), d.reshape(-1)
+            for i in np.argsort(-np.abs(want))[:5]:
+                old = flat[i]
+                at = []
+                for h in (1e-5, -1e-5):
+                    flat[i] = old + h
+                    p, q = losses()
+                    at.append(-q if negative < 0 else p + q)
+                flat[i] = old
+                assert math.isclose((at[0] - at[1]) / 2e-5, want[i], rel_tol=1e-3, abs_tol=1e-7)
+    assert seen == {True, False}
+
+
+def test_quality_prior_of_a_known_mixture():
+    g = np.random.default_rng(6)
+    for share in (0.3, 0.8):
+        positives, negatives = g.normal(3, 1, 4000), g.normal(-3, 1, 8000)
+        unlabelled = np.concatenate([g.normal(3, 1, int(8000 * share)), negatives[: int(8000 * (1 - share))]])
+        assert abs(quality.estimate_prior(positives, unlabelled) - share) < 0.05
+
+
+def test_quality_features_are_alike_in_other_scripts():
+    latin, greek, cyrillic = "Abc def, ghi.", "Αβγ δεζ, ηθι.", "Абв где, жзи."
+    shares = [quality.features_of(t)[: quality.CLASSES] for t in (latin, greek, cyrillic)]
+    assert np.allclose(shares[0], shares[1]) and np.allclose(shares[0], shares[2])
+    f = quality.features_of("漢字かな交じり文。テスト")
+    assert f[2] > 0.9 and np.isclose(np.linalg.norm(f[quality.CLASSES + quality.MEASURES :]), 1, atol=1e-3)
+    assert not quality.features_of("").any() and not quality.features_of(None).any()
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 3 > 0
+        rows.append((i, " ".join(words(1, 7 * i + k, "абвгдежз" if good else "абвгдежз!?#") for k in range(30)), "ru", "s"))
+        labels.append((int(good), i))
+    x = np.array([quality.features_of(t) for _, t, *_ in rows])
+    y = np.array([k for k, _ in labels]) == 1
+    model = quality.fit(x[y][:150], x[:250])
+    score = model.scores(x)
+    assert score[y][150:].mean() > score[~y].mean() + 0.3
+
+
 def test_urls(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.b", "", "block"), ("x.a.b", "/p", "allow"), ("x.a.b", "/p", "block"), ("", "/", "block"), (None, "/", "block"), ("a.b", None, "allow")]
     urls = ["http://example.net/en/1", "https://WWW.Example.NET/en/", "http://example.net", "http://net/x", "ftp://a.b?q", "s://x.a.b/p/q#f", "s://xa.b/", "s://y.x.a.b/q", "no scheme", None, "", "://", "x:///p", "http://evilnet/", "http://a.b/" + "z" * 50_000]

@@ -147,7 +147,7 @@ def srt_05_top_of_three_metrics(spark, sf_dir):
     return a.union(b).union(c).distinct()
 
 
-@register("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10")
+@register("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand")
 def srt_01_counts_in_order(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand")
 

@@ -112,11 +112,18 @@ def h2i_01_hash_ids(spark, sf_dir):
     return C.hash_ids(files(spark, sf_dir), "hash", "file_id")
 
 
+AGG_31_PERCENT = 2  # low enough that projects of the tables host clones
+
+
 @register(f"""
-WITH f AS ({FILES_SQL}), u AS (SELECT hash FROM f GROUP BY hash HAVING count(*) = 1)
-SELECT project, count(*) AS files, count(u.hash) AS unique_files, 0::BIGINT AS contained_clones FROM f LEFT JOIN u USING (hash) GROUP BY project""")
+WITH f AS ({FILES_SQL}), u AS (SELECT hash FROM f GROUP BY hash HAVING count(*) = 1),
+o AS (SELECT project, count(*) AS files, count(u.hash) AS unique_files FROM f LEFT JOIN u USING (hash) GROUP BY project),
+{BAG_SQL}, k AS (SELECT project, token_hash, count(*) AS n FROM b WHERE total_tokens >= 2 GROUP BY ALL), tt AS (SELECT project, sum(n)::BIGINT AS files FROM k GROUP BY project),
+p AS (SELECT x.project AS clone, y.project AS host, sum(x.n)::BIGINT AS cloned, sum(y.n)::BIGINT AS affected FROM k x JOIN k y ON x.token_hash = y.token_hash AND x.project < y.project GROUP BY ALL),
+q AS (SELECT host, count(*) AS n FROM p JOIN tt a ON a.project = clone JOIN tt h ON h.project = host WHERE cloned * 100 // a.files >= {AGG_31_PERCENT} OR affected * 100 // h.files >= {AGG_31_PERCENT} GROUP BY host)
+SELECT project, files, unique_files, coalesce(q.n, 0)::BIGINT AS contained_clones FROM o LEFT JOIN q ON host = project""")
 def agg_31_project_originals(spark, sf_dir):
-    return C.project_originals(files(spark, sf_dir), C.project_clones(bags(spark, sf_dir))).withColumn("contained_clones", F.col("contained_clones").cast("long"))
+    return C.project_originals(files(spark, sf_dir), C.project_clones(bags(spark, sf_dir), min_percent=AGG_31_PERCENT)).withColumn("contained_clones", F.col("contained_clones").cast("long"))
 
 
 @register(f"""
@@ -139,7 +146,7 @@ def joi_23_threshold_sweep(spark, sf_dir):
 
 
 @register(f"""
-WITH f AS ({FILES_SQL}), a AS (SELECT DISTINCT hash FROM f WHERE file_id % 2 = 0), b AS (SELECT hash, count(*) AS n FROM f WHERE file_id % 3 = 0 GROUP BY hash)
+WITH f AS ({FILES_SQL}), a AS (SELECT DISTINCT md5(coalesce(text, '')) AS hash FROM benchmark), b AS (SELECT hash, count(*) AS n FROM f GROUP BY hash)
 SELECT hash, 'missing' AS problem FROM a WHERE hash NOT IN (SELECT hash FROM b)
 UNION ALL SELECT hash, 'unknown' FROM b WHERE hash NOT IN (SELECT hash FROM a) UNION ALL SELECT hash, 'duplicate' FROM b WHERE n > 1""")
 def joi_30_reconciliation(spark, sf_dir):
@@ -147,7 +154,7 @@ def joi_30_reconciliation(spark, sf_dir):
 
 
 @register(f"""
-WITH f AS ({FILES_SQL}), a AS (SELECT * FROM f WHERE file_id % 2 = 0), b AS (SELECT * FROM f WHERE file_id % 3 = 0)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE hash NOT IN (SELECT hash FROM a)""")
+WITH f AS ({FILES_SQL}), b AS (SELECT 'benchmark' AS project, item_id AS file_id, md5(coalesce(text, '')) AS hash FROM benchmark)
+SELECT * FROM f UNION ALL SELECT * FROM b WHERE hash NOT IN (SELECT hash FROM f)""")
 def joi_27_merged_datasets(spark, sf_dir):
     return J.merge_datasets(files(spark, sf_dir), passages(spark, sf_dir), "hash")

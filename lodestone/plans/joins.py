@@ -10,7 +10,7 @@ from lodestone.plans import register, table
 
 @register("""
 WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^?#]*') AS uri FROM pages),
-x AS (SELECT DISTINCT unnest([regexp_extract(uri, '^[a-z]+://[^/]*'), regexp_extract(uri, '^[a-z]+://[^/]*/[^/]*')]) AS path FROM u WHERE page_id % 3 = 0),
+x AS (SELECT DISTINCT unnest([regexp_extract(uri, '^[a-z]+://[^/]*'), regexp_extract(uri, '^[a-z]+://[^/]*/[^/]*')]) AS path FROM u),
 m AS (SELECT page_id, uri, path, row_number() OVER (PARTITION BY page_id ORDER BY length(path) DESC) AS k FROM u LEFT JOIN x ON starts_with(uri, path) AND path <> '')
 SELECT page_id, path, length(path)::INTEGER AS path_length FROM m WHERE k = 1""")
 def joi_05_longest_prefix(spark, sf_dir):

@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fraction_of, id_bucket
+from lodestone.llm.common import fraction_of, free_names, id_bucket
 
 GRAMS = 1 << 15
 HELD = (4, 2)
 PER_LANGUAGE = 4000  # documents of a language that its distribution is learned from, about
 ROUNDS, REFINE = 12, 4
 PENALTY = 8.0  # times half the log of the number of trigrams, for each language after the first
-LEAST_SHARE = 0.25  # keep_identified(): of the predicted language
+LEAST_SHARE, LEAST_GAIN = 0.25, 0.5  # keep_identified(): of the predicted language, and by trigram
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -44,13 +44,14 @@ class Languages:
     names: list[str]
     log_p: np.ndarray  # (languages, GRAMS)
 
-    def mixtures(self, texts) -> tuple[list[str], np.ndarray, list[list[str]]]:
-        """For each text: predicted language, its share, and all of the chosen set by share."""
+    def mixtures(self, texts) -> tuple[list[str], np.ndarray, list[list[str]], np.ndarray]:
+        """For each text: predicted language, its share, all of the chosen set by share, and how much likelier a trigram is under
+        the mixture than if all were equally likely (log)."""
         lists = [np.unique(grams_of(t), return_counts=True) for t in texts]
-        names, share, sets = [UNKNOWN] * len(lists), np.zeros(len(lists)), [[] for _ in lists]
+        names, share, sets, gains = [UNKNOWN] * len(lists), np.zeros(len(lists)), [[] for _ in lists], np.zeros(len(lists))
         live = [i for i, (g, _) in enumerate(lists) if len(g)]
         if not live or not self.names:
-            return names, share, sets
+            return names, share, sets, gains
         sizes = np.array([len(lists[i][0]) for i in live])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         n = np.concatenate([lists[i][1] for i in live]).astype(np.float64)
@@ -69,21 +70,23 @@ class Languages:
 
         pi, _ = rounds(np.full((count, len(live)), 1.0 / count), ROUNDS)
         rank = np.argsort(np.argsort(-pi, axis=0, kind="stable"), axis=0)
-        best, chosen = np.full(len(live), -np.inf), pi
+        best, chosen, going = np.full(len(live), -np.inf), pi, np.ones(len(live), bool)
+        gain = np.zeros(len(live))
         for k in range(1, count + 1):
             some = np.where(rank < k, np.maximum(pi, 1e-6), 0.0)
             some, fit = rounds(some / some.sum(axis=0), REFINE if k > 1 else 0)
             value = fit - PENALTY * (k - 1) * np.log(np.maximum(total, 2)) / 2
-            better = value > best
-            if not better.any():
+            going &= value > best  # each text by itself: its sets end with the first that isn't better
+            if not going.any():
                 break
-            best = np.where(better, value, best)
-            chosen = np.where(better, some, chosen)
+            best = np.where(going, value, best)
+            chosen = np.where(going, some, chosen)
+            gain = np.where(going, fit / total + np.log(GRAMS), gain)
         for j, i in enumerate(live):
             order = np.argsort(-chosen[:, j], kind="stable")
             sets[i] = [self.names[x] for x in order if chosen[x, j] > 0]
-            names[i], share[i] = self.names[order[0]], chosen[order[0], j]
-        return names, np.clip(share, 0.0, 1.0), sets
+            names[i], share[i], gains[i] = self.names[order[0]], chosen[order[0], j], gain[j]
+        return names, np.clip(share, 0.0, 1.0), sets, gains
 
 
 def learn(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
@@ -116,14 +119,14 @@ def learn(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
 
 
 def with_languages(documents: DataFrame, model: Languages, name: str = "mixture") -> DataFrame:
-    """documents and a column `name`: struct of lang, share and langs, the chosen set by share."""
+    """documents and a column `name`: struct of lang, share, langs (the chosen set by share) and gain."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, share: double, langs: array<string>>")
+    @F.pandas_udf("struct<lang: string, share: double, langs: array<string>, gain: double>")
     def mixture(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             parts = [shared.value.mixtures(texts.iloc[i : i + 64]) for i in range(0, len(texts), 64)]
-            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "share": [float(x) for p in parts for x in p[1]], "langs": [x for p in parts for x in p[2]]})
+            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "share": [float(x) for p in parts for x in p[1]], "langs": [x for p in parts for x in p[2]], "gain": [float(x) for p in parts for x in p[3]]})
 
     return documents.withColumn(name, mixture(F.col("text")))
 
@@ -142,7 +145,13 @@ def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents that have a language, one that makes up a quarter of the text at least."""
-    names = documents.columns
-    rows = with_languages(documents, learn(documents), "__mixture")
-    return rows.where((F.col("__mixture.lang") != UNKNOWN) & (F.col("__mixture.share") >= LEAST_SHARE)).select(*names)
+    """The documents that have a language, with their columns, whatever these are called: one that makes up a quarter
+    of the text at least, whose trigrams its mixture makes half a nat likelier each than equal chances would.
+
+    So texts that are null, empty or without a letter go, and letters in the order of no learned language; of repeated
+    rows all stay or go. With no language to learn from all go; an empty table stays empty.
+    """
+    (name,) = free_names(documents, "mixture")
+    mixture = F.col(name)
+    rows = with_languages(documents, learn(documents), name)
+    return rows.where((mixture["lang"] != UNKNOWN) & (mixture["share"] >= LEAST_SHARE) & (mixture["gain"] >= LEAST_GAIN)).drop(name)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialise
+from lodestone.llm.common import WORD, free_names, materialise
 
 WEIGHTS = (3, 1, 2)
 RANGE_ROWS = 1000  # documents aimed at in a range of keys, of all sources together
@@ -80,8 +80,15 @@ def mix(documents: DataFrame, seed: str = "mix", carry: tuple[str, ...] = (), **
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The columns of documents; each document as often as the mix begins it, whole each time."""
-    names = documents.columns
-    docs = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
-    copies = mix(docs, carry=("__row",)).select("__row", "copies").where("copies > 0")
-    return docs.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)
+    """The columns of documents, whatever these are called; each document as often as the mix begins it, whole each
+    time.
+
+    Texts without words, null ones too, are begun as the documents before them in the order of keys are, which takes no
+    word. Repeated rows are documents of their own; an empty table stays empty.
+    """
+    row, copies, copy = free_names(documents, "row", "copies", "copy")
+    docs = materialise(documents.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mix(docs.select("doc_id", "source", "text", F.col(row).alias("row_")), carry=("row_",))
+    times = mixed.select(F.col("row_").alias(row), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return rows.drop(row, copies, copy)

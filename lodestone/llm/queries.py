@@ -103,20 +103,24 @@ fits AS (SELECT p.*, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY
 SELECT p.page_id, p.host, p.path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict
 FROM p LEFT JOIN fits ON p.page_id = fits.page_id AND fits.k = 1""",
     "op9_merkle": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
-      FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT r, doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+      FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(text), text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) AS edited FROM n),
-x AS (SELECT doc_id, n_chars, k, list_transform(string_split(CASE k WHEN 0 THEN text WHEN 1 THEN edited ELSE next_text END, chr(10) || chr(10)),
-        lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^.!?]*[.!?]+|[^.!?]+'), lambda y: md5(y)))) AS tree,
-        edited FROM e, (VALUES (0), (1), (2)) v(k)),
-y AS (SELECT *, list_transform(tree, lambda s: md5(list_aggregate(list_transform(s, lambda p: md5(coalesce(list_aggregate(p, 'string_agg', ''), ''))), 'string_agg', ''))) AS sections,
-        list_distinct(flatten(flatten(tree))) AS leaves FROM x),
-z AS (SELECT *, sha256(list_aggregate(sections, 'string_agg', '')) AS root FROM y)
+x AS (SELECT r, doc_id, n_chars, k, edited, list_transform(string_split(CASE k WHEN 0 THEN text WHEN 1 THEN edited ELSE next_text END, chr(10) || chr(10)),
+        lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^.!?]*[.!?]+|[^.!?]+'), lambda y: md5(y)))) AS tree FROM e, (VALUES (0), (1), (2)) v(k)),
+y AS (SELECT *, list_transform(tree, lambda s: list_transform(s, lambda p: {'h': md5(coalesce(list_aggregate(p, 'string_agg', ''), '')), 'l': p})) AS ps FROM x),
+z AS (SELECT *, list_transform(ps, lambda s: {'h': md5(list_aggregate(list_transform(s, lambda p: p.h), 'string_agg', '')), 'p': s}) AS ss FROM y),
+t AS (SELECT *, sha256(list_aggregate(list_transform(ss, lambda s: s.h), 'string_agg', '')) AS root FROM z),
+u AS (SELECT *, list_distinct([root] || list_transform(ss, lambda s: s.h) || list_transform(flatten(ps), lambda p: p.h) || flatten(flatten(tree))) AS nodes FROM t),
+c AS (SELECT a.r, list_filter(a.ss, lambda s: NOT list_contains(list_transform(b.ss, lambda v: v.h), s.h)) AS left_s, list_filter(b.ss, lambda s: NOT list_contains(list_transform(a.ss, lambda v: v.h), s.h)) AS right_s
+      FROM u a JOIN u b ON a.r = b.r AND a.k = 0 AND b.k = 1),
+f AS (SELECT r, flatten(list_transform(left_s, lambda s: s.p)) AS left_p, flatten(list_transform(right_s, lambda s: s.p)) AS right_p FROM c),
+g AS (SELECT r, flatten(list_transform(list_filter(left_p, lambda p: NOT list_contains(list_transform(right_p, lambda v: v.h), p.h)), lambda p: p.l)) AS left_l,
+        flatten(list_transform(list_filter(right_p, lambda p: NOT list_contains(list_transform(left_p, lambda v: v.h), p.h)), lambda p: p.l)) AS right_l FROM f)
 SELECT a.doc_id, a.n_chars :: BIGINT AS n_chars, sha256(a.edited) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint,
-  CASE WHEN len(a.leaves) + len(b.leaves) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) :: DOUBLE END :: DOUBLE AS near_edited,
-  CASE WHEN len(a.leaves) + len(c.leaves) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) :: DOUBLE END :: DOUBLE AS near_next,
-  len(a.sections) :: INTEGER AS n_sections,
-  len(list_filter(range(greatest(len(a.sections), len(b.sections))), lambda i: a.sections[i + 1] IS DISTINCT FROM b.sections[i + 1])) :: INTEGER AS n_sections_edited
-FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.k = 1 JOIN z c ON a.doc_id = c.doc_id AND c.k = 2 WHERE a.k = 0""",
+  2.0 :: DOUBLE * len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes)) :: DOUBLE AS near_edited,
+  2.0 :: DOUBLE * len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes)) :: DOUBLE AS near_next,
+  len(a.ss) :: INTEGER AS n_sections, len(list_distinct(list_filter(left_l, lambda x: NOT list_contains(right_l, x)))) :: INTEGER AS n_edited
+FROM u a JOIN u b ON a.r = b.r AND b.k = 1 JOIN u c ON a.r = c.r AND c.k = 2 JOIN g ON g.r = a.r WHERE a.k = 0""",
 }

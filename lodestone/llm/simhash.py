@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, fraction_of, materialise, words_of
+from lodestone.llm.common import components, forget, fraction_of, free_names, materialise, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -149,25 +150,43 @@ def shingles_of(text: str | None) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def packed(h: np.ndarray) -> bytes:
+    """A set of shingles as the distinct upper halves of their hashes: sorted, differences, compressed."""
+    half = np.unique((h.view(np.uint64) >> np.uint64(32)).astype(np.uint32))
+    planes = np.ascontiguousarray(np.diff(half, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets' Jaccard similarity is 4/5 or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * shared >= 4 * (len(a) + len(b))
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample of documents, sorted, and how often they are there. They only
-    order shingles, so that what is missed costs time, no pair."""
-    share = SAMPLE / max(1, docs.count())
+    order shingles, so that what is missed costs time, no pair. texts: k1, text."""
+    share = SAMPLE / max(1, texts.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles_of, pdf["text"])]), return_counts=True)
             yield pd.DataFrame({"h": h, "n": n})
 
-    counts = docs.where(fraction_of("doc_id", "shingles") < share).select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.where(fraction_of("k1", "shingles") < share).select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = sorted((r.h, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())
     return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, __row, fp, n, first): of each document a hash of its shingles, their number, and the first ones in
+def _shingled(texts: DataFrame) -> DataFrame:
+    """texts: k1, k2, doc_id, text. Without text, with fp, a hash of the shingles, n, their number, the packed set, and the first ones in
     an order that has common ones last: as many as two sets of similarity 4/5 can't both have apart."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, often = common.value
@@ -178,61 +197,75 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 rank = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
                 first = h[np.argsort(rank, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
-                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), first))
+                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), first, packed(h)))
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pdf[["doc_id", "__row"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows])
+            yield pdf[["k1", "k2", "doc_id"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows], set=[r[3] for r in rows])
 
-    docs = docs.select("doc_id", "__row", "text")
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __row long, fp long, n int, first array<long>")
+    return texts.mapInPandas(run, f"k1 long, k2 long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long, n int, first array<long>, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets' similarity is 4/5 or more."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    """Those of pairs (a, b) whose sets are similar."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep, last, left = np.zeros(len(pdf), bool), None, None
+            for i, (a, x, y) in enumerate(zip(pdf["a"], pdf["sa"], pdf["sb"])):
+                if a != last:
+                    last, left = a, unpacked(x)
+                keep[i] = similar(left, unpacked(y))
+            yield pdf.loc[keep, ["a", "b"]]
 
-def similar_links(firsts: DataFrame, prefixes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): enough of the pairs of distinct sets within similarity 4/5 to connect all that they connect.
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+
+
+def similar_links(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """reps: fp, n, first; sets: fp, set. (a, b): enough of the pairs of distinct sets within similarity 4/5 to connect
+    all that they connect.
 
     Such sets share one of their first shingles, at places that leave enough behind them. Each set is first
     compared with one other of each shingle, then with the others that this hasn't connected it to.
     """
-    rows = prefixes.join(firsts.select("__row"), "__row", "left_semi").select("fp", "n", F.posexplode("first").alias("i", "h"))
-    rows = materialise(rows)
-    rows = materialise(rows.join(rows.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("m")).where("c > 1"), "h").drop("c"))
+    rows = reps.select("fp", "n", F.posexplode("first").alias("i", "h"))
+    met = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("m")).where("c > 1").drop("c")
+    rows = materialise(rows.join(met, "h"))
     x, y = rows.select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "m"), rows.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     fits = "a <> b AND 5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
-    held = firsts.join(rows.select("fp").distinct(), "fp", "left_semi").select("fp", "__row")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"fp": pdf["fp"], "s": [shingles_of(t) for t in pdf["text"]]})
-
-    sets = materialise(docs.select("__row", "text").join(held, "__row").select("fp", "text").mapInPandas(run, "fp long, s array<long>"))
-    near = materialise(_similar(x.where("a = m").join(y, "h").where(fits).select("a", "b").distinct(), sets))
-    groups = components(near, "a", "b")
+    held = materialise(sets.join(rows.select("fp").distinct(), "fp", "left_semi"))
+    near = materialise(_similar(x.where("a = m").join(y, "h").where(fits).select("a", "b").distinct(), held))
+    groups = materialise(components(near, "a", "b"))
     x = x.join(groups.toDF("a", "ga"), "a", "left").withColumn("ga", F.coalesce("ga", "a"))
     y = y.join(groups.toDF("b", "gb"), "b", "left").withColumn("gb", F.coalesce("gb", "b"))
     rest = x.join(y, "h").where(f"ga < gb AND {fits}").select("a", "b").distinct()
-    return near.unionByName(_similar(rest, sets))
+    found = materialise(near.unionByName(_similar(rest, held)))
+    forget(rows, held, near, groups)
+    return found
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The columns of documents, one row of each group of near-duplicates: that of smallest doc_id,
-    null ids last; of rows with equal ids always the same one.
+    """The columns of documents, whatever these are called, one row of each group of near-duplicates: that of smallest
+    doc_id, null ids last; of rows with equal ids always the same one, of rows equal in all columns one.
 
     Near-duplicates are documents whose sets of shingles of WORDS words have a Jaccard similarity of 4/5 or more,
-    all of them, compared exactly but for 64-bit hashes; groups are what such pairs connect. Texts without
-    words are one group.
+    all of them, compared exactly but for hashes; groups are what such pairs connect. Null texts and texts without
+    words are one group. An empty table stays empty.
     """
     names = documents.columns
-    docs = materialise(documents.withColumn("__hash", F.xxhash64(*names)).withColumn("__row", F.monotonically_increasing_id()))
-    prefixes = materialise(_prefixes(docs))
-    ids = prefixes.select("fp", "__row", "doc_id").join(docs.select("__row", "__hash"), "__row")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__hash", "__row")
-    firsts = materialise(ids.groupBy("fp").agg(F.min(order).alias("first")).withColumn("__row", F.col("first.__row")))
-    groups = components(similar_links(firsts, prefixes, docs), "a", "b").withColumnRenamed("node", "fp")
-    groups = firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return docs.join(best, "__row", "left_semi").select(*names)
+    key = [F.xxhash64(*names).alias("k1"), F.xxhash64(F.lit(1), *names).alias("k2")]  # rows are told apart by all their columns
+    table = materialise(_shingled(documents.select(*key, "doc_id", "text")))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
+    reps = table.groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("first").alias("first"))
+    reps = materialise(reps.select("fp", "best", "n", "first"))
+    chosen = reps.select("fp", F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
+    sets = table.select("k1", "k2", "fp", "set").join(chosen, ["k1", "k2", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "set")
+    groups = components(similar_links(reps.select("fp", "n", "first"), sets), "a", "b").withColumnRenamed("node", "fp")
+    groups = reps.select("fp", "best").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = groups.groupBy("component").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
+    copies = table.groupBy("k1", "k2").count().where("count > 1").drop("count")
+    best = materialise(best.join(copies.withColumn("copies", F.lit(True)), ["k1", "k2"], "left"))
+    forget(table, reps)
+    k1, k2, many = free_names(documents, "k1", "k2", "copies")
+    rows = documents.withColumns({k1: key[0], k2: key[1]}).join(best.toDF(k1, k2, many), [k1, k2])
+    once = rows.where(F.col(many).isNull()).select(*names)
+    return once.unionByName(rows.where(many).dropDuplicates([k1, k2]).select(*names))

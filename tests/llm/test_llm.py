@@ -415,11 +415,17 @@ def test_merkle(spark):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (got[i].fingerprint == got[i].edited_fingerprint) == (edited == t) and (got[i].fingerprint == got[j].fingerprint) == (t == u)
         assert 0 <= got[i].near_edited <= 1 and (got[i].near_edited == 1 or edited != t) and (got[i].near_next == 1 or t != u)
-    trees = spark.createDataFrame([("a. b.\n\nc.\n\nd.", "a. b.\n\nx.\n\nd.\n\ne.")], "a string, b string")
-    at = trees.select(merkle.edited_sections(merkle.merkle_tree(F.col("a")), merkle.merkle_tree(F.col("b"))).alias("at")).first().at
-    assert at == [1, 3]
+    tree = lambda c: merkle.merkle_tree(F.col(c))
+    trees = spark.createDataFrame([("a. b.\n\nc.\n\nd.", "new.\n\na. b.\n\nx.\n\nd."), ("a. b.\nc.", "c.\na. b."), ("a. a.", "a.")], "a string, b string")
+    got = trees.select(F.size(merkle.edited_leaves(tree("a"), tree("b"))).alias("gone"), F.size(merkle.edited_leaves(tree("b"), tree("a"))).alias("came"), merkle.likeness(merkle.nodes(tree("a")), merkle.nodes(tree("b"))).alias("near")).collect()
+    assert [(r.gone, r.came) for r in got] == [(1, 2), (0, 0), (1, 0)] and all(0 < r.near < 1 for r in got)
     assert merkle.compare_edited(documents(spark, rows).limit(0)).count() == 0
-    assert merkle.compare_edited(documents(spark, [(None, "x", None, None), (None, "y", None, None), (3, "z.", None, None)])).count() == 3
+    hot = [(None, f"x{i}", None, None) for i in range(40)] + [(3, f"z{i}.", None, None) for i in range(40)] + [(4, "q", None, None)]
+    got = merkle.with_next(documents(spark, hot)).collect()
+    import hashlib
+
+    order = sorted(hot, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    assert {(r.doc_id, r.text, r.next_text) for r in got} == {(i, t, u) for (i, t, *_), (_, u, *_) in zip(order, order[1:] + order[:1])}
 
 
 def test_packing(spark, docs):
@@ -531,12 +537,92 @@ def test_pst_does_not_depend_on_the_order_of_rows(spark, monkeypatch, docs):
     assert one == sorted(str(r) for r in pst.score_documents(df.coalesce(1).sortWithinPartitions("lang", "text")).collect())
 
 
-def test_stages_take_what_the_one_before_made(spark, tmp_path, docs):
+TAKEN = "doc_id long, text string, lang string, source string, n_chars long, row long, copies string, copy int, k1 long, K2 long, toxicity double, mixture string"
+
+
+def pipeline_tables(spark, folder, rows, labels):
+    """Documents with columns whose names the stages use themselves."""
+    spark.createDataFrame([(i, t, lang, s, len(t or ""), 7, "c", 8, 9, 10, 0.9, "m") for i, t, lang, s in rows], TAKEN).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_stages_keep_the_rows_they_should(spark, tmp_path):
+    """Each stage's rows against those expected of what the one before kept."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, words(40, i, "abcdeæ" if i % 2 else "uvwxyz"), "xx" if i % 2 else "yy", f"s{i % 3}") for i in range(240)]
+    labels = [(i, 1, int(i % 8 in (0, 3))) for i in range(240)]
+    rows = [(i, t + " horridword" if i % 8 in (0, 3) else t, lang, s) for i, t, lang, s in rows]
+    copied = words(60, 5000, "abcdeæ")
+    rows += [(300 + i, copied, "xx", "s0") for i in range(4)] + [(310, copied + " zz", "xx", "s1"), (311, None, "xx", "s0"), (312, "", None, None), (313, "12 34", "xx", "s1"), (None, words(30, 77, "uvwxyz"), None, None)]
+    rows += [(320, words(35, 88, "uvwxyz"), "yy", "s2")] * 2
+    pipeline_tables(spark, str(tmp_path), rows, labels)
+    docs, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(pipeline.STAGES)
+    assert list(stages) == ["toxicity", "language", "near_duplicates", "mixing", "packing"]
+    kept = [docs]
+    for name in list(stages)[:-1]:
+        kept.append(pipeline.materialise(stages[name](spark, kept[-1], str(tmp_path))))
+        assert kept[-1].columns == docs.columns and kept[-1].where("row = 7 AND copies = 'c' AND copy = 8 AND k1 = 9 AND K2 = 10 AND toxicity = 0.9 AND mixture = 'm'").count() == kept[-1].count() > 0
+    bag = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    toxic, language, unique, mix = map(bag, kept[1:])
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    judged = Counter((r.doc_id, r.text) for r in toxicity.with_scores(docs, toxicity.train(docs, labels), "score").where("score < 0.5").collect())
+    everything = Counter((i, t) for i, t, *_ in rows)
+    assert toxic == judged and all(everything[k] == n for k, n in toxic.items())
+    assert sum("horridword" in (t or "") for _, t in toxic) <= 12 and sum("horridword" not in (t or "") for _, t in everything - toxic) <= 20
+    assert language == Counter({k: n for k, n in toxic.items() if k[1] not in (None, "", "12 34")})
+    assert unique == Counter({k: 1 for k in language if not (k[0] or 0) in (301, 302, 303, 310)})
+    wanted = {(r.doc_id, r.text): r.copies for r in pipeline.mixing.mix(kept[3], carry=("text",)).collect() if r.copies}
+    assert mix == Counter(wanted)
+    out = pipeline.run(spark, str(tmp_path))
+    assert Counter(r.doc_id for r in out.where("start = 0").collect()) == Counter(i for (i, _), n in mix.items() for _ in range(n))
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as pipeline
 
-    d = str(tmp_path)
-    documents(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    out = pipeline.run(spark, d)
-    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
-    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "mixing", "packing"]
+    pipeline_tables(spark, str(tmp_path), [], [])
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_operators_on_empty_tables(spark):
+    docs, labels = documents(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for got in (toxicity.toxicity(docs, labels), quality.quality(docs, labels), langid.identify(docs), pst.score_documents(docs), mixing.mix(docs), merkle.compare_edited(docs)):
+        assert got.count() == 0
+    assert itq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    pages = "page_id long, url string, html string, key string, pid int"
+    assert url_rules.judge_urls(spark.createDataFrame([], pages), none).count() == 0
+    got = url_rules.judge_urls(spark.createDataFrame([(1, "http://a.b/c", "", "k", 1)], pages), none).collect()
+    assert [(r.page_id, r.rule, r.verdict) for r in got] == [(1, None, "allow")]
+
+
+def test_language_mixture_of_one_text_by_hand(monkeypatch):
+    """Expectation-maximisation written out for two languages; and a text alone as in a batch."""
+    g = np.random.default_rng(8)
+    log_p = np.log(np.stack([g.dirichlet(np.full(langid.GRAMS, 0.05)) + 1e-9 for _ in range(2)]))
+    model = langid.Languages(["a", "b"], log_p)
+    texts = [words(n, n, "abcdef") for n in (3, 20, 60)] + ["", None, "q"]
+    for text in texts[:3]:
+        grams = langid.grams_of(text)
+        p = np.exp(log_p[:, grams])
+        pi = np.array([0.5, 0.5])
+        for _ in range(langid.ROUNDS):
+            part = p * pi[:, None]
+            pi = (part / part.sum(axis=0)).sum(axis=1) / len(grams)
+        best = int(np.argmax(pi))
+        one = np.log(p[best]).sum()
+        mixed = pi.copy()
+        for _ in range(langid.REFINE):
+            part = p * mixed[:, None]
+            mixed = (part / part.sum(axis=0)).sum(axis=1) / len(grams)
+        two = np.log((p * mixed[:, None]).sum(axis=0)).sum() - langid.PENALTY * np.log(max(2, len(grams))) / 2
+        name, share, chosen, gain = model.mixtures([text])
+        want = 1.0 if one >= two else mixed.max()
+        assert name[0] == ("ab"[best] if one >= two else "ab"[int(np.argmax(mixed))]) and np.isclose(share[0], want, atol=1e-6)
+        assert len(chosen[0]) == (1 if one >= two else 2)
+        assert np.isclose(gain[0], (one if one >= two else np.log((p * mixed[:, None]).sum(axis=0)).sum()) / len(grams) + np.log(langid.GRAMS), atol=1e-6)
+    whole = model.mixtures(texts * 3)
+    for i, text in enumerate(texts * 3):
+        alone = model.mixtures([text])
+        assert alone[0][0] == whole[0][i] and np.isclose(alone[1][0], whole[1][i]) and alone[2][0] == whole[2][i]

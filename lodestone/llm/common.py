@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from ctypes.util import find_library
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,24 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def giving_back(run):
+    """run, a function of batches, which when it ends gives the memory that its Python worker has freed back to the system: workers
+    live on, and what one stage's allocator holds the next one's lacks."""
+
+    @wraps(run)
+    def ends(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = find_library("c")
+            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+            if trim:
+                trim(0)
+
+    return ends
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fraction_of, free_names, id_bucket
+from lodestone.llm.common import fraction_of, free_names, giving_back, id_bucket
 
 GRAMS = 1 << 15
 HELD = (4, 2)
@@ -122,13 +122,12 @@ def with_languages(documents: DataFrame, model: Languages, name: str = "mixture"
     """documents and a column `name`: struct of lang, share, langs (the chosen set by share) and gain."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, share: double, langs: array<string>, gain: double>")
-    def mixture(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             parts = [shared.value.mixtures(texts.iloc[i : i + 64]) for i in range(0, len(texts), 64)]
             yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "share": [float(x) for p in parts for x in p[1]], "langs": [x for p in parts for x in p[2]], "gain": [float(x) for p in parts for x in p[3]]})
 
-    return documents.withColumn(name, mixture(F.col("text")))
+    return documents.withColumn(name, F.pandas_udf(giving_back(run), "struct<lang: string, share: double, langs: array<string>, gain: double>")(F.col("text")))
 
 
 def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

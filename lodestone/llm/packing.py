@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import free_names, giving_back, materialise
 
 CAPACITY = 1024
 UNIT = 4  # tokens; sizes in the linear program are whole units
@@ -177,7 +177,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, carry
                 yield out.assign(**dict(zip(("start", "length", "ids_crc32", "doc_tokens"), rest)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema)
-    return docs.mapInPandas(run, f"{schema}, {PIECES}")
+    return docs.mapInPandas(giving_back(run), f"{schema}, {PIECES}")
 
 
 def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

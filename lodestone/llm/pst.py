@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, id_bucket, materialise, words_of
+from lodestone.llm.common import forget, giving_back, id_bucket, materialise, words_of
 
 HELD = (10, 0)
 DEPTH = 4  # words of the longest context
@@ -449,7 +449,7 @@ def _send(blocks: DataFrame, shared) -> DataFrame:
                     rows.append((p, b.ident, counts.tobytes(), pack(join(e.state)), pack(b.words[join(e.token)]), pack(join(e.n)), pack(parent.astype("<i4")), pack(b.counts[token]), join(e.is_leaf).tobytes()))
                 yield pd.DataFrame(rows, columns=["part", "block", *SENT])
 
-    return blocks.mapInPandas(run, "part int, block long, " + ", ".join(f"{c} binary" for c in SENT))
+    return blocks.mapInPandas(giving_back(run), "part int, block long, " + ", ".join(f"{c} binary" for c in SENT))
 
 
 def _test(sent: DataFrame, sizes: DataFrame, shared) -> DataFrame:
@@ -619,7 +619,7 @@ def score_documents(documents: DataFrame, contexts_to: list | None = None) -> Da
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType
     docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (id_bucket("doc_id", HELD[0]) == HELD[1]).alias("held_out"))
-    tokenised = materialise(docs.mapInPandas(blocks_of(BLOCK_BYTES), BLOCK))
+    tokenised = materialise(docs.mapInPandas(giving_back(blocks_of(BLOCK_BYTES)), BLOCK))
     sums = tokenised.agg(F.sum("train").alias("train"), F.sum("bytes").alias("bytes")).first()
     parts = min(MAX_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums.bytes or 0) // PART_BYTES)))
     total = sums.train or 0

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fraction_of, id_bucket
+from lodestone.llm.common import fraction_of, giving_back, id_bucket
 
 HELD = (4, 2)
 POSITIVES, UNLABELLED = 6000, 12_000  # rows that the network is fitted on, about
@@ -192,13 +192,12 @@ def with_scores(documents: DataFrame, model: Network, name: str = "quality") ->
     """documents and a column `name`, the probability of quality of the whole text; null: as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             x = np.array([features_of(t) for t in texts]).reshape(-1, FEATURES)
             yield pd.Series(shared.value.scores(x))
 
-    return documents.withColumn(name, score(F.col("text")))
+    return documents.withColumn(name, F.pandas_udf(giving_back(run), "double")(F.col("text")))
 
 
 def quality(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

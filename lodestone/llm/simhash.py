@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, forget, fraction_of, free_names, materialise, words_of
+from lodestone.llm.common import components, forget, fraction_of, free_names, giving_back, materialise, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -56,7 +56,7 @@ def fingerprints(documents: DataFrame, carry: tuple[str, ...] = (), shingle: int
             yield pdf[list(carry)].assign(fp=fp.view(np.int64))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema)
-    return docs.mapInPandas(run, f"{schema}, fp long" if schema else "fp long")
+    return docs.mapInPandas(giving_back(run), f"{schema}, fp long" if schema else "fp long")
 
 
 def _cut(rows: DataFrame, width: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles_of, pdf["text"])]), return_counts=True)
             yield pd.DataFrame({"h": h, "n": n})
 
-    counts = texts.where(fraction_of("k1", "shingles") < share).select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.where(fraction_of("k1", "shingles") < share).select("text").mapInPandas(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = sorted((r.h, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())
     return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
@@ -201,7 +201,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
             yield pdf[["k1", "k2", "doc_id"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows], set=[r[3] for r in rows])
 
-    return texts.mapInPandas(run, f"k1 long, k2 long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long, n int, first array<long>, set binary")
+    return texts.mapInPandas(giving_back(run), f"k1 long, k2 long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long, n int, first array<long>, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pdf.loc[keep, ["a", "b"]]
 
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInPandas(giving_back(run), "a long, b long")
 
 
 def similar_links(reps: DataFrame, sets: DataFrame) -> DataFrame:

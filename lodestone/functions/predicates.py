@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import THREE_MONTHS, is_compatible_sbt
+from lodestone.operators.lineage import materialise
+from lodestone.operators.ranks import with_running_total
 
 IMPLICIT, LAZY = 32, 64  # bits of a declaration's properties
 KINDS = ("DEF", "VAL", "VAR", "TYPE", "CLASS", "TRAIT", "OBJECT", "INTERFACE", "ENUM", "MACRO", "TYPE_PARAMETER", "PARAMETER")
@@ -100,11 +102,12 @@ def clean_chunk(projects: DataFrame, files: DataFrame, stats: DataFrame, n: int,
 
 def sample_strata(df: DataFrame, stratum: str, n: int, seed: int) -> DataFrame:
     """n rows of each stratum with replacement: draws are numbers among the stratum's rows, joined to them."""
-    from pyspark.sql import Window as W
-
     spark = df.sparkSession
-    rows = df.withColumn("__i", F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), *df.columns))) - 1)
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("__n"))
+    rows = with_running_total(df.withColumn("__h", F.xxhash64(F.lit(seed), *df.columns)), [stratum, "__h", *(c for c in df.columns if c != stratum)], F.lit(1).cast("long"), "__at")
+    rows = materialise(rows)
+    starts = rows.groupBy(stratum).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    sizes = starts.select(stratum, "__n")
+    rows = rows.join(starts, stratum).withColumn("__i", (F.col("__at") - F.col("__first")).cast("long"))
     draws = sizes.crossJoin(F.broadcast(spark.range(n).withColumnRenamed("id", "__k")))
-    draws = draws.select(stratum, F.pmod(F.xxhash64(F.lit(seed), F.col(stratum), "__k"), F.col("__n")).cast("int").alias("__i"))
+    draws = draws.select(stratum, F.pmod(F.xxhash64(F.lit(seed), F.col(stratum), "__k"), F.col("__n")).alias("__i"))
     return draws.join(rows, [stratum, "__i"]).select(*df.columns)

@@ -46,11 +46,11 @@ def location_scope(kind: Column, scope: Column, managed: Column, internal: Colum
 
 
 def github_url(project_id: Column, commit: Column, path: Column, uri: Column, line: Column) -> Column:
-    """Link to a line of a project's source, lines counted from 0; null of what isn't Scala source.
-    The double slash after the commit is part of the format."""
+    """Link to a place in a project's repository, with the line, counted from 0, if it is known. The double slash after the
+    commit is part of the format."""
     repo = F.replace(project_id, F.lit("--"), F.lit("/"))
-    url = F.concat(F.lit("https://github.com/"), repo, F.lit("/tree/"), commit, F.lit("//"), path, F.lit("/"), uri, F.lit("#L"), (line + 1).cast("string"))
-    return F.when(uri.endswith(".scala"), url)
+    place = F.coalesce(F.concat(F.lit("#L"), (line + 1).cast("string")), F.lit(""))
+    return F.concat(F.lit("https://github.com/"), repo, F.lit("/tree/"), commit, F.lit("//"), path, F.lit("/"), uri, place)
 
 
 def code_snippet(code: Column) -> Column:

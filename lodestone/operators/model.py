@@ -1,21 +1,25 @@
-"""The code model: synthetic one from the relational tables, nested call sites, flat fact tables.
+"""The code model and its flat fact tables.
 
-Model tables: modules, paths, declarations, call_sites, call_site_args as in FIXTURES.md, with type
-references by declaration id.
+Model tables: modules, paths, declarations, call_sites, args as in FIXTURES.md. Type references are arrays
+as in operators/types.py; positions are a line and a column, null where the place isn't known.
+
+Each export has its rows and, beside them, problems: (project_id, module_id, declaration_id, message) of the rows that can't be
+made, because a declaration or a path is missing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions import scalars as S
-from lodestone.operators.lineage import materialise
+from lodestone.operators import types as T
+from lodestone.operators.lineage import forget, materialise
 
-MAX_DEPTH = 1000
+KEY = ["module_id", "declaration_id"]
 
 
 @dataclass
@@ -27,154 +31,319 @@ class Model:
     args: DataFrame
 
 
+@dataclass
+class Export:
+    rows: DataFrame
+    problems: DataFrame
+
+
+def _split(judged: DataFrame, columns: list[str]) -> Export:
+    """judged: rows with a problem or null in __problem."""
+    problems = judged.where("__problem IS NOT NULL").select("project_id", *KEY, F.col("__problem").alias("message"))
+    return Export(judged.where("__problem IS NULL").select(*columns), problems)
+
+
+# ---- nested call sites -------------------------------------------------------------------------
+
+
 def nested_stats(call_sites: DataFrame, args: DataFrame, names: DataFrame) -> DataFrame:
-    """(module_id, call_site_id, calls, values, chars) of the top call sites with an argument: over
+    """(module_id, call_site_id, calls, values, chars, missing) of the top call sites with an argument: over
     all arguments of theirs and of the call sites nested in these, how many are call sites, how many
-    are values, and the length of the names of what they refer to.
+    are values, the length of the names of what they refer to, and how many refer to nothing known.
 
-    args: module_id, call_site_id, callsite_id (the nested one) or declaration_id (the value).
-    names: module_id, declaration_id, name. Each round steps down one level of nesting, all
-    call sites at once; as many rounds as the deepest nesting.
+    args: module_id, call_site_id, callsite_id (the nested one, an argument of one call site) or declaration_id (the value).
+    names: module_id, declaration_id, name. Roots are found by pointer doubling, in as many rounds as the logarithm of
+    the deepest nesting.
     """
-    own = args.join(call_sites.select("module_id", F.col("call_site_id").alias("callsite_id"), F.col("declaration_id").alias("callee")), ["module_id", "callsite_id"], "left")
-    own = own.withColumn("refers_to", F.coalesce("callee", "declaration_id"))
+    key = ["module_id", "call_site_id"]
+    callees = call_sites.select("module_id", F.col("call_site_id").alias("callsite_id"), F.col("declaration_id").alias("callee"))
+    own = args.join(callees, ["module_id", "callsite_id"], "left").withColumn("refers_to", F.coalesce("callee", "declaration_id"))
     own = own.join(names.select("module_id", F.col("declaration_id").alias("refers_to"), F.length("name").alias("chars")), ["module_id", "refers_to"], "left")
-    own = own.groupBy("module_id", "call_site_id").agg(F.count("callsite_id").alias("calls"), F.count_if(F.col("callsite_id").isNull()).alias("values"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"))
-    steps = args.where("callsite_id IS NOT NULL").select("module_id", "call_site_id", "callsite_id")
-    roots = call_sites.where("parent_id IS NULL").join(own.select("module_id", "call_site_id"), ["module_id", "call_site_id"], "left_semi")
-    frontier = found = materialise(roots.select("module_id", F.col("call_site_id").alias("root"), "call_site_id"))
-    steps = materialise(steps)
-    for _ in range(MAX_DEPTH):
-        frontier = materialise(frontier.join(steps, ["module_id", "call_site_id"]).select("module_id", "root", F.col("callsite_id").alias("call_site_id")))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    else:
-        raise ValueError("call sites nest in a cycle")
-    out = found.join(own, ["module_id", "call_site_id"]).groupBy("module_id", "root").agg(*(F.sum(c).alias(c) for c in ("calls", "values", "chars")))
-    return out.withColumnRenamed("root", "call_site_id")
-
-
-def with_library(df: DataFrame, paths: DataFrame, modules: DataFrame, path: str = "location_path") -> DataFrame:
-    """Adds location_scope and def_group_id, def_artifact_id, def_version: the module's own for a source path,
-    the entry's for a class path, null if the path isn't known."""
-    own = modules.select("module_id", F.col("group_id").alias("mg"), F.col("artifact_id").alias("ma"), F.col("version").alias("mv"))
-    entries = paths.select("module_id", S.patched_path(F.col("path")).alias("__path"), "entry_kind", "scope", "managed", "group_id", "artifact_id", "version", "internal", "transitive").withColumnsRenamed({"group_id": "pg", "artifact_id": "pa", "version": "pv"})
+    own = own.groupBy(*key).agg(F.count("callsite_id").alias("calls"), F.count_if(F.col("callsite_id").isNull()).alias("values"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"), F.count_if(F.col("chars").isNull()).alias("missing"))
+    owners = args.where("callsite_id IS NOT NULL").select("module_id", F.col("callsite_id").alias("call_site_id"), F.col("call_site_id").alias("owner")).distinct()
+    at = materialise(own.join(owners, key, "left").select(*own.columns, F.coalesce("owner", "call_site_id").alias("to"), F.col("owner").isNull().alias("done")))
+    own, before = at.select("module_id", "call_site_id", "calls", "values", "chars", "missing"), None
+    while left := at.where("NOT done").count():
+        if left == before:
+            raise ValueError("call sites nest in a cycle")
+        before, was = left, at
+        step = at.select("module_id", F.col("call_site_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
+        rest = at.where("NOT done").join(step, ["module_id", "to"], "left").select(*own.columns, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done"))
+        at = materialise(at.where("done").unionByName(rest))
+        forget(was)
+    sums = at.groupBy("module_id", F.col("to").alias("call_site_id")).agg(*(F.sum(c).alias(c) for c in ("calls", "values", "chars", "missing")))
+    return sums.join(call_sites.where("parent_id IS NULL").select(*key), key, "left_semi")
+
+
+# ---- libraries and places ----------------------------------------------------------------------
+
+
+def with_library(df: DataFrame, model: Model, path: str, to: str = "def_") -> DataFrame:
+    """Adds {to}location_scope, {to}group_id, {to}artifact_id, {to}version and {to}known: the module's own library for a source
+    path, the entry's for a class path; nulls and false if the module hasn't the path."""
+    own = model.modules.select("module_id", *(F.col(c).alias(f"__m_{c}") for c in ("group_id", "artifact_id", "version")))
+    columns = ("entry_kind", "scope", "managed", "internal", "transitive", "group_id", "artifact_id", "version")
+    entries = model.paths.select("module_id", S.patched_path(F.col("path")).alias("__path"), *(F.col(c).alias(f"__p_{c}") for c in columns))
     rows = df.withColumn("__path", S.patched_path(F.col(path))).join(entries, ["module_id", "__path"], "left").join(own, "module_id", "left")
-    pick = lambda a, b: F.when(F.col("entry_kind") == "source", F.col(a)).otherwise(F.col(b))
-    rows = rows.withColumn("location_scope", S.location_scope(F.col("entry_kind"), F.col("scope"), F.col("managed"), F.col("internal"), F.col("transitive")))
-    rows = rows.withColumn("def_group_id", pick("mg", "pg")).withColumn("def_artifact_id", pick("ma", "pa")).withColumn("def_version", pick("mv", "pv"))
-    return rows.drop("__path", "entry_kind", "scope", "managed", "pg", "pa", "pv", "internal", "transitive", "mg", "ma", "mv")
+    entry = lambda c: F.col(f"__p_{c}")
+    added = {f"{to}{c}": F.when(entry("entry_kind") == "source", F.col(f"__m_{c}")).otherwise(entry(c)) for c in ("group_id", "artifact_id", "version")}
+    added |= {f"{to}location_scope": S.location_scope(*map(entry, columns[:5])), f"{to}known": entry("entry_kind").isNotNull()}
+    return rows.withColumns(added).drop("__path", *(f"__p_{c}" for c in columns), *(f"__m_{c}" for c in ("group_id", "artifact_id", "version")))
 
 
-def exported_declarations(model: Model) -> DataFrame:
-    """Implicit declarations, and those that call sites use, of each module once; with library, scope,
-    compilation unit, link and parameter counts. Missing declarations are in missing_declarations()."""
-    d = model.declarations
-    implicit = d.where(P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists"))).select("module_id", "declaration_id")
-    keys = implicit.unionByName(model.call_sites.select("module_id", "declaration_id")).distinct()
-    rows = with_library(d.join(keys, ["module_id", "declaration_id"]), model.paths, model.modules)
-    rows = rows.join(model.modules.select("module_id", "project_id", "group_id", "artifact_id", "version", "commit"), "module_id")
-    lists, last = F.col("parameter_lists"), P.implicit_parameters(F.col("parameter_lists"))
-    # the class of an implicit class is the return type of its companion def
-    classes = d.where((F.col("kind") == "CLASS") & P.has_property(F.col("properties"), P.IMPLICIT)).select("module_id", F.col("declaration_id").alias("return_type"), F.lit(True).alias("__class"))
-    rows = rows.join(classes, ["module_id", "return_type"], "left")
-    companion = (F.col("kind") == "DEF") & P.is_conversion_shape(lists) & F.coalesce("__class", F.lit(False))
-    return rows.select(
-        "project_id", "module_id", "group_id", "artifact_id", "version", "kind", "declaration_id", "name", "location_path", "location_uri", "location_scope",
-        S.compilation_unit(F.col("declaration_id")).alias("compilation_unit"), "def_group_id", "def_artifact_id", "def_version",
-        P.has_property(F.col("properties"), P.IMPLICIT).alias("is_implicit"), F.coalesce(companion, F.lit(False)).alias("is_companion"), "access",
-        F.size(lists).alias("num_parameter_lists"), F.size(F.flatten(lists)).alias("num_parameters"), F.when(last.isNotNull(), F.size(last)).alias("num_implicit_parameters"),
-        S.github_url(F.col("project_id"), F.col("commit"), F.col("location_path"), F.col("location_uri"), F.col("line")).alias("github_url"),
+def local_paths(model: Model) -> DataFrame:
+    """(project_id, __path): source paths and internal class paths of any of a project's modules."""
+    inside = model.paths.where("entry_kind = 'source' OR internal").select("module_id", S.patched_path(F.col("path")).alias("__path"))
+    return inside.join(model.modules.select("module_id", "project_id"), "module_id").select("project_id", "__path").distinct()
+
+
+def with_link(df: DataFrame, local: DataFrame, path: str, uri: str, line: str, to: str) -> DataFrame:
+    """Adds a link to a place in the repository; null if no module of the project has its path. df: project_id, commit."""
+    rows = df.withColumn("__path", S.patched_path(F.col(path))).join(local.withColumn("__local", F.lit(True)), ["project_id", "__path"], "left")
+    link = S.github_url(F.col("project_id"), F.col("commit"), F.col(path), F.col(uri), F.col(line))
+    return rows.withColumn(to, F.when(F.col("__local"), link)).drop("__path", "__local")
+
+
+def _missing(*checks: tuple[Column, Column]) -> Column:
+    """The first message whose check is true."""
+    return F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), m) for c, m in checks))
+
+
+def _no_declaration(ident: Column) -> Column:
+    return F.concat(F.lit("missing declaration "), ident)
+
+
+def _no_path(path: Column) -> Column:
+    return F.concat(F.lit("missing path "), path)
+
+
+def companions(declarations: DataFrame) -> DataFrame:
+    """(module_id, declaration_id) of the defs that go with an implicit class: of the shape of a conversion, to that class."""
+    classes = declarations.where((F.col("kind") == "CLASS") & P.has_property(F.col("properties"), P.IMPLICIT)).select("module_id", F.col("declaration_id").alias("__to"))
+    defs = declarations.where((F.col("kind") == "DEF") & (F.col("sig_kind") == "method") & P.is_conversion_shape(F.col("parameter_lists")))
+    return defs.select(*KEY, T.head(F.col("result")).alias("__to")).join(classes, ["module_id", "__to"], "left_semi").select(*KEY)
+
+
+def implicit_declarations(declarations: DataFrame) -> DataFrame:
+    return declarations.where(P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists")))
+
+
+def kept_call_sites(model: Model) -> DataFrame:
+    """Call sites that are nested, or of a method that is implicit or has implicit parameters."""
+    d = model.declarations.where("sig_kind = 'method'")
+    marked = implicit_declarations(d).select(*KEY, F.lit(True).alias("__implicit"))
+    return model.call_sites.join(marked, KEY, "left").where("parent_id IS NOT NULL OR __implicit").drop("__implicit")
+
+
+def exported_keys(model: Model) -> DataFrame:
+    """(module_id, declaration_id): implicit declarations, and those that kept call sites use, each once."""
+    return implicit_declarations(model.declarations).select(*KEY).unionByName(kept_call_sites(model).select(*KEY)).distinct()
+
+
+def _with_module(df: DataFrame, model: Model) -> DataFrame:
+    return df.join(model.modules.select("module_id", "project_id", "group_id", "artifact_id", "version", "commit"), "module_id")
+
+
+# ---- the four exports --------------------------------------------------------------------------
+
+DECLARATION = [
+    "project_id", "module_id", "group_id", "artifact_id", "version", "kind", "declaration_id", "name", "location_path", "location_uri", "location_pos", "location_scope", "compilation_unit",
+    "def_group_id", "def_artifact_id", "def_version", "is_implicit", "is_companion", "access", "annotations", "num_type_parameters", "num_parameter_lists", "num_parameters", "num_implicit_parameters", "github_url",
+]
+
+
+def export_declarations(model: Model) -> Export:
+    """Implicit declarations, and those that call sites use, of each module once, in the columns of DECLARATION."""
+    d = model.declarations.withColumn("__there", F.lit(True))
+    rows = _with_module(exported_keys(model).join(d, KEY, "left"), model)
+    rows = with_link(with_library(rows, model, "location_path"), local_paths(model), "location_path", "location_uri", "line", "github_url")
+    rows = rows.join(companions(model.declarations).withColumn("__companion", F.lit(True)), KEY, "left")
+    last = P.implicit_parameters(F.col("parameter_lists"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    rows = rows.withColumns(
+        {
+            "__problem": _missing((F.col("__there").isNull(), _no_declaration(F.col("declaration_id"))), (~F.col("def_known"), _no_path(F.col("location_path")))),
+            "location_path": S.patched_path(F.col("location_path")), "location_pos": S.encode_position(F.col("line"), F.col("col")), "location_scope": F.col("def_location_scope"),
+            "compilation_unit": S.compilation_unit(F.col("declaration_id")), "is_implicit": P.has_property(F.col("properties"), P.IMPLICIT), "is_companion": F.coalesce("__companion", F.lit(False)),
+            "annotations": S.encode_list(F.col("annotations")), "num_type_parameters": size("type_parameters"), "num_parameter_lists": size("parameter_lists"),
+            "num_parameters": size(F.flatten("parameter_lists")), "num_implicit_parameters": F.when(last.isNotNull(), F.size(last)),
+        }
     )
+    return _split(rows, DECLARATION)
+
+
+CALL_SITE = [
+    "project_id", "module_id", "group_id", "artifact_id", "version", "callsite_id", "parent_id", "code", "nested_calls", "arguments", "nested_calls_count", "nested_values_count",
+    "nested_declarations_length", "declaration_id", "local", "location_path", "location_uri", "location_pos", "location_scope", "num_type_arguments", "num_implicit_arguments", "github_url",
+]
+
+
+def call_site_base(model: Model) -> DataFrame:
+    """Kept call sites in the columns of CALL_SITE but for those about nested ones, with arguments and problems. What needs no
+    statistics of nesting starts here."""
+    names = model.declarations.select(*KEY, "name")
+    values = model.args.join(T.declared_types(model.declarations), KEY, "left")
+    args = values.groupBy("module_id", "call_site_id").agg(
+        F.count("*").cast("int").alias("num_implicit_arguments"),
+        F.array_sort(F.collect_list(F.when(F.col("callsite_id").isNotNull(), F.struct("pos", "callsite_id"))))["callsite_id"].cast("array<string>").alias("nested_calls"),
+        F.array_sort(F.collect_list(F.when(F.col("resolved_id").isNotNull(), F.struct("pos", "resolved_id"))))["resolved_id"].alias("arguments"),
+        F.min(F.when(F.col("callsite_id").isNull() & F.col("resolved_id").isNull(), F.col("declaration_id"))).alias("__no_value"),
+    )
+    d = model.declarations.select(*KEY, F.col("location_path").alias("__decl_path"))
+    rows = _with_module(kept_call_sites(model).join(d, KEY, "left"), model).join(args, ["module_id", "call_site_id"], "left")
+    rows = with_library(with_library(rows, model, "location_path", "site_"), model, "__decl_path", "def_")
+    rows = with_link(rows, local_paths(model), "location_path", "location_uri", "line", "github_url")
+    library = lambda p: [F.col(f"{p}{c}") for c in ("group_id", "artifact_id", "version")]
+    return rows.withColumns(
+        {
+            "__problem": _missing(
+                (F.col("__decl_path").isNull(), _no_declaration(F.col("declaration_id"))), (~F.col("site_known"), _no_path(F.col("location_path"))),
+                (~F.col("def_known"), _no_path(F.col("__decl_path"))), (F.col("__no_value").isNotNull(), _no_declaration(F.col("__no_value"))),
+            ),
+            "callsite_id": F.col("call_site_id"), "code": S.code_snippet(F.col("code")), "local": S.locality(*library("site_"), *library("def_")), "location_pos": S.encode_position(F.col("line"), F.col("col")),
+            "location_path": S.patched_path(F.col("location_path")), "location_scope": F.col("site_location_scope"), "nested_calls": S.encode_list(F.col("nested_calls")), "arguments": S.encode_list(F.col("arguments")),
+            "num_type_arguments": F.coalesce(F.size("type_arguments"), F.lit(0)), "num_implicit_arguments": F.coalesce("num_implicit_arguments", F.lit(0)),
+        }
+    )
+
 
+def export_call_sites(model: Model) -> Export:
+    """Call sites that are implicit or nested, in the columns of CALL_SITE; statistics of what nests in them for top ones with implicit
+    arguments."""
+    stats = nested_stats(model.call_sites, model.args, model.declarations.select(*KEY, "name"))
+    stats = stats.withColumnsRenamed({"calls": "nested_calls_count", "values": "nested_values_count", "chars": "nested_declarations_length", "missing": "__missing"})
+    rows = call_site_base(model).join(stats, ["module_id", "call_site_id"], "left")
+    rows = rows.withColumn("__problem", F.coalesce("__problem", F.when(F.col("__missing") > 0, "missing declaration of a nested argument")))
+    return _split(rows, CALL_SITE)
 
-def missing_declarations(model: Model) -> DataFrame:
-    """Error rows of the declarations that call sites name and modules lack."""
-    keys = model.call_sites.select("module_id", "declaration_id").distinct()
-    gone = keys.join(model.declarations, ["module_id", "declaration_id"], "left_anti").join(model.modules.select("module_id", "project_id"), "module_id", "left")
-    return gone.select("project_id", "module_id", F.concat(F.lit("missing declaration "), "declaration_id").alias("message"))
-
-
-def exported_call_sites(model: Model) -> DataFrame:
-    """Call sites that are implicit or nested, with library, locality to their module, snippet,
-    arguments and, for top ones with implicit arguments, statistics of what nests in them."""
-    d = model.declarations.select("module_id", "declaration_id", "properties", "parameter_lists", "sig_kind", F.col("location_path").alias("decl_path"))
-    rows = model.call_sites.join(d, ["module_id", "declaration_id"])
-    kept = (F.col("sig_kind") == "method") & P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists"))
-    rows = rows.where(kept | F.col("parent_id").isNotNull())
-    rows = with_library(rows.drop("properties", "parameter_lists", "sig_kind"), model.paths, model.modules, "decl_path").drop("decl_path")
-    rows = rows.join(model.modules.select("module_id", "project_id", "group_id", "artifact_id", "version"), "module_id")
-    argued = model.args.groupBy("module_id", "call_site_id").agg(F.count("*").alias("num_implicit_arguments"), F.array_join(F.array_sort(F.collect_list("declaration_id")), ";").alias("arguments"))
-    stats = nested_stats(model.call_sites, model.args, model.declarations.select("module_id", "declaration_id", "name"))
-    stats = stats.withColumnsRenamed({"calls": "nested_calls_count", "values": "nested_values_count", "chars": "nested_declarations_length"})
-    rows = rows.join(argued, ["module_id", "call_site_id"], "left").join(stats, ["module_id", "call_site_id"], "left")
-    local = S.locality(*(F.col(c) for c in ("group_id", "artifact_id", "version", "def_group_id", "def_artifact_id", "def_version")))
-    return rows.select(
-        "project_id", "module_id", "call_site_id", "parent_id", S.code_snippet(F.col("code")).alias("code"), F.nullif("arguments", F.lit("")).alias("arguments"),
-        "nested_calls_count", "nested_values_count", "nested_declarations_length", "declaration_id", local.alias("local"), "location_scope",
-        F.coalesce("num_implicit_arguments", F.lit(0)).alias("num_implicit_arguments"),
+
+PARAMETER = [
+    "project_id", "module_id", "group_id", "artifact_id", "version", "declaration_id", "declaration_kind", "declaration_is_implicit", "declaration_is_companion", "def_group_id", "def_artifact_id", "def_version",
+    "def_location_scope", "def_location_path", "def_location_uri", "def_location_github", "parameter_id", "name", "code", "type_id", "type_kind", "type_group_id", "type_artifact_id", "type_version",
+    "type_location_scope", "type_location_path", "type_location_uri", "type_location_github", "type_local", "resolved_type_id", "resolved_type_kind", "num_type_arguments", "num_type_argument_refs",
+]
+
+
+def export_parameters(model: Model) -> Export:
+    """Implicit parameters of exported declarations, one row each, in the columns of PARAMETER."""
+    d, local = model.declarations, local_paths(model)
+    last = P.implicit_parameters(F.col("parameter_lists"))
+    own = d.where(last.isNotNull()).join(exported_keys(model), KEY, "left_semi")
+    rows = own.select(*KEY, F.col("kind").alias("declaration_kind"), P.has_property(F.col("properties"), P.IMPLICIT).alias("declaration_is_implicit"), "location_path", "location_uri", "line", F.posexplode(last).alias("position", "p"))
+    rows = rows.withColumns({"type": F.col("p.type"), "type_id": T.head(F.col("p.type")), "name": F.col("p.name")}).drop("p")
+    types = d.select("module_id", F.col("declaration_id").alias("type_id"), F.col("kind").alias("type_kind"), F.col("location_path").alias("type_path"), F.col("location_uri").alias("type_location_uri"), F.col("line").alias("type_line"))
+    resolved = T.declared_types(d).withColumnsRenamed({"declaration_id": "type_id", "resolved_id": "resolved_type_id"})
+    kinds = d.select("module_id", F.col("declaration_id").alias("resolved_type_id"), F.col("kind").alias("resolved_type_kind"))
+    counted = T.count_parameters(rows.select("module_id", F.struct("declaration_id", "position").alias("owner"), T.arguments(F.col("type")).alias("args")), d)
+    counted = counted.select("module_id", "owner.declaration_id", "owner.position", "num_type_arguments", "num_type_argument_refs", F.col("missing").alias("__lacks"))
+    rows = rows.join(types, ["module_id", "type_id"], "left").join(resolved, ["module_id", "type_id"], "left").join(kinds, ["module_id", "resolved_type_id"], "left")
+    rows = rows.join(counted, [*KEY, "position"]).join(companions(d).withColumn("__companion", F.lit(True)), KEY, "left")
+    rows = with_library(with_library(_with_module(rows, model), model, "location_path", "def_"), model, "type_path", "type_")
+    rows = with_link(with_link(rows, local, "location_path", "location_uri", "line", "def_location_github"), local, "type_path", "type_location_uri", "type_line", "type_location_github")
+    library = lambda p: [F.col(f"{p}{c}") for c in ("group_id", "artifact_id", "version")]
+    rows = rows.withColumns(
+        {
+            "__problem": _missing(
+                (F.col("type_kind").isNull(), _no_declaration(F.col("type_id"))), (~F.col("def_known"), _no_path(F.col("location_path"))), (~F.col("type_known"), _no_path(F.col("type_path"))),
+                (F.col("__lacks") > 0, F.lit("missing declaration of a type argument")),
+            ),
+            "declaration_is_companion": F.coalesce("__companion", F.lit(False)), "def_location_path": S.patched_path(F.col("location_path")), "def_location_uri": F.col("location_uri"),
+            "parameter_id": F.concat("declaration_id", F.lit("("), "name", F.lit(")")), "code": T.as_code(F.col("type")), "type_location_path": S.patched_path(F.col("type_path")),
+            "type_local": S.locality(*library("def_"), *library("type_")), "resolved_type_id": F.when(F.col("resolved_type_kind").isNotNull(), F.col("resolved_type_id")),
+        }
     )
+    return _split(rows, PARAMETER)
+
+
+CONVERSION = [
+    "project_id", "module_id", "declaration_id", "is_local", "from", "from_groupId", "from_artifactId", "from_version", "from_scope", "from_compilation_unit", "from_language",
+    "to", "to_groupId", "to_artifactId", "to_version", "to_scope", "to_compilation_unit", "to_language",
+]
+
+
+def conversion_types(declarations: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, from, to), the last two references: of implicit defs of the shape of a conversion the parameter's and
+    the result's type; of implicit objects the arguments of the first of all their parents that is Function1, of implicit values, and
+    objects that are methods, of their type or the first such parent of it; none to Unit. So a list is a conversion, as it is a function of its index."""
+    implicit = P.has_property(F.col("properties"), P.IMPLICIT)
+    first = F.get(F.get("parameter_lists", 0), 0)["type"]
+    shape = (F.col("kind") == "DEF") & P.is_conversion_shape(F.col("parameter_lists"))
+    # every round reads this: types and classes, and of the rest what is implicit
+    declarations = materialise(declarations.where(implicit | F.col("sig_kind").isin("class", "type")).select(*KEY, "kind", "sig_kind", "type_parameters", "parents", "upper", "lower", "result", implicit.alias("implicit"), shape.alias("shape"), first.alias("first")))
+    d = declarations.where("implicit")
+    resolved = materialise(T.declared_types(declarations))
+    unit = T.kinds_of(declarations, P.UNIT, resolved).withColumnRenamed("declaration_id", "__to")
+    defs = d.where("shape").select(*KEY, F.col("first").alias("from"), F.col("result").alias("to"))
+    objects = d.where("kind = 'OBJECT' AND sig_kind = 'class'").select(*KEY, T.ref(F.col("declaration_id")).alias("ref"), F.lit(False).alias("itself"))
+    values = d.where("kind IN ('VAL', 'VAR', 'OBJECT') AND sig_kind = 'method'").select(*KEY, F.col("result").alias("ref"), F.lit(True).alias("itself"))
+    roots = materialise(objects.unionByName(values))
+    up = T.all_parents(declarations, roots, resolved)
+    found = roots.join(up, ["module_id", "ref"]).select(*KEY, "parent", "place")
+    found = found.unionByName(roots.where("itself").select(*KEY, F.col("ref").alias("parent"), F.array().cast("array<int>").alias("place")))
+    functions = T.types_of(declarations, P.FUNCTION1, resolved).withColumnRenamed("declaration_id", "__head")
+    first = found.withColumn("__head", T.head(F.col("parent"))).join(functions, ["module_id", "__head"]).groupBy(*KEY).agg(F.min_by("parent", "place").alias("ref"))
+    first = materialise(first)
+    args = T.resolved_refs(declarations, first).select("module_id", "ref", T.arguments(F.col("resolved")).alias("args")).where(F.size("args") == 2)
+    of_functions = first.join(args, ["module_id", "ref"]).select(*KEY, F.col("args")[0].alias("from"), F.col("args")[1].alias("to"))
+    return defs.unionByName(of_functions).withColumn("__to", T.head(F.col("to"))).join(unit, ["module_id", "__to"], "left_anti").drop("__to")
 
 
-def exported_parameters(model: Model) -> DataFrame:
-    """Implicit parameters, one row each, with the kind and library of their types."""
+def export_conversions(model: Model) -> Export:
+    """Implicit conversions in the columns of CONVERSION."""
     d = model.declarations
-    rows = d.where(P.implicit_parameters(F.col("parameter_lists")).isNotNull()).select("module_id", "declaration_id", "kind", F.posexplode(P.implicit_parameters(F.col("parameter_lists"))).alias("position", "p"))
-    rows = rows.select("module_id", "declaration_id", F.col("kind").alias("declaration_kind"), "position", F.col("p.name").alias("name"), F.col("p.type").alias("type_id"))
-    types = d.select("module_id", F.col("declaration_id").alias("type_id"), F.col("kind").alias("type_kind"), "location_path")
-    rows = with_library(rows.join(types, ["module_id", "type_id"], "left"), model.paths, model.modules)
-    return rows.select("module_id", "declaration_id", "declaration_kind", "position", "name", "type_id", "type_kind", F.col("def_group_id").alias("type_group_id"), F.col("def_artifact_id").alias("type_artifact_id"), F.col("location_scope").alias("type_location_scope"))
-
-
-def resolved_types(declarations: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(module_id, declaration_id, resolved_id): aliases and bounds followed, upper before lower, until
-    something that isn't a type, has no target, or was met before. By pointer doubling: each round
-    follows twice as many steps."""
-    target = F.when(F.col("sig_kind") == "type", F.coalesce("upper", "lower"))
-    at = declarations.select("module_id", "declaration_id", F.coalesce(target, "declaration_id").alias("to"))
-    known = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
-    for _ in range(max(1, max_depth.bit_length())):
-        step = materialise(at.join(known, ["module_id", "to"], "left").select("module_id", "declaration_id", F.coalesce("next", "to").alias("to")))
-        same = step.join(at.withColumnRenamed("to", "was"), ["module_id", "declaration_id"]).where(~F.col("to").eqNullSafe(F.col("was"))).isEmpty()
-        at = step
-        known = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
-        if same:
-            break
-    return at.withColumnRenamed("to", "resolved_id")
-
-
-def ancestors(parents: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """parents: module_id, id, parent_id, position. (module_id, id, ancestor_id, depth) closure, nearest
-    depth of each; a cycle adds nothing new and so ends."""
-    step = materialise(parents.select("module_id", "id", "parent_id").distinct())
-    found = frontier = step.select("module_id", "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    for depth in range(2, max_depth):
-        up = frontier.alias("f").join(step.alias("s"), (F.col("f.module_id") == F.col("s.module_id")) & (F.col("f.ancestor_id") == F.col("s.id")))
-        up = up.select("f.module_id", "f.id", F.col("s.parent_id").alias("ancestor_id")).distinct()
-        frontier = materialise(up.join(found, ["module_id", "id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
-
-
-def exported_conversions(model: Model, parents: DataFrame) -> DataFrame:
-    """(module_id, declaration_id, is_local, from_id, to_id): implicit defs of the shape of a conversion, by
-    parameter and return type, and implicit values and objects that are functions of one argument, by
-    theirs; none to Unit.
-
-    parents: module_id, id, parent_id, and of a parent Function1 from_id and to_id."""
-    d = model.declarations.where(P.has_property(F.col("properties"), P.IMPLICIT))
-    resolved = resolved_types(model.declarations).withColumnsRenamed({"declaration_id": "to_id", "resolved_id": "__to"})
-    defs = d.where((F.col("kind") == "DEF") & P.is_conversion_shape(F.col("parameter_lists")))
-    defs = defs.select("module_id", "declaration_id", F.get(F.get("parameter_lists", 0), 0)["type"].alias("from_id"), F.col("return_type").alias("to_id"))
-    up = ancestors(parents).select("module_id", F.col("id").alias("of"), F.col("ancestor_id").alias("id"), "depth")
-    own = parents.where(F.col("parent_id") == P.FUNCTION1).select("module_id", "id", "from_id", "to_id")
-    functions = own.select("module_id", F.col("id").alias("of"), "from_id", "to_id", F.lit(0).alias("depth")).unionByName(own.join(up, ["module_id", "id"]).select("module_id", "of", "from_id", "to_id", "depth"))
-    nearest = functions.groupBy("module_id", "of").agg(F.min_by(F.struct("from_id", "to_id"), F.struct("depth", "from_id", "to_id")).alias("f"))
-    of = F.when(F.col("sig_kind") == "class", F.col("declaration_id")).otherwise(F.col("return_type"))
-    values = d.where(F.col("kind").isin("VAL", "VAR", "OBJECT") & F.col("sig_kind").isin("class", "method")).withColumn("of", of).join(nearest, ["module_id", "of"])
-    values = values.select("module_id", "declaration_id", "f.from_id", "f.to_id")
-    rows = defs.unionByName(values).join(resolved, ["module_id", "to_id"], "left").where(F.coalesce("__to", "to_id") != P.UNIT)
-    return rows.select("module_id", "declaration_id", S.is_block_local(F.col("declaration_id")).alias("is_local"), "from_id", "to_id")
+    types = materialise(conversion_types(d))
+    both = materialise(types.select("module_id", F.col("from").alias("ref")).unionByName(types.select("module_id", F.col("to").alias("ref"))).distinct())
+    full = materialise(T.fully_resolved_refs(materialise(d.select(*KEY, "sig_kind", "type_parameters", "upper", "lower", "result")), both))
+    own = d.select(*KEY, "location_uri")
+    rows = _with_module(types, model).join(own, KEY).join(companions(d).withColumn("__companion", F.lit(True)), KEY, "left")
+    problem = []
+    for side in ("from", "to"):
+        ends = d.select("module_id", F.col("declaration_id").alias(f"__{side}"), F.col("location_path").alias(f"__{side}_path"), F.col("language").alias(f"{side}_language"))
+        known = full.select("module_id", F.col("ref").alias(side), T.as_code(F.col("resolved")).alias(f"__{side}_code"), F.col("missing").alias(f"__{side}_lacks"))
+        rows = rows.withColumn(f"__{side}", T.head(F.col(side))).join(ends, ["module_id", f"__{side}"], "left").join(known, ["module_id", side], "left")
+        rows = with_library(rows, model, f"__{side}_path", f"{side}_")
+        problem += [
+            (F.col(f"__{side}_path").isNull(), _no_declaration(F.col(f"__{side}"))), (~F.col(f"{side}_known"), _no_path(F.col(f"__{side}_path"))),
+            (F.col(f"__{side}_lacks").isNotNull(), _no_declaration(F.col(f"__{side}_lacks"))),
+        ]
+    added = {"__problem": _missing(*problem), "is_local": P.is_project_local(F.col("location_uri")) | F.coalesce("__companion", F.lit(False))}
+    for side in ("from", "to"):
+        added |= {side: F.col(f"__{side}_code"), f"{side}_scope": F.col(f"{side}_location_scope"), f"{side}_compilation_unit": S.compilation_unit(F.col(f"__{side}"))}
+        added |= {f"{side}_groupId": F.col(f"{side}_group_id"), f"{side}_artifactId": F.col(f"{side}_artifact_id")}
+    return _split(rows.withColumns(added), CONVERSION)
+
+
+def extraction_statistics(model: Model, exceptions: DataFrame) -> DataFrame:
+    """By project: declarations, implicit_declarations, implicit_local_declarations, callsites, test_callsites, implicit_callsites and
+    failures. exceptions: module_id, a row for each failure."""
+    modules = model.modules.select("module_id", "project_id", "call_sites_count", "test_call_sites_count")
+    d = model.declarations.select("module_id", P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists")).alias("i"), P.is_project_local(F.col("location_uri")).alias("l"))
+    by_module = d.groupBy("module_id").agg(F.count("*").alias("declarations"), F.count_if("i").alias("implicit_declarations"), F.count_if(F.col("i") & F.col("l")).alias("implicit_local_declarations"))
+    sites = kept_call_sites(model).groupBy("module_id").agg(F.count("*").alias("implicit_callsites"))
+    failed = exceptions.groupBy("module_id").agg(F.count("*").alias("failures"))
+    rows = modules.join(by_module, "module_id", "left").join(sites, "module_id", "left").join(failed, "module_id", "left")
+    sums = {"declarations": "declarations", "implicit_declarations": "implicit_declarations", "implicit_local_declarations": "implicit_local_declarations", "callsites": "call_sites_count", "test_callsites": "test_call_sites_count", "implicit_callsites": "implicit_callsites", "failures": "failures"}
+    return rows.groupBy("project_id").agg(*(F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(name) for name, c in sums.items()))
+
+
+def parameter_declaration(declarations: DataFrame, wanted: DataFrame) -> Export:
+    """wanted: project_id, module_id, declaration_id, name. The id of the declaration of the named parameter's type, of any of
+    the lists; a problem for a name that the declaration hasn't, or a type that the module lacks."""
+    found = F.get(F.filter(F.flatten("parameter_lists"), lambda p: p["name"] == F.col("name")), 0)["type"]
+    rows = wanted.join(declarations.select(*KEY, "parameter_lists"), KEY, "left").withColumn("type_id", T.head(found))
+    known = declarations.select("module_id", F.col("declaration_id").alias("type_id"), F.lit(True).alias("__there"))
+    rows = rows.join(known, ["module_id", "type_id"], "left")
+    none = F.concat(F.lit("parameter "), F.col("name"), F.lit(" does not exist"))
+    return _split(rows.withColumn("__problem", _missing((F.col("type_id").isNull(), none), (F.col("__there").isNull(), _no_declaration(F.col("type_id"))))), ["project_id", *KEY, "name", "type_id"])
+
+
+def signature_parts(declarations: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, sig_kind, type_parameters, parameter_lists, return_id, declaring_id): what a signature has, empty lists for what it
+    hasn't; the declaring symbol of methods and values, null of others."""
+    method, value = F.col("sig_kind") == "method", F.col("sig_kind") == "value"
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(declarations.schema[c].dataType))
+    return declarations.select(
+        *KEY, "sig_kind", F.when(value, F.array().cast("array<string>")).otherwise(empty("type_parameters")).alias("type_parameters"),
+        F.when(method, empty("parameter_lists")).otherwise(F.array().cast(declarations.schema["parameter_lists"].dataType)).alias("parameter_lists"),
+        F.when(method, T.head(F.col("result"))).alias("return_id"), F.when(method | value, S.symbol_owner(F.col("declaration_id"))).alias("declaring_id"),
+    )

@@ -1,113 +1,269 @@
-"""Type references: trees of a declaration id and arguments, kept as JSON, and their resolution.
+"""Type references and their resolution, as joins.
 
-Resolution follows aliases and substitutes type parameters at any depth, which relational steps over the
-trees would spell out node by node; declarations of a module are resolved within it, so the work is
-grouped by module and a task holds one module's types at a time.
+A reference, a declaration id with arguments that are references, is an array of (id, depth) in the
+order they are written: `Map[K, List[V]]` is Map 0, K 1, List 1, V 2. So trees of any depth are one flat
+column that groups, joins and substitutes by array functions. Resolution steps all references of all modules at
+once and ends when none moves any more; a module is never one task.
+
+declarations have module_id, declaration_id, kind, sig_kind (type, class, method, value), type_parameters
+(array<string>), parents (array of references), upper, lower (of a type) and result (of a method or value).
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Ref = tuple  # (id, (Ref, ...))
+from lodestone.operators.lineage import forget, materialise
+
+REF = "array<struct<id: string, depth: int>>"
+
+
+# ---- references as columns ---------------------------------------------------------------------
+
+
+def _deeper(ref: Column, by: int) -> Column:
+    return F.transform(ref, lambda n: F.struct(n["id"].alias("id"), (n["depth"] + by).alias("depth")))
+
+
+def ref(ident: Column, *args: Column) -> Column:
+    """A reference of an id and references."""
+    head = F.array(F.struct(ident.alias("id"), F.lit(0).alias("depth")))
+    return F.when(ident.isNotNull(), F.concat(head, *(_deeper(a, 1) for a in args)))
+
 
+def with_arguments(ident: Column, args: Column) -> Column:
+    """A reference of an id and an array of references."""
+    head = F.array(F.struct(ident.alias("id"), F.lit(0).alias("depth")))
+    return F.concat(head, F.flatten(F.transform(args, lambda a: _deeper(a, 1))))
 
-def parse(text: str | None) -> Ref | None:
-    """`{"id": ..., "args": [...]}`; args may be left out."""
-    build = lambda x: (x["id"], tuple(map(build, x.get("args", ()))))
-    return build(json.loads(text)) if text else None
 
+def head(r: Column) -> Column:
+    return F.get(r, 0)["id"]
 
-def as_code(ref: Ref) -> str:
-    return ref[0] + ("[" + ",".join(map(as_code, ref[1])) + "]" if ref[1] else "")
 
+def arguments(r: Column) -> Column:
+    """The direct arguments, an array of references."""
+    at = F.filter(F.transform(r, lambda n, i: F.when(n["depth"] == 1, i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(at, 2, F.size(r)), F.array(F.size(r)))
+    cuts = F.filter(F.arrays_zip(at.alias("a"), ends.alias("b")), lambda x: x["a"].isNotNull())
+    return F.transform(cuts, lambda x: _deeper(F.slice(r, x["a"] + 1, x["b"] - x["a"]), -1))
 
-class Types:
-    """A module's declarations: id -> (sig_kind, type parameter ids, parents, upper, lower, result)."""
 
-    def __init__(self, rows: dict[str, tuple]) -> None:
-        self.rows = rows
+def as_code(r: Column) -> Column:
+    """`id[argument,argument]`."""
+    before = lambda i: F.get(r, i - 1)["depth"]
+    close = lambda n, i: F.concat(F.repeat(F.lit("]"), before(i) - n["depth"]), F.lit(","))
+    piece = lambda n, i: F.concat(F.when(i == 0, "").when(n["depth"] > before(i), "[").otherwise(close(n, i)), n["id"])
+    return F.concat(F.array_join(F.transform(r, piece), ""), F.repeat(F.lit("]"), F.element_at(r, -1)["depth"]))
 
-    def bound(self, ident: str) -> Ref | None:
-        _, _, _, upper, lower, _ = self.rows[ident]
-        return upper or lower
 
-    def substitute(self, ref: Ref, given: dict[str, Ref]) -> Ref:
-        """What stands for type parameters replaced, in the direct arguments too."""
-        if ref[0] in given:
-            return given[ref[0]]
-        return ref[0], tuple(given.get(a[0], a) for a in ref[1])
+def _replaced(a: Column, params: Column, args: Column) -> Column:
+    """The argument given for a, if a is one of the parameters."""
+    at = F.array_position(params, head(a)).cast("int")
+    return F.when((F.size(a) == 1) & (at > 0), F.get(args, at - 1))
 
-    def resolve(self, ref: Ref) -> Ref:
-        """Aliases and bounds followed to a class; a value's type, a method's result. A cycle ends at the
-        first id met again; what the module lacks stays as it is."""
-        seen = set()
-        while ref[0] in self.rows and ref[0] not in seen:
-            seen.add(ref[0])
-            kind, params, _, _, _, result = self.rows[ref[0]]
-            target = self.bound(ref[0]) if kind == "type" else result if kind in ("value", "method") else None
-            if target is None:
-                break
-            ref = self.substitute(target, dict(zip(params, ref[1])))
-        return ref
 
-    def resolve_full(self, ref: Ref) -> Ref:
-        ref = self.resolve(ref)
-        return ref[0], tuple(map(self.resolve, ref[1]))
+def substitute(r: Column, params: Column, args: Column) -> Column:
+    """Direct arguments of r that are type parameters replaced by what is given for these, whose own direct arguments are
+    replaced likewise once."""
+    inner = lambda x: with_arguments(head(x), F.transform(arguments(x), lambda b: F.coalesce(_replaced(b, params, args), b)))
+    given = lambda a: _replaced(a, params, args)
+    return F.when(r.isNotNull(), with_arguments(head(r), F.transform(arguments(r), lambda a: F.when(given(a).isNotNull(), inner(given(a))).otherwise(a))))
+
+
+def count_parameters(args: DataFrame, declarations: DataFrame) -> DataFrame:
+    """args: module_id, owner, args (array of references). (module_id, owner, num_type_arguments, num_type_argument_refs, missing): how
+    many there are, how many are type parameters, and how many the module lacks."""
+    each = args.select("module_id", "owner", F.explode_outer("args").alias("a")).select("module_id", "owner", head(F.col("a")).alias("declaration_id"))
+    kinds = declarations.select("module_id", "declaration_id", "kind")
+    found = each.join(kinds, ["module_id", "declaration_id"], "left").groupBy("module_id", "owner")
+    absent = F.col("declaration_id").isNotNull() & F.col("kind").isNull()
+    return found.agg(F.count("declaration_id").cast("int").alias("num_type_arguments"), F.count_if(F.col("kind") == "TYPE_PARAMETER").cast("int").alias("num_type_argument_refs"), F.count_if(absent).alias("missing"))
+
+
+# ---- declarations: aliases, kinds, parents ------------------------------------------------------
+
+
+def resolved_types(declarations: DataFrame) -> DataFrame:
+    """declarations: module_id, declaration_id, sig_kind, upper, lower (ids). (module_id, declaration_id, resolved_id) of all:
+    types followed to their bound, upper before lower, until something that isn't a type or has no bound, or whose
+    bound was met before: a declaration in a cycle is its own, one that leads into a cycle is resolved
+    to the cycle's declaration before the one it enters by.
+
+    By pointer doubling, each round twice as many steps: as many rounds as the logarithm of the longest chain. A round that
+    shortens no chain leaves cycles alone.
+    """
+    key = ["module_id", "declaration_id"]
+    target = F.when(F.col("sig_kind") == "type", F.coalesce("upper", "lower"))
+    links = materialise(declarations.select(*key, target.alias("to")).where("to IS NOT NULL").distinct())
+
+    def double(at: DataFrame, stop: DataFrame | None) -> tuple[DataFrame, int]:
+        """at: key, to, done. Twice the steps for those that aren't done."""
+        step = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
+        rows = at.where("done").unionByName(at.where("NOT done").join(step, ["module_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done")))
+        rows = materialise(rows)
+        return rows, rows.where("NOT done").count()
 
-    def parents(self, ref: Ref) -> list[Ref]:
-        ref = self.resolve(ref)
-        if ref[0] not in self.rows or self.rows[ref[0]][0] != "class":
-            return []
-        given = dict(zip(self.rows[ref[0]][1], ref[1]))
-        return [self.substitute(p, given) for p in self.rows[ref[0]][2]]
+    start = links.select("module_id", F.col("declaration_id").alias("to"), F.lit(True).alias("linked")).distinct()
+    at = materialise(links.join(start, ["module_id", "to"], "left").select(*key, "to", F.col("linked").isNull().alias("done")))
+    left = at.where("NOT done").count()
+    while left:
+        was, before = at, left
+        at, left = double(at, None)
+        forget(was)
+        if left == before:
+            break
+    resolved = at.where("done").select(*key, F.col("to").alias("resolved_id"))
+    if left:
+        resolved = resolved.unionByName(_cycles(links, at.where("NOT done").select(*key, "to"), double))
+    return declarations.select(*key).distinct().join(resolved, key, "left").select(*key, F.coalesce("resolved_id", "declaration_id").alias("resolved_id"))
 
-    def all_parents(self, ref: Ref) -> list[Ref]:
-        """Parents first, then theirs, each once, in order."""
-        out: dict[Ref, None] = {}
-        todo, level = [ref], 0
-        while todo and level < 256:
-            todo, level = [p for r in todo for p in self.parents(r) if p not in out], level + 1
-            out.update(dict.fromkeys(todo))
-        return list(out)
 
+def _cycles(links: DataFrame, at: DataFrame, double) -> DataFrame:
+    """(key, resolved_id) of declarations that lead into cycles. at: these, with where some steps lead."""
+    key = ["module_id", "declaration_id"]
+    next_of = links.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
+    while True:  # until what is led to is in cycles: its successors are then as many
+        on = materialise(at.select("module_id", "to").distinct())
+        sizes = [on.count(), on.join(next_of, ["module_id", "to"]).select("module_id", "next").distinct().count()]
+        if sizes[0] == sizes[1]:
+            break
+        step = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"))
+        at = materialise(at.join(step, ["module_id", "to"]).select(*key, F.col("next").alias("to")))
+    cycle = on.withColumnRenamed("to", "declaration_id")
+    tails = at.select(*key).join(cycle, key, "left_anti").join(links, key)
+    ends = cycle.select("module_id", F.col("declaration_id").alias("to"), F.lit(True).alias("end"))
+    tails = materialise(tails.join(ends, ["module_id", "to"], "left").select(*key, "to", F.col("end").isNotNull().alias("done")))
+    while not tails.where("NOT done").isEmpty():
+        tails, _ = double(tails, None)
+    previous = cycle.join(links, key).select("module_id", "to", F.col("declaration_id").alias("resolved_id"))
+    led = tails.join(previous, ["module_id", "to"]).select(*key, "resolved_id")
+    return led.unionByName(cycle.select(*key, F.col("declaration_id").alias("resolved_id")))
 
-OUT = "module_id string, ref string, resolved string, resolved_full string, all_parents array<string>, error string"
+
+def declared_types(declarations: DataFrame) -> DataFrame:
+    """resolved_types() of declarations whose bounds are references."""
+    return resolved_types(declarations.select("module_id", "declaration_id", "sig_kind", head(F.col("upper")).alias("upper"), head(F.col("lower")).alias("lower")))
+
+
+def types_of(declarations: DataFrame, target: str, resolved: DataFrame) -> DataFrame:
+    """(module_id, declaration_id) that are the target, or a TYPE resolved to it."""
+    own = declarations.where(F.col("declaration_id") == target).select("module_id", "declaration_id")
+    kinds = declarations.where("kind = 'TYPE'").select("module_id", "declaration_id")
+    return own.unionByName(resolved.where(F.col("resolved_id") == target).join(kinds, ["module_id", "declaration_id"], "left_semi").select("module_id", "declaration_id")).distinct()
+
+
+def kinds_of(declarations: DataFrame, target: str, resolved: DataFrame) -> DataFrame:
+    """(module_id, declaration_id) that are the target, a class with such a parent, or a type resolved to such; found backwards
+    from the target, a step of inheritance a round, until nothing is added."""
+    parents = declarations.where("sig_kind = 'class'").select("module_id", "declaration_id", F.explode("parents").alias("p")).select("module_id", "declaration_id", head(F.col("p")).alias("up"))
+    types = declarations.where("sig_kind = 'type'").select("module_id", "declaration_id").join(resolved, ["module_id", "declaration_id"]).where("resolved_id <> declaration_id")
+    edges = parents.unionByName(types.select("module_id", "declaration_id", F.col("resolved_id").alias("up")))
+    found = frontier = materialise(edges.select("module_id").distinct().select("module_id", F.lit(target).alias("declaration_id")))
+    while True:
+        more = edges.join(frontier.select("module_id", F.col("declaration_id").alias("up")), ["module_id", "up"]).select("module_id", "declaration_id").distinct()
+        frontier = materialise(more.join(found, ["module_id", "declaration_id"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+
+
+def parent_declarations(declarations: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, position, parent_id): parents of classes, ids alone."""
+    rows = declarations.where("sig_kind = 'class'").select("module_id", "declaration_id", F.posexplode("parents").alias("position", "p"))
+    return rows.select("module_id", "declaration_id", "position", head(F.col("p")).alias("parent_id"))
+
+
+def grandparent_declarations(declarations: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, parent_id, place): a class's parents, then theirs, each once, by place; two levels and
+    no more."""
+    up = parent_declarations(declarations)
+    above = up.select("module_id", F.col("declaration_id").alias("parent_id"), F.col("position").alias("second"), F.col("parent_id").alias("above"))
+    both = up.select("module_id", "declaration_id", "parent_id", F.struct(F.lit(0).alias("a"), "position", F.lit(0).alias("c")).alias("place"))
+    second = up.join(above, ["module_id", "parent_id"]).select("module_id", "declaration_id", F.col("above").alias("parent_id"), F.struct(F.lit(1).alias("a"), "position", F.col("second").alias("c")).alias("place"))
+    return both.unionByName(second).groupBy("module_id", "declaration_id", "parent_id").agg(F.min("place").alias("place"))
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """parents: module_id, id, parent_id. (module_id, id, ancestor_id, depth) closure, nearest depth of each; a cycle adds
+    nothing new and so ends."""
+    step = materialise(parents.select("module_id", "id", "parent_id").distinct())
+    found = frontier = step.select("module_id", "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    depth = 1
+    while True:
+        depth += 1
+        up = frontier.alias("f").join(step.alias("s"), (F.col("f.module_id") == F.col("s.module_id")) & (F.col("f.ancestor_id") == F.col("s.id")))
+        up = up.select("f.module_id", "f.id", F.col("s.parent_id").alias("ancestor_id")).distinct()
+        frontier = materialise(up.join(found, ["module_id", "id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+
+
+# ---- references: resolution and inheritance -----------------------------------------------------
 
 
 def resolved_refs(declarations: DataFrame, refs: DataFrame) -> DataFrame:
-    """(module_id, ref, resolved, resolved_full, all_parents as code, error) of each distinct ref.
+    """refs: module_id, ref. (module_id, ref, resolved, missing) of each distinct one: a class is itself; a type is its bound,
+    upper before lower, with parameters replaced, resolved on; a value is its type, a method its result, as they are.
+    A type whose bound was met before is itself. missing: an id that the module lacks, or null.
+    """
+    info = declarations.select("module_id", F.col("declaration_id").alias("h"), "sig_kind", "type_parameters", F.coalesce("upper", "lower").alias("bound"), "result")
+    work = refs.select("module_id", "ref").where("ref IS NOT NULL").distinct().select("module_id", "ref", F.col("ref").alias("cur"), F.array().cast("array<string>").alias("seen"))
+    finished = None
+    while True:
+        rows = work.withColumn("h", head(F.col("cur"))).join(info, ["module_id", "h"], "left")
+        goes = (F.col("sig_kind") == "type") & F.col("bound").isNotNull()
+        ends = F.array_contains(F.concat("seen", F.array("h")), head(F.col("bound")))
+        goes = F.coalesce(goes & ~ends, F.lit(False))
+        rows = rows.select(
+            "module_id", "ref", goes.alias("goes"), F.concat("seen", F.array("h")).alias("seen"), F.when(F.col("sig_kind").isNull(), F.col("h")).alias("missing"),
+            F.when(goes, substitute(F.col("bound"), F.col("type_parameters"), arguments(F.col("cur")))).when(F.col("sig_kind").isin("value", "method"), F.coalesce("result", "cur")).otherwise(F.col("cur")).alias("cur"),
+        )
+        rows = materialise(rows)
+        done = rows.where("NOT goes").select("module_id", "ref", F.col("cur").alias("resolved"), "missing")
+        finished = done if finished is None else finished.unionByName(done)
+        work = rows.where("goes").select("module_id", "ref", "cur", "seen")
+        if work.isEmpty():
+            return finished
+
+
+def fully_resolved_refs(declarations: DataFrame, refs: DataFrame) -> DataFrame:
+    """As resolved_refs(), and each direct argument resolved once."""
+    first = resolved_refs(declarations, refs)
+    args = first.select("module_id", "ref", F.posexplode(arguments(F.col("resolved"))).alias("i", "arg"))
+    known = resolved_refs(declarations, args.select("module_id", F.col("arg").alias("ref"))).select("module_id", F.col("ref").alias("arg"), F.col("resolved").alias("to"), F.col("missing").alias("lacks"))
+    each = args.join(known, ["module_id", "arg"]).groupBy("module_id", "ref").agg(F.array_sort(F.collect_list(F.struct("i", "to"))).alias("args"), F.min("lacks").alias("lacks"))
+    rows = first.join(each, ["module_id", "ref"], "left")
+    whole = F.when(F.col("args").isNotNull(), with_arguments(head(F.col("resolved")), F.col("args")["to"])).otherwise(F.col("resolved"))
+    return rows.select("module_id", "ref", whole.alias("resolved"), F.coalesce("missing", "lacks").alias("missing"))
+
+
+def all_parents(declarations: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """refs: module_id, ref. (module_id, ref, parent, place): the parents of each, with parameters replaced, then the first
+    parent's own and theirs, then the second's, each once at its first place; places are in order.
 
-    declarations: module_id, declaration_id, sig_kind, type_parameters array<string>, parents
-    array<string>, upper, lower, result, the last four as JSON. refs: module_id, ref. A ref that can't be read
-    gives an error and nulls.
+    A place is the way to a parent, for each step whether it goes on and the parent's number, so that direct parents
+    come first and arrays compare as the order says. A round goes up one step from all places that are new or
+    nearer than before; ways through a cycle only grow, so that rounds end.
     """
-    both = declarations.groupBy("module_id").cogroup(refs.distinct().groupBy("module_id"))
-
-    def run(key, decls: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        rows = {}
-        for d in decls.itertuples():
-            listed = lambda x: [] if x is None else list(x)
-            rows[d.declaration_id] = (d.sig_kind, listed(d.type_parameters), [parse(p) for p in listed(d.parents)], parse(d.upper), parse(d.lower), parse(d.result))
-        types, out = Types(rows), []
-        for text in wanted["ref"] if len(wanted) else ():
-            try:
-                ref = parse(text)
-                out.append((key[0], text, as_code(types.resolve(ref)), as_code(types.resolve_full(ref)), [as_code(p) for p in types.all_parents(ref)], None))
-            except (ValueError, KeyError, TypeError) as e:
-                out.append((key[0], text, None, None, None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["module_id", "ref", "resolved", "resolved_full", "all_parents", "error"])
-
-    return both.applyInPandas(run, OUT)
-
-
-def argument_refs(refs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """refs: module_id, owner, args array<string>; kinds: module_id, declaration_id, kind. (module_id, owner,
-    num_type_arguments, num_type_argument_refs): how many of the arguments are type parameters."""
-    each = refs.select("module_id", "owner", F.explode_outer("args").alias("declaration_id"))
-    found = each.join(kinds.where("kind = 'TYPE_PARAMETER'").select("module_id", "declaration_id", F.lit(1).alias("p")), ["module_id", "declaration_id"], "left")
-    return found.groupBy("module_id", "owner").agg(F.count("declaration_id").alias("num_type_arguments"), F.count("p").alias("num_type_argument_refs"))
+    up = declarations.where("sig_kind IN ('class', 'type')").select("module_id", F.col("declaration_id").alias("h"))
+    own = declarations.where("sig_kind = 'class'").select("module_id", F.col("declaration_id").alias("resolved_id"), "type_parameters", "parents")
+    up = up.join(resolved.withColumnRenamed("declaration_id", "h"), ["module_id", "h"]).join(own, ["module_id", "resolved_id"]).select("module_id", "h", "type_parameters", "parents").where(F.size("parents") > 0)
+    frontier = refs.select("module_id", "ref").where("ref IS NOT NULL").distinct().select("module_id", "ref", F.col("ref").alias("cur"), F.array().cast("array<int>").alias("way"))
+    best = None
+    while True:
+        rows = frontier.withColumn("h", head(F.col("cur"))).join(up, ["module_id", "h"])
+        rows = rows.select("module_id", "ref", "way", "cur", "type_parameters", F.posexplode("parents").alias("i", "p"))
+        parent = substitute(F.col("p"), F.col("type_parameters"), arguments(F.col("cur")))
+        rows = rows.select("module_id", "ref", parent.alias("parent"), F.concat("way", F.array(F.lit(0), F.col("i"))).alias("place"))
+        rows = rows.groupBy("module_id", "ref", "parent").agg(F.min("place").alias("place"))
+        if best is not None:
+            rows = rows.join(best.withColumnRenamed("place", "was"), ["module_id", "ref", "parent"], "left").where("was IS NULL OR place < was").drop("was")
+        better = materialise(rows)
+        if better.isEmpty():
+            return better if best is None else best
+        best = better if best is None else materialise(best.unionByName(better).groupBy("module_id", "ref", "parent").agg(F.min("place").alias("place")))
+        on = F.transform("place", lambda x, i: F.when(i == F.size("place") - 2, 1).otherwise(x))
+        frontier = better.select("module_id", "ref", F.col("parent").alias("cur"), on.alias("way"))

@@ -1,107 +1,197 @@
-"""Analyses of the fact tables: what the notebooks of a corpus study ask of declarations, call sites and conversions."""
+"""Analyses of the fact tables: what the notebooks of a corpus study ask of declarations, call sites, conversions and parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import predicates as P
-from lodestone.functions import rstats
 from lodestone.functions import scalars as S
-from lodestone.operators.model import exported_call_sites, exported_conversions, exported_declarations, exported_parameters
-from lodestone.plans import register
-from lodestone.plans.model import DECL_SQL, model
+from lodestone.operators import analyses as A
+from lodestone.operators import model as M
+from lodestone.operators.lineage import materialise
+from lodestone.plans import register, table
+from lodestone.plans.model import CONVERSION_SQL, DECL_SQL, SCOPE_SQL, model
 
-PROJECT = "'org--r' || o_custkey % 50"
+DSCOPE = SCOPE_SQL.format("path")
+# exported declarations with the notebooks' flags; the shared implicit class beside the parts
+FLAGS_SQL = f"""{DECL_SQL}, e AS (SELECT project_id, module_id, part, declaration_id, kind, is_implicit, is_companion, path, CASE WHEN part % 6 = 0 THEN 'scala/deprecated#;x/A#' END AS annotations FROM d JOIN keys USING (module_id, part) WHERE path <> 'nowhere'
+  UNION ALL SELECT 'org--r' || o_custkey % 50, o_orderkey, NULL, 'p/W#', 'CLASS', true, false, 'src', NULL FROM orders),
+g AS (SELECT *, path <> '../lib.jar' AS is_in_main, path = '../lib.jar' AS is_in_test, path = '../lib.jar' AS is_external, path <> '../lib.jar' AS is_local, path = '../lib.jar' AS is_managed, path = '../lib.jar' AS is_external_test, false AS is_local_test, path = '../lib.jar' AS is_managed_test FROM e)"""
 
 
 def declarations(spark, sf_dir):
-    return exported_declarations(model(spark, sf_dir))
+    return A.cleaned_declarations(M.export_declarations(model(spark, sf_dir)).rows)
 
 
 def conversions(spark, sf_dir):
-    none = spark.createDataFrame([], "module_id long, id string, parent_id string, from_id string, to_id string")
-    return exported_conversions(model(spark, sf_dir), none)
+    return M.export_conversions(model(spark, sf_dir)).rows
 
 
-CONVERSION_SQL = "part % 5 = 0 AND part % 4 > 0 AND part % 3 = 0 AND part % 2 > 0 AND part % 11 > 0"
+def projects(spark, sf_dir):
+    """A corpus of all projects but one in ten, with columns as the notebooks join them."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 60).alias("k")).distinct()
+    return o.where("k % 10 > 0").select(F.concat(F.lit("org--r"), F.col("k").cast("string")).alias("project_id"), (F.col("k") % 2 == 0).alias("scaladex"), (F.col("k") * 100).cast("long").alias("callsites"), (F.col("k") * 30).cast("long").alias("test_callsites"))
+
+
+CORPUS_SQL = "corpus AS (SELECT DISTINCT 'org--r' || o_custkey % 60 AS project_id, o_custkey % 60 % 2 = 0 AS scaladex, (o_custkey % 60 * 100)::BIGINT AS callsites, (o_custkey % 60 * 30)::BIGINT AS test_callsites FROM orders WHERE o_custkey % 60 % 10 > 0)"
+SUMS = ("is_implicit", "is_in_main", "is_in_test", "is_local", "is_external", "is_managed")
 
 
 @register(f"""
-WITH {DECL_SQL}
-SELECT {PROJECT} AS project_id, count(*) AS n, sum((part % 5 = 0)::INT)::BIGINT AS is_implicit, sum((NOT jar)::INT)::BIGINT AS is_local, sum(jar::INT)::BIGINT AS is_external, sum((jar AND module_id % 2 = 0)::INT)::BIGINT AS is_transitive
-FROM d JOIN orders ON o_orderkey = module_id WHERE part % 5 = 0 GROUP BY 1""")
+WITH {FLAGS_SQL}, {CORPUS_SQL}, s AS (SELECT project_id, count(*) AS is_all, {', '.join(f'sum({c}::INT)::BIGINT AS {c}' for c in SUMS)} FROM g WHERE NOT is_companion GROUP BY 1)
+SELECT project_id, scaladex, callsites, test_callsites, coalesce(is_all, 0) AS is_all, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SUMS)} FROM corpus LEFT JOIN s USING (project_id)""")
 def dec_01_project_declarations(spark, sf_dir):
-    d = declarations(spark, sf_dir).where("is_implicit AND kind <> 'PARAMETER' AND def_group_id IS NOT NULL")
-    flags = S.scope_flags(F.col("location_scope"))
-    sums = {"is_implicit": F.col("is_implicit"), "is_local": flags["is_local"], "is_external": flags["is_external"], "is_transitive": F.col("location_scope").contains("transitive")}
-    return d.groupBy("project_id").agg(F.count("*").alias("n"), *(F.coalesce(rstats.sum_strict(c.cast("int")), F.lit(0)).alias(k) for k, c in sums.items()))
+    d = declarations(spark, sf_dir).where("NOT is_companion")
+    return A.project_sums(d, ["is_all", *SUMS], projects(spark, sf_dir))
 
 
 @register(f"""
-WITH {DECL_SQL}, c AS (SELECT DISTINCT declaration_id FROM d WHERE {CONVERSION_SQL})
-SELECT module_id, declaration_id, declaration_id IN (SELECT declaration_id FROM c) AS is_conversion FROM d WHERE part % 5 = 0""")
+WITH {DECL_SQL}, {CONVERSION_SQL}, c AS (SELECT DISTINCT declaration_id FROM conv), e AS (SELECT * FROM d JOIN keys USING (module_id, part) WHERE path <> 'nowhere')
+SELECT project_id, module_id, declaration_id, declaration_id IN (SELECT declaration_id FROM c) AS is_conversion FROM e WHERE NOT is_companion
+UNION ALL SELECT 'org--r' || o_custkey % 50, o_orderkey, 'p/W#', false FROM orders""")
 def joi_14_marked_conversions(spark, sf_dir):
-    marks = conversions(spark, sf_dir).select("declaration_id", F.lit(True).alias("c")).distinct()
-    d = declarations(spark, sf_dir).where("is_implicit").select("module_id", "declaration_id")
-    return d.join(marks, "declaration_id", "left").select("module_id", "declaration_id", F.coalesce("c", F.lit(False)).alias("is_conversion"))
+    return A.marked_conversions(declarations(spark, sf_dir).where("NOT is_companion"), conversions(spark, sf_dir)).select("project_id", "module_id", "declaration_id", "is_conversion")
 
 
-@register(f"WITH {DECL_SQL}, u AS (SELECT DISTINCT declaration_id FROM d WHERE jar AND part % 5 = 0) SELECT module_id, declaration_id FROM d WHERE {CONVERSION_SQL} AND declaration_id IN (SELECT declaration_id FROM u)")
+@register(f"WITH {DECL_SQL}, {CONVERSION_SQL}, e AS (SELECT * FROM d JOIN keys USING (module_id, part) WHERE path <> 'nowhere' AND NOT is_companion) SELECT module_id, declaration_id FROM e WHERE declaration_id IN (SELECT declaration_id FROM conv)")
 def joi_13_conversions_by_declaration(spark, sf_dir):
-    d = declarations(spark, sf_dir).where("is_implicit AND location_path <> 'src'").select("declaration_id").distinct()
-    return conversions(spark, sf_dir).join(d, "declaration_id", "left_semi").select("module_id", "declaration_id")
+    d = declarations(spark, sf_dir).where("NOT is_companion")
+    return d.join(conversions(spark, sf_dir).select("declaration_id").distinct(), "declaration_id", "left_semi").select("module_id", "declaration_id")
+
+
+CALL_FLAGS = ("is_local", "is_external", "is_managed", "is_in_main", "is_in_test")
 
 
 @register(f"""
-WITH {DECL_SQL}
-SELECT s.module_id, s.id AS call_site_id, d.name AS declaration_name, part % 5 = 0 AS declaration_is_implicit, CASE WHEN jar THEN 'la' ELSE 'a' || s.module_id END AS def_artifact_id
-FROM sites s JOIN d USING (module_id, part) WHERE s.id > 1 OR part % 5 = 0 OR part % 2 = 0""")
+WITH {FLAGS_SQL}, {CONVERSION_SQL}, k AS (SELECT DISTINCT module_id, declaration_id FROM conv),
+c AS (SELECT kept.project_id, kept.module_id, kept.id, d.declaration_id FROM kept JOIN d USING (module_id, part) WHERE d.path <> 'nowhere')
+SELECT c.project_id, c.module_id, c.id AS callsite_id, c.declaration_id, 'compile' AS location_scope, kind, annotations, CASE WHEN g.path IS NULL THEN NULL WHEN g.path = '../lib.jar' THEN CASE WHEN g.module_id % 3 = 0 THEN 'g:la' ELSE 'lg:la' END WHEN g.path = 'own/classes' THEN 'g:own' ELSE 'g:a' || g.module_id END AS def_library,
+  g.is_in_test AS def_is_in_test, g.is_in_main AS def_is_in_main, is_implicit, is_companion, is_local, is_external, is_managed, false AS is_from_scala, true AS is_in_main, false AS is_in_test, false AS is_external_test, false AS is_local_test, false AS is_managed_test, false AS is_from_scala_test,
+  (c.module_id, c.declaration_id) IN (SELECT module_id, declaration_id FROM k) AS is_conversion
+FROM c LEFT JOIN g ON g.module_id = c.module_id AND g.declaration_id = c.declaration_id""")
 def joi_15_call_sites_with_declarations(spark, sf_dir):
-    d = declarations(spark, sf_dir).select("module_id", "declaration_id", F.col("name").alias("declaration_name"), F.col("is_implicit").alias("declaration_is_implicit"), "def_artifact_id")
-    c = exported_call_sites(model(spark, sf_dir)).select("module_id", "call_site_id", "declaration_id")
-    return c.join(d, ["module_id", "declaration_id"], "left").drop("declaration_id")
+    m = model(spark, sf_dir)
+    sites = M.call_site_base(m).where("__problem IS NULL").select("project_id", "module_id", "callsite_id", "declaration_id", "location_scope")
+    return A.expanded_call_sites(sites, declarations(spark, sf_dir), M.export_conversions(m).rows)
 
 
-@register(f"""
-WITH {DECL_SQL}, k AS (SELECT module_id, declaration_id FROM d WHERE {CONVERSION_SQL})
-SELECT s.module_id, count(*) AS conversion_call_sites FROM sites s JOIN d USING (module_id, part) WHERE (s.id > 1 OR part % 5 = 0 OR part % 2 = 0) AND (s.module_id, d.declaration_id) IN (SELECT module_id, declaration_id FROM k) GROUP BY 1""")
+@register(f"WITH {DECL_SQL}, {CONVERSION_SQL} SELECT kept.module_id, count(*) AS conversion_call_sites FROM kept JOIN d USING (module_id, part) WHERE d.path <> 'nowhere' AND (kept.module_id, d.declaration_id) IN (SELECT module_id, declaration_id FROM conv) GROUP BY 1")
 def joi_17_conversion_call_sites(spark, sf_dir):
-    c = exported_call_sites(model(spark, sf_dir)).select("module_id", "declaration_id")
-    return c.join(conversions(spark, sf_dir), ["module_id", "declaration_id"], "left_semi").groupBy("module_id").agg(F.count("*").alias("conversion_call_sites"))
+    m = model(spark, sf_dir)
+    c = M.call_site_base(m).where("__problem IS NULL").select("module_id", "declaration_id")
+    return c.join(M.export_conversions(m).rows.select("module_id", "declaration_id").distinct(), ["module_id", "declaration_id"], "left_semi").groupBy("module_id").agg(F.count("*").alias("conversion_call_sites"))
+
+
+SIDE = {"f": "from", "t": "to"}
+IC_SQL = f"""{FLAGS_SQL}, {CONVERSION_SQL}, ic AS (SELECT c.project_id, c.module_id, c.declaration_id, {', '.join(f"{c} = 'scala/Int#' AS is_{n}_in_test, {c} <> 'scala/Int#' AS is_{n}_in_main, {c} = 'scala/Int#' AS is_{n}_external, {c} <> 'scala/Int#' AS is_{n}_local, false AS is_{n}_scala" for c, n in SIDE.items())},
+  g.kind, g.is_local, g.is_in_main, g.is_in_test, g.is_external, g.is_companion, CASE WHEN g.declaration_id IS NOT NULL THEN false END AS is_from_scala_library, c.f, c.t, c.part FROM conv c LEFT JOIN g ON g.module_id = c.module_id AND g.declaration_id = c.declaration_id WHERE c.project_id <> 'org--r7')"""
+
+
+def ic_declarations(spark, sf_dir):
+    return A.conversion_declarations(conversions(spark, sf_dir).where("project_id <> 'org--r7'"), declarations(spark, sf_dir))
+
+
+@register(f"WITH {IC_SQL} SELECT project_id, module_id, declaration_id, {', '.join(f'is_{n}_{x}' for n in SIDE.values() for x in ('in_main', 'in_test', 'external', 'local', 'scala'))}, kind, is_local, is_in_main, is_in_test, is_external, is_companion FROM ic")
+def joi_18_conversions_with_declarations(spark, sf_dir):
+    rows = ic_declarations(spark, sf_dir)
+    return rows.select("project_id", "module_id", "declaration_id", *(f"is_{n}_{x}" for n in SIDE.values() for x in ("in_main", "in_test", "external", "local", "scala")), "kind", "is_local", "is_in_main", "is_in_test", "is_external", "is_companion")
+
+
+IC_SUMS = ("is_local", "is_in_main", "is_companion", "is_from_local", "is_to_external")
 
 
 @register(f"""
-WITH {DECL_SQL}, c AS (SELECT {PROJECT} AS project_id, count(*) FILTER (NOT jar) AS local, count(*) FILTER (jar) AS external, count(*) AS total
-  FROM sites s JOIN d USING (module_id, part) JOIN orders ON o_orderkey = s.module_id WHERE s.id > 1 OR part % 5 = 0 OR part % 2 = 0 GROUP BY 1)
-SELECT project_id, 'local' AS scope, local / total::DOUBLE AS ratio FROM c UNION ALL SELECT project_id, 'external', external / total::DOUBLE FROM c""")
-def agg_24_call_site_ratios(spark, sf_dir):
-    flags = S.scope_flags(F.col("location_scope"))
-    c = exported_call_sites(model(spark, sf_dir)).groupBy("project_id").agg(*(F.count_if(flags[f"is_{k}"]).alias(k) for k in ("local", "external")), F.count("*").alias("total"))
-    wide = c.select("project_id", *(S.ratio(F.col(k), F.col("total")).alias(k) for k in ("local", "external")))
-    return wide.unpivot("project_id", ["local", "external"], "scope", "ratio")
+WITH {IC_SQL}, {CORPUS_SQL}, s AS (SELECT project_id, count(*) AS is_all, {', '.join(f'CASE WHEN count({c}) = count(*) THEN sum({c}::INT) END::BIGINT AS {c}' for c in IC_SUMS)} FROM ic GROUP BY 1)
+SELECT project_id, scaladex, callsites, test_callsites, coalesce(is_all, 0) AS is_all, {', '.join(f'coalesce({c}, 0) AS {c}' for c in IC_SUMS)} FROM corpus LEFT JOIN s USING (project_id)""")
+def con_01_project_conversions(spark, sf_dir):
+    return A.project_sums(ic_declarations(spark, sf_dir), ["is_all", *IC_SUMS], projects(spark, sf_dir))
 
 
 @register(f"""
-WITH {DECL_SQL}, c AS (SELECT module_id, 'scala/Int#' AS from_id, declaration_id FROM d WHERE {CONVERSION_SQL})
-SELECT module_id, declaration_id FROM c WHERE from_id IN ('scala/Int#', 'scala/Unit#')""")
-def prd_24_primitive_conversions(spark, sf_dir):
-    c = conversions(spark, sf_dir)
-    both = c.where(F.col("from_id").isin(*P.PRIMITIVES)).unionByName(c.where(F.col("to_id").isin(*P.PRIMITIVES)))
-    return both.select("module_id", "declaration_id").distinct()
+WITH {IC_SQL} SELECT ic.declaration_id, count(*) AS n FROM ic JOIN d ON d.module_id = ic.module_id AND d.part = ic.part, range(1) WHERE ic.is_local AND d.has_implicit AND d.part % 7 > 0 AND d.part % 4 = 1 GROUP BY 1""")
+def joi_19_syntax_pattern(spark, sf_dir):
+    p = M.export_parameters(model(spark, sf_dir)).rows
+    return A.syntax_pattern(p, ic_declarations(spark, sf_dir).where("is_local"))
 
 
 @register(f"""
-WITH {DECL_SQL}
-SELECT {PROJECT} AS project_id, count(*) AS n_parameters, count(DISTINCT 'scala/Int#') AS n_types FROM d JOIN orders ON o_orderkey = module_id, range((part % 3 + 1)::INT) WHERE part % 2 = 0 GROUP BY 1""")
-def par_01_project_parameters(spark, sf_dir):
+WITH {IC_SQL} SELECT project_id, module_id, declaration_id FROM ic WHERE is_local AND NOT is_companion AND 'p/O' || part % 7 NOT IN (rtrim(f, '#'), rtrim(t, '#'))""")
+def joi_20_unrelated_conversions(spark, sf_dir):
+    d = declarations(spark, sf_dir).where("NOT is_companion")
+    return A.unrelated_conversions(ic_declarations(spark, sf_dir).where("is_local"), d).select("project_id", "module_id", "declaration_id")
+
+
+@register("""
+WITH c AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'scala/reflect/ManifestFactory.classType().' WHEN 1 THEN 'scala/reflect/ClassManifestFactory.x().' WHEN 2 THEN 'org/scalactic/source/Position.apply().' ELSE 'scala/Option.apply().' END AS declaration_id, CASE WHEN event_id % 3 > 0 THEN 'g:a' END AS def_library FROM events)
+SELECT event_id, CASE WHEN starts_with(declaration_id, 'scala/reflect/') THEN 'manifest' ELSE 'macro' END AS source FROM c WHERE def_library IS NULL""")
+def joi_21_macros_and_manifests(spark, sf_dir):
+    k = F.col("user_id") % 4
+    ident = F.when(k == 0, "scala/reflect/ManifestFactory.classType().").when(k == 1, "scala/reflect/ClassManifestFactory.x().").when(k == 2, "org/scalactic/source/Position.apply().").otherwise("scala/Option.apply().")
+    c = table(spark, sf_dir, "events").select("event_id", ident.alias("declaration_id"), F.when(F.col("event_id") % 3 > 0, "g:a").alias("def_library"))
+    manifests, macros = A.unknown_call_sites(c)
+    return manifests.select("event_id", F.lit("manifest").alias("source")).unionByName(macros.select("event_id", F.lit("macro").alias("source")))
+
+
+@register(f"""
+WITH {DECL_SQL}, {CORPUS_SQL}, c AS (SELECT kept.project_id, count(*) AS n, count(*) FILTER (d.path <> '../lib.jar') AS local, count(*) FILTER (d.path = '../lib.jar') AS external FROM kept JOIN d USING (module_id, part) WHERE d.path <> 'nowhere' GROUP BY 1),
+w AS (SELECT project_id, scaladex, coalesce(n, 0) AS n, coalesce(local, 0) AS local, coalesce(external, 0) AS external, callsites FROM corpus LEFT JOIN c USING (project_id)),
+r AS (SELECT project_id, scaladex, CASE WHEN n = 0 THEN 0 ELSE n / (n + callsites) END::DOUBLE AS r, CASE WHEN local = 0 THEN 0 ELSE local / n END::DOUBLE AS local, CASE WHEN external = 0 THEN 0 ELSE external / n END::DOUBLE AS external FROM w)
+SELECT project_id, scaladex, k AS scope, CASE k WHEN 'r' THEN r WHEN 'local' THEN local ELSE external END AS ratio FROM r, (VALUES ('r'), ('local'), ('external')) v(k)""")
+def agg_24_call_site_ratios(spark, sf_dir):
     m = model(spark, sf_dir)
-    p = exported_parameters(m).join(m.modules.select("module_id", "project_id"), "module_id")
-    return p.groupBy("project_id").agg(F.count("*").alias("n_parameters"), F.countDistinct("type_id").alias("n_types"))
+    d = declarations(spark, sf_dir).select("module_id", "declaration_id", "is_local", "is_external")
+    c = M.call_site_base(m).where("__problem IS NULL").select("project_id", "module_id", "declaration_id").join(d, ["module_id", "declaration_id"], "left")
+    sums = A.project_sums(c, ["is_all", "is_local", "is_external"], projects(spark, sf_dir))
+    wide = sums.select("project_id", "scaladex", S.ratio(F.col("is_all"), F.col("is_all") + F.col("callsites")).alias("r"), *(S.ratio(F.col(f"is_{k}"), F.col("is_all")).alias(k) for k in ("local", "external")))
+    return wide.unpivot(["project_id", "scaladex"], ["r", "local", "external"], "scope", "ratio")
+
+
+@register(f"WITH {IC_SQL} SELECT project_id, module_id, declaration_id FROM ic WHERE is_local AND (f = 'scala/Int#' OR t = 'scala/Int#')")
+def prd_24_primitive_conversions(spark, sf_dir):
+    return A.primitive_conversions(ic_declarations(spark, sf_dir).where("is_local")).select("project_id", "module_id", "declaration_id")
+
+
+@register(f"""
+WITH {DECL_SQL}, p AS (SELECT *, unnest(range((part % 7)::INT)) AS i FROM d WHERE has_implicit AND path <> 'nowhere'),
+r AS (SELECT *, CASE WHEN i = 0 THEN 'p/Box#' ELSE 'scala/Function1#' END AS t, i = 0 AND part % 4 = 1 AS is_class FROM p)
+SELECT is_class AS type_class, t AS resolved_type_id, count(DISTINCT project_id) AS n FROM r GROUP BY 1, 2""")
+def par_01_types_of_parameters(spark, sf_dir):
+    p = M.export_parameters(model(spark, sf_dir)).rows
+    return A.projects_by_type(A.type_classes(p)).withColumn("type_class", F.lit(True)).unionByName(A.projects_by_type(A.contexts(p)).withColumn("type_class", F.lit(False)))
 
 
 @register(f"""
-WITH {DECL_SQL}, n AS (SELECT {PROJECT} AS project_id, count(*) AS declarations, count(*) FILTER (part % 5 = 0) AS implicit FROM d JOIN orders ON o_orderkey = module_id GROUP BY 1)
-SELECT project_id, declarations, implicit, implicit / declarations::DOUBLE AS share FROM n""")
+WITH {DECL_SQL}, o AS (SELECT 'org--r' || o_custkey % 50 AS project_id, o_orderkey AS m, o_orderkey % 90 AS c, o_orderkey % 9 AS t FROM orders),
+x AS (SELECT project_id, count(*) AS n, count(*) FILTER (is_implicit OR has_implicit) AS i, count(*) FILTER ((is_implicit OR has_implicit) AND uri = 'A.scala') AS l, count(*) FILTER (part % 4 = 1) AS tp FROM d GROUP BY 1),
+k AS (SELECT project_id, count(*) AS n FROM kept GROUP BY 1), f AS (SELECT project_id, count(*) AS n FROM kept WHERE part % 50 = 0 GROUP BY 1), w AS (SELECT project_id, count(*) AS n, sum(c) AS c, sum(t) AS t FROM o GROUP BY 1)
+SELECT project_id, (13 * w.n + coalesce(x.n, 0) + coalesce(x.tp, 0))::BIGINT AS declarations, (w.n + coalesce(x.i, 0))::BIGINT AS implicit_declarations, (w.n + coalesce(x.l, 0))::BIGINT AS implicit_local_declarations, w.c::BIGINT AS callsites, w.t::BIGINT AS test_callsites, coalesce(k.n, 0)::BIGINT AS implicit_callsites, coalesce(f.n, 0)::BIGINT AS failures
+FROM w LEFT JOIN x USING (project_id) LEFT JOIN k USING (project_id) LEFT JOIN f USING (project_id)""")
 def agg_01_extraction_statistics(spark, sf_dir):
-    n = declarations(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("declarations"), F.count_if("is_implicit").alias("implicit"))
-    return n.withColumn("share", S.ratio(F.col("implicit"), F.col("declarations")))
+    m = model(spark, sf_dir)
+    failures = M.kept_call_sites(m).join(m.declarations, ["module_id", "declaration_id"], "left_anti").select("module_id")
+    return M.extraction_statistics(m, failures)
+
+
+@register(f"""
+WITH {DECL_SQL}, {CORPUS_SQL}, c AS (SELECT project_id, count(*) AS n FROM kept GROUP BY 1), w AS (SELECT coalesce(n, 0)::BIGINT AS n, callsites FROM corpus LEFT JOIN c USING (project_id))
+SELECT 'call sites' AS key, sum(n + callsites)::DOUBLE AS sum, count(*) AS n, avg(n + callsites) AS mean, median(n + callsites)::DOUBLE AS median, stddev_samp(n + callsites) AS sd, min(n + callsites)::DOUBLE AS min, max(n + callsites)::DOUBLE AS max FROM w
+UNION ALL SELECT 'implicit call sites', sum(n)::DOUBLE, count(*), avg(n), median(n)::DOUBLE, stddev_samp(n), min(n)::DOUBLE, max(n)::DOUBLE FROM w
+UNION ALL SELECT 'projects using implicits', count(*)::DOUBLE, 1, NULL, NULL, NULL, NULL, NULL FROM w WHERE n > 0""")
+def agg_21_overview(spark, sf_dir):
+    sites = M.kept_call_sites(model(spark, sf_dir)).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("module_id"), F.concat(F.lit("org--r"), (F.col("o_custkey") % 50).cast("string")).alias("project_id")), "module_id")
+    return A.overview(materialise(A.project_sums(sites, ["is_all"], projects(spark, sf_dir))))
+
+
+@register("""
+WITH p AS (SELECT o_orderkey AS project_id, o_orderkey % 3 AS metadata, o_orderkey % 4 AS semanticdb, CASE o_custkey % 4 WHEN 0 THEN 'missing-dependencies' WHEN 1 THEN 'compilation-failed' WHEN 2 THEN 'project-loading-failed' ELSE 'unknown' END AS a, CASE WHEN o_custkey % 8 = 0 THEN 'org.scalajs' ELSE 'x-SNAPSHOT' END AS d FROM orders),
+f AS (SELECT CASE WHEN metadata = 1 THEN a ELSE 'compilation-failed' END AS cause, CASE WHEN metadata = 1 THEN d END AS detail FROM p WHERE metadata = 1 OR semanticdb = 1)
+SELECT 'cause' AS what, cause AS value, count(*) AS n FROM f GROUP BY cause UNION ALL SELECT 'dependency', detail, count(*) FROM f WHERE cause = 'missing-dependencies' GROUP BY detail""")
+def agg_19_failure_causes(spark, sf_dir):
+    k = F.col("o_custkey") % 4
+    cause = F.when(k == 0, "missing-dependencies").when(k == 1, "compilation-failed").when(k == 2, "project-loading-failed").otherwise("unknown")
+    detail = F.when(F.col("o_custkey") % 8 == 0, "org.scalajs").otherwise("x-SNAPSHOT")
+    p = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("project_id"), (F.col("o_orderkey") % 3).cast("int").alias("metadata_exit_code"), (F.col("o_orderkey") % 4).cast("int").alias("semanticdb_exit_code"), cause.alias("metadata_failure"),
+        detail.alias("metadata_failure_detail"), F.lit("compilation-failed").alias("semanticdb_failure"), F.lit(None).cast("string").alias("semanticdb_failure_detail"),
+    )
+    causes, dependencies = A.failure_counts(A.failed_projects(p))
+    return causes.select(F.lit("cause").alias("what"), F.col("cause").alias("value"), "n").unionByName(dependencies.select(F.lit("dependency").alias("what"), F.col("cause_detail").alias("value"), "n"))

@@ -1,7 +1,9 @@
 """The code model and its fact tables, over a synthetic corpus made of the relational tables.
 
 Modules are orders, declarations are parts seen from an order's lines, call sites are lines numbered
-within their order, each nested in the one of half its number.
+within their order, each nested in the one of half its number. Remainders of a part's number decide what it is, so that
+each rule is reached: methods, values and objects, companions of an implicit class, functions by inheritance and by alias,
+type parameters, libraries of the module, of its group and of others, and declarations and paths that are missing.
 """
 
 from __future__ import annotations
@@ -9,104 +11,221 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.operators.model import Model, ancestors, exported_call_sites, exported_conversions, exported_declarations, exported_parameters, missing_declarations, nested_stats, resolved_types
+from lodestone.functions import scalars as S
+from lodestone.operators import model as M
+from lodestone.operators import types as T
+from lodestone.operators.model import Model
 from lodestone.plans import register, table
 
-SITES_SQL = """sites AS (SELECT l_orderkey AS module_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)::INTEGER AS id, l_partkey AS part FROM lineitem),
-decls AS (SELECT DISTINCT module_id, part FROM sites WHERE part % 50 > 0)"""
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
+# id, kind, signature, properties, type parameters, parents, bound; all at src but those of the jar
+FIXED = (
+    ("scala/Int#", "CLASS", "class", 0, (), (), None), ("scala/Unit#", "CLASS", "class", 0, (), (), None),
+    ("scala/Function1#", "TRAIT", "class", 0, ("F1#[A]", "F1#[B]"), (("p/Top#",),), None), ("p/Top#", "CLASS", "class", 0, (), (), None), ("p/T#", "CLASS", "class", 0, (), (), None),
+    ("p/Box#", "CLASS", "class", 0, ("Box#[A]",), (), None), ("p/Seq#", "TRAIT", "class", 0, ("Seq#[A]",), (("scala/Function1#", ("scala/Int#",), ("Seq#[A]",)),), None),
+    ("p/List#", "CLASS", "class", 0, ("List#[A]",), (("p/Top#",), ("p/Seq#", ("List#[A]",))), None), ("p/Proc#", "CLASS", "class", 0, (), (("scala/Function1#", ("p/T#",), ("p/UnitAlias#",)),), None),
+    ("p/Alias#", "TYPE", "type", 0, (), (), ("p/T#",)), ("p/UnitAlias#", "TYPE", "type", 0, (), (), ("scala/Unit#",)),
+    ("p/F1#", "TYPE", "type", 0, ("p/F1#[X]",), (), ("scala/Function1#", ("p/F1#[X]",), ("p/Alias#",))), ("p/W#", "CLASS", "class", 32, (), (), None),
+)
 
-def model(spark, sf_dir) -> Model:
+
+def _ref(tree):
+    return T.ref(F.lit(tree[0]), *map(_ref, tree[1:]))
+
+
+def _strings(xs):
+    return F.array(*map(F.lit, xs)).cast("array<string>")
+
+
+def _refs(*refs):
+    return F.array(*refs).cast(f"array<{T.REF}>")
+
+
+PARAMS = f"array<array<struct<name: string, type: {T.REF}, is_implicit: boolean>>>"
+
+
+def sites_of(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    sites = line.select(F.col("l_orderkey").alias("module_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).alias("call_site_id"), F.col("l_partkey").alias("part"))
-    name = F.concat(F.lit("f"), F.col("part").cast("string"))
-    ident = F.concat(F.lit("p/O"), (F.col("part") % 7).cast("string"), F.lit("."), name, F.lit("()."))
+    return line.select(F.col("l_orderkey").alias("module_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)).alias("call_site_id"), F.col("l_partkey").alias("part"))
+
+
+def model(spark, sf_dir) -> Model:
+    sites = sites_of(spark, sf_dir)
+    p = F.col("part")
+    name = F.concat(F.lit("f"), p.cast("string"))
+    ident = F.concat(F.lit("p/O"), (p % 7).cast("string"), F.lit("."), name, F.lit("()."))
     parent = F.when(F.col("call_site_id") > 1, F.floor(F.col("call_site_id") / 2).cast("int"))
-    code = F.concat(F.lit("call\n"), F.repeat(F.lit("x"), (F.col("part") % 60).cast("int")))
-    sites = sites.select("module_id", "part", "call_site_id", parent.alias("parent_id"), ident.alias("declaration_id"), code.alias("code"), F.lit("src").alias("location_path"), F.lit("A.scala").alias("location_uri"))
-    calls = sites.where("parent_id IS NOT NULL").select("module_id", F.col("parent_id").alias("call_site_id"), F.col("call_site_id").alias("callsite_id"), F.lit(None).cast("string").alias("declaration_id"))
-    values = sites.where("part % 3 = 0").select("module_id", "call_site_id", F.lit(None).cast("int").alias("callsite_id"), "declaration_id")
-    params = F.transform(F.sequence(F.lit(1), (F.col("part") % 3 + 1).cast("int")), lambda i: F.struct(F.concat(F.lit("x"), i.cast("string")).alias("name"), F.lit("scala/Int#").alias("type"), (F.col("part") % 2 == 0).alias("is_implicit")))
-    decls = sites.where("part % 50 > 0").select("module_id", "part", "declaration_id").distinct()
-    decls = decls.select(
-        "module_id", "declaration_id", F.when(F.col("part") % 4 == 0, "VAL").otherwise("DEF").alias("kind"), F.when(F.col("part") % 5 == 0, 32).otherwise(0).alias("properties"), name.alias("name"), F.lit("PUBLIC").alias("access"),
-        F.when(F.col("part") % 3 == 0, "../lib.jar").otherwise("src").alias("location_path"), F.lit("A.scala").alias("location_uri"), (F.col("part") % 100).cast("int").alias("line"), F.lit("method").alias("sig_kind"),
-        F.lit(None).cast("string").alias("upper"), F.lit(None).cast("string").alias("lower"), F.when(F.col("part") % 11 == 0, "scala/Unit#").otherwise("p/T#").alias("return_type"), F.array(params).alias("parameter_lists"),
+    code = F.concat(F.lit("call\n"), F.repeat(F.lit("x"), (p % 60).cast("int")))
+    types = F.slice(_refs(_ref(("scala/Int#",)), _ref(("p/T#",))), 1, (p % 3).cast("int"))
+    sites = sites.select(
+        "module_id", "part", "call_site_id", parent.alias("parent_id"), ident.alias("declaration_id"), code.alias("code"), F.lit("src").alias("location_path"), F.lit("A.scala").alias("location_uri"),
+        (F.col("call_site_id") * 10).alias("line"), (p % 10).cast("int").alias("col"), types.alias("type_arguments"),
     )
-    o = table(spark, sf_dir, "orders")
-    modules = o.select(F.col("o_orderkey").alias("module_id"), F.concat(F.lit("org--r"), (F.col("o_custkey") % 50).cast("string")).alias("project_id"), F.lit("g").alias("group_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("artifact_id"), F.lit("1").alias("version"), F.lit("c0").alias("commit"))
+    calls = sites.where("parent_id IS NOT NULL").select("module_id", F.col("parent_id").alias("call_site_id"), F.col("call_site_id").alias("pos"), F.col("call_site_id").alias("callsite_id"), F.lit(None).cast("string").alias("declaration_id"))
+    values = sites.where("part % 3 = 0").select("module_id", "call_site_id", F.lit(1_000_000).alias("pos"), F.lit(None).cast("int").alias("callsite_id"), F.when(p % 15 == 0, "p/Alias#").otherwise(F.col("declaration_id")).alias("declaration_id"))
+
+    parts = sites.where("part % 50 > 0").select("module_id", "part", "declaration_id").distinct()
+    by = lambda x, other, **of: F.coalesce(*(F.when(x == int(k[1:]), v) for k, v in of.items()), other)
+    kind = by(p % 4, F.lit("DEF"), _0=F.lit("VAL"), _2=F.lit("OBJECT"))
+    own_parameter = F.concat("declaration_id", F.lit("[T]"))
+    has_parameter = p % 4 == 1
+    first = F.transform(F.sequence(F.lit(1), (p % 3 + 1).cast("int")), lambda i: F.struct(F.concat(F.lit("x"), i.cast("string")).alias("name"), F.when(p % 25 == 0, _ref(("p/Alias#",))).otherwise(_ref(("scala/Int#",))).alias("type"), F.lit(False).alias("is_implicit")))
+    box = F.when(has_parameter, T.ref(F.lit("p/Box#"), T.ref(own_parameter))).otherwise(_ref(("p/Box#", ("scala/Int#",))))
+    second = F.slice(F.array(F.struct(F.lit("y1").alias("name"), box.alias("type"), F.lit(True).alias("is_implicit")), F.struct(F.lit("y2").alias("name"), _ref(("p/F1#", ("scala/Int#",))).alias("type"), F.lit(True).alias("is_implicit"))), 1, (p % 7).cast("int"))
+    lists = F.when(kind == "DEF", F.when(p % 7 < 3, F.array(first, second)).otherwise(F.array(first))).otherwise(F.array().cast(PARAMS))
+    m = p % 11
+    plain = _ref(("p/T#",))
+    of_def = by(m, plain, _0=_ref(("scala/Unit#",)), _1=_ref(("p/UnitAlias#",)), _2=_ref(("p/Alias#",)), _3=_ref(("p/W#",)), _4=_ref(("p/Box#", ("p/Box#", ("scala/Int#",)))))
+    of_val = by(m, plain, _0=_ref(("p/List#", ("scala/Int#",))), _1=_ref(("scala/Function1#", ("scala/Int#",), ("scala/Unit#",))), _2=_ref(("p/F1#", ("scala/Int#",))), _3=_ref(("p/Proc#",)))
+    of_object = by(m, _refs(_ref(("p/Top#",))), _0=_refs(_ref(("p/Seq#", ("p/T#",)))), _1=_refs(_ref(("p/Top#",)), _ref(("p/F1#", ("p/T#",)))))
+    path = F.when(p % 47 == 0, "nowhere").when(p % 3 == 1, "../lib.jar").when(p % 13 == 0, "own/classes").otherwise("src")
+    known_place = ~(path == "../lib.jar")
     null = lambda t: F.lit(None).cast(t)
-    source = modules.select("module_id", F.lit("src").alias("path"), F.lit("source").alias("entry_kind"), F.lit("compile").alias("scope"), F.lit(False).alias("managed"), null("string").alias("group_id"), null("string").alias("artifact_id"), null("string").alias("version"), null("boolean").alias("internal"), null("boolean").alias("transitive"))
-    jar = modules.select("module_id", F.lit("../lib.jar").alias("path"), F.lit("class").alias("entry_kind"), F.lit("test").alias("scope"), F.lit(True).alias("managed"), F.lit("lg").alias("group_id"), F.lit("la").alias("artifact_id"), F.lit("2").alias("version"), F.lit(False).alias("internal"), (F.col("module_id") % 2 == 0).alias("transitive"))
-    return Model(modules, source.unionByName(jar), decls, sites.drop("part"), calls.unionByName(values))
+    decls = parts.select(
+        "module_id", "declaration_id", kind.alias("kind"), F.when(p % 5 == 0, 32).otherwise(0).alias("properties"), name.alias("name"), F.lit("PUBLIC").alias("access"),
+        path.alias("location_path"), F.when(p % 9 == 0, "J.java").otherwise("A.scala").alias("location_uri"), F.when(known_place, (p % 100).cast("int")).alias("line"), F.when(known_place, (p % 10).cast("int")).alias("col"),
+        F.when(p % 9 == 0, "JAVA").otherwise("SCALA").alias("language"), F.when(p % 6 == 0, _strings(("scala/deprecated#", "x/A#"))).otherwise(_strings(())).alias("annotations"),
+        F.when(kind == "OBJECT", "class").otherwise("method").alias("sig_kind"), F.when(has_parameter, F.array(own_parameter)).otherwise(_strings(())).alias("type_parameters"),
+        F.when(kind == "OBJECT", of_object).otherwise(_refs()).alias("parents"), null(T.REF).alias("upper"), null(T.REF).alias("lower"),
+        F.when(kind == "DEF", of_def).when(kind == "VAL", of_val).alias("result"), lists.alias("parameter_lists"),
+    )
+    o = table(spark, sf_dir, "orders")
+    modules = o.select(
+        F.col("o_orderkey").alias("module_id"), F.concat(F.lit("org--r"), (F.col("o_custkey") % 50).cast("string")).alias("project_id"), F.lit("g").alias("group_id"),
+        F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("artifact_id"), F.lit("1").alias("version"), F.lit("c0").alias("commit"), (F.col("o_orderkey") % 90).cast("int").alias("call_sites_count"), (F.col("o_orderkey") % 9).cast("int").alias("test_call_sites_count"),
+    )
+    fixed = lambda ident, kind, sig, bits, params, parents, bound: F.struct(
+        F.lit(ident).alias("declaration_id"), F.lit(kind).alias("kind"), F.lit(bits).alias("properties"), F.lit(ident[ident.index("/") + 1 : -1]).alias("name"), F.lit("PUBLIC").alias("access"),
+        F.lit("../lib.jar" if ident.startswith("scala/") else "src").alias("location_path"), F.lit("T.scala").alias("location_uri"), (null("int") if ident.startswith("scala/") else F.lit(1)).alias("line"),
+        (null("int") if ident.startswith("scala/") else F.lit(2)).alias("col"), F.lit("SCALA").alias("language"), _strings(()).alias("annotations"), F.lit(sig).alias("sig_kind"), _strings(params).alias("type_parameters"),
+        _refs(*map(_ref, parents)).alias("parents"), (_ref(bound) if bound else null(T.REF)).alias("upper"), null(T.REF).alias("lower"), null(T.REF).alias("result"), F.array().cast(PARAMS).alias("parameter_lists"),
+    )
+    shared = modules.select("module_id", F.inline(F.array(*(fixed(*x) for x in FIXED))))
+    parameters = parts.where(has_parameter).select(
+        "module_id", own_parameter.alias("declaration_id"), F.lit("TYPE_PARAMETER").alias("kind"), F.lit(0).alias("properties"), F.lit("T").alias("name"), F.lit("NOT_SPECIFIED").alias("access"), F.lit("src").alias("location_path"),
+        F.lit("A.scala").alias("location_uri"), null("int").alias("line"), null("int").alias("col"), F.lit("SCALA").alias("language"), _strings(()).alias("annotations"), F.lit("type").alias("sig_kind"), _strings(()).alias("type_parameters"),
+        _refs().alias("parents"), null(T.REF).alias("upper"), null(T.REF).alias("lower"), null(T.REF).alias("result"), F.array().cast(PARAMS).alias("parameter_lists"),
+    )
+    path = lambda at, kind, scope, managed, group, artifact, version, internal, transitive: modules.select(
+        "module_id", F.lit(at).alias("path"), F.lit(kind).alias("entry_kind"), F.lit(scope).alias("scope"), F.lit(managed).alias("managed"), group.cast("string").alias("group_id"), F.lit(artifact).cast("string").alias("artifact_id"),
+        F.lit(version).cast("string").alias("version"), F.lit(internal).cast("boolean").alias("internal"), transitive.cast("boolean").alias("transitive"),
+    )
+    of_group = F.when(F.col("module_id") % 3 == 0, "g").otherwise("lg")
+    paths = path("src", "source", "compile", False, F.lit(None), None, None, None, F.lit(None)).unionByName(path("../lib.jar", "class", "test", True, of_group, "la", "2", False, F.col("module_id") % 2 == 0))
+    paths = paths.unionByName(path("own/classes", "class", "compile", False, F.lit("g"), "own", "1", True, F.lit(False)))
+    return Model(modules, paths, decls.unionByName(shared).unionByName(parameters), sites.drop("part"), calls.unionByName(values))
+
+
+SITES_SQL = """sites AS (SELECT l_orderkey AS module_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)::INTEGER AS id, l_partkey AS part FROM lineitem),
+decls AS (SELECT DISTINCT module_id, part FROM sites WHERE part % 50 > 0)"""
+
+SCOPE_SQL = "CASE {0} WHEN 'src' THEN 'compile' WHEN 'own/classes' THEN 'compile' WHEN '../lib.jar' THEN 'test;managed;dependency' || CASE WHEN module_id % 2 = 0 THEN ';transitive' ELSE '' END END"
+GROUP_SQL = "CASE WHEN {0} = '../lib.jar' AND module_id % 3 > 0 THEN 'lg' ELSE 'g' END"
+ARTIFACT_SQL = "CASE {0} WHEN 'src' THEN 'a' || module_id WHEN 'own/classes' THEN 'own' ELSE 'la' END"
+VERSION_SQL = "CASE WHEN {0} = '../lib.jar' THEN '2' ELSE '1' END"
+# parts as declarations, then the shared types that are exported with them
+DECL_SQL = f"""{SITES_SQL}, d AS (SELECT module_id, part, 'f' || part AS name, 'p/O' || part % 7 || '.f' || part || '().' AS declaration_id, CASE part % 4 WHEN 0 THEN 'VAL' WHEN 2 THEN 'OBJECT' ELSE 'DEF' END AS kind,
+  part % 5 = 0 AS is_implicit, part % 2 = 1 AND part % 7 < 3 AS has_implicit, part % 2 = 1 AND part % 3 = 0 AND part % 11 = 3 AS is_companion, CASE WHEN part % 47 = 0 THEN 'nowhere' WHEN part % 3 = 1 THEN '../lib.jar' WHEN part % 13 = 0 THEN 'own/classes' ELSE 'src' END AS path,
+  CASE WHEN part % 9 = 0 THEN 'J.java' ELSE 'A.scala' END AS uri, 'org--r' || o_custkey % 50 AS project_id FROM decls JOIN orders ON o_orderkey = module_id),
+kept AS (SELECT s.*, 'org--r' || o_custkey % 50 AS project_id FROM sites s JOIN orders ON o_orderkey = s.module_id WHERE s.id > 1 OR s.part % 50 > 0 AND s.part % 4 <> 2 AND (s.part % 5 = 0 OR s.part % 2 = 1 AND s.part % 7 < 3)),
+keys AS (SELECT module_id, part FROM d WHERE is_implicit OR has_implicit UNION SELECT module_id, part FROM kept)"""
 
 
 @register(f"""
-WITH RECURSIVE {SITES_SQL},
-own AS (SELECT module_id, id, sum(c)::BIGINT AS calls, sum(v)::BIGINT AS vals, sum(n)::BIGINT AS chars FROM (
-  SELECT s.module_id, s.id // 2 AS id, 1 AS c, 0 AS v, CASE WHEN d.part IS NULL THEN 0 ELSE length('f' || s.part) END AS n FROM sites s LEFT JOIN decls d USING (module_id, part) WHERE s.id > 1
-  UNION ALL SELECT s.module_id, s.id, 0, 1, CASE WHEN d.part IS NULL THEN 0 ELSE length('f' || s.part) END FROM sites s LEFT JOIN decls d USING (module_id, part) WHERE s.part % 3 = 0) GROUP BY ALL)
-SELECT s.module_id, 1 AS call_site_id, sum(calls)::BIGINT AS calls, sum(vals)::BIGINT AS "values", sum(chars)::BIGINT AS chars FROM own s
-WHERE EXISTS (SELECT 1 FROM own r WHERE r.module_id = s.module_id AND r.id = 1) GROUP BY s.module_id""")
+WITH {SITES_SQL},
+a AS (SELECT s.module_id, s.id // 2 AS site, 1 AS c, 0 AS v, CASE WHEN s.part % 50 > 0 THEN length('f' || s.part) ELSE 0 END AS n, (s.part % 50 = 0)::INT AS m FROM sites s WHERE s.id > 1
+  UNION ALL SELECT s.module_id, s.id, 0, 1, CASE WHEN s.part % 15 = 0 THEN 5 WHEN s.part % 50 > 0 THEN length('f' || s.part) ELSE 0 END, (s.part % 50 = 0 AND s.part % 15 > 0)::INT FROM sites s WHERE s.part % 3 = 0)
+SELECT module_id, 1 AS call_site_id, sum(c)::BIGINT AS calls, sum(v)::BIGINT AS "values", sum(n)::BIGINT AS chars, sum(m)::BIGINT AS missing FROM a GROUP BY module_id HAVING count(*) FILTER (site = 1) > 0""")
 def agg_03_nested_call_statistics(spark, sf_dir):
     m = model(spark, sf_dir)
-    return nested_stats(m.call_sites, m.args, m.declarations.select("module_id", "declaration_id", "name"))
-
-
-DECL_SQL = f"""{SITES_SQL}, d AS (SELECT module_id, part, 'f' || part AS name, 'p/O' || part % 7 || '.f' || part || '().' AS declaration_id, part % 3 = 0 AS jar FROM decls)"""
+    return M.nested_stats(m.call_sites, m.args, m.declarations.select("module_id", "declaration_id", "name"))
 
 
 @register(f"""
-WITH {DECL_SQL}
-SELECT 'org--r' || o_custkey % 50 AS project_id, module_id, 'g' AS group_id, 'a' || module_id AS artifact_id, '1' AS version, CASE WHEN part % 4 = 0 THEN 'VAL' ELSE 'DEF' END AS kind, declaration_id, name,
-  CASE WHEN jar THEN '../lib.jar' ELSE 'src' END AS location_path, 'A.scala' AS location_uri,
-  CASE WHEN jar THEN 'test;managed;dependency' || CASE WHEN module_id % 2 = 0 THEN ';transitive' ELSE '' END ELSE 'compile' END AS location_scope, 'p/O' || part % 7 || '.' AS compilation_unit,
-  CASE WHEN jar THEN 'lg' ELSE 'g' END AS def_group_id, CASE WHEN jar THEN 'la' ELSE 'a' || module_id END AS def_artifact_id, CASE WHEN jar THEN '2' ELSE '1' END AS def_version,
-  part % 5 = 0 AS is_implicit, false AS is_companion, 'PUBLIC' AS access, 1::INTEGER AS num_parameter_lists, (part % 3 + 1)::INTEGER AS num_parameters, CASE WHEN part % 2 = 0 THEN (part % 3 + 1)::INTEGER END AS num_implicit_parameters,
-  'https://github.com/org/r' || o_custkey % 50 || '/tree/c0//' || CASE WHEN jar THEN '../lib.jar' ELSE 'src' END || '/A.scala#L' || (part % 100 + 1) AS github_url
-FROM d JOIN orders ON o_orderkey = module_id""")
+WITH {DECL_SQL}, e AS (SELECT d.* FROM d JOIN keys USING (module_id, part) WHERE path <> 'nowhere'),
+r AS (SELECT module_id, project_id, kind, declaration_id, name, replace(path, '../', '/') AS location_path, path, uri AS location_uri, CASE WHEN path <> '../lib.jar' THEN part % 100 || ':' || part % 10 END AS location_pos,
+    'p/O' || part % 7 || '.' AS compilation_unit, is_implicit, is_companion, CASE WHEN part % 6 = 0 THEN 'scala/deprecated#;x/A#' END AS annotations, CASE WHEN part % 4 = 1 THEN 1 ELSE 0 END AS num_type_parameters,
+    CASE WHEN kind = 'DEF' THEN CASE WHEN part % 7 < 3 THEN 2 ELSE 1 END ELSE 0 END AS num_parameter_lists, CASE WHEN kind = 'DEF' THEN part % 3 + 1 + CASE WHEN part % 7 < 3 THEN part % 7 ELSE 0 END ELSE 0 END AS num_parameters,
+    CASE WHEN has_implicit THEN part % 7 END AS num_implicit_parameters, (part % 100 + 1) AS link_line FROM e
+  UNION ALL SELECT o_orderkey, 'org--r' || o_custkey % 50, 'CLASS', 'p/W#', 'W', 'src', 'src', 'T.scala', '1:2', 'p/W#', true, false, NULL, 0, 0, 0, NULL, 2 FROM orders)
+SELECT project_id, module_id, 'g' AS group_id, 'a' || module_id AS artifact_id, '1' AS version, kind, declaration_id, name, location_path, location_uri, location_pos, {SCOPE_SQL.format('path')} AS location_scope, compilation_unit,
+  {GROUP_SQL.format('path')} AS def_group_id, {ARTIFACT_SQL.format('path')} AS def_artifact_id, {VERSION_SQL.format('path')} AS def_version, is_implicit, is_companion, 'PUBLIC' AS access, annotations,
+  num_type_parameters::INTEGER AS num_type_parameters, num_parameter_lists::INTEGER AS num_parameter_lists, num_parameters::INTEGER AS num_parameters, num_implicit_parameters::INTEGER AS num_implicit_parameters,
+  CASE WHEN path <> '../lib.jar' THEN 'https://github.com/' || replace(project_id, '--', '/') || '/tree/c0//' || path || '/' || location_uri || '#L' || link_line END AS github_url FROM r""")
 def exp_01_implicit_declarations(spark, sf_dir):
-    return exported_declarations(model(spark, sf_dir))
+    return M.export_declarations(model(spark, sf_dir)).rows
 
 
 @register(f"""
-WITH {DECL_SQL}, u AS (SELECT DISTINCT module_id, part FROM sites)
-SELECT 'org--r' || o_custkey % 50 AS project_id, module_id, 'missing declaration p/O' || part % 7 || '.f' || part || '().' AS message FROM u JOIN orders ON o_orderkey = module_id WHERE part % 50 = 0""")
+WITH {DECL_SQL}
+SELECT DISTINCT project_id, module_id, 'p/O' || part % 7 || '.f' || part || '().' AS declaration_id, 'missing declaration p/O' || part % 7 || '.f' || part || '().' AS message FROM kept WHERE part % 50 = 0
+UNION ALL SELECT project_id, module_id, declaration_id, 'missing path nowhere' FROM d JOIN keys USING (module_id, part) WHERE path = 'nowhere'""")
 def snk_03_problems(spark, sf_dir):
-    return missing_declarations(model(spark, sf_dir))
+    return M.export_declarations(model(spark, sf_dir)).problems
+
+
+CALLS_SQL = f"""{DECL_SQL}, gone AS (SELECT module_id FROM sites GROUP BY module_id HAVING count(*) FILTER (id > 1 AND part % 50 = 0) > 0 OR count(*) FILTER (part % 3 = 0 AND part % 50 = 0 AND part % 15 > 0) > 0),
+a AS (SELECT module_id, id // 2 AS id, id AS call, NULL AS val, length('f' || part) AS chars FROM sites WHERE id > 1
+  UNION ALL SELECT module_id, id, NULL, CASE WHEN part % 15 = 0 THEN 'p/T#' ELSE 'p/O' || part % 7 || '.f' || part || '().' END, CASE WHEN part % 15 = 0 THEN 5 ELSE length('f' || part) END FROM sites WHERE part % 3 = 0),
+own AS (SELECT module_id, id, count(*) AS n, string_agg(call, ';' ORDER BY call) AS nested_calls, string_agg(val, ';') AS arguments FROM a GROUP BY ALL),
+whole AS (SELECT module_id, count(call) AS calls, count(val) AS vals, sum(chars) AS chars FROM a GROUP BY module_id),
+sites_out AS (SELECT k.project_id, k.module_id, k.id AS callsite_id, CASE WHEN k.id > 1 THEN k.id // 2 END AS parent_id, k.part, d.path, d.declaration_id, own.n, own.nested_calls, own.arguments, whole.calls, whole.vals, whole.chars,
+    k.id = 1 AND own.n > 0 AND k.module_id IN (SELECT module_id FROM gone) AS fails FROM kept k JOIN d USING (module_id, part) LEFT JOIN own ON own.module_id = k.module_id AND own.id = k.id LEFT JOIN whole ON whole.module_id = k.module_id WHERE d.path <> 'nowhere')"""
+LOCAL_SQL = "CASE WHEN path = 'src' THEN 'module' WHEN path = 'own/classes' OR module_id % 3 = 0 THEN 'project' END"
 
 
 @register(f"""
-WITH {DECL_SQL}, a AS (SELECT module_id, id, count(*) AS n, string_agg(v, ';' ORDER BY v) AS args FROM (SELECT module_id, id // 2 AS id, NULL AS v FROM sites WHERE id > 1
-  UNION ALL SELECT module_id, id, 'p/O' || part % 7 || '.f' || part || '().' FROM sites WHERE part % 3 = 0) GROUP BY ALL),
-own AS (SELECT module_id, sum(c)::BIGINT AS calls, sum(v)::BIGINT AS vals, sum(n)::BIGINT AS chars FROM (
-  SELECT s.module_id, 1 AS c, 0 AS v, CASE WHEN d.part IS NULL THEN 0 ELSE length('f' || s.part) END AS n FROM sites s LEFT JOIN decls d USING (module_id, part) WHERE s.id > 1
-  UNION ALL SELECT s.module_id, 0, 1, CASE WHEN d.part IS NULL THEN 0 ELSE length('f' || s.part) END FROM sites s LEFT JOIN decls d USING (module_id, part) WHERE s.part % 3 = 0) GROUP BY ALL)
-SELECT 'org--r' || o_custkey % 50 AS project_id, s.module_id, s.id AS call_site_id, CASE WHEN s.id > 1 THEN s.id // 2 END AS parent_id,
-  replace(CASE WHEN 5 + s.part % 60 > 50 THEN substr('call' || chr(10) || repeat('x', (s.part % 60)::INT), 1, 50) || '...' ELSE 'call' || chr(10) || repeat('x', (s.part % 60)::INT) END, chr(10), ' ') AS code, a.args AS arguments,
-  CASE WHEN s.id = 1 AND a.n > 0 THEN own.calls END AS nested_calls_count, CASE WHEN s.id = 1 AND a.n > 0 THEN own.vals END AS nested_values_count, CASE WHEN s.id = 1 AND a.n > 0 THEN own.chars END AS nested_declarations_length,
-  d.declaration_id, CASE WHEN NOT d.jar THEN 'module' END AS local, CASE WHEN d.jar THEN 'test;managed;dependency' || CASE WHEN s.module_id % 2 = 0 THEN ';transitive' ELSE '' END ELSE 'compile' END AS location_scope,
-  coalesce(a.n, 0) AS num_implicit_arguments
-FROM sites s JOIN d USING (module_id, part) JOIN orders ON o_orderkey = s.module_id LEFT JOIN a ON a.module_id = s.module_id AND a.id = s.id LEFT JOIN own ON own.module_id = s.module_id
-WHERE s.id > 1 OR s.part % 5 = 0 OR s.part % 2 = 0""")
+WITH {CALLS_SQL}
+SELECT project_id, module_id, 'g' AS group_id, 'a' || module_id AS artifact_id, '1' AS version, callsite_id, parent_id::INTEGER AS parent_id,
+  replace(CASE WHEN 5 + part % 60 > 50 THEN substr('call' || chr(10) || repeat('x', (part % 60)::INT), 1, 50) || '...' ELSE 'call' || chr(10) || repeat('x', (part % 60)::INT) END, chr(10), ' ') AS code, nested_calls, arguments,
+  CASE WHEN callsite_id = 1 AND n > 0 THEN calls END::BIGINT AS nested_calls_count, CASE WHEN callsite_id = 1 AND n > 0 THEN vals END::BIGINT AS nested_values_count, CASE WHEN callsite_id = 1 AND n > 0 THEN chars END::BIGINT AS nested_declarations_length,
+  declaration_id, {LOCAL_SQL} AS local, 'src' AS location_path, 'A.scala' AS location_uri, callsite_id * 10 || ':' || part % 10 AS location_pos, 'compile' AS location_scope, (part % 3)::INTEGER AS num_type_arguments, coalesce(n, 0)::INTEGER AS num_implicit_arguments,
+  'https://github.com/' || replace(project_id, '--', '/') || '/tree/c0//src/A.scala#L' || (callsite_id * 10 + 1) AS github_url FROM sites_out WHERE NOT fails""")
 def exp_02_implicit_call_sites(spark, sf_dir):
-    return exported_call_sites(model(spark, sf_dir))
+    return M.export_call_sites(model(spark, sf_dir)).rows
 
 
 @register(f"""
-WITH {DECL_SQL}
-SELECT module_id, declaration_id, false AS is_local, 'scala/Int#' AS from_id, 'p/T#' AS to_id FROM d WHERE part % 5 = 0 AND part % 4 > 0 AND part % 3 = 0 AND part % 2 > 0 AND part % 11 > 0""")
+WITH {CALLS_SQL}
+SELECT project_id, module_id, declaration_id, 'missing declaration of a nested argument' AS message FROM sites_out WHERE fails
+UNION ALL SELECT project_id, module_id, 'p/O' || part % 7 || '.f' || part || '().', 'missing declaration p/O' || part % 7 || '.f' || part || '().' FROM kept WHERE part % 50 = 0
+UNION ALL SELECT k.project_id, module_id, declaration_id, 'missing path nowhere' FROM kept k JOIN d USING (module_id, part) WHERE path = 'nowhere'""")
+def snk_03_call_site_problems(spark, sf_dir):
+    return M.export_call_sites(model(spark, sf_dir)).problems
+
+
+CONVERSION_SQL = """conv AS (SELECT *, CASE kind WHEN 'DEF' THEN CASE WHEN part % 25 = 0 THEN 'p/Alias#' ELSE 'scala/Int#' END WHEN 'VAL' THEN 'scala/Int#' ELSE CASE part % 11 WHEN 0 THEN 'scala/Int#' ELSE 'p/T#' END END AS f,
+    CASE kind WHEN 'DEF' THEN CASE part % 11 WHEN 2 THEN 'p/Alias#' WHEN 3 THEN 'p/W#' WHEN 4 THEN 'p/Box#' ELSE 'p/T#' END WHEN 'VAL' THEN CASE part % 11 WHEN 0 THEN 'scala/Int#' ELSE 'p/Alias#' END ELSE CASE part % 11 WHEN 0 THEN 'p/T#' ELSE 'p/Alias#' END END AS t
+  FROM d WHERE is_implicit AND CASE kind WHEN 'DEF' THEN part % 3 = 0 AND part % 11 > 1 WHEN 'VAL' THEN part % 11 IN (0, 2) ELSE part % 11 IN (0, 1) END)"""
+SIDE_SQL = "{1} AS \"{0}_groupId\", {2} AS \"{0}_artifactId\", {3} AS {0}_version, {4} AS {0}_scope, {5} AS {0}_compilation_unit, 'SCALA' AS {0}_language"
+
+
+def _side(name: str, col: str) -> str:
+    path = f"CASE WHEN {col} = 'scala/Int#' THEN '../lib.jar' ELSE 'src' END"
+    code = f"CASE {col} WHEN 'p/Alias#' THEN 'p/T#' WHEN 'p/Box#' THEN 'p/Box#[p/Box#[scala/Int#]]' ELSE {col} END AS \"{name}\""
+    place = [GROUP_SQL.format(f"({path})"), ARTIFACT_SQL.format(path), VERSION_SQL.format(f"({path})"), SCOPE_SQL.format(path)]
+    return f"{code}, {SIDE_SQL.format(name, *place, col)}"
+
+
+@register(f"""
+WITH {DECL_SQL}, {CONVERSION_SQL}
+SELECT project_id, module_id, declaration_id, uri = 'A.scala' OR is_companion AS is_local, {_side('from', 'f')}, {_side('to', 't')} FROM conv""")
 def exp_03_implicit_conversions(spark, sf_dir):
-    none = spark.createDataFrame([], "module_id long, id string, parent_id string, from_id string, to_id string")
-    return exported_conversions(model(spark, sf_dir), none)
+    return M.export_conversions(model(spark, sf_dir)).rows
 
 
 @register(f"""
-WITH {DECL_SQL}, p AS (SELECT *, unnest(range((part % 3 + 1)::INT))::INTEGER AS position FROM d WHERE part % 2 = 0)
-SELECT module_id, declaration_id, CASE WHEN part % 4 = 0 THEN 'VAL' ELSE 'DEF' END AS declaration_kind, position, 'x' || (position + 1) AS name, 'scala/Int#' AS type_id, NULL::VARCHAR AS type_kind, NULL::VARCHAR AS type_group_id, NULL::VARCHAR AS type_artifact_id, NULL::VARCHAR AS type_location_scope FROM p""")
+WITH {DECL_SQL}, p AS (SELECT *, unnest(range((part % 7)::INT))::INTEGER AS i FROM d WHERE has_implicit AND path <> 'nowhere'),
+q AS (SELECT *, CASE WHEN i = 0 THEN 'p/Box#' ELSE 'p/F1#' END AS type_id, CASE WHEN i = 0 AND part % 4 = 1 THEN declaration_id || '[T]' ELSE 'scala/Int#' END AS arg FROM p)
+SELECT project_id, module_id, 'g' AS group_id, 'a' || module_id AS artifact_id, '1' AS version, declaration_id, kind AS declaration_kind, is_implicit AS declaration_is_implicit, is_companion AS declaration_is_companion,
+  {GROUP_SQL.format('path')} AS def_group_id, {ARTIFACT_SQL.format('path')} AS def_artifact_id, {VERSION_SQL.format('path')} AS def_version, {SCOPE_SQL.format('path')} AS def_location_scope, replace(path, '../', '/') AS def_location_path, uri AS def_location_uri,
+  CASE WHEN path <> '../lib.jar' THEN 'https://github.com/' || replace(project_id, '--', '/') || '/tree/c0//' || path || '/' || uri || '#L' || (part % 100 + 1) END AS def_location_github, declaration_id || '(y' || (i + 1) || ')' AS parameter_id, 'y' || (i + 1) AS name,
+  type_id || '[' || arg || ']' AS code, type_id, CASE WHEN i = 0 THEN 'CLASS' ELSE 'TYPE' END AS type_kind, 'g' AS type_group_id, 'a' || module_id AS type_artifact_id, '1' AS type_version, 'compile' AS type_location_scope, 'src' AS type_location_path, 'T.scala' AS type_location_uri,
+  'https://github.com/' || replace(project_id, '--', '/') || '/tree/c0//src/T.scala#L2' AS type_location_github, {LOCAL_SQL} AS type_local, CASE WHEN i = 0 THEN 'p/Box#' ELSE 'scala/Function1#' END AS resolved_type_id, CASE WHEN i = 0 THEN 'CLASS' ELSE 'TRAIT' END AS resolved_type_kind,
+  1::INTEGER AS num_type_arguments, (i = 0 AND part % 4 = 1)::INTEGER AS num_type_argument_refs FROM q""")
 def exp_04_implicit_parameters(spark, sf_dir):
-    return exported_parameters(model(spark, sf_dir))
+    return M.export_parameters(model(spark, sf_dir)).rows
 
 
 @register("""
@@ -114,14 +233,76 @@ WITH RECURSIVE p AS (SELECT p_partkey AS i, p_partkey // 2 AS up, p_brand FROM p
 SELECT 0 AS module_id, i AS id, a AS ancestor_id, depth FROM r""")
 def prd_18_ancestors(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.lit(0).alias("module_id"), F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("parent_id"))
-    return ancestors(p.where("parent_id > 0"))
+    return T.ancestors(p.where("parent_id > 0"))
+
+
+@register(f"""WITH {DECL_SQL}
+SELECT module_id, declaration_id, 'scala/Function1#' AS kind_of FROM d WHERE kind = 'OBJECT' AND part % 11 < 2
+UNION ALL SELECT o_orderkey, unnest(['scala/Function1#', 'p/Seq#', 'p/List#', 'p/Proc#', 'p/F1#']), 'scala/Function1#' FROM orders UNION ALL SELECT o_orderkey, unnest(['scala/Unit#', 'p/UnitAlias#']), 'scala/Unit#' FROM orders""")
+def prd_18_kinds_of(spark, sf_dir):
+    d = model(spark, sf_dir).declarations
+    resolved = T.declared_types(d)
+    both = [T.kinds_of(d, target, resolved).withColumn("kind_of", F.lit(target)) for target in ("scala/Function1#", "scala/Unit#")]
+    return both[0].unionByName(both[1])
 
 
 @register("""
 WITH RECURSIVE p AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 3 > 0 AND p_partkey > 2 THEN p_partkey // 2 END AS up FROM part), r AS (SELECT i, i AS cur FROM p UNION ALL SELECT r.i, p.up FROM r JOIN p ON p.i = r.cur WHERE p.up IS NOT NULL)
-SELECT 0 AS module_id, i AS declaration_id, min(cur) AS resolved_id FROM r GROUP BY i""")
+SELECT 0 AS module_id, i AS declaration_id, min(cur) AS resolved_id FROM r GROUP BY i
+UNION ALL SELECT 1, p_partkey, CASE WHEN p_partkey % 20 < 3 THEN p_partkey ELSE p_partkey // 20 * 20 + 1 END FROM part""")
 def typ_02_resolved_types(spark, sf_dir):
+    """Chains of halves; and in another module tails that lead into cycles of three (20 to 21 to 22 to 20), entered at 22."""
     k = F.col("p_partkey")
     alias = (k % 3 > 0) & (k > 2)
-    p = table(spark, sf_dir, "part").select(F.lit(0).alias("module_id"), k.alias("declaration_id"), F.when(alias, "type").otherwise("class").alias("sig_kind"), F.expr("p_partkey div 2").alias("upper"), F.lit(None).cast("long").alias("lower"))
-    return resolved_types(p)
+    null = F.lit(None).cast("long")
+    p = table(spark, sf_dir, "part").select(F.lit(0).alias("module_id"), k.alias("declaration_id"), F.when(alias, "type").otherwise("class").alias("sig_kind"), F.expr("p_partkey div 2").alias("upper"), null.alias("lower"))
+    r = k % 20
+    to = F.when(r == 2, k - 2).when(r < 2, k + 1).otherwise(k - 1)
+    whole = table(spark, sf_dir, "part").select(F.lit(1).alias("module_id"), k.alias("declaration_id"), F.lit("type").alias("sig_kind"), to.alias("upper"), null.alias("lower"))
+    return T.resolved_types(p.unionByName(whole))
+
+
+@register("""
+WITH k AS (SELECT c_custkey AS m, CASE c_custkey % 4 WHEN 0 THEN 'p/F1#[scala/Int#]' WHEN 1 THEN 'p/List#[p/Alias#]' WHEN 2 THEN 'p/Alias#' ELSE 'p/Gone#' END AS ref FROM customer)
+SELECT m AS module_id, ref, CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'scala/Function1#[scala/Int#,p/Alias#]' WHEN 'p/Alias#' THEN 'p/T#' ELSE ref END AS resolved,
+  CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'scala/Function1#[scala/Int#,p/T#]' WHEN 'p/List#[p/Alias#]' THEN 'p/List#[p/T#]' WHEN 'p/Alias#' THEN 'p/T#' ELSE ref END AS resolved_full, CASE WHEN ref = 'p/Gone#' THEN ref END AS missing,
+  CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'p/Top#' WHEN 'p/List#[p/Alias#]' THEN 'p/Top#;p/Seq#[p/Alias#];scala/Function1#[scala/Int#,p/Alias#]' END AS parents FROM k""")
+def typ_03_references(spark, sf_dir):
+    """Of each customer as a module: a reference resolved, resolved with its arguments, and all of its parents in order."""
+    d = model(spark, sf_dir).declarations.where("module_id = 1 AND declaration_id IN ('scala/Int#', 'scala/Function1#', 'p/Top#', 'p/T#', 'p/Seq#', 'p/List#', 'p/Alias#', 'p/F1#')").drop("module_id")
+    refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("module_id"), (F.col("c_custkey") % 4).alias("k"))
+    d = refs.select("module_id").crossJoin(F.broadcast(d))  # eight rows
+    ref = F.when(F.col("k") == 0, _ref(("p/F1#", ("scala/Int#",)))).when(F.col("k") == 1, _ref(("p/List#", ("p/Alias#",)))).when(F.col("k") == 2, _ref(("p/Alias#",))).otherwise(_ref(("p/Gone#",)))
+    refs = refs.select("module_id", ref.alias("ref"))
+    up = T.all_parents(d, refs, T.declared_types(d)).groupBy("module_id", "ref").agg(F.array_sort(F.collect_list(F.struct("place", T.as_code(F.col("parent")).alias("code")))).alias("up"))
+    rows = T.resolved_refs(d, refs).withColumnRenamed("resolved", "once").join(T.fully_resolved_refs(d, refs).drop("missing"), ["module_id", "ref"]).join(up, ["module_id", "ref"], "left")
+    rows = rows.withColumnRenamed("resolved", "full").withColumnRenamed("ref", "of")
+    return rows.select("module_id", T.as_code(F.col("of")).alias("ref"), T.as_code(F.col("once")).alias("resolved"), T.as_code(F.col("full")).alias("resolved_full"), "missing", F.array_join(F.col("up.code"), ";").alias("parents"))
+
+
+@register(f"""WITH {DECL_SQL}
+SELECT module_id, declaration_id, 'p/Top#' AS parent_id, 0 AS level FROM d WHERE kind = 'OBJECT' AND part % 11 > 0 UNION ALL SELECT module_id, declaration_id, 'p/Seq#', 0 FROM d WHERE kind = 'OBJECT' AND part % 11 = 0
+UNION ALL SELECT module_id, declaration_id, 'p/F1#', 0 FROM d WHERE kind = 'OBJECT' AND part % 11 = 1 UNION ALL SELECT module_id, declaration_id, 'scala/Function1#', 1 FROM d WHERE kind = 'OBJECT' AND part % 11 = 0""")
+def typ_08_parents_of_objects(spark, sf_dir):
+    d = model(spark, sf_dir).declarations
+    objects = d.where("kind = 'OBJECT'").select("module_id", "declaration_id")
+    return T.grandparent_declarations(d).join(objects, ["module_id", "declaration_id"], "left_semi").select("module_id", "declaration_id", "parent_id", F.col("place.a").alias("level"))
+
+
+@register(f"""WITH {DECL_SQL}
+SELECT module_id, declaration_id, CASE WHEN kind = 'OBJECT' THEN 'class' ELSE 'method' END AS sig_kind, CASE WHEN part % 4 = 1 THEN 1 ELSE 0 END::INTEGER AS type_parameters, CASE WHEN kind = 'DEF' THEN CASE WHEN part % 7 < 3 THEN 2 ELSE 1 END ELSE 0 END::INTEGER AS parameter_lists,
+  CASE kind WHEN 'DEF' THEN CASE part % 11 WHEN 0 THEN 'scala/Unit#' WHEN 1 THEN 'p/UnitAlias#' WHEN 2 THEN 'p/Alias#' WHEN 3 THEN 'p/W#' WHEN 4 THEN 'p/Box#' ELSE 'p/T#' END
+    WHEN 'VAL' THEN CASE part % 11 WHEN 0 THEN 'p/List#' WHEN 1 THEN 'scala/Function1#' WHEN 2 THEN 'p/F1#' WHEN 3 THEN 'p/Proc#' ELSE 'p/T#' END END AS return_id, CASE WHEN kind <> 'OBJECT' THEN 'p/O' || part % 7 || '.' END AS declaring_id FROM d""")
+def typ_09_signature_parts(spark, sf_dir):
+    d = M.signature_parts(model(spark, sf_dir).declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')"))
+    return d.withColumn("type_parameters", F.size("type_parameters")).withColumn("parameter_lists", F.size("parameter_lists"))
+
+
+@register(f"""WITH {DECL_SQL}
+SELECT project_id, module_id, declaration_id, 'y1' AS name, 'p/Box#' AS type_id, NULL AS message FROM d WHERE has_implicit AND part % 7 > 0
+UNION ALL SELECT project_id, module_id, declaration_id, NULL, NULL, 'parameter y1 does not exist' FROM d WHERE NOT (has_implicit AND part % 7 > 0)""")
+def typ_10_parameter_by_name(spark, sf_dir):
+    m = model(spark, sf_dir)
+    wanted = m.declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')").select("module_id", "declaration_id", F.lit("y1").alias("name")).join(m.modules.select("module_id", "project_id"), "module_id")
+    found = M.parameter_declaration(m.declarations, wanted)
+    return found.rows.unionByName(found.problems, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from lodestone.functions import predicates as P
 from lodestone.functions import rstats
 from lodestone.functions import scalars as S
 from lodestone.operators import clones as C
+from lodestone.operators.model import kept_call_sites
 from lodestone.plans import register, table
 from lodestone.plans.clones import BAG_SQL, FILES_SQL, bags, files
 from lodestone.plans.model import DECL_SQL, SITES_SQL, model
@@ -32,20 +33,19 @@ def prd_10_names(spark, sf_dir):
     return d.where(F.col("is_default") & S.is_block_local(F.col("local_id")))
 
 
-@register(f"""WITH {DECL_SQL} SELECT module_id, declaration_id, NOT jar AS in_module, (max((NOT jar)::INT) OVER (PARTITION BY {"'org--r' || o_custkey % 50"}, declaration_id)) = 1 AS in_project FROM d JOIN orders ON o_orderkey = module_id""")
+@register(f"""WITH {DECL_SQL} SELECT module_id, declaration_id, path IN ('src', 'own/classes') AS in_module, path IN ('src', 'own/classes') AS in_project FROM d""")
 def prd_14_local_to_module_or_project(spark, sf_dir):
     m = model(spark, sf_dir)
+    own = m.declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')")
     entries = m.paths.select("module_id", F.col("path").alias("location_path"), F.when(F.col("entry_kind") == "source", True).otherwise(F.col("internal")).alias("inside"))
-    rows = m.declarations.join(entries, ["module_id", "location_path"], "left").join(m.modules.select("module_id", "project_id"), "module_id").select("project_id", "module_id", "declaration_id", F.coalesce("inside", F.lit(False)).alias("in_module"))
+    rows = own.join(entries, ["module_id", "location_path"], "left").join(m.modules.select("module_id", "project_id"), "module_id").select("project_id", "module_id", "declaration_id", F.coalesce("inside", F.lit(False)).alias("in_module"))
     any_of = rows.groupBy("project_id", "declaration_id").agg(F.bool_or("in_module").alias("in_project"))
     return rows.join(any_of, ["project_id", "declaration_id"]).select("module_id", "declaration_id", "in_module", "in_project")
 
 
-@register(f"WITH {SITES_SQL} SELECT module_id, id AS call_site_id FROM sites LEFT JOIN decls d USING (module_id, part) WHERE id > 1 OR d.part IS NOT NULL AND (part % 5 = 0 OR part % 2 = 0)")
+@register(f"WITH {DECL_SQL} SELECT module_id, id AS call_site_id FROM kept")
 def prd_16_kept_call_sites(spark, sf_dir):
-    m = model(spark, sf_dir)
-    marked = m.declarations.select("module_id", "declaration_id", P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists")).alias("implicit"))
-    return m.call_sites.join(marked, ["module_id", "declaration_id"], "left").where(F.col("parent_id").isNotNull() | F.col("implicit")).select("module_id", "call_site_id")
+    return kept_call_sites(model(spark, sf_dir)).select("module_id", "call_site_id")
 
 
 @register("SELECT c_custkey FROM customer WHERE c_nationkey % 4 > 0 AND c_custkey % 3 = 0")
@@ -146,9 +146,9 @@ def agg_02_merged_statistics(spark, sf_dir):
     return reduce(DataFrame.crossJoin, [*parts, l.agg(F.count("*").alias("call_sites"))])  # one row each
 
 
-@register(f"WITH {DECL_SQL} SELECT CASE WHEN part % 4 = 0 THEN 'VAL' ELSE 'DEF' END AS kind, count(*) AS n, count(*) FILTER (part % 5 = 0) AS implicit, count(*) FILTER (part % 2 = 0) AS with_implicit_parameters FROM d GROUP BY 1")
+@register(f"WITH {DECL_SQL} SELECT kind, count(*) AS n, count(*) FILTER (is_implicit) AS implicit, count(*) FILTER (has_implicit) AS with_implicit_parameters FROM d GROUP BY 1")
 def agg_23_forms(spark, sf_dir):
-    d = model(spark, sf_dir).declarations
+    d = model(spark, sf_dir).declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')")
     return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(P.has_property(F.col("properties"), P.IMPLICIT)).alias("implicit"), F.count_if(P.implicit_parameters(F.col("parameter_lists")).isNotNull()).alias("with_implicit_parameters"))
 
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import io
+import itertools
+import posixpath
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from lodestone.operators.lineage import materialise
+
 
 def frames(data: bytes, framing: str = "int32") -> Iterator[bytes]:
     """Messages of a stream: each behind its size, 4 bytes big-endian or a varint. A stream that ends within a
@@ -44,14 +50,28 @@ def framed_messages(spark: SparkSession, path: str, framing: str = "int32") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
+                held, size = [], 0
                 for i, m in enumerate(frames(content, framing)):
-                    yield pd.DataFrame({"path": [name], "ordinal": [i], "message": [m]})
+                    held.append((name, i, m))
+                    size += len(m)
+                    if size > 16 << 20:
+                        yield pd.DataFrame(held, columns=["path", "ordinal", "message"])
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=["path", "ordinal", "message"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
 
 
 def first_message(spark: SparkSession, path: str, framing: str = "int32") -> DataFrame:
-    return framed_messages(spark, path, framing).where("ordinal = 0")
+    """(path, ordinal, message) of each file's first message; the rest of the file isn't read as messages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first = [(name, 0, m) for name, content in zip(pdf["path"], pdf["content"]) for m in itertools.islice(frames(content, framing), 1)]
+            yield pd.DataFrame(first, columns=["path", "ordinal", "message"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
 
 
 def typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, header: bool = True) -> DataFrame:
@@ -60,19 +80,51 @@ def typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | s
     return df.select(*(F.nullif(F.col(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema))
 
 
+# a quoted field with its escapes, or a bare one; and what ends it
+_FIELD = re.compile(r'(?:"((?:\\.|[^"\\\n])*)"?|([^,\n]*))(,|\n|\Z)', re.S)
+_DECODED = {"b": "\b", "n": "\n", "r": "\r", "t": "\t", "z": "\x1a"}
+
+
+def backslash_rows(text: str, decode: bool = False) -> Iterator[list[str]]:
+    """Rows of a text in one scan: within quotes a backslash makes what follows, a line end too, part of the field, decode: `\\b \\n \\r \\t \\z`
+    what they stand for. A quoted field that a line leaves open ends with it."""
+    one = (lambda m: _DECODED.get(m[1], m[1])) if decode else (lambda m: m[1])
+    at, row = 0, []
+    while at < len(text):
+        m = _FIELD.match(text, at)
+        if not m:
+            raise ValueError(f"text between a field and its end at {at}")
+        row.append(m[2] if m[1] is None else re.sub(r"(?s)\\(.)", one, m[1]))
+        if m[3] != ",":
+            yield row
+            row = []
+        elif m.end() == len(text):
+            row.append("")
+        at = m.end()
+    if row:
+        yield row
+
+
 def backslash_csv(spark: SparkSession, path: str, schema: StructType | str, decode: bool = False) -> DataFrame:
-    """A backslash makes the next character, line ends too, part of a quoted field. decode: \\b \\n \\r \\t too
-    are what they stand for."""
-    df = spark.read.csv(path, schema=schema, header=False, quote='"', escape="\\", multiLine=True)
-    if not decode:
-        return df
-    for f in df.schema:
-        if isinstance(f.dataType, StringType):
-            c = F.col(f.name)
-            for a, b in (("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-                c = F.replace(c, F.lit(a), F.lit(b))
-            df = df.withColumn(f.name, c)
-    return df
+    """Files in the dialect of backslash_rows(), a file a task, as with any CSV whose fields hold line ends. Fields that aren't of their type, and
+    missing ones, are null."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["value"]:
+                rows = list(backslash_rows(text, decode))
+                for i in range(0, len(rows), 10_000):
+                    yield pd.DataFrame({"row": rows[i : i + 10_000]})
+
+    rows = spark.read.text(path, wholetext=True).mapInPandas(run, "row array<string>")
+    return rows.select(*(F.get("row", i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of each line."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def project_csvs(spark: SparkSession, root: str, rel_path: str, schema: StructType | str) -> DataFrame:
@@ -91,30 +143,68 @@ def log_tails(spark: SparkSession, path: str, lines: int = 20) -> DataFrame:
 
 
 def compiled_documents(spark: SparkSession, root: str, suffix: str = ".semanticdb", skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, entry, content) of the files with the suffix below root, and of those in jars there, entries by lower-case
-    name. Paths with a skipped directory name are left out."""
+    """(path, entry, content) of the files with the suffix below root, and of those in jars there and in jars that the manifests
+    of these name in Class-Path, from wherever, entries by lower-case name. Paths with a skipped directory name are left out.
+
+    Jars are read a round at a time until none names a new one that exists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 if path.endswith(suffix):
-                    yield pd.DataFrame({"path": [path], "entry": [None], "content": [content]})
+                    yield pd.DataFrame({"path": [path], "entry": [None], "content": [content], "names": [None]})
                 elif path.endswith(".jar"):
                     with zipfile.ZipFile(io.BytesIO(content)) as jar:
-                        for name in sorted((n for n in jar.namelist() if n.endswith(suffix)), key=str.lower):
-                            yield pd.DataFrame({"path": [path], "entry": [name], "content": [jar.read(name)]})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+                        names = jar.namelist()
+                        for name in sorted((n for n in names if n.endswith(suffix)), key=str.lower):
+                            yield pd.DataFrame({"path": [path], "entry": [name], "content": [jar.read(name)], "names": [None]})
+                        manifest = jar.read("META-INF/MANIFEST.MF").decode() if "META-INF/MANIFEST.MF" in names else ""
+                    others = re.search(r"(?m)^Class-Path: *(.*)$", re.sub(r"\r?\n ", "", manifest))
+                    yield pd.DataFrame({"path": [path], "entry": [None], "content": [None], "names": [others[1].split() if others else []]})
+
+    schema = "path string, entry string, content binary, names array<string>"
     parts = F.split("path", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     files = files.where((F.col("path").endswith(suffix) | F.col("path").endswith(".jar")) & ~F.arrays_overlap(parts, F.array(*map(F.lit, skip or ("\0",)))))
-    return files.mapInPandas(run, "path string, entry string, content binary")
-
-
-def feather(spark: SparkSession, path: str) -> DataFrame:
-    """A feather file that fits the driver; tables of any size are Parquet."""
-    from pyarrow import feather as reader
-
-    return spark.createDataFrame(reader.read_table(path))
+    found = rows = materialise(files.mapInPandas(run, schema))
+    seen: set[str] = set()
+    while True:
+        named = rows.where("names IS NOT NULL").select("path", F.explode("names").alias("name")).distinct().collect()  # paths of jars, not what they hold
+        seen |= {r.path for r in rows.where("names IS NOT NULL").select("path").distinct().collect()}
+        new = sorted({posixpath.normpath(posixpath.join(posixpath.dirname(r.path.split(":", 1)[-1]), r.name)) for r in named})
+        new = [p for p in new if not any(s.split(":", 1)[-1].lstrip("/") == p.lstrip("/") for s in seen) and _exists(spark, p)]
+        if not new:
+            return found.where("names IS NULL").select("path", "entry", "content")
+        rows = materialise(spark.read.format("binaryFile").load(new).select("path", "content").mapInPandas(run, schema))
+        found = found.unionByName(rows)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def feather(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Feather files, each read where its bytes are, a batch of its rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with pa.ipc.open_file(pa.py_buffer(content.as_py())) as reader:
+                    for i in range(reader.num_record_batches):
+                        yield reader.get_batch(i)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def dated_files(logs: DataFrame) -> DataFrame:
+    """logs: project, value, a log of a repository: lines of a time in seconds, then the files changed then, then an empty line, newest first.
+    (project, path, changed_at) of each file once, at the first place that names it: the newest."""
+    rows = logs.select("project", F.posexplode(F.split("value", "\n\n+")).alias("i", "block"))
+    rows = rows.select("project", "i", F.split(F.trim(F.regexp_replace("block", r"^\n+|\n+$", "")), "\n").alias("lines"))
+    rows = rows.select("project", "i", F.get("lines", 0).try_cast("long").alias("changed_at"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("j", "path"))
+    first = rows.where("changed_at IS NOT NULL AND path <> ''").groupBy("project", "path").agg(F.min_by("changed_at", F.struct("i", "j")).alias("changed_at"))
+    return first.select("project", "path", "changed_at")
 
 
 def decoded_files(spark: SparkSession, path: str) -> DataFrame:

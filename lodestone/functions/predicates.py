@@ -22,6 +22,32 @@ TYPE_PROOFS = ("scala/Predef.`=:=`#", "scala/Predef.`<:<`#")
 MANIFESTS = ("scala/reflect/ClassManifestFactory", "scala/reflect/ManifestFactory")
 
 
+def is_kind(kind: Column, name: str) -> Column:
+    """kind is one of KINDS' names; another name is an error."""
+    if name not in KINDS:
+        raise ValueError(f"no kind of declaration: {name}")
+    return kind == name
+
+
+def signature_field(sig_kind: Column, kind: str, field: Column) -> Column:
+    """A field of a signature; an error at run time if the signature is of another kind."""
+    return F.when(sig_kind == kind, field).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind} signature: "), F.coalesce(sig_kind, F.lit("none")))))
+
+
+def is_top_or_bottom(declaration_id: Column) -> Column:
+    return declaration_id.isin(*TOP_OR_BOTTOM)
+
+
+def of_scope(paths: DataFrame, scope: str) -> DataFrame:
+    """Paths of compile or test scope."""
+    return paths.where(F.col("scope") == scope)
+
+
+def is_from_macro(def_library: Column, declaration_id: Column) -> Column:
+    """Of a call site whose declaration's library isn't known, and that isn't of a manifest."""
+    return def_library.isNull() & ~is_manifest(declaration_id)
+
+
 def has_property(properties: Column, bit: int) -> Column:
     return properties.bitwiseAND(F.lit(bit)) != 0
 

@@ -14,6 +14,11 @@ def encode_bool(c: Column) -> Column:
     return F.upper(c.cast("string"))
 
 
+def encode_enum(number: Column, names: tuple[str, ...]) -> Column:
+    """The name of an enumeration's number, from 0; null for others."""
+    return F.get(F.array(*map(F.lit, names)), number)
+
+
 def encode_position(line: Column, column: Column) -> Column:
     return F.when(line.isNotNull() & column.isNotNull(), F.concat_ws(":", line.cast("string"), column.cast("string")))
 
@@ -128,6 +133,11 @@ def format_percent(c: Column, digits: int = 1) -> Column:
     return F.concat(F.regexp_replace(F.format_number(F.round(c, digits), digits), r"\.0+$", ""), F.lit("%"))
 
 
+def from_epoch(seconds: Column) -> Column:
+    """A time from seconds since 1970."""
+    return F.timestamp_seconds(seconds)
+
+
 def month_index(ts: Column) -> Column:
     """Months since January 1999, by UTC."""
     return (F.year(ts) - 1999) * 12 + F.month(ts) - 1
@@ -301,9 +311,11 @@ PHASES = ("#total compile time", "typer", "xsbt-api", "xsbt-dependency", "xsbt-a
 
 def phase_timing(line: Column, phase: str) -> tuple[Column, Column]:
     """(spans, milliseconds) that a log line gives for a phase; null for other lines."""
-    pattern = rf"^\[info\]\s+{phase}\s+: (\d+) spans,\s*[()]*\s*([0-9.]+)ms.*"
-    hit = line.rlike(pattern)
-    return F.when(hit, F.regexp_extract(line, pattern, 1)).cast("long"), F.when(hit, F.regexp_extract(line, pattern, 2)).cast("double")
+    said = F.split(line, ":", 2)  # the phase, then its numbers, each before its unit
+    label, numbers = F.trim(F.regexp_replace(F.get(said, 0), r"^\[\w+\]", "")), F.get(said, 1)
+    before = lambda unit: F.nullif(F.regexp_extract(numbers, rf"([0-9.]+)\s*{unit}", 1), F.lit(""))
+    hit = line.startswith("[info]") & (label == phase) & before("spans").isNotNull() & before("ms").isNotNull()
+    return F.when(hit, before("spans").try_cast("long")), F.when(hit, before("ms").try_cast("double"))
 
 
 # ---- files (SCL-39..43) ------------------------------------------------------------------------

@@ -81,3 +81,40 @@ def effective_paths(paths: DataFrame) -> DataFrame:
     test = F.col("scope") == "test"
     w = W.partitionBy("module_id", "path").orderBy(test, F.when(test, -F.col("ord")).otherwise(F.col("ord")))
     return paths.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def zero_filled(all_of: DataFrame, counted: DataFrame, on: str) -> DataFrame:
+    """All rows of the one with the columns of the other, 0 where it has none or a null."""
+    return all_of.join(counted, on, "left").na.fill(0)
+
+
+def listed_only(df: DataFrame, listed: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is listed; an error unless each listed key is there."""
+    if not listed.select(on).join(df, on, "left_anti").isEmpty():
+        raise ValueError(f"listed values of {on} are missing")
+    return df.join(listed, on, "left_semi")
+
+
+def first_failures(projects: DataFrame, problems: dict[str, DataFrame], on: str, order: str) -> DataFrame:
+    """Projects with <phase>_cause and <phase>_detail of the first problem of each phase. problems: by phase, the key, order, cause, detail."""
+    for phase, df in problems.items():
+        first = df.groupBy(on).agg(F.min_by(F.struct("cause", "detail"), order).alias("f"))
+        projects = projects.join(first.select(on, F.col("f.cause").alias(f"{phase}_cause"), F.col("f.detail").alias(f"{phase}_detail")), on, "left")
+    return projects
+
+
+def right_wins(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of both by key, the right one's where both have it. Keys are unique in each."""
+    return right.unionByName(left.join(right, on, "left_anti"))
+
+
+def merged_in_order(left: DataFrame, right: DataFrame, on: str, pick: str) -> DataFrame:
+    """Rows of both sorted by key, the greatest `pick` of equal keys."""
+    return left.unionByName(right).groupBy(on).agg(F.max(pick).alias(pick)).orderBy(on)
+
+
+def in_tests(documents: DataFrame, uri: str, paths: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Adds is_test: whether the longest of the paths that the document's uri begins with is a source path of scope test. paths: path, entry_kind,
+    scope and the columns of on."""
+    kinds = paths.select(*(on or []), "path", ((F.col("entry_kind") == "source") & (F.col("scope") == "test")).alias("is_test"))
+    return longest_prefix_join(documents, uri, kinds, "path", on).withColumn("is_test", F.coalesce("is_test", F.lit(False))).drop("path")

@@ -6,6 +6,7 @@ import ctypes
 from ctypes.util import find_library
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,24 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bit_filter(keys: DataFrame, count: int, bits: tuple[int, int]) -> np.ndarray:
+    """A Bloom filter of keys: k, long, about `count` of them; of 2^bits[0] to 2^bits[1] bits, whatever their number."""
+    size = 1 << min(bits[1], max(bits[0], (16 * max(1, count)).bit_length()))
+    at = F.explode(F.array(F.col("k").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("k", 32).bitwiseAND(F.lit(size - 1))))
+    words = keys.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(i & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys (uint64) may be in the filter; false for none that are."""
+    mask, hit = np.uint64(len(bits) * 64 - 1), np.ones(len(keys), bool)
+    for x in (keys & mask, (keys >> np.uint64(32)) & mask):
+        hit &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 def giving_back(run):
     """run, a function of batches, which when it ends gives the memory that its Python worker has freed back to the system: workers
     live on, and what one stage's allocator holds the next one's lacks."""

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, giving_back, id_bucket, materialise, words_of
+from lodestone.llm.common import bit_filter, forget, giving_back, id_bucket, in_filter, materialise, words_of
 
 HELD = (10, 0)
 DEPTH = 4  # words of the longest context
@@ -153,12 +153,7 @@ class Corpus:
         return who[first], where[first]
 
     def may_be(self, depth: int, grams: np.ndarray) -> np.ndarray:
-        bits = self.filters[depth - 2]
-        mask = np.uint64(len(bits) * 64 - 1)
-        hit = np.ones(len(grams), bool)
-        for x in (grams & mask, (grams >> np.uint64(32)) & mask):
-            hit &= (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-        return hit
+        return in_filter(self.filters[depth - 2], grams)
 
 
 # ---- blocks ------------------------------------------------------------------------------------
@@ -286,17 +281,6 @@ def entries_of(b: Block, corpus: Corpus) -> Entries:
 # ---- the exchanges -----------------------------------------------------------------------------
 
 
-def _bits(contexts: DataFrame, count: int) -> np.ndarray:
-    """Bloom filter of the contexts, a bounded number of rows to the driver."""
-    low, high = FILTER_BITS
-    size = 1 << min(high, max(low, (16 * max(1, count)).bit_length()))
-    at = F.explode(F.array(F.col("state").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("state", 32).bitwiseAND(F.lit(size - 1))))
-    found = contexts.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(i & 63 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
 SALTED, ADMITTED = -1, -2  # rows for no block
 
 
@@ -393,7 +377,7 @@ def _contexts(blocks: DataFrame, corpus: Corpus, words: DataFrame) -> list[DataF
         n = level.count()
         if not n:
             break
-        corpus.filters = [*corpus.filters, _bits(level, n)]
+        corpus.filters = [*corpus.filters, bit_filter(level.select(F.col("state").alias("k")), n, FILTER_BITS)]
         if depth == 2:  # pairs that make up more than a part's share, fewer than parts
             hot = sorted((r.state & ((1 << 64) - 1), r.before, r.n) for r in level.where(F.col("n") * corpus.parts > corpus.total).collect())
             corpus.pairs = np.array([s for s, *_ in hot], np.uint64)

@@ -11,6 +11,7 @@ that no set of fingerprints compared with each other exceeds 2048, whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, forget, fraction_of, free_names, giving_back, materialise, words_of
+from lodestone.llm.common import bit_filter, components, forget, fraction_of, free_names, giving_back, in_filter, materialise, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -30,6 +31,9 @@ LEVELS = 3
 WORDS = 5
 SAMPLE = 20_000  # documents, about, that common shingles are told from
 COMMON = 200_000
+CROWD = 8  # documents that a shingle may be looked up by, beyond which it comes after others
+FILTER_BITS = (12, 26)  # log2 of the size of the filter of those
+HUBS = 4
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -168,36 +172,58 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * shared >= 4 * (len(a) + len(b))
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of documents, sorted, and how often they are there. They only
-    order shingles, so that what is missed costs time, no pair. texts: k1, text."""
-    share = SAMPLE / max(1, texts.count())
+@dataclass
+class Order:
+    """Of shingles: those few documents have first, so that what documents are looked up by is rare. Any order will do for finding all pairs;
+    a bad one costs time."""
+
+    known: np.ndarray  # shingles that are common in a sample, sorted
+    often: np.ndarray  # how often they are there
+    crowded: np.ndarray | None = None  # filter of those that over CROWD documents were looked up by
+
+    def first(self, h: np.ndarray) -> np.ndarray:
+        """Of a document's shingles, sorted: as many as two sets of similarity 4/5 can't both have apart."""
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        rank = np.where(self.known[at] == h, self.often[at], 0) if len(self.known) else np.zeros(len(h), np.int64)
+        if self.crowded is not None:
+            rank = np.maximum(rank, in_filter(self.crowded, h.view(np.uint64)))
+        return h[np.argsort(rank, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
+
+
+def _counts(texts: DataFrame, shingles) -> DataFrame:
+    """(h, n): in how many of the texts each shingle is, of those that a function picks of a text's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingles_of, pdf["text"])]), return_counts=True)
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(shingles_of(t)) for t in pdf["text"])]), return_counts=True)
             yield pd.DataFrame({"h": h, "n": n})
 
-    counts = texts.where(fraction_of("k1", "shingles") < share).select("text").mapInPandas(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInPandas(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _order(texts: DataFrame) -> Order:
+    """The order for the texts (k1, text): common shingles by a sample, then those that turn out crowded when all texts are looked up so."""
+    share = SAMPLE / max(1, texts.count())
+    counts = _counts(texts.where(fraction_of("k1", "shingles") < share), lambda h: h)
     rows = sorted((r.h, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())
-    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+    order = Order(np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64))
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+    crowded = materialise(_counts(texts, lambda h: shared.value.first(h)).where(F.col("n") > CROWD).select(F.col("h").alias("k")))
+    out = Order(order.known, order.often, bit_filter(crowded, crowded.count(), FILTER_BITS))
+    forget(crowded)
+    return out
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """texts: k1, k2, doc_id, text. Without text, with fp, a hash of the shingles, n, their number, the packed set, and the first ones in
-    an order that has common ones last: as many as two sets of similarity 4/5 can't both have apart."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts))
+    """texts: k1, k2, doc_id, text. Without text, with fp, a hash of the shingles, n, their number, the packed set, and the first ones in order."""
+    order = texts.sparkSession.sparkContext.broadcast(_order(texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, often = common.value
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
                 h = shingles_of(text)
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                rank = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                first = h[np.argsort(rank, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
-                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), first, packed(h)))
+                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), order.value.first(h), packed(h)))
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
             yield pdf[["k1", "k2", "doc_id"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows], set=[r[3] for r in rows])
 
@@ -220,27 +246,45 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(giving_back(run), "a long, b long")
 
 
-def similar_links(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """reps: fp, n, first; sets: fp, set. (a, b): enough of the pairs of distinct sets within similarity 4/5 to connect
-    all that they connect.
+FITS = "5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups: fp, g. The groups that links (a, b) join are one."""
+    edges = links.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").select("ga", "gb").where("ga <> gb")
+    names = components(edges, "ga", "gb").toDF("g", "to")
+    return groups.join(names, "g", "left").select("fp", F.coalesce("to", "g").alias("g"))
 
-    Such sets share one of their first shingles, at places that leave enough behind them. Each set is first
-    compared with one other of each shingle, then with the others that this hasn't connected it to.
+
+def similar_groups(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """reps: fp, n, first; sets: fp, set. (fp, g): sets that pairs of similarity 4/5 or more connect have one g.
+
+    Such pairs share one of their first shingles, at places that leave enough behind them. Of the sets that share one, all are compared with one,
+    a hub; then with another those that aren't in its group yet, and so on; in the end, so that nothing is missed, those of
+    different groups with each other.
     """
     rows = reps.select("fp", "n", F.posexplode("first").alias("i", "h"))
-    met = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("m")).where("c > 1").drop("c")
+    met = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     rows = materialise(rows.join(met, "h"))
-    x, y = rows.select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "m"), rows.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    fits = "a <> b AND 5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
     held = materialise(sets.join(rows.select("fp").distinct(), "fp", "left_semi"))
-    near = materialise(_similar(x.where("a = m").join(y, "h").where(fits).select("a", "b").distinct(), held))
-    groups = materialise(components(near, "a", "b"))
-    x = x.join(groups.toDF("a", "ga"), "a", "left").withColumn("ga", F.coalesce("ga", "a"))
-    y = y.join(groups.toDF("b", "gb"), "b", "left").withColumn("gb", F.coalesce("gb", "b"))
-    rest = x.join(y, "h").where(f"ga < gb AND {fits}").select("a", "b").distinct()
-    found = materialise(near.unionByName(_similar(rest, held)))
-    forget(rows, held, near, groups)
-    return found
+    groups = materialise(rows.select("fp", F.col("fp").alias("g")).distinct())
+    for turn in range(HUBS):
+        named = rows.join(groups, "fp")
+        hub = named.groupBy("h").agg(F.min_by(F.struct("fp", "n", "i", "g"), F.xxhash64("fp", F.lit(turn))).alias("hub"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h", "hub")
+        pairs = named.join(hub, "h").where("g <> hub.g").select(F.col("hub.fp").alias("a"), "fp", F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.i").alias("ia"), F.col("i").alias("ib"))
+        links = materialise(_similar(pairs.where(FITS).select("a", F.col("fp").alias("b")).distinct(), held))
+        if links.isEmpty():
+            break
+        last, groups = groups, materialise(_joined(groups, links))
+        forget(last, links)
+    named = rows.join(groups, "fp")
+    split = named.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
+    named = materialise(named.join(split, "h"))
+    x, y = (named.select("h", F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("g").alias(f"g{s}")) for s in "ab")
+    rest = x.join(y, "h").where(f"ga < gb AND {FITS}").select("a", "b").distinct()
+    out = materialise(_joined(groups, materialise(_similar(rest, held))))
+    forget(rows, held, named, groups)
+    return out
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
@@ -259,9 +303,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     reps = materialise(reps.select("fp", "best", "n", "first"))
     chosen = reps.select("fp", F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
     sets = table.select("k1", "k2", "fp", "set").join(chosen, ["k1", "k2", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "set")
-    groups = components(similar_links(reps.select("fp", "n", "first"), sets), "a", "b").withColumnRenamed("node", "fp")
-    groups = reps.select("fp", "best").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = groups.groupBy("component").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
+    groups = reps.select("fp", "best").join(similar_groups(reps.select("fp", "n", "first"), sets), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
+    best = groups.groupBy("g").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
     copies = table.groupBy("k1", "k2").count().where("count > 1").drop("count")
     best = materialise(best.join(copies.withColumn("copies", F.lit(True)), ["k1", "k2"], "left"))
     forget(table, reps)

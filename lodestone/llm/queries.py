@@ -75,6 +75,13 @@ QUERIES = {
 SQL_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES = {
+    "op1_itq": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding :: DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS i, vec_id AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT i, min(j) AS component_id FROM r GROUP BY i), n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT v.vec_id, coalesce(n.n, 0) :: BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.i = v.vec_id LEFT JOIN n ON n.i = v.vec_id""",
     "op2_mixing": f"""
 WITH d AS (SELECT doc_id, source, {SQL_WORDS} :: BIGINT AS size, md5('mix:' || coalesce(doc_id :: VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size) :: BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from lodestone.plans import aggregates, analysis, clones, joins, model, more, scalars  # noqa: F401
+    from lodestone.plans import aggregates, analysis, clones, files, joins, model, more, scalars  # noqa: F401
 
     return dict(QUERIES)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rstats
 from lodestone.functions import scalars as S
+from lodestone.operators import joins
+from lodestone.operators import summaries as Y
 from lodestone.plans import register, table
 
 MONTH_SQL = "(year(o_orderdate) - 1999) * 12 + month(o_orderdate) - 1"
@@ -43,10 +45,18 @@ def scl_17_outliers(spark, sf_dir):
     return rstats.with_outliers(table(spark, sf_dir, "customer"), "c_acctbal", ["c_nationkey"]).select("c_custkey", "is_outlier")
 
 
-@register("SELECT l_returnflag, coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0)::DOUBLE AS F, coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0)::DOUBLE AS O, sum(l_quantity)::DOUBLE AS total FROM lineitem GROUP BY l_returnflag")
+@register("""
+WITH p AS (SELECT l_suppkey AS project_id, l_partkey AS path, CASE WHEN l_returnflag = 'N' THEN 'test' ELSE 'compile' END AS scope, l_linestatus = 'F' AS managed, CASE WHEN l_linenumber < 7 THEN l_quantity END AS code,
+  row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag = 'N', l_linestatus ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate, coalesce(CASE WHEN l_linenumber < 7 THEN l_quantity END, -1)) AS k FROM lineitem),
+f AS (SELECT project_id, scope, managed, coalesce(code, 0) AS code FROM p WHERE k = 1), s AS (SELECT project_id, coalesce(sum(code) FILTER (scope = 'test' AND managed), 0)::DOUBLE AS tm, coalesce(sum(code) FILTER (scope = 'test' AND NOT managed), 0)::DOUBLE AS tu,
+  coalesce(sum(code) FILTER (scope = 'compile' AND managed), 0)::DOUBLE AS cm, coalesce(sum(code) FILTER (scope = 'compile' AND NOT managed), 0)::DOUBLE AS cu FROM f GROUP BY project_id)
+SELECT project_id, tm AS code_test_managed, tm + tu AS code_test, cm AS code_compile_managed, cm + cu AS code_compile, tm + tu + cm + cu AS code FROM s""")
 def agg_08_pivot(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).sum("l_quantity").na.fill(0)
-    return p.withColumn("total", F.col("F") + F.col("O"))
+    l = table(spark, sf_dir, "lineitem")
+    code = F.when(F.col("l_linenumber") < 7, F.col("l_quantity"))
+    order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", F.coalesce(code, F.lit(-1.0)).alias("c"))
+    paths = l.select(F.col("l_suppkey").alias("project_id"), F.col("l_partkey").alias("path"), F.when(F.col("l_returnflag") == "N", "test").otherwise("compile").alias("scope"), (F.col("l_linestatus") == "F").alias("managed"), code.alias("code"), order.alias("ord"))
+    return Y.code_by_scope(paths)
 
 
 STATUS_SQL = "CASE WHEN x = 0 THEN 'success' WHEN x = -1 THEN 'not_run' WHEN x = 1 THEN 'failed' WHEN x >= 130 THEN 'timed_out' END"
@@ -59,41 +69,37 @@ FROM s GROUP BY phase""")
 def agg_12_phase_status(spark, sf_dir):
     k = F.col("user_id") % 5
     x = F.when(k == 0, 0).when(k == 1, -1).when(k == 2, 1).when(k == 3, 137).otherwise(7)
-    status = F.when(F.col("x") == 0, "success").when(F.col("x") == -1, "not_run").when(F.col("x") == 1, "failed").when(F.col("x") >= 130, "timed_out")
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), x.alias("x")).withColumn("status", status)
-    return e.groupBy("phase").agg(F.count("*").alias("all"), *(F.count_if(F.col("status") == s).alias(s) for s in ("success", "not_run", "failed", "timed_out")))
+    return Y.phase_status(table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), x.alias("x")), "phase", "x")
 
 
 @register("SELECT 'orders' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'price', round(sum(o_totalprice), 0) FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders")
 def agg_13_unpivoted_totals(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").agg(F.count("*").cast("double").alias("orders"), F.round(F.sum("o_totalprice"), 0).alias("price"), F.countDistinct("o_custkey").cast("double").alias("customers"))
-    return o.unpivot([], ["orders", "price", "customers"], "metric", "value")
+    return Y.totals(table(spark, sf_dir, "orders"), {"orders": F.count("*"), "price": F.round(F.sum("o_totalprice"), 0), "customers": F.countDistinct("o_custkey")})
 
 
 @register("SELECT p_type AS type, count(DISTINCT l_suppkey) AS n_projects FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def agg_22_projects_per_type(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return d.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("type")).agg(F.countDistinct("l_suppkey").alias("n_projects"))
+    d = d.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("type")), "l_partkey")
+    return Y.projects_with(d, "type", "l_suppkey")
 
 
 @register("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id), (event_type), (user_id, event_type))")
 def agg_20_counts_by_grouping_sets(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return e.groupingSets([[F.col("user_id")], [F.col("event_type")], [F.col("user_id"), F.col("event_type")]], "user_id", "event_type").agg(F.count("*").alias("n"))
+    return Y.counts_by_sets(table(spark, sf_dir, "events"), [["user_id"], ["event_type"], ["user_id", "event_type"]])
 
 
 @register("""SELECT c_mktsegment AS segment, count(*) AS n, sum(c_acctbal) AS balance, 'all' AS step FROM customer GROUP BY ALL
 UNION ALL SELECT c_mktsegment, count(*), sum(c_acctbal), 'solvent' FROM customer WHERE c_acctbal > 0 GROUP BY ALL""")
 def agg_18_funnel(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    step = lambda d, s: d.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance")).withColumn("step", F.lit(s))
-    return step(c, "all").unionByName(step(c.where("c_acctbal > 0"), "solvent"))
+    return Y.funnel([("all", c), ("solvent", c.where("c_acctbal > 0"))], "c_mktsegment", "segment", {"balance": "c_acctbal"})
 
 
 @register("SELECT coalesce(nullif(o_orderpriority, '5-LOW'), 'unknown') AS build_system, count(*) AS n FROM orders GROUP BY 1")
 def agg_16_breakdown(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.coalesce(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("unknown")).alias("build_system")).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.nullif("o_orderpriority", F.lit("5-LOW")).alias("b"))
+    return Y.breakdown(o, "b", "build_system", "unknown")
 
 
 @register("""
@@ -107,7 +113,7 @@ def agg_07_sloc_of_first_rows(spark, sf_dir):
 
 @register("SELECT user_id, count(*) AS n, arg_min(event_type, (ts, event_id)) AS first_cause FROM events GROUP BY user_id")
 def agg_09_first_of_group(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_cause"))
+    return Y.first_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], {"first_cause": "event_type"})
 
 
 @register("WITH r AS (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) SELECT p_partkey, p_size FROM r WHERE r <= 20")
@@ -122,19 +128,17 @@ def win_02_first_per_key(spark, sf_dir):
 
 @register("SELECT user_id, arg_min(event_id, (ts, event_id)) AS oldest FROM events GROUP BY user_id")
 def win_04_oldest_in_group(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("oldest"))
+    return Y.first_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], {"oldest": "event_id"}).drop("n")
 
 
 @register("WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest FROM orders GROUP BY o_custkey")
 def win_06_best_per_key(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("largest"))
+    return Y.first_by(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_totalprice", "o_orderkey"], {"largest": "o_orderkey"}, last=True).drop("n")
 
 
 @register("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events")
 def win_08_previous(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return table(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id")).alias("previous"))
+    return rstats.with_previous(table(spark, sf_dir, "events"), ["user_id"], "event_id", "previous").select("event_id", "previous")
 
 
 TOP_SQL = "SELECT p_partkey FROM (SELECT p_partkey, rank() OVER (ORDER BY {0} DESC) AS r FROM part) WHERE r <= 50"
@@ -162,9 +166,8 @@ def set_01_union_distinct(spark, sf_dir):
 FULL JOIN (SELECT p_partkey AS k, p_size + 1000 AS v FROM part WHERE p_size > 20) b USING (k)""")
 def set_03_right_wins(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    a = p.where("p_size < 30").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"), F.lit(0).alias("o"))
-    b = p.where("p_size > 20").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 1000).alias("v"), F.lit(1).alias("o"))
-    return a.union(b).groupBy("k").agg(F.max_by("v", "o").alias("v"))
+    a = p.where("p_size < 30").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    return joins.right_wins(a, p.where("p_size > 20").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 1000).alias("v")), "k")
 
 
 @register("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins as J
@@ -57,29 +58,45 @@ def joi_12_semi(spark, sf_dir):
 @register("SELECT c_custkey, coalesce(n, 0) AS n, coalesce(total, 0)::DOUBLE AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
 def joi_16_all_of_the_corpus(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").na.fill(0)
+    return J.zero_filled(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
 
 
-@register("SELECT l_orderkey, l_linenumber, 'missing part' AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+@register("SELECT l_partkey, 'missing part' AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
 def joi_01_lookup_errors(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "key")
-    p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("key"))
-    return l.join(p, "key", "left_anti").select("l_orderkey", "l_linenumber", F.lit("missing part").alias("message"))
+    p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    return J.lookup(table(spark, sf_dir, "lineitem"), p, ["l_partkey"], "part")[1]
 
 
 @register("""
-WITH p AS (SELECT l_orderkey AS module_id, l_partkey % 7 AS path, CASE WHEN l_returnflag = 'N' THEN 'test' ELSE 'compile' END AS scope, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
+WITH p AS (SELECT l_orderkey AS module_id, l_partkey % 7 AS path, CASE WHEN l_returnflag = 'N' THEN 'test' ELSE 'compile' END AS scope, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)::INTEGER AS ord FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY module_id, path ORDER BY scope = 'test', CASE WHEN scope = 'test' THEN -ord ELSE ord END) AS n FROM p)
-SELECT module_id, path, scope FROM k WHERE n = 1""")
+SELECT module_id, path, scope, ord FROM k WHERE n = 1""")
 def win_05_effective_paths(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    test = F.col("l_returnflag") == "N"
-    p = l.select(F.col("l_orderkey").alias("module_id"), (F.col("l_partkey") % 7).alias("path"), F.when(test, "test").otherwise("compile").alias("scope"), order.alias("ord"))
-    g = p.groupBy("module_id", "path").agg(F.count_if(F.col("scope") != "test").alias("n"))
-    return g.select("module_id", "path", F.when(F.col("n") > 0, "compile").otherwise("test").alias("scope"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    ord_ = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order))
+    scope = F.when(F.col("l_returnflag") == "N", "test").otherwise("compile")
+    return J.effective_paths(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("module_id"), (F.col("l_partkey") % 7).alias("path"), scope.alias("scope"), ord_.alias("ord")))
 
 
 @register("SELECT r_name, n_regionkey, count(*) AS n FROM region CROSS JOIN nation GROUP BY ALL")
 def src_14_cross_product(spark, sf_dir):
     return F.broadcast(table(spark, sf_dir, "region").select("r_name")).crossJoin(table(spark, sf_dir, "nation").select("n_regionkey")).groupBy("r_name", "n_regionkey").agg(F.count("*").alias("n"))
+
+
+@register("""
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^?#]*') AS uri FROM pages), x AS (SELECT DISTINCT regexp_extract(uri, '^[a-z]+://[^/]*') AS path FROM u WHERE uri <> ''),
+k AS (SELECT path, length(path) % 2 = 0 AS source, length(path) % 3 = 0 AS test FROM x WHERE path <> '')
+SELECT page_id, coalesce(source AND test, false) AS is_test FROM u LEFT JOIN k ON starts_with(uri, path) AND NOT EXISTS (SELECT 1 FROM k z WHERE starts_with(uri, z.path) AND length(z.path) > length(k.path))""")
+def joi_06_documents_in_tests(spark, sf_dir):
+    u = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^?#]*", 0).alias("uri"))
+    paths = u.select(F.regexp_extract("uri", "^[a-z]+://[^/]*", 0).alias("path")).where("path <> ''").distinct()
+    n = F.length("path")
+    paths = paths.select("path", F.when(n % 2 == 0, "source").otherwise("class").alias("entry_kind"), F.when(n % 3 == 0, "test").otherwise("compile").alias("scope"))
+    return J.in_tests(u, "uri", paths).select("page_id", "is_test")
+
+
+@register("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def joi_12_listed_only(spark, sf_dir):
+    """Orders of the listed customers, each of whom must have one."""
+    listed = table(spark, sf_dir, "orders").select("o_custkey").distinct().join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return J.listed_only(table(spark, sf_dir, "orders"), listed, "o_custkey").select("o_orderkey", "o_custkey")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions import rstats
 from lodestone.functions import scalars as S
 from lodestone.operators import clones as C
+from lodestone.operators import joins as J
+from lodestone.operators import summaries as Y
 from lodestone.operators.model import kept_call_sites
 from lodestone.plans import register, table
 from lodestone.plans.clones import BAG_SQL, FILES_SQL, bags, files
@@ -106,20 +105,19 @@ def joi_04_parents_of_call_sites(spark, sf_dir):
     return s.join(up, ["module_id", "parent_id"]).select("module_id", "call_site_id", "parent_name")
 
 
-@register("""SELECT c_custkey, f.d AS f_detail, o.d AS o_detail, p.d AS p_detail FROM customer
-LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = c_custkey
-LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = c_custkey
-LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) p ON p.o_custkey = c_custkey""")
+@register("""SELECT c_custkey, f.c AS f_cause, f.d AS f_detail, o.c AS o_cause, o.d AS o_detail, p.c AS p_cause, p.d AS p_detail FROM customer
+LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS c, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = c_custkey
+LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS c, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = c_custkey
+LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS c, min(o_orderkey) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) p ON p.o_custkey = c_custkey""")
 def joi_11_first_failure_by_phase(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    firsts = o.groupBy("c_custkey").agg(*(F.min(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey"))).alias(f"{s.lower()}_detail") for s in "FOP"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(firsts, "c_custkey", "left")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("cause"), F.col("o_orderkey").alias("detail"))
+    return J.first_failures(table(spark, sf_dir, "customer").select("c_custkey"), {s.lower(): o.where(F.col("o_orderstatus") == s) for s in "FOP"}, "c_custkey", "o_orderkey")
 
 
 @register("SELECT c_custkey, count(o_orderkey) AS commits FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1")
 def joi_29_commits_zero_filled(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("commits"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").na.fill(0)
+    return J.zero_filled(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
 
 
 @register(f"WITH f AS ({FILES_SQL}), h AS (SELECT hash FROM f GROUP BY hash HAVING count(*) > 1) SELECT f.file_id, f.project FROM f WHERE hash IN (SELECT hash FROM h)")
@@ -136,14 +134,12 @@ def joi_22_removed_duplicates(spark, sf_dir):
 
 @register(f"WITH v AS (SELECT {VERSION_SQL} AS version FROM orders) SELECT version, count(*) AS n FROM v GROUP BY version")
 def agg_17_version_breakdown(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(versions().alias("version")).agg(F.count("*").alias("n"))
+    return Y.breakdown(table(spark, sf_dir, "orders").select(versions().alias("v")), "v", "version")
 
 
 @register("SELECT count(DISTINCT l_suppkey) AS projects, count(DISTINCT l_orderkey) AS modules, count(*) AS call_sites FROM lineitem")
 def agg_02_merged_statistics(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    parts = [l.select(c).distinct().agg(F.count("*").alias(n)) for c, n in (("l_suppkey", "projects"), ("l_orderkey", "modules"))]
-    return reduce(DataFrame.crossJoin, [*parts, l.agg(F.count("*").alias("call_sites"))])  # one row each
+    return Y.corpus_sizes(table(spark, sf_dir, "lineitem"), {"projects": "l_suppkey", "modules": "l_orderkey"}, "call_sites")
 
 
 @register(f"WITH {DECL_SQL} SELECT kind, count(*) AS n, count(*) FILTER (is_implicit) AS implicit, count(*) FILTER (has_implicit) AS with_implicit_parameters FROM d GROUP BY 1")
@@ -173,14 +169,13 @@ def agg_32_full_clones(spark, sf_dir):
 @register("SELECT user_id AS path, max(ts) AS changed_at, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def win_07_newest_per_path(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("changed_at"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return Y.first_by(e, ["user_id"], ["ts", "event_id"], {"changed_at": "ts", "newest": "event_id"}, last=True).select(F.col("user_id").alias("path"), "changed_at", F.col("newest").alias("event_id"))
 
 
 @register("SELECT id, max(v) AS v FROM (SELECT p_partkey AS id, p_size AS v FROM part UNION ALL SELECT s_suppkey, s_nationkey FROM supplier) GROUP BY id ORDER BY id")
 def srt_03_merged_in_order(spark, sf_dir):
     a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("v"))
-    return a.unionByName(b).groupBy("id").agg(F.max("v").alias("v")).orderBy("id")
+    return J.merged_in_order(a, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("v")), "id", "v")
 
 
 @register("SELECT p_partkey AS id, p_brand AS name, NULL::DOUBLE AS balance FROM part UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -206,13 +201,85 @@ def scl_21_access_flags(spark, sf_dir):
 
 
 @register("""WITH n AS (SELECT o_orderstatus AS status, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1)
-SELECT status, format('{:,}', n) AS shown FROM n""")
+SELECT status, format('{:,}', n) AS shown, regexp_replace(printf('%.1f', round(p, 1)), '[.]0+$', '') || '%' AS share FROM n""")
 def scl_25_formatted_counts(spark, sf_dir):
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-    return n.select("status", S.format_count(F.col("n")).alias("shown"))
+    total = n.agg(F.sum("n").alias("all"))
+    n = n.crossJoin(F.broadcast(total))  # one row
+    return n.select("status", S.format_count(F.col("n")).alias("shown"), S.format_percent(F.col("n") * 100.0 / F.col("all")).alias("share"))
 
 
-@register(None)
+@register("""WITH o AS (SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS price FROM orders GROUP BY 1)
+SELECT 'orders' AS key, sum(orders)::DOUBLE AS sum, count(*) AS n, avg(orders) AS mean, median(orders)::DOUBLE AS median, stddev_samp(orders) AS sd, min(orders)::DOUBLE AS min, max(orders)::DOUBLE AS max FROM o
+UNION ALL SELECT 'price', sum(price), count(*), avg(price), median(price), stddev_samp(price), min(price), max(price) FROM o""")
 def agg_15_overview(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("price"))
     return rstats.make_stats([rstats.add_num(o, c, c) for c in ("orders", "price")])
+
+
+@register(f"WITH f AS ({FILES_SQL}), g AS (SELECT hash, min(file_id) AS group_id FROM f GROUP BY hash HAVING count(*) > 1) SELECT file_id, group_id FROM f JOIN g USING (hash)")
+def joi_28_group_memberships(spark, sf_dir):
+    return C.memberships(files(spark, sf_dir), "hash")
+
+
+@register(f"""WITH {DECL_SQL} SELECT module_id, declaration_id, kind = 'DEF' AS is_method, kind = 'VAL' AS is_val, kind = 'OBJECT' AS is_object, false AS is_class, uri = 'A.scala' OR uri = 'T.scala' AS is_local, false AS is_top, CASE WHEN kind <> 'OBJECT' THEN part % 7 < 3 AND kind = 'DEF' ELSE NULL END AS implicit_list FROM d
+UNION ALL SELECT o_orderkey, 'p/W#', false, false, false, true, true, false, NULL FROM orders UNION ALL SELECT o_orderkey, 'p/Top#', false, false, false, true, true, false, NULL FROM orders""")
+def prd_03_kinds_and_signatures(spark, sf_dir):
+    d = model(spark, sf_dir).declarations.where("kind IN ('DEF', 'VAL', 'OBJECT') OR declaration_id IN ('p/W#', 'p/Top#')")
+    last = P.implicit_parameters(P.signature_field(F.col("sig_kind"), "method", F.col("parameter_lists")))
+    kinds = {"is_method": "DEF", "is_val": "VAL", "is_object": "OBJECT", "is_class": "CLASS"}
+    return d.select("module_id", "declaration_id", *(P.is_kind(F.col("kind"), k).alias(n) for n, k in kinds.items()), P.is_project_local(F.col("location_uri")).alias("is_local"), P.is_top_or_bottom(F.col("declaration_id")).alias("is_top"), F.when(F.col("sig_kind") == "method", last.isNotNull()).alias("implicit_list"))
+
+
+@register("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'scala/Any#' WHEN 1 THEN 'scala/Nothing#' WHEN 2 THEN 'scala/Int#' ELSE 'scala/AnyRef#' END AS id, event_id % 4 <> 2 AS top FROM events")
+def prd_12_top_or_bottom(spark, sf_dir):
+    k = F.col("event_id") % 4
+    ident = F.when(k == 0, "scala/Any#").when(k == 1, "scala/Nothing#").when(k == 2, "scala/Int#").otherwise("scala/AnyRef#")
+    return table(spark, sf_dir, "events").select("event_id", ident.alias("id"), P.is_top_or_bottom(ident).alias("top"))
+
+
+@register("SELECT o_orderkey AS module_id, unnest(['src', 'own/classes']) AS path, 'compile' AS scope FROM orders UNION ALL SELECT o_orderkey, '../lib.jar', 'test' FROM orders")
+def prd_17_paths_by_scope(spark, sf_dir):
+    paths = model(spark, sf_dir).paths.select("module_id", "path", "scope")
+    return P.of_scope(paths, "compile").unionByName(P.of_scope(paths, "test"))
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 4 > 0")
+def prd_22_final_corpus(spark, sf_dir):
+    from lodestone.operators.analyses import final_corpus
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("implicits_exit_code"), F.when(F.col("o_custkey") % 4 == 3, F.col("o_custkey")).otherwise(F.col("o_custkey") % 4).alias("metadata_scala_code"))
+    return final_corpus(o).select("o_orderkey")
+
+
+@register("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN NULL ELSE CASE user_id % 3 WHEN 0 THEN 'manifest' ELSE 'macro' END END AS source FROM events""")
+def prd_25_macros_and_manifests(spark, sf_dir):
+    ident = F.when(F.col("user_id") % 3 == 0, "scala/reflect/ManifestFactory.Int().").otherwise("scala/Option.apply().")
+    library = F.when(F.col("event_id") % 5 > 0, "g:a")
+    source = F.when(P.is_from_macro(library, ident), "macro").when(library.isNull() & P.is_manifest(ident), "manifest")
+    return table(spark, sf_dir, "events").select("event_id", source.alias("source"))
+
+
+@register("SELECT event_id FROM events WHERE event_id % 3 < 2 AND user_id % 2 = 0")
+def prd_27_type_proofs(spark, sf_dir):
+    k = F.col("event_id") % 3
+    ident = F.when(k == 0, "scala/Predef.`=:=`#").when(k == 1, "scala/Predef.`<:<`#").otherwise("p/T#")
+    e = table(spark, sf_dir, "events").select("event_id", ident.alias("t"), F.when(F.col("user_id") % 2 == 0, "compile").otherwise("compile;managed;dependency").alias("s"))
+    return e.where(P.is_type_proof(F.col("t"), F.col("s"))).select("event_id")
+
+
+@register("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'UNKNOWN_LANGUAGE' WHEN 1 THEN 'SCALA' WHEN 2 THEN 'JAVA' END AS language, to_timestamp(event_id * 86400 + user_id)::TIMESTAMP AS at FROM events")
+def scl_05_enums_and_epochs(spark, sf_dir):
+    from lodestone.sources.messages import LANGUAGES
+
+    at = S.from_epoch(F.col("event_id") * 86_400 + F.col("user_id")).cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", S.encode_enum((F.col("event_id") % 5).cast("int"), LANGUAGES).alias("language"), at.alias("at"))
+
+
+@register("SELECT DISTINCT c_mktsegment, 20 AS drawn, true AS of_stratum FROM customer")
+def prd_30_sample_sizes(spark, sf_dir):
+    """How many rows are drawn of each stratum, and whether all are rows of it."""
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
+    drawn = P.sample_strata(c, "c_mktsegment", 20, 42)
+    own = drawn.join(c.withColumn("own", F.lit(True)), ["c_mktsegment", "c_custkey"], "left")
+    return own.groupBy("c_mktsegment").agg(F.count("*").cast("int").alias("drawn"), F.bool_and(F.coalesce("own", F.lit(False))).alias("of_stratum"))

@@ -114,19 +114,26 @@ def scl_29_exception_classes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.exception_class(exception, message, F.lit("SymbolNotFoundException")).alias("class"), S.missing_symbol(message).alias("symbol"))
 
 
-@register("SELECT event_type AS phase, sum(user_id)::BIGINT AS spans, sum(event_id + 0.5) AS ms FROM events GROUP BY event_type")
+@register("SELECT event_type AS phase, sum(user_id) FILTER (event_id % 3 = 0)::BIGINT AS spans, sum(event_id + 0.5) FILTER (event_id % 3 = 0) AS ms, sum(event_id + 0.5) FILTER (event_id % 3 = 1) AS total_ms FROM events GROUP BY event_type")
 def scl_31_phase_timings(spark, sf_dir):
-    line = F.concat(F.lit("[info]   typer   : "), F.col("user_id").cast("string"), F.lit(" spans, ()"), F.col("event_id").cast("string"), F.lit(".5ms (32.4%)"))
+    numbers = F.concat(F.col("user_id").cast("string"), F.lit(" spans, ()"), F.col("event_id").cast("string"), F.lit(".5ms (32.4%)"))
+    k = F.col("event_id") % 3
+    line = F.when(k == 0, F.concat(F.lit("[info]   typer   : "), numbers)).when(k == 1, F.concat(F.lit("[info] #total compile time           : "), numbers)).otherwise(F.concat(F.lit("[warn] typer : "), numbers))
     spans, ms = S.phase_timing(line, "typer")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), spans.alias("s"), ms.alias("m")).groupBy("phase").agg(F.sum("s").alias("spans"), F.sum("m").alias("ms"))
+    _, total = S.phase_timing(line, "#total compile time")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), spans.alias("s"), ms.alias("m"), total.alias("t"))
+    return rows.groupBy("phase").agg(F.sum("s").alias("spans"), F.sum("m").alias("ms"), F.sum("t").alias("total_ms"))
 
 
 @register(r"""
-WITH p AS (SELECT page_id, string_split(rtrim(url, '/'), '/') AS s FROM pages)
-SELECT page_id, len(s)::INTEGER AS depth, 0::INTEGER AS npm_depth, 0::INTEGER AS is_test, s[-1] AS file_name, '' AS file_ext FROM p""")
+WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN rtrim(url, '/') WHEN 1 THEN 'a/node_modules/left/node_modules/pad/test/i.min.js' WHEN 2 THEN 'node_modules/left/locales/x.js' ELSE 'b/locale-de.js' END AS p FROM pages), s AS (SELECT page_id, string_split(p, '/') AS s, page_id % 4 AS k FROM u)
+SELECT page_id, len(s)::INTEGER AS depth, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS npm_depth, (list_contains(s, 'test') OR list_contains(s, 'tests'))::INTEGER AS is_test, CASE WHEN k IN (2, 3) THEN 1 WHEN contains(s[-1], 'locale-') OR list_contains(s, 'locale') OR list_contains(s, 'locales') THEN 1 ELSE 0 END::INTEGER AS is_locale,
+  CASE k WHEN 1 THEN 'pad' WHEN 2 THEN 'left' ELSE '' END AS module, CASE WHEN k IN (1, 2) THEN 'left' ELSE '' END AS first_module, CASE k WHEN 1 THEN 'i' WHEN 2 THEN 'x' WHEN 3 THEN 'locale-de' ELSE regexp_replace(s[-1], '(\.min)?\.js$', '') END AS file_name,
+  CASE k WHEN 1 THEN 'min.js' WHEN 2 THEN 'js' WHEN 3 THEN 'js' ELSE '' END AS file_ext, CASE k WHEN 1 THEN 'test/i.min.js' WHEN 2 THEN 'locales/x.js' ELSE '' END AS in_module FROM s""")
 def scl_39_path_features(spark, sf_dir):
-    f = S.path_features(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", *(f[n].alias(n) for n in ("depth", "npm_depth", "is_test", "file_name", "file_ext")))
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.rtrim(F.col("url"), F.lit("/"))).when(k == 1, "a/node_modules/left/node_modules/pad/test/i.min.js").when(k == 2, "node_modules/left/locales/x.js").otherwise("b/locale-de.js")
+    return table(spark, sf_dir, "pages").select("page_id", *(c.alias(n) for n, c in S.path_features(path).items()))
 
 
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_orderkey * 4 + 1 END AS id FROM orders")
@@ -144,11 +151,13 @@ def scl_40_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.escape_csv(F.col("text")).alias("escaped"))
 
 
-@register("WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 10 NOT BETWEEN 2 AND 9) SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM f)")
+@register("""WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 10 NOT BETWEEN 2 AND 9), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM f))
+SELECT 'file' AS what, o_orderkey AS id FROM o UNION ALL SELECT 'project', c FROM (SELECT DISTINCT o_custkey AS c FROM orders) WHERE c NOT IN (SELECT o_custkey FROM f) UNION ALL SELECT 'statistics', o_orderkey FROM o""")
 def prd_29_clean_chunk(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("project_id"), F.md5(F.col("o_orderkey").cast("string")).alias("file_hash"))
-    _, files, _ = P.clean_chunk(o.select("project_id").distinct(), o, o.select("file_hash"), 10, 2, 9)
-    return files.select(F.col("file_id").alias("o_orderkey"), F.col("project_id").alias("o_custkey"))
+    projects, files, stats = P.clean_chunk(o.select("project_id").distinct(), o, o.select("file_hash", "file_id"), 10, 2, 9)
+    part = lambda what, df, c: df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
+    return part("file", files, "file_id").unionByName(part("project", projects, "project_id")).unionByName(part("statistics", stats, "file_id"))
 
 
 @register(None)

@@ -175,6 +175,21 @@ def project_rows(project: dict) -> Iterator[tuple[str, dict]]:
 
 def read_projects(spark: SparkSession, path: str, framing: str = "int32") -> Model:
     """Model tables of the framed files of projects at path."""
+    rows = materialise(_decoded(framed_messages(spark, path, framing)))
+    return Model(**{name: _table(rows, name) for name in TABLES})
+
+
+def modules_of(found: DataFrame) -> DataFrame:
+    """The modules of messages of projects."""
+    return _table(_decoded(found), "modules")
+
+
+def _table(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("name") == name).select(F.from_json("row", TABLES[name]).alias("r")).select("r.*")
+
+
+def _decoded(found: DataFrame) -> DataFrame:
+    """(name, row): of messages of projects, the tables' rows as JSON."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,9 +198,7 @@ def read_projects(spark: SparkSession, path: str, framing: str = "int32") -> Mod
                 for i in range(0, len(rows), 10_000):
                     yield pd.DataFrame(rows[i : i + 10_000], columns=["name", "row"])
 
-    rows = materialise(framed_messages(spark, path, framing).select("message").mapInPandas(run, "name string, row string"))
-    tables = {name: rows.where(F.col("name") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
-    return Model(**tables)
+    return found.select("message").mapInPandas(run, "name string, row string")
 
 
 def module_messages(modules: DataFrame) -> DataFrame:
@@ -196,4 +209,4 @@ def module_messages(modules: DataFrame) -> DataFrame:
         rows = {r["module_id"]: r for r in pdf[list(columns)].sort_values("module_id").to_dict("records")}
         return pd.DataFrame({"project_id": [key[0]], "message": [encode({"project_id": key[0], "sbt_version": "", "modules": rows}, "PROJECT")]})
 
-    return modules.groupBy("project_id").applyInPandas(run, "project_id string, message binary")
+    return modules.withColumn("module_id", F.col("module_id").cast("string")).groupBy("project_id").applyInPandas(run, "project_id string, message binary")

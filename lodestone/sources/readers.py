@@ -46,6 +46,13 @@ def frames(data: bytes, framing: str = "int32") -> Iterator[bytes]:
 
 def framed_messages(spark: SparkSession, path: str, framing: str = "int32") -> DataFrame:
     """(path, ordinal, message) of the files at path, each file of up to 2 GB."""
+    return unframed(spark.read.format("binaryFile").load(path).select("path", "content"), framing)
+
+
+def unframed(streams: DataFrame, framing: str = "int32") -> DataFrame:
+    """streams: content, and path if it is known. (path, ordinal, message) of the messages in each."""
+    if "path" not in streams.columns:
+        streams = streams.withColumn("path", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -60,7 +67,7 @@ def framed_messages(spark: SparkSession, path: str, framing: str = "int32") -> D
                 if held:
                     yield pd.DataFrame(held, columns=["path", "ordinal", "message"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
+    return streams.select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
 
 
 def first_message(spark: SparkSession, path: str, framing: str = "int32") -> DataFrame:

@@ -12,7 +12,8 @@ candidates of a vector about the same at every size.
 
 Equal vectors are searched for once and counted. A bucket of over BLOCK vectors is dealt out as
 pairs of blocks. Pairs aren't emitted: each pair is judged in the first bucket that it shares,
-which gives counts of links by vector and links enough to connect each bucket.
+which gives counts of links by vector and links enough to connect each bucket; of buckets of several tables that
+hold the same vectors the first is kept.
 """
 
 from __future__ import annotations
@@ -190,7 +191,10 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, block: int = BLOCK,
     kind = reps.schema["embedding"].dataType.simpleString()
     coded = materialise(reps.select("rid", "dim", "n", "embedding").mapInPandas(codes, f"rid long, dim int, n long, embedding {kind}, code array<int>"))
     keys = coded.select("rid", "dim", F.posexplode("code").alias("table", "sub")).select("rid", "table", F.xxhash64("dim", "table", "sub").alias("sig"))
-    met = keys.groupBy("sig").count().where("count > 1")
+    # of buckets that hold the same vectors the first table's is enough: pairs are judged in the first bucket they share
+    same = [F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 32)).alias("y")]
+    met = keys.groupBy("sig").agg(F.count("*").alias("count"), F.min("table").alias("table"), *same).where("count > 1")
+    met = met.groupBy("count", "x", "y").agg(F.min_by("sig", F.struct("table", "sig")).alias("sig")).select("sig", "count")
     rows = keys.join(met, "sig").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

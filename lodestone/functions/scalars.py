@@ -84,7 +84,7 @@ def symbol_owner(symbol: Column) -> Column:
     return F.when(symbol.isNull(), None).when(local, "").otherwise(F.regexp_replace(symbol, _LAST, ""))
 
 
-def compilation_unit(symbol: Column, depth: int = 32) -> Column:
+def compilation_unit(symbol: Column) -> Column:
     """Walking outwards, the last owner, or the symbol itself, that is a type or a term other than a
     method or type parameter; null if there is none."""
 
@@ -279,26 +279,34 @@ def failure_cause(lines: Column) -> Column:
     return F.struct(F.when(missing, "log-file-does-not-exist").otherwise(cause).alias("cause"), F.when(~missing, detail).cast(text).alias("detail"))
 
 
+# Classes of extraction failures by exception, a pattern in its message, and its cause, first found counts.
+EXCEPTIONS = (
+    ("SymbolNotFoundException", r"local\d+", None, "missing-local-symbol"),
+    ("SymbolNotFoundException", r"at Range\(\d+,\d+,\d+,\d+\)", None, "missing-symbol-at-range"),
+    ("SymbolNotFoundException", None, None, "missing-symbol-other"),
+    ("LoadingMetadataException", r"(?s)(?=.*No module found)(?=.*multi-jvm)", None, "missing-module-multijvm"),
+    ("LoadingMetadataException", "No module found", None, "missing-module"),
+    ("LoadingMetadataException", None, None, "metadata-loading"),
+    ("NotImplementedError", None, None, "not-implemented"),
+    ("UnexpectedElementException", None, None, "unexpected-element"),
+    ("UnsupportedElementException", None, None, "unsupported-element"),
+    ("UnExtractableCallSiteException", None, "SymbolNotFoundException", "unextractable-callsite-missing-term"),
+    ("UnExtractableCallSiteException", None, "FunctionNotFoundException", "unextractable-callsite-missing-function"),
+    ("UnExtractableCallSiteException", None, None, "unextractable-callsite-other"),
+    ("ImplicitArgumentNotFoundException", None, None, "missing-implicit-arguments"),
+    ("Exception", "^Invalid call site argument", None, "invalid-declaration"),
+)
+
+
 def exception_class(exception: Column, message: Column, cause: Column) -> Column:
-    """Classes of extraction failures, first found counts."""
-    unknown, loading, site = exception == "SymbolNotFoundException", exception == "LoadingMetadataException", exception == "UnExtractableCallSiteException"
-    return (
-        F.when(unknown & message.rlike(r"local\d+"), "missing-local-symbol")
-        .when(unknown & message.rlike(r"at Range\(\d+,\d+,\d+,\d+\)"), "missing-symbol-at-range")
-        .when(unknown, "missing-symbol-other")
-        .when(loading & message.contains("No module found") & message.contains("multi-jvm"), "missing-module-multijvm")
-        .when(loading & message.contains("No module found"), "missing-module")
-        .when(loading, "metadata-loading")
-        .when(exception == "NotImplementedError", "not-implemented")
-        .when(exception == "UnexpectedElementException", "unexpected-element")
-        .when(exception == "UnsupportedElementException", "unsupported-element")
-        .when(site & (cause == "SymbolNotFoundException"), "unextractable-callsite-missing-term")
-        .when(site & (cause == "FunctionNotFoundException"), "unextractable-callsite-missing-function")
-        .when(site, "unextractable-callsite-other")
-        .when(exception == "ImplicitArgumentNotFoundException", "missing-implicit-arguments")
-        .when((exception == "Exception") & message.startswith("Invalid call site argument"), "invalid-declaration")
-        .otherwise("unclassified")
-    )
+    """The class of the first of EXCEPTIONS that fits; `unclassified` if none does."""
+
+    def fits(name: str, pattern: str | None, of: str | None) -> Column:
+        hit = exception == name
+        hit = hit & message.rlike(pattern) if pattern else hit
+        return hit & (cause == of) if of else hit
+
+    return F.coalesce(*(F.when(fits(*rule), label) for *rule, label in EXCEPTIONS), F.lit("unclassified"))
 
 
 def missing_symbol(message: Column) -> Column:

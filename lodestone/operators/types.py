@@ -98,7 +98,7 @@ def resolved_types(declarations: DataFrame) -> DataFrame:
     target = F.when(F.col("sig_kind") == "type", F.coalesce("upper", "lower"))
     links = materialise(declarations.select(*key, target.alias("to")).where("to IS NOT NULL").distinct())
 
-    def double(at: DataFrame, stop: DataFrame | None) -> tuple[DataFrame, int]:
+    def double(at: DataFrame) -> tuple[DataFrame, int]:
         """at: key, to, done. Twice the steps for those that aren't done."""
         step = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
         rows = at.where("done").unionByName(at.where("NOT done").join(step, ["module_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done")))
@@ -110,7 +110,7 @@ def resolved_types(declarations: DataFrame) -> DataFrame:
     left = at.where("NOT done").count()
     while left:
         was, before = at, left
-        at, left = double(at, None)
+        at, left = double(at)
         forget(was)
         if left == before:
             break
@@ -136,7 +136,7 @@ def _cycles(links: DataFrame, at: DataFrame, double) -> DataFrame:
     ends = cycle.select("module_id", F.col("declaration_id").alias("to"), F.lit(True).alias("end"))
     tails = materialise(tails.join(ends, ["module_id", "to"], "left").select(*key, "to", F.col("end").isNotNull().alias("done")))
     while not tails.where("NOT done").isEmpty():
-        tails, _ = double(tails, None)
+        tails, _ = double(tails)
     previous = cycle.join(links, key).select("module_id", "to", F.col("declaration_id").alias("resolved_id"))
     led = tails.join(previous, ["module_id", "to"]).select(*key, "resolved_id")
     return led.unionByName(cycle.select(*key, F.col("declaration_id").alias("resolved_id")))

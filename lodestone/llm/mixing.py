@@ -25,7 +25,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tup
     weights in turn and share share[0]/share[1] of all words by weight; a target stops at `limit`
     times its source's size and the excess is shared anew by weight.
 
-    By rising limit per weight, the sources that stop are the first ones, and one pass of running
+    by_source has a row for each source, and is worked through in one task, which serves some millions of sources. By rising limit per weight, the sources that stop are the first ones, and one pass of running
     sums tells where they end. All sums are of whole numbers.
     """
     everything = W.partitionBy()

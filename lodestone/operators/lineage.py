@@ -43,7 +43,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def forget(*dfs: DataFrame) -> None:
-    """Delete the files of what materialise() returned, once nothing that reads them will run again."""
+    """Delete the files of what materialise() returned, once nothing that reads them will run again. Spark removes the files of
+    shuffles when the driver has collected what refers to them, so it is asked to."""
     for df in dfs:
         if path := getattr(df, "materialised_at", None):
             _remove(df.sparkSession, path)
+    if dfs:
+        dfs[0].sparkSession._jvm.System.gc()

@@ -33,7 +33,7 @@ SAMPLE = 20_000  # documents, about, that common shingles are told from
 COMMON = 200_000
 CROWD = 8  # documents that a shingle may be looked up by, beyond which it comes after others
 FILTER_BITS = (12, 26)  # log2 of the size of the filter of those
-HUBS = 4
+HUBS = 3
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -270,20 +270,24 @@ def similar_groups(reps: DataFrame, sets: DataFrame) -> DataFrame:
     groups = materialise(rows.select("fp", F.col("fp").alias("g")).distinct())
     for turn in range(HUBS):
         named = rows.join(groups, "fp")
-        hub = named.groupBy("h").agg(F.min_by(F.struct("fp", "n", "i", "g"), F.xxhash64("fp", F.lit(turn))).alias("hub"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h", "hub")
-        pairs = named.join(hub, "h").where("g <> hub.g").select(F.col("hub.fp").alias("a"), "fp", F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.i").alias("ia"), F.col("i").alias("ib"))
-        links = materialise(_similar(pairs.where(FITS).select("a", F.col("fp").alias("b")).distinct(), held))
-        if links.isEmpty():
+        hub = F.min_by(F.struct("fp", "n", "i", "g"), F.xxhash64("fp", F.lit(turn))).alias("hub")
+        hubs = named.groupBy("h").agg(hub, F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h", "hub")
+        open_ = materialise(named.join(hubs, "h"))  # shingles whose sets aren't of one group yet
+        pairs = open_.where("g <> hub.g").select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.i").alias("ia"), F.col("i").alias("ib"))
+        links = materialise(_similar(pairs.where(FITS).select("a", "b").distinct(), held))
+        last, old = groups, rows
+        groups, rows = materialise(_joined(groups, links)), materialise(open_.select("h", "fp", "n", "i"))
+        done = links.isEmpty()
+        forget(last, old, links, open_)
+        if done:
             break
-        last, groups = groups, materialise(_joined(groups, links))
-        forget(last, links)
     named = rows.join(groups, "fp")
     split = named.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
     named = materialise(named.join(split, "h"))
     x, y = (named.select("h", F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("g").alias(f"g{s}")) for s in "ab")
-    rest = x.join(y, "h").where(f"ga < gb AND {FITS}").select("a", "b").distinct()
-    out = materialise(_joined(groups, materialise(_similar(rest, held))))
-    forget(rows, held, named, groups)
+    rest = materialise(_similar(x.join(y, "h").where(f"ga < gb AND {FITS}").select("a", "b").distinct(), held))
+    out = materialise(_joined(groups, rest))
+    forget(rows, held, named, groups, rest)
     return out
 
 

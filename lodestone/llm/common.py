@@ -50,6 +50,15 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def giving_back(run):
     """run, a function of batches, which when it ends gives the memory that its Python worker has freed back to the system: workers
     live on, and what one stage's allocator holds the next one's lacks."""
@@ -59,11 +68,7 @@ def giving_back(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            libc = find_library("c")
-            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
-            if trim:
-                trim(0)
+            give_back()
 
     return ends
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bit_filter, components, forget, fraction_of, free_names, giving_back, in_filter, materialise, words_of
+from lodestone.llm.common import bit_filter, components, forget, fraction_of, free_names, give_back, giving_back, in_filter, materialise, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -205,12 +205,15 @@ def _order(texts: DataFrame) -> Order:
     """The order for the texts (k1, text): common shingles by a sample, then those that turn out crowded when all texts are looked up so."""
     share = SAMPLE / max(1, texts.count())
     counts = _counts(texts.where(fraction_of("k1", "shingles") < share), lambda h: h)
-    rows = sorted((r.h, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect())
-    order = Order(np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64))
+    rows = counts.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # two numbers a row
+    known, often = rows["h"].to_numpy(), rows["n"].to_numpy()
+    by = np.argsort(known)
+    order = Order(known[by], often[by])
     shared = texts.sparkSession.sparkContext.broadcast(order)
     crowded = materialise(_counts(texts, lambda h: shared.value.first(h)).where(F.col("n") > CROWD).select(F.col("h").alias("k")))
     out = Order(order.known, order.often, bit_filter(crowded, crowded.count(), FILTER_BITS))
     forget(crowded)
+    give_back()
     return out
 
 

@@ -164,8 +164,8 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, carry
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                pdf = whole.iloc[at : at + 256].reset_index(drop=True)
+            for at in range(0, len(whole), 1024):
+                pdf = whole.iloc[at : at + 1024].reset_index(drop=True)
                 rows = []
                 for k, ids in enumerate(encoder(tokenizer).encode(list(pdf["text"]))):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")

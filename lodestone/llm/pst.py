@@ -45,7 +45,7 @@ LEAST, ROOTS = 20, 0.25  # occurrences that a context has at least: LEAST, or RO
 SMOOTHS = (2.0, 16.0, 128.0, 1024.0)  # weights of the shorter context's distribution to choose from
 PARENT = 64.0  # that weight for the parent's distribution in the test
 BASE = 0.1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 PART_BYTES = 32 << 20  # of text for each part
 MAX_PARTS = 1 << 20
 FILTER_BITS = (12, 26)  # log2 of the filter's size at least and at most
@@ -339,8 +339,10 @@ def _counted(blocks: DataFrame, parts: int, total: int, least: int) -> tuple[Dat
                 w = np.frombuffer(w, "<i8")
                 yield pd.DataFrame({"state": w, "before": 0, "last": w, "n": np.frombuffer(n, "<i8")})
 
-    admitted = back.where(F.col("block") == ADMITTED).select("words", "counts").mapInPandas(words, CONTEXT)
-    return materialise(filled), corpus, admitted
+    admitted = materialise(back.where(F.col("block") == ADMITTED).select("words", "counts").mapInPandas(words, CONTEXT))
+    filled = materialise(filled)
+    forget(back)
+    return filled, corpus, admitted
 
 
 def _contexts(blocks: DataFrame, corpus: Corpus, words: DataFrame) -> list[DataFrame]:
@@ -615,5 +617,7 @@ def score_documents(documents: DataFrame, contexts_to: list | None = None) -> Da
     kept = materialise(_kept(tested))
     if contexts_to is not None:
         contexts_to += [levels, kept]
+    else:
+        forget(*levels)
     answers = _answer(tested, kept, shared)
     return _score(blocks, answers, shared).withColumn("doc_id", F.col("doc_id").cast(kind))

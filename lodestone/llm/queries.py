@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
+from lodestone.llm import filter_audit, itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
 from lodestone.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     "op1_itq": op1_itq,
     "op2_mixing": op2_mixing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_merkle": op9_merkle,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 SQL_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -130,4 +135,19 @@ SELECT a.doc_id, a.n_chars :: BIGINT AS n_chars, sha256(a.edited) AS edited_sha2
   2.0 :: DOUBLE * len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes)) :: DOUBLE AS near_next,
   len(a.ss) :: INTEGER AS n_sections, len(list_distinct(list_filter(left_l, lambda x: NOT list_contains(right_l, x)))) :: INTEGER AS n_edited
 FROM u a JOIN u b ON a.r = b.r AND b.k = 1 JOIN u c ON a.r = c.r AND c.k = 2 JOIN g ON g.r = a.r WHERE a.k = 0""",
+    "op11_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1) :: INT) AS good, max((toxic = 1) :: INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT w.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(ws) < 50) :: INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws)) :: INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)) :: INT
+        + 8 * regexp_matches(t, '[#$%&*|]') :: INT + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) :: INT AS mask FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM m GROUP BY ALL),
+k AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b)),
+o AS (SELECT k1.f || k2.f || k3.f || k4.f || k5.f AS filter_order, [k1.b, k2.b, k3.b, k4.b, k5.b] AS bs FROM k k1, k k2, k k3, k k4, k k5 WHERE k1.b + k2.b + k3.b + k4.b + k5.b = 31 AND (k1.b | k2.b | k3.b | k4.b | k5.b) = 31),
+s AS (SELECT filter_order, step :: INT AS step, bs[step] AS own, coalesce(list_sum(bs[1 : step - 1]), 0) :: INT AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) :: BIGINT AS kept, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) :: BIGINT AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) :: BIGINT AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) :: BIGINT AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN g ELSE 0 END) :: BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN x ELSE 0 END) :: BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own)) :: BIGINT AS shapley FROM r""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import filter_audit, itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
+from lodestone.llm import conversations, filter_audit, itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
 from lodestone.llm.common import table
 
 
@@ -63,6 +63,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair_conversations(conversations.damage(table(spark, sf_dir, "conversations")))
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_itq": op1_itq,
     "op2_mixing": op2_mixing,
@@ -75,6 +81,7 @@ QUERIES = {
     "op9_merkle": op9_merkle,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversations": op12_conversations,
 }
 
 SQL_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -150,4 +157,38 @@ r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own)
         sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN g ELSE 0 END) :: BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN x ELSE 0 END) :: BIGINT AS toxic_lost
       FROM c, s GROUP BY part, filter_order, step, own)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own)) :: BIGINT AS shapley FROM r""",
+    "op12_conversations": r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id :: VARCHAR, ' ') || ':' || coalesce(turn :: VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda j: ((unicode(substr(k, i :: INT, 1)) :: BIGINT >> j) & 1)))),
+        lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS m FROM o),
+g AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(0, CASE WHEN m = 3 THEN 2 ELSE 1 END) WHERE m <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS c FROM g),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+        lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM n),
+s AS (SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (SELECT *, CASE WHEN fault IN (1, 2) THEN 1000000 WHEN fault = 3 THEN 3 ELSE 0 END AS stay FROM f),
+b AS (SELECT conv_id, size AS i, 0 :: BIGINT AS b0, 6 :: BIGINT AS b1, 3 :: BIGINT AS b2, 0 :: BIGINT AS b3 FROM s
+  UNION ALL SELECT conv_id, i, least(e0, 3 + least(e2, 3 + e3)), least(e1, 3 + least(e2, 3 + e3)), least(e2, 3 + e3), least(e3, 3 + e2) FROM (
+    SELECT b.conv_id, b.i - 1 AS i, least(4 + b0, stay + b2 + CASE WHEN c = 'u' THEN 0 ELSE 3 END, CASE WHEN c = 's' THEN stay + b1 ELSE 1000000000 END) AS e0, least(4 + b1, stay + b2 + CASE WHEN c = 'u' THEN 0 ELSE 3 END) AS e1,
+      least(4 + b2, stay + b3 + CASE WHEN c = 'a' THEN 0 ELSE 3 END) AS e2, least(4 + b3, stay + b2 + CASE WHEN c = 'u' THEN 0 ELSE 3 END) AS e3
+    FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i)),
+w AS (SELECT conv_id, i, unnest([0, 1, 2, 3]) AS st, unnest([b0, b1, b2, b3]) AS cost FROM b),
+t AS (SELECT conv_id, 0 :: BIGINT AS i, 0 AS st, '' AS audit, '' AS lines FROM s
+  UNION ALL SELECT conv_id, i + (e <> 'I') :: INT, CASE e WHEN 'D' THEN st WHEN 'K' THEN CASE WHEN c = 's' THEN 1 ELSE nx END ELSE nx END, audit || e,
+    lines || CASE e WHEN 'D' THEN '' WHEN 'I' THEN em || ':' || chr(10) WHEN 'K' THEN role || ':' || text || chr(10) ELSE em || ':' || text || chr(10) END
+  FROM (SELECT t.*, r.c, r.role, r.text, CASE WHEN t.st = 2 THEN 3 ELSE 2 END AS nx, CASE WHEN t.st = 2 THEN 'assistant' ELSE 'user' END AS em,
+      CASE WHEN d.cost + 4 = h.cost THEN 'D' WHEN n.cost + 3 = h.cost THEN 'I' WHEN (c = 's' AND t.st = 0 AND k1.cost + stay = h.cost) OR (c = CASE WHEN t.st = 2 THEN 'a' ELSE 'u' END AND k.cost + stay = h.cost) THEN 'K' ELSE 'R' END AS e
+    FROM t JOIN w h ON h.conv_id IS NOT DISTINCT FROM t.conv_id AND h.i = t.i AND h.st = t.st
+      JOIN w n ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.i = t.i AND n.st = CASE WHEN t.st = 2 THEN 3 ELSE 2 END
+      LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i + 1
+      LEFT JOIN w d ON d.conv_id IS NOT DISTINCT FROM t.conv_id AND d.i = t.i + 1 AND d.st = t.st
+      LEFT JOIN w k ON k.conv_id IS NOT DISTINCT FROM t.conv_id AND k.i = t.i + 1 AND k.st = CASE WHEN t.st = 2 THEN 3 ELSE 2 END
+      LEFT JOIN w k1 ON k1.conv_id IS NOT DISTINCT FROM t.conv_id AND k1.i = t.i + 1 AND k1.st = 1
+    WHERE r.i IS NOT NULL OR h.cost > 0)),
+l AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(lines, length(audit)) AS lines FROM t GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) :: BIGINT AS gaps, coalesce(blank, 0) :: BIGINT AS blank, coalesce(duplicate, 0) :: BIGINT AS duplicate, coalesce(truncated, 0) :: BIGINT AS truncated, coalesce(illegal, 0) :: BIGINT AS illegal,
+  coalesce(b0, 0) :: BIGINT AS cost, coalesce(audit, '') AS audit, sha256(CASE WHEN coalesce(lines, '') = '' THEN '' ELSE lines[: -2] END) AS repaired_sha256
+FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 0 LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import conversations, filter_audit, itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
+from lodestone.llm import byte_bpe, conversations, filter_audit, itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
 from lodestone.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    ids = F.col("ids")
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_itq": op1_itq,
     "op2_mixing": op2_mixing,
@@ -82,6 +92,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversations": op12_conversations,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.lineage import forget, materialise, shared_folder  # noqa: F401
+from lodestone.operators import lineage
+from lodestone.operators.lineage import materialise, shared_folder  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forget(*dfs: DataFrame) -> None:
+    """lineage.forget(), and ask the driver to collect what refers to finished shuffles, whose files Spark then removes."""
+    lineage.forget(*dfs)
+    if dfs:
+        dfs[0].sparkSession._jvm.System.gc()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind where df has such a column, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -24,9 +24,10 @@ def library(ranks):
 
 
 def texts():
+    # marks of the literal texts among others
     g = random.Random(4)
     every = [chr(c) for c in [*range(0x250), *range(0x370, 0x600), *range(0x900, 0x980), *range(0x2000, 0x2070), *range(0x3000, 0x3100), *range(0x4E00, 0x4E40), 0x1F600, 0x1D400, 0x10FFFF, 0xFEFF, 0x85, 0x180E]]
-    yield from (None, "", " ", "  ", "\n\n \t x", "don't we'll I'VE", "a  b   c", "<|endoftext|>", "x" * 300, "ab" * 200, " " * 500 + "z", "=" * 99, "\x85\xa0　 a", "A" + "́" * 40)
+    yield from (None, "", " ", "  ", "\n\n \t x", "don't we'll I'VE", "a  b   c", "<|endoftext|>", "x" * 300, "ab" * 200, " " * 500 + "z", "=" * 99, "\x85\xa0　 a", "A" + "́" * 40, "a\1b \2c\3 \1b" * 3)
     yield "".join(g.choice("abcdefgh") for _ in range(700))  # one long word
     yield " ".join("".join(g.choices("etaoinshrdlu", k=g.randint(1, 12))) for _ in range(20_000))
     for _ in range(150):
@@ -55,18 +56,21 @@ def test_ids_do_not_depend_on_how_many_words_are_kept(spark, ranks, library, mos
     bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
     docs = spark.createDataFrame([(t,) for t in list(texts())[-40:]], "text string")
     kept = bpe.frequent(docs, "text", most)
-    assert len(kept) <= most and all(library.encode_ordinary(w) == ids for w, ids in kept.items())
-    check(bpe.encode(docs, frequent=kept).withColumn("decoded", bpe.decode(F.col("ids"))).collect(), library)
-
-
-def test_every_token_comes_out_of_its_bytes_by_merges_of_lower_ranks(ranks):
-    """What makes merging a pair everywhere at once the same as one leftmost merge after another."""
-    for token, own in ranks.items():
-        pieces = [bytes([b]) for b in token]
-        while len(pieces) > 1:
-            least, i = min((ranks.get(a + b, own + 1), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])))
-            assert least <= own
-            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+    assert kept is None or kept.size <= most
+    if kept:
+        words = docs.select(F.explode(bpe.words(F.col("text"))).alias("w")).distinct()
+        got = words.select("w", kept.get(kept.literal, F.col("w")).alias("p")).where("p <> ''").select("w", bpe.ids_of(F.col("p"), bpe.of_bytes).alias("ids")).collect()
+        assert len(got) == kept.size and all(r.ids == library.encode_ordinary(r.w) for r in got)
+    check(bpe.encode(docs, most=most).withColumn("decoded", bpe.decode(F.col("ids"))).collect(), library)
+
+
+def test_merges_and_what_has_none(ranks):
+    found = byte_bpe.merges({bytes([b]): b for b in range(256)} | {b"ab": 300, b"abab": 301, b"bc": 302})
+    assert found == {"ab": 300, byte_bpe.character(300) * 2: 301, "bc": 302}
+    assert len(byte_bpe.merges(ranks)) == len(ranks) - 256
+    with pytest.raises(ValueError, match="lower ranks"):
+        byte_bpe.merges({b"a": 0, b"b": 1, b"ab": 9, b"abb": 5})
+    assert len({byte_bpe.character(r) for r in range(100_000)}) == 100_000 and byte_bpe.character(60_000).encode()
 
 
 def test_decoding_any_ids(spark, ranks):

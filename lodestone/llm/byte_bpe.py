@@ -21,9 +21,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import free_names
 from lodestone.operators.lineage import forget, materialise
 
-#: Words whose pieces are kept: a bound for the second literal table, whatever the corpus.
+#: Words whose ids are kept: a bound for the second literal table, whatever the corpus.
 FREQUENT = 1 << 19
 #: Longer words aren't kept, which bounds the table in bytes too.
 LONGEST = 48
@@ -150,17 +151,18 @@ class ByteBpe:
 
         return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.decode(word.cast("binary"), "ISO-8859-1"), merged)
 
-    def ids_of(self, pieces: Column, of_bytes: Column) -> Column:
-        """The ids of pieces. of_bytes: the literal of self.of_bytes."""
+    def ids_text(self, pieces: Column, of_bytes: Column) -> Column:
+        """The ids of pieces, with a space between. of_bytes: the literal of self.of_bytes."""
         of_token = lambda code: F.when(code < 256, F.get(of_bytes, code)).otherwise(F.when(code < 0xD800, code - 256).otherwise(code - 256 - 0x800))
-        return F.transform(F.sequence(F.lit(1), F.char_length(pieces)), lambda i: let(F.ascii(F.substring(pieces, i, 1)), of_token))
+        ids = F.transform(F.sequence(F.lit(1), F.char_length(pieces)), lambda i: let(F.ascii(F.substring(pieces, i, 1)), of_token).cast("string"))
+        return F.array_join(ids, " ")
 
     def words(self, text: Column) -> Column:
         """The words of a text, a null one having none."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def frequent(self, documents: DataFrame, text: str = "text", most: int = FREQUENT) -> LiteralText | None:
-        """Pieces of the words that occur most often in all documents: of up to `most` words, those of the highest counts, as many as
+        """Ids, as text, of the words that occur most often in all documents: of up to `most` words, those of the highest counts, as many as
         are certain to fit; counts within an eighth of a doubling go in or stay out together."""
         words = documents.select(F.explode(self.words(F.col(text))).alias("word"))
         counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= LONGEST).where("n > 1")
@@ -174,25 +176,29 @@ class ByteBpe:
         kept = None
         if least is not None:
             picked = counts.where(F.col("level") >= least).select("word").repartition(documents.sparkSession.sparkContext.defaultParallelism, "word")
-            pieces = materialise(picked.select("word", let(self.pairs.literal, lambda pairs: self.fold(F.col("word"), pairs)).alias("pieces")))
-            kept = LiteralText(pieces)
-            forget(pieces)
+            tables = F.struct(self.pairs.literal.alias("pairs"), self.of_bytes.alias("bytes"))
+            ids = materialise(picked.select("word", let(tables, lambda t: self.ids_text(self.fold(F.col("word"), t["pairs"]), t["bytes"])).alias("ids")))
+            kept = LiteralText(ids)
+            forget(ids)
         forget(counts)
         return kept
 
-    def encode(self, documents: DataFrame, text: str = "text", to: str = "ids", most: int = FREQUENT) -> DataFrame:
-        """documents with the ids of their texts, array<int>, in column `to`, which replaces one of that name. Null and empty texts have no ids; texts and words
-        may be of any length, a long word taking as many rounds as it has different merges. most: how many of
-        frequent()'s words are kept, which the result doesn't depend on. Empty tables give no rows."""
+    def encode(self, documents: DataFrame, text: str = "text", to: str = "ids", as_text: str | None = None, most: int = FREQUENT) -> DataFrame:
+        """documents with the ids of their texts, array<int>, in column `to`, and if as_text names a column, there as decimal numbers with a space between;
+        columns of these names are replaced. Null and empty texts have no ids; texts and words may be of any length, a long word taking
+        as many rounds as it has different merges. most: how many of frequent()'s words are kept, which the result doesn't depend
+        on. Empty tables give no rows."""
         known = self.frequent(documents, text, most)
         tables = F.struct(self.pairs.literal.alias("pairs"), self.of_bytes.alias("bytes"), *([known.literal.alias("known")] if known else []))
 
         def of_word(t: Column, word: Column) -> Column:
-            folded = self.fold(word, t["pairs"])
-            pieces = let(known.get(t["known"], word), lambda p: F.when(p != "", p).otherwise(folded)) if known else folded
-            return let(pieces, lambda p: self.ids_of(p, t["bytes"]))
+            folded = let(self.fold(word, t["pairs"]), lambda pieces: self.ids_text(pieces, t["bytes"]))
+            return let(known.get(t["known"], word), lambda ids: F.when(ids != "", ids).otherwise(folded)) if known else folded
 
-        return documents.withColumn(to, F.flatten(let(tables, lambda t: F.transform(self.words(F.col(text)), lambda w: of_word(t, w)))))
+        (held,) = free_names(documents, "__ids") if as_text is None else (as_text,)
+        found = documents.withColumn(held, F.array_join(let(tables, lambda t: F.transform(self.words(F.col(text)), lambda w: of_word(t, w))), " "))
+        found = found.withColumn(to, F.from_json(F.concat(F.lit("["), F.replace(held, F.lit(" "), F.lit(",")), F.lit("]")), "array<int>"))
+        return found if as_text else found.drop(held)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids, binary: their pieces one behind the other. Null for null ids and ids that no token has."""

@@ -73,10 +73,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    ids = F.col("ids")
-    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
-    return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), as_text="as_text")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("as_text", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
 QUERIES = {

@@ -25,11 +25,13 @@ from lodestone.llm.common import free_names
 from lodestone.operators.lineage import forget, materialise
 
 #: Words whose ids are kept: a bound for the second literal table, whatever the corpus.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Longer words aren't kept, which bounds the table in bytes too.
 LONGEST = 48
 #: Entries that share a bucket of a literal map, and of a literal text, on average.
 SHARING, SHARING_TEXT = 2, 2
+#: Behind the pieces of a word in which no pair is left to merge; stands for no token.
+DONE = "\U0010fffd"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,10 +148,12 @@ class ByteBpe:
         def merged(pieces: Column, _: Column) -> Column:
             found = F.transform(F.sequence(F.lit(1), F.char_length(pieces) - 1), lambda i: self.pairs.get(pairs, F.substring(pieces, i, 2)))
             pair = lambda found, least: F.substring(pieces, F.array_position(found, least).cast("int"), F.lit(2))
-            merge = lambda found: let(F.array_min(found), lambda least: F.when(least.isNull(), pieces).otherwise(F.replace(pieces, pair(found, least), least)))
-            return F.when(F.char_length(pieces) < 2, pieces).otherwise(let(found, merge))
+            done = F.concat(pieces, F.lit(DONE))
+            merge = lambda found: let(F.array_min(found), lambda least: F.when(least.isNull(), done).otherwise(F.replace(pieces, pair(found, least), least)))
+            return F.when(F.endswith(pieces, F.lit(DONE)), pieces).when(F.char_length(pieces) < 2, done).otherwise(let(found, merge))
 
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.decode(word.cast("binary"), "ISO-8859-1"), merged)
+        last = lambda pieces: F.replace(pieces, F.lit(DONE), F.lit(""))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.decode(word.cast("binary"), "ISO-8859-1"), merged, last)
 
     def ids_text(self, pieces: Column, of_bytes: Column) -> Column:
         """The ids of pieces, with a space between. of_bytes: the literal of self.of_bytes."""
@@ -161,6 +165,9 @@ class ByteBpe:
         """The words of a text, a null one having none."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
+    def _folded(self, word: Column, tables: Column) -> Column:
+        return let(self.fold(word, tables["pairs"]), lambda pieces: self.ids_text(pieces, tables["bytes"]))
+
     def frequent(self, documents: DataFrame, text: str = "text", most: int = FREQUENT) -> LiteralText | None:
         """Ids, as text, of the words that occur most often in all documents: of up to `most` words, those of the highest counts, as many as
         are certain to fit; counts within an eighth of a doubling go in or stay out together."""
@@ -177,7 +184,7 @@ class ByteBpe:
         if least is not None:
             picked = counts.where(F.col("level") >= least).select("word").repartition(documents.sparkSession.sparkContext.defaultParallelism, "word")
             tables = F.struct(self.pairs.literal.alias("pairs"), self.of_bytes.alias("bytes"))
-            ids = materialise(picked.select("word", let(tables, lambda t: self.ids_text(self.fold(F.col("word"), t["pairs"]), t["bytes"])).alias("ids")))
+            ids = materialise(picked.select("word", let(tables, lambda t: self._folded(F.col("word"), t)).alias("ids")))
             kept = LiteralText(ids)
             forget(ids)
         forget(counts)
@@ -192,7 +199,7 @@ class ByteBpe:
         tables = F.struct(self.pairs.literal.alias("pairs"), self.of_bytes.alias("bytes"), *([known.literal.alias("known")] if known else []))
 
         def of_word(t: Column, word: Column) -> Column:
-            folded = let(self.fold(word, t["pairs"]), lambda pieces: self.ids_text(pieces, t["bytes"]))
+            folded = self._folded(word, t)
             return let(known.get(t["known"], word), lambda ids: F.when(ids != "", ids).otherwise(folded)) if known else folded
 
         (held,) = free_names(documents, "__ids") if as_text is None else (as_text,)

@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables written and not forgotten yet, with the session that wrote each; removed when the driver's Python ends.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,23 +34,41 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _remove_all() -> None:
+    while _written:
+        path, spark = _written.popitem()
+        _remove(spark, path)
+
+
+def keep_until_end(spark: SparkSession, path: str) -> str:
+    """The path, to be removed when the driver's Python ends."""
+    _written[path] = spark
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and outlives
     any executor. The files go with forget(), or when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = keep_until_end(spark, f"{shared_folder(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
 
 
+def counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """materialise(), and how many rows meet the condition, counted while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]
+
+
 def forget(*dfs: DataFrame) -> None:
-    """Delete the files of what materialise() returned, once nothing that reads them will run again. Spark removes the files of
-    shuffles when the driver has collected what refers to them, so it is asked to."""
+    """Delete the files of what materialise() returned, once nothing that reads them will run again. Files of shuffles go when Spark's
+    cleaner finds that nothing refers to them any more (spark.cleaner.periodicGC.interval)."""
     for df in dfs:
-        if path := getattr(df, "materialised_at", None):
-            _remove(df.sparkSession, path)
-    if dfs:
-        dfs[0].sparkSession._jvm.System.gc()
+        path = getattr(df, "materialised_at", None)
+        if path in _written:
+            _remove(_written.pop(path), path)

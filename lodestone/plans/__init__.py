@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, removed when the driver's Python ends."""
+    from lodestone.operators.lineage import keep_until_end, shared_folder
+
+    return keep_until_end(spark, f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}")
+
+
 def queries() -> dict:
     from lodestone.plans import aggregates, analysis, clones, files, joins, model, more, scalars  # noqa: F401
 

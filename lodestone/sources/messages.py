@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.lineage import materialise
 from lodestone.operators.model import Model
 from lodestone.operators.types import REF
-from lodestone.sources.readers import framed_messages
+from lodestone.sources.seeks import framed_messages
 
 # The messages' fields by number, as name and kind; names in capitals are messages, * is repeated, {} a map of text to it.
 FIELDS = {
@@ -48,11 +48,23 @@ FIELDS = {
     "ARGUMENT": {1: ("value", "VALUE_ARGUMENT"), 2: ("call", "CALL_ARGUMENT")},
     "VALUE_ARGUMENT": {1: ("declaration_id", "text")},
     "CALL_ARGUMENT": {1: ("callsite_id", "int")},
+    # text documents of a compiler's symbols
+    "DOCUMENTS": {1: ("documents", "*DOCUMENT")},
+    "DOCUMENT": {1: ("schema", "int"), 2: ("uri", "text"), 3: ("text", "text"), 5: ("symbols", "*SYMBOL"), 6: ("occurrences", "*OCCURRENCE"), 10: ("language", "int"), 11: ("md5", "text"), 12: ("synthetics", "*SYNTHETIC")},
+    "SYMBOL": {1: ("symbol", "text"), 3: ("kind", "int"), 4: ("properties", "int"), 5: ("display_name", "text"), 16: ("language", "int")},
+    "OCCURRENCE": {1: ("range", "RANGE"), 2: ("symbol", "text"), 3: ("role", "int")},
+    "RANGE": {1: ("start_line", "int"), 2: ("start_col", "int"), 3: ("end_line", "int"), 4: ("end_col", "int")},
+    "SYNTHETIC": {1: ("range", "RANGE")},
 }
 # Names of numbers.
 KINDS = ("DEF", "VAL", "VAR", "TYPE", "CLASS", "TRAIT", "OBJECT", "INTERFACE", "ENUM", "MACRO", "TYPE_PARAMETER", "PARAMETER")
 ACCESS = ("PRIVATE", "PRIVATE_THIS", "PRIVATE_WITHIN", "PROTECTED", "PROTECTED_THIS", "PROTECTED_WITHIN", "PUBLIC", "NOT_SPECIFIED")
 LANGUAGES = ("UNKNOWN_LANGUAGE", "SCALA", "JAVA")
+SYMBOL_KINDS = {
+    3: "METHOD", 6: "MACRO", 7: "TYPE", 8: "PARAMETER", 9: "TYPE_PARAMETER", 10: "OBJECT", 11: "PACKAGE", 12: "PACKAGE_OBJECT", 13: "CLASS", 14: "TRAIT", 17: "SELF_PARAMETER", 18: "INTERFACE", 19: "LOCAL",
+    20: "FIELD", 21: "CONSTRUCTOR",
+}
+ROLES = ("UNKNOWN_ROLE", "REFERENCE", "DEFINITION")
 
 PARAMS = f"array<array<struct<name: string, type: {REF}, is_implicit: boolean>>>"
 TABLES = {
@@ -173,34 +185,85 @@ def project_rows(project: dict) -> Iterator[tuple[str, dict]]:
                 yield "args", {**own, "pos": i, **a.get("call", {}), **a.get("value", {})}
 
 
+DOCUMENT_TABLES = {
+    "documents": "uri string, language string, md5 string, symbols int, occurrences int, synthetics int",
+    "symbols": "uri string, symbol string, kind string, properties int, display_name string, language string",
+    "occurrences": "uri string, pos int, symbol string, role string, start_line int, start_col int, end_line int, end_col int",
+}
+
+
+def document_rows(document: dict) -> Iterator[tuple[str, dict]]:
+    """(table, row) of a text document. A number that has no name is null, one that isn't sent is 0."""
+    uri, name = {"uri": document.get("uri", "")}, lambda names, n: names[n] if n < len(names) else None
+    lists = ("symbols", "occurrences", "synthetics")
+    yield "documents", {**uri, "language": name(LANGUAGES, document.get("language", 0)), "md5": document.get("md5", ""), **{k: len(document[k]) for k in lists}}
+    for s in document["symbols"]:
+        yield "symbols", {**uri, "symbol": s.get("symbol", ""), "kind": SYMBOL_KINDS.get(s.get("kind", 0)), "properties": s.get("properties", 0), "display_name": s.get("display_name", ""), "language": name(LANGUAGES, s.get("language", 0))}
+    for i, o in enumerate(document["occurrences"]):
+        r = o.get("range")
+        yield "occurrences", {**uri, "pos": i, "symbol": o.get("symbol", ""), "role": name(ROLES, o.get("role", 0)), **({k: r.get(k, 0) for k in ("start_line", "start_col", "end_line", "end_col")} if r else {})}
+
+
+def text_documents(found: DataFrame, kind: str = "DOCUMENT") -> dict[str, DataFrame]:
+    """Tables documents, symbols and occurrences of column message: each a text document, or with kind DOCUMENTS a list of them, as compilers write
+    it into a file of its own."""
+    whole = (lambda m: decode(m, "DOCUMENTS")["documents"]) if kind == "DOCUMENTS" else (lambda m: [decode(m, "DOCUMENT")])
+    rows = materialise(_rows_of(found, lambda m: (row for d in whole(m) for row in document_rows(d))))
+    return {name: _table(rows, name, schema) for name, schema in DOCUMENT_TABLES.items()}
+
+
+def read_text_documents(spark: SparkSession, path: str, framing: str = "varint") -> dict[str, DataFrame]:
+    """text_documents() of the streams of text documents at path."""
+    return text_documents(framed_messages(spark, path, framing))
+
+
 def read_projects(spark: SparkSession, path: str, framing: str = "int32") -> Model:
     """Model tables of the framed files of projects at path."""
     rows = materialise(_decoded(framed_messages(spark, path, framing)))
-    return Model(**{name: _table(rows, name) for name in TABLES})
+    return Model(**{name: _table(rows, name, schema) for name, schema in TABLES.items()})
 
 
 def modules_of(found: DataFrame) -> DataFrame:
     """The modules of messages of projects."""
-    return _table(_decoded(found), "modules")
+    return _table(_decoded(found), "modules", TABLES["modules"])
 
 
-def _table(rows: DataFrame, name: str) -> DataFrame:
-    return rows.where(F.col("name") == name).select(F.from_json("row", TABLES[name]).alias("r")).select("r.*")
+def _table(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    return rows.where(F.col("name") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
 
 
 def _decoded(found: DataFrame) -> DataFrame:
-    """(name, row): of messages of projects, the tables' rows as JSON."""
+    return _rows_of(found, lambda message: project_rows(decode(message, "PROJECT")))
+
+
+def _rows_of(found: DataFrame, rows_of) -> DataFrame:
+    """(name, row): of messages, the tables' rows as JSON."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows = []
             for message in pdf["message"]:
-                rows = [(t, json.dumps(r)) for t, r in project_rows(decode(message, "PROJECT"))]
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=["name", "row"])
+                for table, row in rows_of(message):
+                    rows.append((table, json.dumps(row)))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["name", "row"])
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "row"])
 
     return found.select("message").mapInPandas(run, "name string, row string")
 
 
+def encoded(rows: DataFrame, kind: str) -> DataFrame:
+    """(message): of column json, each a message of the kind as JSON by the names of its fields."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"message": [encode(json.loads(x), kind) for x in pdf["json"]]})
+
+    return rows.select("json").mapInPandas(run, "message binary")
+
+
 def module_messages(modules: DataFrame) -> DataFrame:
     """(project_id, message) of projects whose modules have nothing but their own fields, to be framed by writers.framed()."""
     columns = ("module_id", "project_id", "group_id", "artifact_id", "version", "commit", "scala_version", "call_sites_count", "test_call_sites_count")

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import itertools
 import posixpath
 import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from lodestone.operators.lineage import materialise
+from lodestone.operators.lineage import counted, materialise
+from lodestone.sources import seeks
+from lodestone.sources.framed import file_system
 
 
 def frames(data: bytes, framing: str = "int32") -> Iterator[bytes]:
@@ -44,11 +46,6 @@ def frames(data: bytes, framing: str = "int32") -> Iterator[bytes]:
         at += size
 
 
-def framed_messages(spark: SparkSession, path: str, framing: str = "int32") -> DataFrame:
-    """(path, ordinal, message) of the files at path, each file of up to 2 GB."""
-    return unframed(spark.read.format("binaryFile").load(path).select("path", "content"), framing)
-
-
 def unframed(streams: DataFrame, framing: str = "int32") -> DataFrame:
     """streams: content, and path if it is known. (path, ordinal, message) of the messages in each."""
     if "path" not in streams.columns:
@@ -70,23 +67,17 @@ def unframed(streams: DataFrame, framing: str = "int32") -> DataFrame:
     return streams.select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
 
 
-def first_message(spark: SparkSession, path: str, framing: str = "int32") -> DataFrame:
-    """(path, ordinal, message) of each file's first message; the rest of the file isn't read as messages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            first = [(name, 0, m) for name, content in zip(pdf["path"], pdf["content"]) for m in itertools.islice(frames(content, framing), 1)]
-            yield pd.DataFrame(first, columns=["path", "ordinal", "message"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, message binary")
-
-
 def typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, header: bool = True) -> DataFrame:
     """RFC 4180; NA and empty fields are null."""
     df = spark.read.csv(path, schema=schema, header=header, quote='"', escape='"', multiLine=True, nullValue="NA", enforceSchema=True)
     return df.select(*(F.nullif(F.col(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema))
 
 
+def read_export(spark: SparkSession, root: str, name: str, schema: StructType | str, outcome: str = "rows") -> DataFrame:
+    """What writers.write_exports() wrote of one export, rows or problems."""
+    return typed_csv(spark, f"{root}/export={name}/outcome={outcome}", schema, header=False)
+
+
 # a quoted field with its escapes, or a bare one; and what ends it
 _FIELD = re.compile(r'(?:"((?:\\.|[^"\\\n])*)"?|([^,\n]*))(,|\n|\Z)', re.S)
 _DECODED = {"b": "\b", "n": "\n", "r": "\r", "t": "\t", "z": "\x1a"}
@@ -112,20 +103,12 @@ def backslash_rows(text: str, decode: bool = False) -> Iterator[list[str]]:
         yield row
 
 
-def backslash_csv(spark: SparkSession, path: str, schema: StructType | str, decode: bool = False) -> DataFrame:
-    """Files in the dialect of backslash_rows(), a file a task, as with any CSV whose fields hold line ends. Fields that aren't of their type, and
+def backslash_csv(spark: SparkSession, path: str, schema: StructType | str, decode: bool = False, split: int = seeks.SPLIT) -> DataFrame:
+    """Files in the dialect of backslash_rows(), read in pieces of `split` bytes. Fields that aren't of their type, and
     missing ones, are null."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for text in pdf["value"]:
-                rows = list(backslash_rows(text, decode))
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame({"row": rows[i : i + 10_000]})
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(run, "row array<string>")
+    rows = seeks.quoted_records(spark, path, partial(backslash_rows, decode=decode), split)
     return rows.select(*(F.get("row", i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
 
 
@@ -134,61 +117,63 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def project_csvs(spark: SparkSession, root: str, rel_path: str, schema: StructType | str) -> DataFrame:
+def project_csvs(spark: SparkSession, root: str, rel_path: str, schema: StructType | str, header: bool = True) -> DataFrame:
     """Union of <root>/<project>/<rel_path> of all projects that have it, project_id first: the
     directory's name, whatever the file says."""
-    df = typed_csv(spark, f"{root}/*/{rel_path}", schema)
+    df = typed_csv(spark, f"{root}/*/{rel_path}", schema, header)
     depth = rel_path.count("/") + 2
     project = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -depth)
     return df.select(F.url_decode(project).alias("project_id"), *(c for c in df.columns if c != "project_id"))
 
 
-def log_tails(spark: SparkSession, path: str, lines: int = 20) -> DataFrame:
-    """(path, lines): the last lines of each log."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("all"))
-    return df.select("path", F.slice("all", F.greatest(F.lit(1), F.size("all") - lines + 1), lines).alias("lines"))
-
-
 def compiled_documents(spark: SparkSession, root: str, suffix: str = ".semanticdb", skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, entry, content) of the files with the suffix below root, and of those in jars there and in jars that the manifests
+    """(path, entry, content) of the files with the suffix below root, and of those in jars there and in the jars and folders that the manifests
     of these name in Class-Path, from wherever, entries by lower-case name. Paths with a skipped directory name are left out.
 
-    Jars are read a round at a time until none names a new one that exists."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                if path.endswith(suffix):
-                    yield pd.DataFrame({"path": [path], "entry": [None], "content": [content], "names": [None]})
-                elif path.endswith(".jar"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as jar:
-                        names = jar.namelist()
-                        for name in sorted((n for n in names if n.endswith(suffix)), key=str.lower):
-                            yield pd.DataFrame({"path": [path], "entry": [name], "content": [jar.read(name)], "names": [None]})
-                        manifest = jar.read("META-INF/MANIFEST.MF").decode() if "META-INF/MANIFEST.MF" in names else ""
-                    others = re.search(r"(?m)^Class-Path: *(.*)$", re.sub(r"\r?\n ", "", manifest))
-                    yield pd.DataFrame({"path": [path], "entry": [None], "content": [None], "names": [others[1].split() if others else []]})
-
-    schema = "path string, entry string, content binary, names array<string>"
+    Of a jar the directory and the entries wanted are read. Named jars are followed a round at a time, until none names one that hasn't been read."""
     parts = F.split("path", "/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    files = files.where((F.col("path").endswith(suffix) | F.col("path").endswith(".jar")) & ~F.arrays_overlap(parts, F.array(*map(F.lit, skip or ("\0",)))))
-    found = rows = materialise(files.mapInPandas(run, schema))
-    seen: set[str] = set()
+    files = seeks.files(spark, root, recursive=True).select("path").where((F.col("path").endswith(suffix) | F.col("path").endswith(".jar")) & ~F.arrays_overlap(parts, F.array(*map(F.lit, skip or ("\0",)))))
+    schema = "path string, entry string, content binary, named array<string>"
+    run = partial(_documents, suffix=suffix)
+    found = rows = materialise(files.mapInArrow(run, schema))
     while True:
-        named = rows.where("names IS NOT NULL").select("path", F.explode("names").alias("name")).distinct().collect()  # paths of jars, not what they hold
-        seen |= {r.path for r in rows.where("names IS NOT NULL").select("path").distinct().collect()}
-        new = sorted({posixpath.normpath(posixpath.join(posixpath.dirname(r.path.split(":", 1)[-1]), r.name)) for r in named})
-        new = [p for p in new if not any(s.split(":", 1)[-1].lstrip("/") == p.lstrip("/") for s in seen) and _exists(spark, p)]
-        if not new:
-            return found.where("names IS NULL").select("path", "entry", "content")
-        rows = materialise(spark.read.format("binaryFile").load(new).select("path", "content").mapInPandas(run, schema))
+        seen = found.select("path").distinct()
+        new, left = counted(rows.select(F.explode("named").alias("path")).distinct().join(seen, "path", "left_anti"), F.lit(True))
+        if not left:
+            return found.where("named IS NULL").select("path", "entry", "content")
+        rows = materialise(new.mapInArrow(run, schema))
         found = found.unionByName(rows)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _documents(batches: Iterator[pa.RecordBatch], suffix: str) -> Iterator[pa.RecordBatch]:
+    def row(path, entry=None, content=None, named=None):
+        return pa.RecordBatch.from_pylist([{"path": path, "entry": entry, "content": content, "named": named}], pa.schema([("path", pa.string()), ("entry", pa.string()), ("content", pa.binary()), ("named", pa.list_(pa.string()))]))
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with seeks.opened(path) as file:
+                if path.endswith(suffix):
+                    yield row(path, content=file.read())
+                    continue
+                with zipfile.ZipFile(file) as jar:
+                    names = jar.namelist()
+                    for name in sorted((n for n in names if n.endswith(suffix)), key=str.lower):
+                        yield row(path, name, jar.read(name))
+                    manifest = jar.read("META-INF/MANIFEST.MF").decode() if "META-INF/MANIFEST.MF" in names else ""
+            others = re.search(r"(?m)^Class-Path: *(.*)$", re.sub(r"\r?\n ", "", manifest))
+            yield row(path, named=[p for name in (others[1].split() if others else []) for p in _followed(path, name, suffix)])
+
+
+def _followed(jar: str, name: str, suffix: str) -> Iterator[str]:
+    """What a name in a jar's Class-Path leads to: a jar, a document or the documents below a folder; nothing if there is none."""
+    scheme, inner = re.match(r"(file:(?=/)|[a-z0-9+.-]+://[^/]*|)(.*)", jar, re.S).groups()
+    path = scheme + posixpath.normpath(posixpath.join(posixpath.dirname(inner), name))
+    system, at = file_system(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.Directory:
+        yield from (scheme + f.path if f.path.startswith("/") or not scheme.endswith(":") else f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.endswith(suffix))
+    elif info.type == fs.FileType.File and path.endswith((suffix, ".jar")):
+        yield path
 
 
 def feather(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

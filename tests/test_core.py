@@ -15,7 +15,7 @@ from lodestone.functions import predicates as P
 from lodestone.functions import rstats
 from lodestone.functions import scalars as S
 from lodestone.operators import clones, joins, model, ranks, types
-from lodestone.sources import messages, readers, writers
+from lodestone.sources import messages, readers, seeks, writers
 
 
 def one(spark, column):
@@ -224,7 +224,7 @@ def test_absorbed_groups(spark):
 
 def test_frames(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"".join(struct.pack(">i", len(m)) + m for m in (b"abc", b"", b"z" * 300)))
-    got = readers.framed_messages(spark, str(tmp_path / "x.bin")).orderBy("ordinal").collect()
+    got = readers.unframed(spark.read.format("binaryFile").load(str(tmp_path / "x.bin")).select("path", "content")).orderBy("ordinal").collect()
     assert [bytes(r.message) for r in got] == [b"abc", b"", b"z" * 300]
     assert bytes(one(spark, writers.framed(F.lit(b"abc")))) == b"\0\0\0\3abc"
     assert list(readers.frames(b"\x03abc\x00", "varint")) == [b"abc", b""]
@@ -257,21 +257,23 @@ def test_messages(spark, tmp_path):
     assert model.export_declarations(got).rows.count() == 2 and model.export_parameters(got).problems.count() == 2
     size = writers.framed_size(spark.createDataFrame([(bytearray(m),) for m in data], "message binary")).first()
     assert (size.bytes, size.messages) == ((tmp_path / "m.bin").stat().st_size, 2)
-    assert readers.first_message(spark, str(tmp_path / "m.bin")).count() == 1
+    assert seeks.framed_messages(spark, str(tmp_path / "m.bin"), first=1).count() == 1
 
 
 def test_jars_named_by_manifests(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "lib").mkdir()
-    for name, entries, others in (("in/a.jar", {"x.semanticdb": b"1", "B.semanticdb": b"2", "c.txt": b""}, "../lib/b.jar gone.jar"), ("lib/b.jar", {"y.semanticdb": b"3"}, "c.jar ../in/a.jar"), ("lib/c.jar", {"z.semanticdb": b"4"}, None)):
+    for name, entries, others in (("in/a.jar", {"x.semanticdb": b"1", "B.semanticdb": b"2", "c.txt": b""}, "../lib/b.jar gone.jar ../lib/sub"), ("lib/b.jar", {"y.semanticdb": b"3"}, "c.jar ../in/a.jar"), ("lib/c.jar", {"z.semanticdb": b"4"}, None)):
         with zipfile.ZipFile(tmp_path / name, "w") as jar:
             for k, v in entries.items():
                 jar.writestr(k, v)
             if others:
                 jar.writestr("META-INF/MANIFEST.MF", f"Manifest-Version: 1.0\r\nClass-Path: {others[:9]}\r\n {others[9:]}\r\n\r\n")
     (tmp_path / "in" / "d.semanticdb").write_bytes(b"5")
+    (tmp_path / "lib" / "sub").mkdir()
+    (tmp_path / "lib" / "sub" / "e.semanticdb").write_bytes(b"6")
     got = readers.compiled_documents(spark, str(tmp_path / "in")).collect()
-    assert sorted(bytes(r.content) for r in got) == [b"1", b"2", b"3", b"4", b"5"]
+    assert sorted(bytes(r.content) for r in got) == [b"1", b"2", b"3", b"4", b"5", b"6"]
 
 
 def test_dated_files_feather_and_lines(spark, tmp_path):
@@ -309,7 +311,7 @@ def test_csv(spark, tmp_path):
     assert read(True) == [(1, 'a"b', "c\nd"), (2, "qxz", "a\\nb\x1a"), (None, "", "e\nf,g"), (3, "open", None), (4, "u", None)]
     assert read(False)[:2] == [(1, 'a"b', "cnd"), (2, "qxz", "a\\nbz")]
     (tmp_path / "l.log").write_text("\n".join(map(str, range(30))) + "\n")
-    assert readers.log_tails(spark, str(tmp_path / "l.log")).first().lines == [str(i) for i in range(10, 30)]
+    assert seeks.log_tails(spark, str(tmp_path / "l.log")).first().lines == [str(i) for i in range(10, 30)]
     df = spark.createDataFrame([(True, ["a", "b"], None), (False, [], "x")], "t boolean, l array<string>, s string")
     writers.write_with_problems(df, df.limit(0), str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), header=True)

@@ -3,13 +3,18 @@
 Model tables: modules, paths, declarations, call_sites, args as in FIXTURES.md. Type references are arrays
 as in operators/types.py; positions are a line and a column, null where the place isn't known.
 
+All exports read the same few joins of these tables, so a model is prepared once: Model.prepared() reads each table a single time and
+writes what the exports need of it, declarations and call sites with their module, library and place. That runs jobs, once for a
+model, when the first export is asked for; so do the rounds that follow aliases, parents and nesting.
+
 Each export has its rows and, beside them, problems: (project_id, module_id, declaration_id, message) of the rows that can't be
-made, because a declaration or a path is missing.
+made, because a declaration or a path is missing. Both are parts of one table, judged, in which each row is computed once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +22,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import predicates as P
 from lodestone.functions import scalars as S
 from lodestone.operators import types as T
-from lodestone.operators.lineage import forget, materialise
+from lodestone.operators.lineage import counted, forget, materialise
 
 KEY = ["module_id", "declaration_id"]
+LIBRARY = ["location_scope", "group_id", "artifact_id", "version"]
 
 
 @dataclass
@@ -30,78 +36,182 @@ class Model:
     call_sites: DataFrame
     args: DataFrame
 
+    def prepared(self) -> Prepared:
+        """What the exports read, made when first asked for and kept with this model."""
+        if "_prepared" not in self.__dict__:
+            self._prepared = Prepared(self)
+        return self._prepared
+
+    def forget(self) -> None:
+        """Delete what was prepared, once no export of the model will run again."""
+        prepared = self.__dict__.pop("_prepared", None)
+        if prepared:
+            forget(*(t for t in vars(prepared).values() if isinstance(t, DataFrame)))
+
+
+class Prepared:
+    """Tables of a model that all exports share, each written when first used.
+
+    places: module_id, path (patched), known, local (a source or internal path of any module of the project), location_scope and the library.
+    declarations: those of the model with project_id and library of their module (m_group_id ...), def_known, def_location_scope, def_group_id ...
+    of their path, link, implicit (the declaration or its last parameter list is), companion_of (the class that a def of the shape of a
+    conversion results in) and no_path. sites: call sites with the same of their module, def_* of their declaration's path, site_* and link of their own
+    place, there (whether the module has the declaration) and kept (PRD-16).
+    """
+
+    def __init__(self, model: Model):
+        self._model = model
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return materialise(self._model.modules.select("module_id", "project_id", *(F.col(c).alias(f"m_{c}") for c in ("group_id", "artifact_id", "version")), "commit"))
+
+    @cached_property
+    def places(self) -> DataFrame:
+        paths, own = self._model.paths, F.col("entry_kind") == "source"
+        scope = S.location_scope(*map(F.col, ("entry_kind", "scope", "managed", "internal", "transitive")))
+        library = [F.when(own, F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in ("group_id", "artifact_id", "version")]
+        inside = own | F.coalesce("internal", F.lit(False))
+        rows = materialise(paths.join(self.modules, "module_id").select("module_id", "project_id", S.patched_path(F.col("path")).alias("path"), inside.alias("inside"), scope.alias("location_scope"), *library))
+        local = rows.where("inside").select("project_id", "path").distinct().withColumn("local", F.lit(True))
+        out = materialise(rows.join(local, ["project_id", "path"], "left").select("module_id", "path", F.lit(True).alias("known"), F.coalesce("local", F.lit(False)).alias("local"), *LIBRARY))
+        forget(rows)
+        return out
+
+    def at_place(self, df: DataFrame, path: str, to: str) -> DataFrame:
+        """Adds {to}known, {to}local and {to} library columns of the module's path."""
+        places = self.places.select("module_id", F.col("path").alias("__path"), *(F.col(c).alias(f"{to}{c}") for c in ("known", "local", *LIBRARY)))
+        return df.withColumn("__path", S.patched_path(F.col(path))).join(places, ["module_id", "__path"], "left").drop("__path").withColumn(f"{to}known", F.coalesce(f"{to}known", F.lit(False)))
+
+    @cached_property
+    def declarations(self) -> DataFrame:
+        shape = (F.col("kind") == "DEF") & (F.col("sig_kind") == "method") & P.is_conversion_shape(F.col("parameter_lists"))
+        d = self._model.declarations.withColumns({"implicit": P.is_implicit_declaration(F.col("properties"), F.col("parameter_lists")), "companion_of": F.when(shape, T.head(F.col("result")))})
+        rows = self.at_place(d.join(self.modules, "module_id"), "location_path", "def_")
+        return materialise(rows.withColumn("link", _link(F.col("def_local"))).drop("commit", "def_local"))
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        d = self.declarations.select(*KEY, F.lit(True).alias("there"), F.coalesce((F.col("sig_kind") == "method") & F.col("implicit"), F.lit(False)).alias("implicit"), F.col("location_path").alias("decl_path"), *(f"def_{c}" for c in ("known", *LIBRARY)))
+        rows = self.at_place(self._model.call_sites.join(self.modules, "module_id").join(d, KEY, "left"), "location_path", "site_")
+        kept = F.col("parent_id").isNotNull() | F.coalesce("implicit", F.lit(False))
+        return materialise(rows.withColumns({"link": _link(F.col("site_local")), "kept": kept}).drop("commit", "site_local", "implicit"))
+
+    @cached_property
+    def used(self) -> DataFrame:
+        """(project_id, module_id, declaration_id, there) that kept call sites use, each once."""
+        return materialise(self.sites.where("kept").groupBy("project_id", *KEY).agg(F.max(F.coalesce("there", F.lit(False))).alias("there")))
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        """(module_id, declaration_id, resolved_id) of types that are another's alias; all others are their own."""
+        types = self.declarations.where("sig_kind = 'type'")
+        return materialise(T.declared_types(types).where("resolved_id <> declaration_id"))
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(module_id, companion_of, is_companion) of implicit classes."""
+        d = self.declarations.where((F.col("kind") == "CLASS") & P.has_property(F.col("properties"), P.IMPLICIT))
+        return materialise(d.select("module_id", F.col("declaration_id").alias("companion_of"), F.lit(True).alias("is_companion")))
+
+    def exported(self) -> DataFrame:
+        """Declarations that are implicit or that kept call sites use, with is_companion; each once."""
+        rows = self.declarations.join(self.used.where("there").select(*KEY, F.lit(True).alias("used")), KEY, "left").where("implicit OR used").drop("used")
+        return self.with_companions(rows)
+
+    def with_companions(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.classes, ["module_id", "companion_of"], "left").withColumn("is_companion", F.coalesce("is_companion", F.lit(False)))
+
+    def resolved(self) -> DataFrame:
+        """(module_id, declaration_id, resolved_id) of all declarations."""
+        rows = self.declarations.select(*KEY).join(self.aliases, KEY, "left")
+        return rows.select(*KEY, F.coalesce("resolved_id", "declaration_id").alias("resolved_id"))
+
+
+def _link(local: Column) -> Column:
+    """A link to a place in the repository, null if no module of the project has its path."""
+    return F.when(local, S.github_url(F.col("project_id"), F.col("commit"), F.col("location_path"), F.col("location_uri"), F.col("line")))
+
 
 @dataclass
 class Export:
-    rows: DataFrame
-    problems: DataFrame
+    """judged has the columns of rows and, where __problem isn't null, those of problems."""
 
+    judged: DataFrame
+    columns: list[str]
 
-def _split(judged: DataFrame, columns: list[str]) -> Export:
-    """judged: rows with a problem or null in __problem."""
-    problems = judged.where("__problem IS NOT NULL").select("project_id", *KEY, F.col("__problem").alias("message"))
-    return Export(judged.where("__problem IS NULL").select(*columns), problems)
+    @property
+    def rows(self) -> DataFrame:
+        return self.judged.where("__problem IS NULL").select(*self.columns)
+
+    @property
+    def problems(self) -> DataFrame:
+        return self.judged.where("__problem IS NOT NULL").select("project_id", *KEY, F.col("__problem").alias("message"))
 
 
 # ---- nested call sites -------------------------------------------------------------------------
 
 
-def nested_stats(call_sites: DataFrame, args: DataFrame, names: DataFrame) -> DataFrame:
-    """(module_id, call_site_id, calls, values, chars, missing) of the top call sites with an argument: over
-    all arguments of theirs and of the call sites nested in these, how many are call sites, how many
-    are values, the length of the names of what they refer to, and how many refer to nothing known.
+def own_arguments(call_sites: DataFrame, args: DataFrame, names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(module_id, call_site_id, calls, values, chars, missing) of call sites with arguments: over their own, how many are call sites, how
+    many are values, the length of the names of what they refer to, and how many refer to nothing known. With aliases also
+    nested_calls and arguments, the ids of both in order, and no_value, a value that isn't known.
 
-    args: module_id, call_site_id, callsite_id (the nested one, an argument of one call site) or declaration_id (the value).
-    names: module_id, declaration_id, name. Roots are found by pointer doubling, in as many rounds as the logarithm of
-    the deepest nesting.
-    """
-    key = ["module_id", "call_site_id"]
+    args: module_id, call_site_id, pos, callsite_id (the nested one, an argument of one call site) or declaration_id (the value).
+    names: module_id, declaration_id, name."""
     callees = call_sites.select("module_id", F.col("call_site_id").alias("callsite_id"), F.col("declaration_id").alias("callee"))
     own = args.join(callees, ["module_id", "callsite_id"], "left").withColumn("refers_to", F.coalesce("callee", "declaration_id"))
     own = own.join(names.select("module_id", F.col("declaration_id").alias("refers_to"), F.length("name").alias("chars")), ["module_id", "refers_to"], "left")
-    own = own.groupBy(*key).agg(F.count("callsite_id").alias("calls"), F.count_if(F.col("callsite_id").isNull()).alias("values"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"), F.count_if(F.col("chars").isNull()).alias("missing"))
-    owners = args.where("callsite_id IS NOT NULL").select("module_id", F.col("callsite_id").alias("call_site_id"), F.col("call_site_id").alias("owner")).distinct()
-    at = materialise(own.join(owners, key, "left").select(*own.columns, F.coalesce("owner", "call_site_id").alias("to"), F.col("owner").isNull().alias("done")))
-    own, before = at.select("module_id", "call_site_id", "calls", "values", "chars", "missing"), None
-    while left := at.where("NOT done").count():
-        if left == before:
-            raise ValueError("call sites nest in a cycle")
-        before, was = left, at
-        step = at.select("module_id", F.col("call_site_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
-        rest = at.where("NOT done").join(step, ["module_id", "to"], "left").select(*own.columns, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done"))
-        at = materialise(at.where("done").unionByName(rest))
-        forget(was)
-    sums = at.groupBy("module_id", F.col("to").alias("call_site_id")).agg(*(F.sum(c).alias(c) for c in ("calls", "values", "chars", "missing")))
-    return sums.join(call_sites.where("parent_id IS NULL").select(*key), key, "left_semi")
-
-
-# ---- libraries and places ----------------------------------------------------------------------
+    more = []
+    if aliases is not None:
+        own = own.join(aliases, KEY, "left").withColumn("value", F.when(F.col("callsite_id").isNull() & F.col("chars").isNotNull(), F.coalesce("resolved_id", "declaration_id")))
+        more = [
+            F.array_sort(F.collect_list(F.when(F.col("callsite_id").isNotNull(), F.struct("pos", "callsite_id"))))["callsite_id"].cast("array<string>").alias("nested_calls"),
+            F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value"))))["value"].alias("arguments"),
+            F.min(F.when(F.col("callsite_id").isNull() & F.col("value").isNull(), F.col("declaration_id"))).alias("no_value"),
+        ]
+    sums = (F.count("callsite_id").alias("calls"), F.count_if(F.col("callsite_id").isNull()).alias("values"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"), F.count_if(F.col("chars").isNull()).alias("missing"))
+    return own.groupBy("module_id", "call_site_id").agg(*sums, *more)
 
 
-def with_library(df: DataFrame, model: Model, path: str, to: str = "def_") -> DataFrame:
-    """Adds {to}location_scope, {to}group_id, {to}artifact_id, {to}version and {to}known: the module's own library for a source
-    path, the entry's for a class path; nulls and false if the module hasn't the path."""
-    own = model.modules.select("module_id", *(F.col(c).alias(f"__m_{c}") for c in ("group_id", "artifact_id", "version")))
-    columns = ("entry_kind", "scope", "managed", "internal", "transitive", "group_id", "artifact_id", "version")
-    entries = model.paths.select("module_id", S.patched_path(F.col("path")).alias("__path"), *(F.col(c).alias(f"__p_{c}") for c in columns))
-    rows = df.withColumn("__path", S.patched_path(F.col(path))).join(entries, ["module_id", "__path"], "left").join(own, "module_id", "left")
-    entry = lambda c: F.col(f"__p_{c}")
-    added = {f"{to}{c}": F.when(entry("entry_kind") == "source", F.col(f"__m_{c}")).otherwise(entry(c)) for c in ("group_id", "artifact_id", "version")}
-    added |= {f"{to}location_scope": S.location_scope(*map(entry, columns[:5])), f"{to}known": entry("entry_kind").isNotNull()}
-    return rows.withColumns(added).drop("__path", *(f"__p_{c}" for c in columns), *(f"__m_{c}" for c in ("group_id", "artifact_id", "version")))
+def roots_of(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(module_id, call_site_id, root) of nodes: module_id, call_site_id, each of which may have one owner among them or outside; owners:
+    module_id, call_site_id, owner. By pointer doubling, in as many rounds as the logarithm of the deepest nesting; a round rewrites the nodes
+    that aren't at their root yet, and no others. Nesting in a cycle is an error."""
+    key = ["module_id", "call_site_id"]
+    at = nodes.select(*key).join(owners, key, "left").select(*key, F.coalesce("owner", "call_site_id").alias("root"), F.col("owner").isNull().alias("done"))
+    at, left = counted(at, ~F.col("done"))
+    done, opened, before, used = at.where("done"), at.where("NOT done"), None, [at]
+    while left:
+        if left == before:
+            raise ValueError("call sites nest in a cycle")
+        before = left
+        step = done.unionByName(opened).select("module_id", F.col("call_site_id").alias("root"), F.col("root").alias("next"), F.col("done").alias("next_done"))
+        moved, left = counted(opened.join(step, ["module_id", "root"], "left").select(*key, F.coalesce("next", "root").alias("root"), F.coalesce("next_done", F.lit(True)).alias("done")), ~F.col("done"))
+        done, opened = done.unionByName(moved.where("done")), moved.where("NOT done")
+        used.append(moved)
+    out = materialise(done.select(*key, "root"))
+    forget(*used)
+    return out
+
+
+def stats_of_roots(own: DataFrame, args: DataFrame, top: DataFrame) -> DataFrame:
+    """(module_id, call_site_id, calls, values, chars, missing) of call sites of top (module_id, call_site_id) with arguments: sums over own_arguments() of
+    themselves and of all that nests in them."""
+    key, sums = ["module_id", "call_site_id"], ("calls", "values", "chars", "missing")
+    owners = args.where("callsite_id IS NOT NULL").select("module_id", F.col("callsite_id").alias("call_site_id"), F.col("call_site_id").alias("owner")).distinct()
+    at = own.select(*key, *sums).join(roots_of(own, owners), key).groupBy("module_id", F.col("root").alias("call_site_id")).agg(*(F.sum(c).alias(c) for c in sums))
+    return at.join(top, key, "left_semi")
 
 
-def local_paths(model: Model) -> DataFrame:
-    """(project_id, __path): source paths and internal class paths of any of a project's modules."""
-    inside = model.paths.where("entry_kind = 'source' OR internal").select("module_id", S.patched_path(F.col("path")).alias("__path"))
-    return inside.join(model.modules.select("module_id", "project_id"), "module_id").select("project_id", "__path").distinct()
+def nested_stats(call_sites: DataFrame, args: DataFrame, names: DataFrame) -> DataFrame:
+    """own_arguments() of the top call sites with an argument, of their own and of all that nests in them."""
+    args = materialise(args)
+    own = materialise(own_arguments(call_sites, args, names))
+    return stats_of_roots(own, args, call_sites.where("parent_id IS NULL").select("module_id", "call_site_id"))
 
 
-def with_link(df: DataFrame, local: DataFrame, path: str, uri: str, line: str, to: str) -> DataFrame:
-    """Adds a link to a place in the repository; null if no module of the project has its path. df: project_id, commit."""
-    rows = df.withColumn("__path", S.patched_path(F.col(path))).join(local.withColumn("__local", F.lit(True)), ["project_id", "__path"], "left")
-    link = S.github_url(F.col("project_id"), F.col("commit"), F.col(path), F.col(uri), F.col(line))
-    return rows.withColumn(to, F.when(F.col("__local"), link)).drop("__path", "__local")
+# ---- problems ----------------------------------------------------------------------------------
 
 
 def _missing(*checks: tuple[Column, Column]) -> Column:
@@ -135,15 +245,6 @@ def kept_call_sites(model: Model) -> DataFrame:
     return model.call_sites.join(marked, KEY, "left").where("parent_id IS NOT NULL OR __implicit").drop("__implicit")
 
 
-def exported_keys(model: Model) -> DataFrame:
-    """(module_id, declaration_id): implicit declarations, and those that kept call sites use, each once."""
-    return implicit_declarations(model.declarations).select(*KEY).unionByName(kept_call_sites(model).select(*KEY)).distinct()
-
-
-def _with_module(df: DataFrame, model: Model) -> DataFrame:
-    return df.join(model.modules.select("module_id", "project_id", "group_id", "artifact_id", "version", "commit"), "module_id")
-
-
 # ---- the four exports --------------------------------------------------------------------------
 
 DECLARATION = [
@@ -152,24 +253,26 @@ DECLARATION = [
 ]
 
 
+def _own_library(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({f"m_{c}": c for c in ("group_id", "artifact_id", "version")})
+
+
 def export_declarations(model: Model) -> Export:
     """Implicit declarations, and those that call sites use, of each module once, in the columns of DECLARATION."""
-    d = model.declarations.withColumn("__there", F.lit(True))
-    rows = _with_module(exported_keys(model).join(d, KEY, "left"), model)
-    rows = with_link(with_library(rows, model, "location_path"), local_paths(model), "location_path", "location_uri", "line", "github_url")
-    rows = rows.join(companions(model.declarations).withColumn("__companion", F.lit(True)), KEY, "left")
+    p = model.prepared()
     last = P.implicit_parameters(F.col("parameter_lists"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    rows = rows.withColumns(
+    rows = _own_library(p.exported()).withColumns(
         {
-            "__problem": _missing((F.col("__there").isNull(), _no_declaration(F.col("declaration_id"))), (~F.col("def_known"), _no_path(F.col("location_path")))),
+            "__problem": _missing((~F.col("def_known"), _no_path(F.col("location_path")))),
             "location_path": S.patched_path(F.col("location_path")), "location_pos": S.encode_position(F.col("line"), F.col("col")), "location_scope": F.col("def_location_scope"),
-            "compilation_unit": S.compilation_unit(F.col("declaration_id")), "is_implicit": P.has_property(F.col("properties"), P.IMPLICIT), "is_companion": F.coalesce("__companion", F.lit(False)),
+            "compilation_unit": S.compilation_unit(F.col("declaration_id")), "is_implicit": P.has_property(F.col("properties"), P.IMPLICIT), "github_url": F.col("link"),
             "annotations": S.encode_list(F.col("annotations")), "num_type_parameters": size("type_parameters"), "num_parameter_lists": size("parameter_lists"),
             "num_parameters": size(F.flatten("parameter_lists")), "num_implicit_parameters": F.when(last.isNotNull(), F.size(last)),
         }
     )
-    return _split(rows, DECLARATION)
+    gone = p.used.where("NOT there").select("project_id", *KEY, _no_declaration(F.col("declaration_id")).alias("__problem"))
+    return Export(rows.select(*DECLARATION, "__problem").unionByName(gone, allowMissingColumns=True), DECLARATION)
 
 
 CALL_SITE = [
@@ -178,43 +281,37 @@ CALL_SITE = [
 ]
 
 
-def call_site_base(model: Model) -> DataFrame:
-    """Kept call sites in the columns of CALL_SITE but for those about nested ones, with arguments and problems. What needs no
-    statistics of nesting starts here."""
-    names = model.declarations.select(*KEY, "name")
-    values = model.args.join(T.declared_types(model.declarations), KEY, "left")
-    args = values.groupBy("module_id", "call_site_id").agg(
-        F.count("*").cast("int").alias("num_implicit_arguments"),
-        F.array_sort(F.collect_list(F.when(F.col("callsite_id").isNotNull(), F.struct("pos", "callsite_id"))))["callsite_id"].cast("array<string>").alias("nested_calls"),
-        F.array_sort(F.collect_list(F.when(F.col("resolved_id").isNotNull(), F.struct("pos", "resolved_id"))))["resolved_id"].alias("arguments"),
-        F.min(F.when(F.col("callsite_id").isNull() & F.col("resolved_id").isNull(), F.col("declaration_id"))).alias("__no_value"),
-    )
-    d = model.declarations.select(*KEY, F.col("location_path").alias("__decl_path"))
-    rows = _with_module(kept_call_sites(model).join(d, KEY, "left"), model).join(args, ["module_id", "call_site_id"], "left")
-    rows = with_library(with_library(rows, model, "location_path", "site_"), model, "__decl_path", "def_")
-    rows = with_link(rows, local_paths(model), "location_path", "location_uri", "line", "github_url")
+def call_site_base(model: Model, own: DataFrame | None = None, stats: DataFrame | None = None) -> Export:
+    """Kept call sites in the columns of CALL_SITE, which without stats, of stats_of_roots(), has nulls for those about what nests in them and no
+    problems of it. own: own_arguments() of all call sites, if made already. What needs no statistics of nesting starts here."""
+    p, key = model.prepared(), ["module_id", "call_site_id"]
+    own = own_arguments(p.sites, model.args, p.declarations, p.aliases) if own is None else own
+    own = own.select(*key, (F.col("calls") + F.col("values")).cast("int").alias("num_implicit_arguments"), "nested_calls", "arguments", "no_value")
+    named = {"calls": "nested_calls_count", "values": "nested_values_count", "chars": "nested_declarations_length", "missing": "lacks"}
+    rows = _own_library(p.sites.where("kept").join(own, key, "left"))
+    rows = rows.join(stats.withColumnsRenamed(named), key, "left") if stats is not None else rows.withColumns({c: F.lit(None).cast("long") for c in named.values()})
     library = lambda p: [F.col(f"{p}{c}") for c in ("group_id", "artifact_id", "version")]
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "__problem": _missing(
-                (F.col("__decl_path").isNull(), _no_declaration(F.col("declaration_id"))), (~F.col("site_known"), _no_path(F.col("location_path"))),
-                (~F.col("def_known"), _no_path(F.col("__decl_path"))), (F.col("__no_value").isNotNull(), _no_declaration(F.col("__no_value"))),
+                (F.col("there").isNull(), _no_declaration(F.col("declaration_id"))), (~F.col("site_known"), _no_path(F.col("location_path"))), (~F.col("def_known"), _no_path(F.col("decl_path"))),
+                (F.col("no_value").isNotNull(), _no_declaration(F.col("no_value"))), (F.col("lacks") > 0, F.lit("missing declaration of a nested argument")),
             ),
             "callsite_id": F.col("call_site_id"), "code": S.code_snippet(F.col("code")), "local": S.locality(*library("site_"), *library("def_")), "location_pos": S.encode_position(F.col("line"), F.col("col")),
             "location_path": S.patched_path(F.col("location_path")), "location_scope": F.col("site_location_scope"), "nested_calls": S.encode_list(F.col("nested_calls")), "arguments": S.encode_list(F.col("arguments")),
-            "num_type_arguments": F.coalesce(F.size("type_arguments"), F.lit(0)), "num_implicit_arguments": F.coalesce("num_implicit_arguments", F.lit(0)),
+            "num_type_arguments": F.coalesce(F.size("type_arguments"), F.lit(0)), "num_implicit_arguments": F.coalesce("num_implicit_arguments", F.lit(0)), "github_url": F.col("link"),
         }
     )
+    return Export(rows.select(*CALL_SITE, "__problem"), CALL_SITE)
 
 
 def export_call_sites(model: Model) -> Export:
     """Call sites that are implicit or nested, in the columns of CALL_SITE; statistics of what nests in them for top ones with implicit
     arguments."""
-    stats = nested_stats(model.call_sites, model.args, model.declarations.select(*KEY, "name"))
-    stats = stats.withColumnsRenamed({"calls": "nested_calls_count", "values": "nested_values_count", "chars": "nested_declarations_length", "missing": "__missing"})
-    rows = call_site_base(model).join(stats, ["module_id", "call_site_id"], "left")
-    rows = rows.withColumn("__problem", F.coalesce("__problem", F.when(F.col("__missing") > 0, "missing declaration of a nested argument")))
-    return _split(rows, CALL_SITE)
+    p = model.prepared()
+    args = materialise(model.args)
+    own = materialise(own_arguments(p.sites, args, p.declarations, p.aliases))
+    return call_site_base(model, own, stats_of_roots(own, args, p.sites.where("parent_id IS NULL").select("module_id", "call_site_id")))
 
 
 PARAMETER = [
@@ -226,33 +323,34 @@ PARAMETER = [
 
 def export_parameters(model: Model) -> Export:
     """Implicit parameters of exported declarations, one row each, in the columns of PARAMETER."""
-    d, local = model.declarations, local_paths(model)
-    last = P.implicit_parameters(F.col("parameter_lists"))
-    own = d.where(last.isNotNull()).join(exported_keys(model), KEY, "left_semi")
-    rows = own.select(*KEY, F.col("kind").alias("declaration_kind"), P.has_property(F.col("properties"), P.IMPLICIT).alias("declaration_is_implicit"), "location_path", "location_uri", "line", F.posexplode(last).alias("position", "p"))
+    p = model.prepared()
+    d, last = p.declarations, P.implicit_parameters(F.col("parameter_lists"))
+    rows = p.exported().where(last.isNotNull()).select(
+        "project_id", *KEY, *(f"m_{c}" for c in ("group_id", "artifact_id", "version")), F.col("kind").alias("declaration_kind"), P.has_property(F.col("properties"), P.IMPLICIT).alias("declaration_is_implicit"),
+        F.col("is_companion").alias("declaration_is_companion"), *(f"def_{c}" for c in ("known", *LIBRARY)), "location_path", F.col("location_uri").alias("def_location_uri"), F.col("link").alias("def_location_github"), F.posexplode(last).alias("position", "p"),
+    )
     rows = rows.withColumns({"type": F.col("p.type"), "type_id": T.head(F.col("p.type")), "name": F.col("p.name")}).drop("p")
-    types = d.select("module_id", F.col("declaration_id").alias("type_id"), F.col("kind").alias("type_kind"), F.col("location_path").alias("type_path"), F.col("location_uri").alias("type_location_uri"), F.col("line").alias("type_line"))
-    resolved = T.declared_types(d).withColumnsRenamed({"declaration_id": "type_id", "resolved_id": "resolved_type_id"})
-    kinds = d.select("module_id", F.col("declaration_id").alias("resolved_type_id"), F.col("kind").alias("resolved_type_kind"))
-    counted = T.count_parameters(rows.select("module_id", F.struct("declaration_id", "position").alias("owner"), T.arguments(F.col("type")).alias("args")), d)
-    counted = counted.select("module_id", "owner.declaration_id", "owner.position", "num_type_arguments", "num_type_argument_refs", F.col("missing").alias("__lacks"))
-    rows = rows.join(types, ["module_id", "type_id"], "left").join(resolved, ["module_id", "type_id"], "left").join(kinds, ["module_id", "resolved_type_id"], "left")
-    rows = rows.join(counted, [*KEY, "position"]).join(companions(d).withColumn("__companion", F.lit(True)), KEY, "left")
-    rows = with_library(with_library(_with_module(rows, model), model, "location_path", "def_"), model, "type_path", "type_")
-    rows = with_link(with_link(rows, local, "location_path", "location_uri", "line", "def_location_github"), local, "type_path", "type_location_uri", "type_line", "type_location_github")
+    counted_ = T.count_parameters(rows.select("module_id", F.struct("declaration_id", "position").alias("owner"), T.arguments(F.col("type")).alias("args")), d)
+    counted_ = counted_.select("module_id", "owner.declaration_id", "owner.position", "num_type_arguments", "num_type_argument_refs", F.col("missing").alias("lacks"))
+    of_type = {"kind": "type_kind", "location_path": "type_path", "location_uri": "type_location_uri", "link": "type_location_github", "def_known": "type_known"} | {f"def_{c}": f"type_{c}" for c in LIBRARY}
+    types = d.select("module_id", F.col("declaration_id").alias("type_id"), *(F.col(a).alias(b) for a, b in of_type.items()))
+    # what an alias resolves to, with its kind; any other type is its own
+    ends = p.aliases.select("module_id", F.col("declaration_id").alias("type_id"), "resolved_id").join(d.select("module_id", F.col("declaration_id").alias("resolved_id"), F.col("kind").alias("end_kind")), ["module_id", "resolved_id"], "left")
+    rows = rows.join(types, ["module_id", "type_id"], "left").join(ends, ["module_id", "type_id"], "left").join(counted_, [*KEY, "position"])
     library = lambda p: [F.col(f"{p}{c}") for c in ("group_id", "artifact_id", "version")]
-    rows = rows.withColumns(
+    alias = F.col("resolved_id").isNotNull()
+    rows = _own_library(rows).withColumns(
         {
             "__problem": _missing(
                 (F.col("type_kind").isNull(), _no_declaration(F.col("type_id"))), (~F.col("def_known"), _no_path(F.col("location_path"))), (~F.col("type_known"), _no_path(F.col("type_path"))),
-                (F.col("__lacks") > 0, F.lit("missing declaration of a type argument")),
+                (F.col("lacks") > 0, F.lit("missing declaration of a type argument")),
             ),
-            "declaration_is_companion": F.coalesce("__companion", F.lit(False)), "def_location_path": S.patched_path(F.col("location_path")), "def_location_uri": F.col("location_uri"),
-            "parameter_id": F.concat("declaration_id", F.lit("("), "name", F.lit(")")), "code": T.as_code(F.col("type")), "type_location_path": S.patched_path(F.col("type_path")),
-            "type_local": S.locality(*library("def_"), *library("type_")), "resolved_type_id": F.when(F.col("resolved_type_kind").isNotNull(), F.col("resolved_type_id")),
+            "def_location_path": S.patched_path(F.col("location_path")), "parameter_id": F.concat("declaration_id", F.lit("("), "name", F.lit(")")), "code": T.as_code(F.col("type")),
+            "type_location_path": S.patched_path(F.col("type_path")), "type_local": S.locality(*library("def_"), *library("type_")),
+            "resolved_type_id": F.when(~alias, F.col("type_id")).when(F.col("end_kind").isNotNull(), F.col("resolved_id")), "resolved_type_kind": F.when(alias, F.col("end_kind")).otherwise(F.col("type_kind")),
         }
     )
-    return _split(rows, PARAMETER)
+    return Export(rows.select(*PARAMETER, "__problem"), PARAMETER)
 
 
 CONVERSION = [
@@ -261,56 +359,63 @@ CONVERSION = [
 ]
 
 
-def conversion_types(declarations: DataFrame) -> DataFrame:
+def conversion_types(declarations: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(module_id, declaration_id, from, to), the last two references: of implicit defs of the shape of a conversion the parameter's and
     the result's type; of implicit objects the arguments of the first of all their parents that is Function1, of implicit values, and
-    objects that are methods, of their type or the first such parent of it; none to Unit. So a list is a conversion, as it is a function of its index."""
+    objects that are methods, of their type or the first such parent of it; none to Unit. So a list is a conversion, as it is a function of its index.
+
+    aliases: Prepared.aliases, if made already. Inheritance is followed for the distinct types of implicit objects and values only."""
     implicit = P.has_property(F.col("properties"), P.IMPLICIT)
-    first = F.get(F.get("parameter_lists", 0), 0)["type"]
     shape = (F.col("kind") == "DEF") & P.is_conversion_shape(F.col("parameter_lists"))
-    # every round reads this: types and classes, and of the rest what is implicit
-    declarations = materialise(declarations.where(implicit | F.col("sig_kind").isin("class", "type")).select(*KEY, "kind", "sig_kind", "type_parameters", "parents", "upper", "lower", "result", implicit.alias("implicit"), shape.alias("shape"), first.alias("first")))
-    d = declarations.where("implicit")
-    resolved = materialise(T.declared_types(declarations))
-    unit = T.kinds_of(declarations, P.UNIT, resolved).withColumnRenamed("declaration_id", "__to")
-    defs = d.where("shape").select(*KEY, F.col("first").alias("from"), F.col("result").alias("to"))
+    first = F.get(F.get("parameter_lists", 0), 0)["type"]
+    d = declarations.where(implicit)
+    # every round reads this: types and classes alone
+    types = materialise(declarations.where("sig_kind IN ('class', 'type')").select(*KEY, "kind", "sig_kind", "type_parameters", "parents", "upper", "lower", "result"))
+    aliases = materialise(T.declared_types(types).where("resolved_id <> declaration_id")) if aliases is None else aliases
+    unit = T.kinds_of(types, P.UNIT, aliases).withColumnRenamed("declaration_id", "__to")
+    defs = d.where(shape).select(*KEY, first.alias("from"), F.col("result").alias("to"))
     objects = d.where("kind = 'OBJECT' AND sig_kind = 'class'").select(*KEY, T.ref(F.col("declaration_id")).alias("ref"), F.lit(False).alias("itself"))
     values = d.where("kind IN ('VAL', 'VAR', 'OBJECT') AND sig_kind = 'method'").select(*KEY, F.col("result").alias("ref"), F.lit(True).alias("itself"))
     roots = materialise(objects.unionByName(values))
-    up = T.all_parents(declarations, roots, resolved)
+    up = T.all_parents(types, roots, aliases)
     found = roots.join(up, ["module_id", "ref"]).select(*KEY, "parent", "place")
     found = found.unionByName(roots.where("itself").select(*KEY, F.col("ref").alias("parent"), F.array().cast("array<int>").alias("place")))
-    functions = T.types_of(declarations, P.FUNCTION1, resolved).withColumnRenamed("declaration_id", "__head")
+    functions = T.types_of(types, P.FUNCTION1, aliases).withColumnRenamed("declaration_id", "__head")
     first = found.withColumn("__head", T.head(F.col("parent"))).join(functions, ["module_id", "__head"]).groupBy(*KEY).agg(F.min_by("parent", "place").alias("ref"))
     first = materialise(first)
-    args = T.resolved_refs(declarations, first).select("module_id", "ref", T.arguments(F.col("resolved")).alias("args")).where(F.size("args") == 2)
+    args = T.resolved_refs(types, first).select("module_id", "ref", T.arguments(F.col("resolved")).alias("args")).where(F.size("args") == 2)
     of_functions = first.join(args, ["module_id", "ref"]).select(*KEY, F.col("args")[0].alias("from"), F.col("args")[1].alias("to"))
     return defs.unionByName(of_functions).withColumn("__to", T.head(F.col("to"))).join(unit, ["module_id", "__to"], "left_anti").drop("__to")
 
 
 def export_conversions(model: Model) -> Export:
     """Implicit conversions in the columns of CONVERSION."""
-    d = model.declarations
-    types = materialise(conversion_types(d))
-    both = materialise(types.select("module_id", F.col("from").alias("ref")).unionByName(types.select("module_id", F.col("to").alias("ref"))).distinct())
-    full = materialise(T.fully_resolved_refs(materialise(d.select(*KEY, "sig_kind", "type_parameters", "upper", "lower", "result")), both))
-    own = d.select(*KEY, "location_uri")
-    rows = _with_module(types, model).join(own, KEY).join(companions(d).withColumn("__companion", F.lit(True)), KEY, "left")
+    p = model.prepared()
+    d = p.declarations
+    found = materialise(conversion_types(d, p.aliases))
+    both = found.select("module_id", F.col("from").alias("ref")).unionByName(found.select("module_id", F.col("to").alias("ref"))).distinct()
+    full = T.fully_resolved_refs(materialise(d.select(*KEY, "sig_kind", "type_parameters", "upper", "lower", "result")), both)
+    own = d.select(*KEY, "project_id", *(f"m_{c}" for c in ("group_id", "artifact_id", "version")), F.col("location_uri"), "companion_of")
+    rows = _own_library(p.with_companions(found.join(own, KEY)))
     problem = []
     for side in ("from", "to"):
-        ends = d.select("module_id", F.col("declaration_id").alias(f"__{side}"), F.col("location_path").alias(f"__{side}_path"), F.col("language").alias(f"{side}_language"))
+        of_side = {"location_path": f"__{side}_path", "language": f"{side}_language", "def_known": f"{side}_known", "def_location_scope": f"{side}_scope"} | {f"def_{c}": f"{side}_{c}" for c in LIBRARY[1:]}
+        ends = d.select("module_id", F.col("declaration_id").alias(f"__{side}"), *(F.col(a).alias(b) for a, b in of_side.items()))
         known = full.select("module_id", F.col("ref").alias(side), T.as_code(F.col("resolved")).alias(f"__{side}_code"), F.col("missing").alias(f"__{side}_lacks"))
         rows = rows.withColumn(f"__{side}", T.head(F.col(side))).join(ends, ["module_id", f"__{side}"], "left").join(known, ["module_id", side], "left")
-        rows = with_library(rows, model, f"__{side}_path", f"{side}_")
         problem += [
             (F.col(f"__{side}_path").isNull(), _no_declaration(F.col(f"__{side}"))), (~F.col(f"{side}_known"), _no_path(F.col(f"__{side}_path"))),
             (F.col(f"__{side}_lacks").isNotNull(), _no_declaration(F.col(f"__{side}_lacks"))),
         ]
-    added = {"__problem": _missing(*problem), "is_local": P.is_project_local(F.col("location_uri")) | F.coalesce("__companion", F.lit(False))}
+    added = {"__problem": _missing(*problem), "is_local": P.is_project_local(F.col("location_uri")) | F.col("is_companion")}
     for side in ("from", "to"):
-        added |= {side: F.col(f"__{side}_code"), f"{side}_scope": F.col(f"{side}_location_scope"), f"{side}_compilation_unit": S.compilation_unit(F.col(f"__{side}"))}
+        added |= {side: F.col(f"__{side}_code"), f"{side}_compilation_unit": S.compilation_unit(F.col(f"__{side}"))}
         added |= {f"{side}_groupId": F.col(f"{side}_group_id"), f"{side}_artifactId": F.col(f"{side}_artifact_id")}
-    return _split(rows.withColumns(added), CONVERSION)
+    return Export(rows.withColumns(added).select(*CONVERSION, "__problem"), CONVERSION)
+
+
+#: The exports of a model by name.
+EXPORTS = {"declarations": export_declarations, "callsites": export_call_sites, "conversions": export_conversions, "parameters": export_parameters}
 
 
 def extraction_statistics(model: Model, exceptions: DataFrame) -> DataFrame:
@@ -334,7 +439,7 @@ def parameter_declaration(declarations: DataFrame, wanted: DataFrame) -> Export:
     known = declarations.select("module_id", F.col("declaration_id").alias("type_id"), F.lit(True).alias("__there"))
     rows = rows.join(known, ["module_id", "type_id"], "left")
     none = F.concat(F.lit("parameter "), F.col("name"), F.lit(" does not exist"))
-    return _split(rows.withColumn("__problem", _missing((F.col("type_id").isNull(), none), (F.col("__there").isNull(), _no_declaration(F.col("type_id"))))), ["project_id", *KEY, "name", "type_id"])
+    return Export(rows.withColumn("__problem", _missing((F.col("type_id").isNull(), none), (F.col("__there").isNull(), _no_declaration(F.col("type_id"))))), ["project_id", *KEY, "name", "type_id"])
 
 
 def signature_parts(declarations: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ declarations have module_id, declaration_id, kind, sig_kind (type, class, method
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.lineage import forget, materialise
+from lodestone.operators.lineage import counted, forget, materialise
 
 REF = "array<struct<id: string, depth: int>>"
 
@@ -98,25 +100,24 @@ def resolved_types(declarations: DataFrame) -> DataFrame:
     target = F.when(F.col("sig_kind") == "type", F.coalesce("upper", "lower"))
     links = materialise(declarations.select(*key, target.alias("to")).where("to IS NOT NULL").distinct())
 
-    def double(at: DataFrame) -> tuple[DataFrame, int]:
-        """at: key, to, done. Twice the steps for those that aren't done."""
-        step = at.select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
-        rows = at.where("done").unionByName(at.where("NOT done").join(step, ["module_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done")))
-        rows = materialise(rows)
-        return rows, rows.where("NOT done").count()
+    def double(done: DataFrame, opened: DataFrame) -> tuple[DataFrame, int]:
+        """Twice the steps for the opened, which lead to opened or done ones."""
+        step = done.unionByName(opened).select("module_id", F.col("declaration_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("next_done"))
+        rows = opened.join(step, ["module_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.coalesce("next_done", F.lit(True)).alias("done"))
+        return counted(rows, ~F.col("done"))
 
     start = links.select("module_id", F.col("declaration_id").alias("to"), F.lit(True).alias("linked")).distinct()
-    at = materialise(links.join(start, ["module_id", "to"], "left").select(*key, "to", F.col("linked").isNull().alias("done")))
-    left = at.where("NOT done").count()
+    at, left = counted(links.join(start, ["module_id", "to"], "left").select(*key, "to", F.col("linked").isNull().alias("done")), ~F.col("done"))
+    done, opened = at.where("done"), at.where("NOT done")
     while left:
-        was, before = at, left
-        at, left = double(at)
-        forget(was)
+        before = left
+        moved, left = double(done, opened)
+        done, opened = done.unionByName(moved.where("done")), moved.where("NOT done")
         if left == before:
             break
-    resolved = at.where("done").select(*key, F.col("to").alias("resolved_id"))
+    resolved = done.select(*key, F.col("to").alias("resolved_id"))
     if left:
-        resolved = resolved.unionByName(_cycles(links, at.where("NOT done").select(*key, "to"), double))
+        resolved = resolved.unionByName(_cycles(links, opened.select(*key, "to"), double))
     return declarations.select(*key).distinct().join(resolved, key, "left").select(*key, F.coalesce("resolved_id", "declaration_id").alias("resolved_id"))
 
 
@@ -134,9 +135,11 @@ def _cycles(links: DataFrame, at: DataFrame, double) -> DataFrame:
     cycle = on.withColumnRenamed("to", "declaration_id")
     tails = at.select(*key).join(cycle, key, "left_anti").join(links, key)
     ends = cycle.select("module_id", F.col("declaration_id").alias("to"), F.lit(True).alias("end"))
-    tails = materialise(tails.join(ends, ["module_id", "to"], "left").select(*key, "to", F.col("end").isNotNull().alias("done")))
-    while not tails.where("NOT done").isEmpty():
-        tails, _ = double(tails)
+    tails, left = counted(tails.join(ends, ["module_id", "to"], "left").select(*key, "to", F.col("end").isNotNull().alias("done")), ~F.col("done"))
+    tails, opened = tails.where("done"), tails.where("NOT done")
+    while left:
+        moved, left = double(tails, opened)
+        tails, opened = tails.unionByName(moved.where("done")), moved.where("NOT done")
     previous = cycle.join(links, key).select("module_id", "to", F.col("declaration_id").alias("resolved_id"))
     led = tails.join(previous, ["module_id", "to"]).select(*key, "resolved_id")
     return led.unionByName(cycle.select(*key, F.col("declaration_id").alias("resolved_id")))
@@ -148,27 +151,39 @@ def declared_types(declarations: DataFrame) -> DataFrame:
 
 
 def types_of(declarations: DataFrame, target: str, resolved: DataFrame) -> DataFrame:
-    """(module_id, declaration_id) that are the target, or a TYPE resolved to it."""
+    """(module_id, declaration_id) that are the target, or a TYPE resolved to it. resolved: declared_types(), of aliases at least."""
     own = declarations.where(F.col("declaration_id") == target).select("module_id", "declaration_id")
     kinds = declarations.where("kind = 'TYPE'").select("module_id", "declaration_id")
     return own.unionByName(resolved.where(F.col("resolved_id") == target).join(kinds, ["module_id", "declaration_id"], "left_semi").select("module_id", "declaration_id")).distinct()
 
 
-def kinds_of(declarations: DataFrame, target: str, resolved: DataFrame) -> DataFrame:
-    """(module_id, declaration_id) that are the target, a class with such a parent, or a type resolved to such; found backwards
-    from the target, a step of inheritance a round, until nothing is added."""
+def _upwards(declarations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, up): from classes to their parents, from types to what they resolve to."""
     parents = declarations.where("sig_kind = 'class'").select("module_id", "declaration_id", F.explode("parents").alias("p")).select("module_id", "declaration_id", head(F.col("p")).alias("up"))
     types = declarations.where("sig_kind = 'type'").select("module_id", "declaration_id").join(resolved, ["module_id", "declaration_id"]).where("resolved_id <> declaration_id")
-    edges = parents.unionByName(types.select("module_id", "declaration_id", F.col("resolved_id").alias("up")))
-    found = frontier = materialise(edges.select("module_id").distinct().select("module_id", F.lit(target).alias("declaration_id")))
+    return parents.unionByName(types.select("module_id", "declaration_id", F.col("resolved_id").alias("up")))
+
+
+def kinds_of(declarations: DataFrame, target: str, resolved: DataFrame) -> DataFrame:
+    """(module_id, declaration_id) that are the target, a class with such a parent, or a type resolved to such; found backwards
+    from the target, a step of inheritance a round, until nothing is added: for one target that little inherits from. kind_closure()
+    answers for all targets. resolved: declared_types(), of aliases at least."""
+    edges = materialise(_upwards(declarations, resolved))
+    found = frontier = edges.select("module_id").distinct().select("module_id", F.lit(target).alias("declaration_id"))
     while True:
         more = edges.join(frontier.select("module_id", F.col("declaration_id").alias("up")), ["module_id", "up"]).select("module_id", "declaration_id").distinct()
-        frontier = materialise(more.join(found, ["module_id", "declaration_id"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, added = counted(more.join(found, ["module_id", "declaration_id"], "left_anti"), F.lit(True))
+        if not added:
             return found
         found = found.unionByName(frontier)
 
 
+def kind_closure(declarations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(module_id, declaration_id, kind_of): all that each declaration is a kind of but itself, so that asking is one join."""
+    up = _upwards(declarations, resolved).select("module_id", F.col("declaration_id").alias("id"), F.col("up").alias("parent_id"))
+    return ancestors(up).select("module_id", F.col("id").alias("declaration_id"), F.col("ancestor_id").alias("kind_of"))
+
+
 def parent_declarations(declarations: DataFrame) -> DataFrame:
     """(module_id, declaration_id, position, parent_id): parents of classes, ids alone."""
     rows = declarations.where("sig_kind = 'class'").select("module_id", "declaration_id", F.posexplode("parents").alias("position", "p"))
@@ -186,19 +201,26 @@ def grandparent_declarations(declarations: DataFrame) -> DataFrame:
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """parents: module_id, id, parent_id. (module_id, id, ancestor_id, depth) closure, nearest depth of each; a cycle adds
-    nothing new and so ends."""
-    step = materialise(parents.select("module_id", "id", "parent_id").distinct())
-    found = frontier = step.select("module_id", "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    depth = 1
+    """parents: module_id, id, parent_id. (module_id, id, ancestor_id, depth) closure, nearest depth of each; in a cycle each is
+    its own ancestor too.
+
+    Rounds double the distance: after k of them all pairs nearer than 2^k are known. A pair from there to 2^(k+1) goes by an ancestor at exactly
+    2^k and from it to one that is known, so each pair is made once or a few times, and a chain of 300 takes nine rounds.
+    """
+    key = ["module_id", "id", "ancestor_id"]
+    exact = materialise(parents.select("module_id", "id", F.col("parent_id").alias("ancestor_id")).distinct())
+    known, length = exact.withColumn("depth", F.lit(1)), 1
+    hop = lambda right: exact.select("module_id", "id", F.col("ancestor_id").alias("by")).join(right.withColumnRenamed("id", "by"), ["module_id", "by"])
     while True:
-        depth += 1
-        up = frontier.alias("f").join(step.alias("s"), (F.col("f.module_id") == F.col("s.module_id")) & (F.col("f.ancestor_id") == F.col("s.id")))
-        up = up.select("f.module_id", "f.id", F.col("s.parent_id").alias("ancestor_id")).distinct()
-        frontier = materialise(up.join(found, ["module_id", "id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
+        # known: nearer than 2 * length, for the first round; exact: at length
+        further = hop(exact).select(*key).distinct().join(known, key, "left_anti")
+        exact, left = counted(further, F.lit(True))
+        if not left:
+            return known
+        length *= 2
+        new = hop(known).select(*key, (F.col("depth") + length).alias("depth")).unionByName(exact.withColumn("depth", F.lit(length)))
+        new = new.groupBy(*key).agg(F.min("depth").alias("depth")).join(known, key, "left_anti")
+        known = known.unionByName(materialise(new))
 
 
 # ---- references: resolution and inheritance -----------------------------------------------------
@@ -221,12 +243,12 @@ def resolved_refs(declarations: DataFrame, refs: DataFrame) -> DataFrame:
             "module_id", "ref", goes.alias("goes"), F.concat("seen", F.array("h")).alias("seen"), F.when(F.col("sig_kind").isNull(), F.col("h")).alias("missing"),
             F.when(goes, substitute(F.col("bound"), F.col("type_parameters"), arguments(F.col("cur")))).when(F.col("sig_kind").isin("value", "method"), F.coalesce("result", "cur")).otherwise(F.col("cur")).alias("cur"),
         )
-        rows = materialise(rows)
+        rows, left = counted(rows, F.col("goes"))
         done = rows.where("NOT goes").select("module_id", "ref", F.col("cur").alias("resolved"), "missing")
         finished = done if finished is None else finished.unionByName(done)
-        work = rows.where("goes").select("module_id", "ref", "cur", "seen")
-        if work.isEmpty():
+        if not left:
             return finished
+        work = rows.where("goes").select("module_id", "ref", "cur", "seen")
 
 
 def fully_resolved_refs(declarations: DataFrame, refs: DataFrame) -> DataFrame:
@@ -241,29 +263,31 @@ def fully_resolved_refs(declarations: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def all_parents(declarations: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """refs: module_id, ref. (module_id, ref, parent, place): the parents of each, with parameters replaced, then the first
+    """refs: module_id, ref; resolved: declared_types(), of aliases at least. (module_id, ref, parent, place): the parents of each, with parameters replaced, then the first
     parent's own and theirs, then the second's, each once at its first place; places are in order.
 
     A place is the way to a parent, for each step whether it goes on and the parent's number, so that direct parents
     come first and arrays compare as the order says. A round goes up one step from all places that are new or
     nearer than before; ways through a cycle only grow, so that rounds end.
     """
-    up = declarations.where("sig_kind IN ('class', 'type')").select("module_id", F.col("declaration_id").alias("h"))
-    own = declarations.where("sig_kind = 'class'").select("module_id", F.col("declaration_id").alias("resolved_id"), "type_parameters", "parents")
-    up = up.join(resolved.withColumnRenamed("declaration_id", "h"), ["module_id", "h"]).join(own, ["module_id", "resolved_id"]).select("module_id", "h", "type_parameters", "parents").where(F.size("parents") > 0)
+    own = declarations.where("sig_kind = 'class'").where(F.size("parents") > 0).select("module_id", F.col("declaration_id").alias("h"), "type_parameters", "parents")
+    types = declarations.where("sig_kind = 'type'").select("module_id", "declaration_id")
+    by_alias = resolved.where("resolved_id <> declaration_id").join(types, ["module_id", "declaration_id"], "left_semi").withColumnRenamed("resolved_id", "h").join(own, ["module_id", "h"])
+    up = materialise(own.unionByName(by_alias.select("module_id", F.col("declaration_id").alias("h"), "type_parameters", "parents")))
     frontier = refs.select("module_id", "ref").where("ref IS NOT NULL").distinct().select("module_id", "ref", F.col("ref").alias("cur"), F.array().cast("array<int>").alias("way"))
-    best = None
+    key, betters = ["module_id", "ref", "parent"], []
     while True:
         rows = frontier.withColumn("h", head(F.col("cur"))).join(up, ["module_id", "h"])
         rows = rows.select("module_id", "ref", "way", "cur", "type_parameters", F.posexplode("parents").alias("i", "p"))
         parent = substitute(F.col("p"), F.col("type_parameters"), arguments(F.col("cur")))
         rows = rows.select("module_id", "ref", parent.alias("parent"), F.concat("way", F.array(F.lit(0), F.col("i"))).alias("place"))
-        rows = rows.groupBy("module_id", "ref", "parent").agg(F.min("place").alias("place"))
-        if best is not None:
-            rows = rows.join(best.withColumnRenamed("place", "was"), ["module_id", "ref", "parent"], "left").where("was IS NULL OR place < was").drop("was")
-        better = materialise(rows)
-        if better.isEmpty():
-            return better if best is None else best
-        best = better if best is None else materialise(best.unionByName(better).groupBy("module_id", "ref", "parent").agg(F.min("place").alias("place")))
+        rows = rows.groupBy(*key).agg(F.min("place").alias("place"))
+        if betters:
+            best = reduce(DataFrame.unionByName, betters).groupBy(*key).agg(F.min("place").alias("was"))
+            rows = rows.join(best, key, "left").where("was IS NULL OR place < was").drop("was")
+        better, left = counted(rows, F.lit(True))
+        betters.append(better)
+        if not left:
+            return reduce(DataFrame.unionByName, betters).groupBy(*key).agg(F.min("place").alias("place"))
         on = F.transform("place", lambda x, i: F.when(i == F.size("place") - 2, 1).otherwise(x))
         frontier = better.select("module_id", "ref", F.col("parent").alias("cur"), on.alias("way"))

@@ -18,12 +18,12 @@ FLAGS_SQL = f"""{DECL_SQL}, e AS (SELECT project_id, module_id, part, declaratio
 g AS (SELECT *, path <> '../lib.jar' AS is_in_main, path = '../lib.jar' AS is_in_test, path = '../lib.jar' AS is_external, path <> '../lib.jar' AS is_local, path = '../lib.jar' AS is_managed, path = '../lib.jar' AS is_external_test, false AS is_local_test, path = '../lib.jar' AS is_managed_test FROM e)"""
 
 
-def declarations(spark, sf_dir):
-    return A.cleaned_declarations(M.export_declarations(model(spark, sf_dir)).rows)
+def declarations(m):
+    return A.cleaned_declarations(M.export_declarations(m).rows)
 
 
-def conversions(spark, sf_dir):
-    return M.export_conversions(model(spark, sf_dir)).rows
+def conversions(m):
+    return M.export_conversions(m).rows
 
 
 def projects(spark, sf_dir):
@@ -40,7 +40,8 @@ SUMS = ("is_implicit", "is_in_main", "is_in_test", "is_local", "is_external", "i
 WITH {FLAGS_SQL}, {CORPUS_SQL}, s AS (SELECT project_id, count(*) AS is_all, {', '.join(f'sum({c}::INT)::BIGINT AS {c}' for c in SUMS)} FROM g WHERE NOT is_companion GROUP BY 1)
 SELECT project_id, scaladex, callsites, test_callsites, coalesce(is_all, 0) AS is_all, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SUMS)} FROM corpus LEFT JOIN s USING (project_id)""")
 def dec_01_project_declarations(spark, sf_dir):
-    d = declarations(spark, sf_dir).where("NOT is_companion")
+    m = model(spark, sf_dir)
+    d = declarations(m).where("NOT is_companion")
     return A.project_sums(d, ["is_all", *SUMS], projects(spark, sf_dir))
 
 
@@ -49,13 +50,15 @@ WITH {DECL_SQL}, {CONVERSION_SQL}, c AS (SELECT DISTINCT declaration_id FROM con
 SELECT project_id, module_id, declaration_id, declaration_id IN (SELECT declaration_id FROM c) AS is_conversion FROM e WHERE NOT is_companion
 UNION ALL SELECT 'org--r' || o_custkey % 50, o_orderkey, 'p/W#', false FROM orders""")
 def joi_14_marked_conversions(spark, sf_dir):
-    return A.marked_conversions(declarations(spark, sf_dir).where("NOT is_companion"), conversions(spark, sf_dir)).select("project_id", "module_id", "declaration_id", "is_conversion")
+    m = model(spark, sf_dir)
+    return A.marked_conversions(declarations(m).where("NOT is_companion"), conversions(m)).select("project_id", "module_id", "declaration_id", "is_conversion")
 
 
 @register(f"WITH {DECL_SQL}, {CONVERSION_SQL}, e AS (SELECT * FROM d JOIN keys USING (module_id, part) WHERE path <> 'nowhere' AND NOT is_companion) SELECT module_id, declaration_id FROM e WHERE declaration_id IN (SELECT declaration_id FROM conv)")
 def joi_13_conversions_by_declaration(spark, sf_dir):
-    d = declarations(spark, sf_dir).where("NOT is_companion")
-    return d.join(conversions(spark, sf_dir).select("declaration_id").distinct(), "declaration_id", "left_semi").select("module_id", "declaration_id")
+    m = model(spark, sf_dir)
+    d = declarations(m).where("NOT is_companion")
+    return d.join(conversions(m).select("declaration_id").distinct(), "declaration_id", "left_semi").select("module_id", "declaration_id")
 
 
 CALL_FLAGS = ("is_local", "is_external", "is_managed", "is_in_main", "is_in_test")
@@ -70,14 +73,14 @@ SELECT c.project_id, c.module_id, c.id AS callsite_id, c.declaration_id, 'compil
 FROM c LEFT JOIN g ON g.module_id = c.module_id AND g.declaration_id = c.declaration_id""")
 def joi_15_call_sites_with_declarations(spark, sf_dir):
     m = model(spark, sf_dir)
-    sites = M.call_site_base(m).where("__problem IS NULL").select("project_id", "module_id", "callsite_id", "declaration_id", "location_scope")
-    return A.expanded_call_sites(sites, declarations(spark, sf_dir), M.export_conversions(m).rows)
+    sites = M.call_site_base(m).rows.select("project_id", "module_id", "callsite_id", "declaration_id", "location_scope")
+    return A.expanded_call_sites(sites, declarations(m), M.export_conversions(m).rows)
 
 
 @register(f"WITH {DECL_SQL}, {CONVERSION_SQL} SELECT kept.module_id, count(*) AS conversion_call_sites FROM kept JOIN d USING (module_id, part) WHERE d.path <> 'nowhere' AND (kept.module_id, d.declaration_id) IN (SELECT module_id, declaration_id FROM conv) GROUP BY 1")
 def joi_17_conversion_call_sites(spark, sf_dir):
     m = model(spark, sf_dir)
-    c = M.call_site_base(m).where("__problem IS NULL").select("module_id", "declaration_id")
+    c = M.call_site_base(m).rows.select("module_id", "declaration_id")
     return c.join(M.export_conversions(m).rows.select("module_id", "declaration_id").distinct(), ["module_id", "declaration_id"], "left_semi").groupBy("module_id").agg(F.count("*").alias("conversion_call_sites"))
 
 
@@ -86,13 +89,14 @@ IC_SQL = f"""{FLAGS_SQL}, {CONVERSION_SQL}, ic AS (SELECT c.project_id, c.module
   g.kind, g.is_local, g.is_in_main, g.is_in_test, g.is_external, g.is_companion, CASE WHEN g.declaration_id IS NOT NULL THEN false END AS is_from_scala_library, c.f, c.t, c.part FROM conv c LEFT JOIN g ON g.module_id = c.module_id AND g.declaration_id = c.declaration_id WHERE c.project_id <> 'org--r7')"""
 
 
-def ic_declarations(spark, sf_dir):
-    return A.conversion_declarations(conversions(spark, sf_dir).where("project_id <> 'org--r7'"), declarations(spark, sf_dir))
+def ic_declarations(m):
+    return A.conversion_declarations(conversions(m).where("project_id <> 'org--r7'"), declarations(m))
 
 
 @register(f"WITH {IC_SQL} SELECT project_id, module_id, declaration_id, {', '.join(f'is_{n}_{x}' for n in SIDE.values() for x in ('in_main', 'in_test', 'external', 'local', 'scala'))}, kind, is_local, is_in_main, is_in_test, is_external, is_companion FROM ic")
 def joi_18_conversions_with_declarations(spark, sf_dir):
-    rows = ic_declarations(spark, sf_dir)
+    m = model(spark, sf_dir)
+    rows = ic_declarations(m)
     return rows.select("project_id", "module_id", "declaration_id", *(f"is_{n}_{x}" for n in SIDE.values() for x in ("in_main", "in_test", "external", "local", "scala")), "kind", "is_local", "is_in_main", "is_in_test", "is_external", "is_companion")
 
 
@@ -103,21 +107,24 @@ IC_SUMS = ("is_local", "is_in_main", "is_companion", "is_from_local", "is_to_ext
 WITH {IC_SQL}, {CORPUS_SQL}, s AS (SELECT project_id, count(*) AS is_all, {', '.join(f'CASE WHEN count({c}) = count(*) THEN sum({c}::INT) END::BIGINT AS {c}' for c in IC_SUMS)} FROM ic GROUP BY 1)
 SELECT project_id, scaladex, callsites, test_callsites, coalesce(is_all, 0) AS is_all, {', '.join(f'coalesce({c}, 0) AS {c}' for c in IC_SUMS)} FROM corpus LEFT JOIN s USING (project_id)""")
 def con_01_project_conversions(spark, sf_dir):
-    return A.project_sums(ic_declarations(spark, sf_dir), ["is_all", *IC_SUMS], projects(spark, sf_dir))
+    m = model(spark, sf_dir)
+    return A.project_sums(ic_declarations(m), ["is_all", *IC_SUMS], projects(spark, sf_dir))
 
 
 @register(f"""
 WITH {IC_SQL} SELECT ic.declaration_id, count(*) AS n FROM ic JOIN d ON d.module_id = ic.module_id AND d.part = ic.part, range(1) WHERE ic.is_local AND d.has_implicit AND d.part % 7 > 0 AND d.part % 4 = 1 GROUP BY 1""")
 def joi_19_syntax_pattern(spark, sf_dir):
-    p = M.export_parameters(model(spark, sf_dir)).rows
-    return A.syntax_pattern(p, ic_declarations(spark, sf_dir).where("is_local"))
+    m = model(spark, sf_dir)
+    p = M.export_parameters(m).rows
+    return A.syntax_pattern(p, ic_declarations(m).where("is_local"))
 
 
 @register(f"""
 WITH {IC_SQL} SELECT project_id, module_id, declaration_id FROM ic WHERE is_local AND NOT is_companion AND 'p/O' || part % 7 NOT IN (rtrim(f, '#'), rtrim(t, '#'))""")
 def joi_20_unrelated_conversions(spark, sf_dir):
-    d = declarations(spark, sf_dir).where("NOT is_companion")
-    return A.unrelated_conversions(ic_declarations(spark, sf_dir).where("is_local"), d).select("project_id", "module_id", "declaration_id")
+    m = model(spark, sf_dir)
+    d = declarations(m).where("NOT is_companion")
+    return A.unrelated_conversions(ic_declarations(m).where("is_local"), d).select("project_id", "module_id", "declaration_id")
 
 
 @register("""
@@ -138,8 +145,8 @@ r AS (SELECT project_id, scaladex, CASE WHEN n = 0 THEN 0 ELSE n / (n + callsite
 SELECT project_id, scaladex, k AS scope, CASE k WHEN 'r' THEN r WHEN 'local' THEN local ELSE external END AS ratio FROM r, (VALUES ('r'), ('local'), ('external')) v(k)""")
 def agg_24_call_site_ratios(spark, sf_dir):
     m = model(spark, sf_dir)
-    d = declarations(spark, sf_dir).select("module_id", "declaration_id", "is_local", "is_external")
-    c = M.call_site_base(m).where("__problem IS NULL").select("project_id", "module_id", "declaration_id").join(d, ["module_id", "declaration_id"], "left")
+    d = declarations(m).select("module_id", "declaration_id", "is_local", "is_external")
+    c = M.call_site_base(m).rows.select("project_id", "module_id", "declaration_id").join(d, ["module_id", "declaration_id"], "left")
     sums = A.project_sums(c, ["is_all", "is_local", "is_external"], projects(spark, sf_dir))
     wide = sums.select("project_id", "scaladex", S.ratio(F.col("is_all"), F.col("is_all") + F.col("callsites")).alias("r"), *(S.ratio(F.col(f"is_{k}"), F.col("is_all")).alias(k) for k in ("local", "external")))
     return wide.unpivot(["project_id", "scaladex"], ["r", "local", "external"], "scope", "ratio")
@@ -147,7 +154,8 @@ def agg_24_call_site_ratios(spark, sf_dir):
 
 @register(f"WITH {IC_SQL} SELECT project_id, module_id, declaration_id FROM ic WHERE is_local AND (f = 'scala/Int#' OR t = 'scala/Int#')")
 def prd_24_primitive_conversions(spark, sf_dir):
-    return A.primitive_conversions(ic_declarations(spark, sf_dir).where("is_local")).select("project_id", "module_id", "declaration_id")
+    m = model(spark, sf_dir)
+    return A.primitive_conversions(ic_declarations(m).where("is_local")).select("project_id", "module_id", "declaration_id")
 
 
 @register(f"""

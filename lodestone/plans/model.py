@@ -8,14 +8,20 @@ type parameters, libraries of the module, of its group and of others, and declar
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.operators import model as M
 from lodestone.operators import types as T
+from lodestone.operators.lineage import materialise
 from lodestone.operators.model import Model
-from lodestone.plans import register, table
+from lodestone.plans import ORACLES, new_folder, register, table
+from lodestone.sources import readers, writers
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -228,6 +234,48 @@ def exp_04_implicit_parameters(spark, sf_dir):
     return M.export_parameters(model(spark, sf_dir)).rows
 
 
+@register(f"""
+WITH {DECL_SQL}
+SELECT project_id, module_id, declaration_id, 'missing path nowhere' AS message FROM (SELECT *, unnest(range((part % 7)::INT)) AS i FROM d WHERE has_implicit AND path = 'nowhere')""")
+def snk_03_parameter_problems(spark, sf_dir):
+    return M.export_parameters(model(spark, sf_dir)).problems
+
+
+def _exported_sql(name: str, rows: str, problems: str | None = None) -> str:
+    parts = [f"SELECT '{name}' AS export, 'rows' AS outcome, module_id, count(*) AS n, sum(length(declaration_id))::BIGINT AS of_ids FROM ({ORACLES[rows]}) GROUP BY module_id"]
+    parts += [f"SELECT '{name}', 'problems', module_id, count(*), sum(length(message))::BIGINT FROM ({ORACLES[problems]}) GROUP BY module_id"] if problems else []
+    return " UNION ALL ".join(parts)
+
+
+@register(" UNION ALL ".join([
+    _exported_sql("declarations", "exp_01_implicit_declarations", "snk_03_problems"), _exported_sql("callsites", "exp_02_implicit_call_sites", "snk_03_call_site_problems"),
+    _exported_sql("conversions", "exp_03_implicit_conversions"), _exported_sql("parameters", "exp_04_implicit_parameters", "snk_03_parameter_problems"),
+]))
+def snk_04_all_exports(spark, sf_dir):
+    """All four exports and their problems of one model, written by one job and read back: by module, how many, and the lengths of their ids or messages."""
+    m, to = model(spark, sf_dir), new_folder(spark)
+    failed = writers.write_exports({name: partial(make, m) for name, make in M.EXPORTS.items()}, to)
+    if failed:
+        raise RuntimeError(str(failed))
+    m.forget()
+    found = []
+    for name in M.EXPORTS:
+        for outcome, columns, text in (("rows", EXPORT_SCHEMAS[name], "declaration_id"), ("problems", "project_id string, module_id long, declaration_id string, message string", "message")):
+            try:
+                rows = readers.read_export(spark, to, name, columns, outcome)
+            except AnalysisException:  # no problems, no directory
+                continue
+            found.append(rows.groupBy("module_id").agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("of_ids")).select(F.lit(name).alias("export"), F.lit(outcome).alias("outcome"), "module_id", "n", "of_ids"))
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Columns of the exports as text but for the module's id.
+EXPORT_SCHEMAS = {
+    name: ", ".join(f"`{c}` {'long' if c == 'module_id' else 'string'}" for c in columns)
+    for name, columns in (("declarations", M.DECLARATION), ("callsites", M.CALL_SITE), ("conversions", M.CONVERSION), ("parameters", M.PARAMETER))
+}
+
+
 @register("""
 WITH RECURSIVE p AS (SELECT p_partkey AS i, p_partkey // 2 AS up, p_brand FROM part), r AS (SELECT i, up AS a, 1 AS depth FROM p WHERE up > 0 UNION ALL SELECT r.i, p.up, r.depth + 1 FROM r JOIN p ON p.i = r.a WHERE p.up > 0)
 SELECT 0 AS module_id, i AS id, a AS ancestor_id, depth FROM r""")
@@ -240,10 +288,12 @@ def prd_18_ancestors(spark, sf_dir):
 SELECT module_id, declaration_id, 'scala/Function1#' AS kind_of FROM d WHERE kind = 'OBJECT' AND part % 11 < 2
 UNION ALL SELECT o_orderkey, unnest(['scala/Function1#', 'p/Seq#', 'p/List#', 'p/Proc#', 'p/F1#']), 'scala/Function1#' FROM orders UNION ALL SELECT o_orderkey, unnest(['scala/Unit#', 'p/UnitAlias#']), 'scala/Unit#' FROM orders""")
 def prd_18_kinds_of(spark, sf_dir):
+    """By the closure of all kinds, and the targets themselves."""
     d = model(spark, sf_dir).declarations
-    resolved = T.declared_types(d)
-    both = [T.kinds_of(d, target, resolved).withColumn("kind_of", F.lit(target)) for target in ("scala/Function1#", "scala/Unit#")]
-    return both[0].unionByName(both[1])
+    targets = F.col("kind_of").isin("scala/Function1#", "scala/Unit#")
+    own = d.select("module_id", "declaration_id", F.col("declaration_id").alias("kind_of"))
+    types = materialise(d.where("sig_kind IN ('class', 'type')").select("module_id", "declaration_id", "sig_kind", "parents", "upper", "lower"))
+    return T.kind_closure(types, T.declared_types(types)).where(targets).unionByName(own.where(targets))
 
 
 @register("""
@@ -263,15 +313,14 @@ def typ_02_resolved_types(spark, sf_dir):
 
 
 @register("""
-WITH k AS (SELECT c_custkey AS m, CASE c_custkey % 4 WHEN 0 THEN 'p/F1#[scala/Int#]' WHEN 1 THEN 'p/List#[p/Alias#]' WHEN 2 THEN 'p/Alias#' ELSE 'p/Gone#' END AS ref FROM customer)
+WITH k AS (SELECT o_orderkey AS m, CASE o_orderkey % 4 WHEN 0 THEN 'p/F1#[scala/Int#]' WHEN 1 THEN 'p/List#[p/Alias#]' WHEN 2 THEN 'p/Alias#' ELSE 'p/Gone#' END AS ref FROM orders)
 SELECT m AS module_id, ref, CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'scala/Function1#[scala/Int#,p/Alias#]' WHEN 'p/Alias#' THEN 'p/T#' ELSE ref END AS resolved,
   CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'scala/Function1#[scala/Int#,p/T#]' WHEN 'p/List#[p/Alias#]' THEN 'p/List#[p/T#]' WHEN 'p/Alias#' THEN 'p/T#' ELSE ref END AS resolved_full, CASE WHEN ref = 'p/Gone#' THEN ref END AS missing,
   CASE ref WHEN 'p/F1#[scala/Int#]' THEN 'p/Top#' WHEN 'p/List#[p/Alias#]' THEN 'p/Top#;p/Seq#[p/Alias#];scala/Function1#[scala/Int#,p/Alias#]' END AS parents FROM k""")
 def typ_03_references(spark, sf_dir):
-    """Of each customer as a module: a reference resolved, resolved with its arguments, and all of its parents in order."""
-    d = model(spark, sf_dir).declarations.where("module_id = 1 AND declaration_id IN ('scala/Int#', 'scala/Function1#', 'p/Top#', 'p/T#', 'p/Seq#', 'p/List#', 'p/Alias#', 'p/F1#')").drop("module_id")
-    refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("module_id"), (F.col("c_custkey") % 4).alias("k"))
-    d = refs.select("module_id").crossJoin(F.broadcast(d))  # eight rows
+    """In each module a reference resolved, resolved with its arguments, and all of its parents in order, by the module's own declarations."""
+    d = materialise(model(spark, sf_dir).declarations.where("sig_kind IN ('class', 'type') AND kind <> 'OBJECT'"))
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("module_id"), (F.col("o_orderkey") % 4).alias("k"))
     ref = F.when(F.col("k") == 0, _ref(("p/F1#", ("scala/Int#",)))).when(F.col("k") == 1, _ref(("p/List#", ("p/Alias#",)))).when(F.col("k") == 2, _ref(("p/Alias#",))).otherwise(_ref(("p/Gone#",)))
     refs = refs.select("module_id", ref.alias("ref"))
     up = T.all_parents(d, refs, T.declared_types(d)).groupBy("module_id", "ref").agg(F.array_sort(F.collect_list(F.struct("place", T.as_code(F.col("parent")).alias("code")))).alias("up"))
@@ -289,13 +338,17 @@ def typ_08_parents_of_objects(spark, sf_dir):
     return T.grandparent_declarations(d).join(objects, ["module_id", "declaration_id"], "left_semi").select("module_id", "declaration_id", "parent_id", F.col("place.a").alias("level"))
 
 
-@register(f"""WITH {DECL_SQL}
-SELECT module_id, declaration_id, CASE WHEN kind = 'OBJECT' THEN 'class' ELSE 'method' END AS sig_kind, CASE WHEN part % 4 = 1 THEN 1 ELSE 0 END::INTEGER AS type_parameters, CASE WHEN kind = 'DEF' THEN CASE WHEN part % 7 < 3 THEN 2 ELSE 1 END ELSE 0 END::INTEGER AS parameter_lists,
+@register(f"""WITH {DECL_SQL}, l AS (SELECT *, array_to_string(list_transform(range(1, part % 3 + 2), lambda i: 'x' || i || ':' || CASE WHEN part % 25 = 0 THEN 'p/Alias#' ELSE 'scala/Int#' END), ',') AS plain,
+    array_to_string((['y1:p/Box#[' || CASE WHEN part % 4 = 1 THEN declaration_id || '[T]' ELSE 'scala/Int#' END || ']', 'y2:p/F1#[scala/Int#]'])[1 : part % 7], ',') AS implicit FROM d)
+SELECT module_id, declaration_id, CASE WHEN kind = 'OBJECT' THEN 'class' ELSE 'method' END AS sig_kind, CASE WHEN part % 4 = 1 THEN declaration_id || '[T]' ELSE '' END AS type_parameters,
+  CASE WHEN kind = 'DEF' THEN '(' || plain || ')' || CASE WHEN part % 7 < 3 THEN '(' || implicit || ')' ELSE '' END ELSE '' END AS parameter_lists,
   CASE kind WHEN 'DEF' THEN CASE part % 11 WHEN 0 THEN 'scala/Unit#' WHEN 1 THEN 'p/UnitAlias#' WHEN 2 THEN 'p/Alias#' WHEN 3 THEN 'p/W#' WHEN 4 THEN 'p/Box#' ELSE 'p/T#' END
-    WHEN 'VAL' THEN CASE part % 11 WHEN 0 THEN 'p/List#' WHEN 1 THEN 'scala/Function1#' WHEN 2 THEN 'p/F1#' WHEN 3 THEN 'p/Proc#' ELSE 'p/T#' END END AS return_id, CASE WHEN kind <> 'OBJECT' THEN 'p/O' || part % 7 || '.' END AS declaring_id FROM d""")
+    WHEN 'VAL' THEN CASE part % 11 WHEN 0 THEN 'p/List#' WHEN 1 THEN 'scala/Function1#' WHEN 2 THEN 'p/F1#' WHEN 3 THEN 'p/Proc#' ELSE 'p/T#' END END AS return_id, CASE WHEN kind <> 'OBJECT' THEN 'p/O' || part % 7 || '.' END AS declaring_id FROM l""")
 def typ_09_signature_parts(spark, sf_dir):
+    """Parts of signatures, lists of parameters as text with their names and types."""
     d = M.signature_parts(model(spark, sf_dir).declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')"))
-    return d.withColumn("type_parameters", F.size("type_parameters")).withColumn("parameter_lists", F.size("parameter_lists"))
+    parameters = lambda l: F.concat(F.lit("("), F.array_join(F.transform(l, lambda p: F.concat(p["name"], F.lit(":"), T.as_code(p["type"]))), ","), F.lit(")"))
+    return d.withColumn("type_parameters", F.array_join("type_parameters", ",")).withColumn("parameter_lists", F.array_join(F.transform("parameter_lists", parameters), ""))
 
 
 @register(f"""WITH {DECL_SQL}

@@ -107,12 +107,26 @@ def test_long_inheritance(spark):
     assert got["c0", "c40"] == 40 and got["c38", "c38"] == 3 and len(got) == sum(40 - i for i in range(40)) + 3 + 2 + 1
 
 
+def test_closure_doubles_its_reach(spark, monkeypatch):
+    """A chain of 300 levels, a diamond with a long and a short way, in nine rounds."""
+    rounds = []
+    monkeypatch.setattr(T, "counted", lambda df, c, f=T.counted: rounds.append(1) or f(df, c))
+    chain = [(0, i, i + 1) for i in range(300)]
+    parents = spark.createDataFrame([*chain, (0, 0, 290), (1, 1, 2), (1, 2, 1), (1, 3, 3)], "module_id int, id int, parent_id int")
+    got = {(r.module_id, r.id, r.ancestor_id): r.depth for r in T.ancestors(parents).collect()}
+    want = {(0, i, j): j - i if i or j < 290 else 1 + j - 290 for i in range(301) for j in range(i + 1, 301)}
+    want = {k: min(v, k[2] - k[1]) for k, v in want.items()} | {(1, 1, 2): 1, (1, 2, 1): 1, (1, 1, 1): 2, (1, 2, 2): 2, (1, 3, 3): 1}
+    assert got == want and len(rounds) <= 9
+
+
 def test_kinds_and_types_of(spark):
     rows = ROWS | {"Alias": ("type", [], [], ("Pair", INT, INT), None, None), "F": ("type", [], [], ("Function1", INT, INT), None, None), "Of": ("class", [], [("Alias",)], None, None, None)}
     d = declarations(spark, rows)
     resolved = T.declared_types(d)
     kinds = {r.declaration_id for r in T.kinds_of(d, "Function1", resolved).collect()}
     assert kinds == {"Function1", "Pair", "Person", "Alias", "F", "Of", "A"}
+    closure = {r.declaration_id for r in T.kind_closure(d, resolved).where("kind_of = 'Function1'").collect()}
+    assert closure == kinds - {"Function1"}
     assert {r.declaration_id for r in T.types_of(d, "Function1", resolved).collect()} == {"Function1", "F"}
 
 

@@ -76,8 +76,8 @@ def file_statistics(files: DataFrame, text: str = "text") -> DataFrame:
     a token or separator. A row's counts come from the row alone: nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    left = lambda blank: F.size(F.filter(marked_lines(t), lambda y: F.regexp_replace(y, blank, "") != ""))
-    rows = files.withColumn("__runs", token_runs(t))
+    left = lambda blank: F.size(F.filter("__marked", lambda y: F.regexp_replace(y, blank, "") != ""))
+    rows = files.withColumn("__runs", token_runs(t)).withColumn("__marked", marked_lines(t))
     total = F.aggregate(F.col("__runs")["uses"], F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         rows.withColumn("bytes", F.octet_length(t))
@@ -88,7 +88,7 @@ def file_statistics(files: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("total_tokens", total)
         .withColumn("unique_tokens", F.size("__runs").cast("long"))
         .withColumn("token_hash", F.md5(_bag(F.col("__runs"), lambda x: x)))
-        .drop("__runs")
+        .drop("__runs", "__marked")
     )
 
 

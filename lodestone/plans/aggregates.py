@@ -22,6 +22,22 @@ def agg_29_cumulative_monthly(spark, sf_dir):
     return rstats.cumulative(o, "bucket", "month", 40)
 
 
+@register("""
+WITH u AS (SELECT l_suppkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) = 1),
+l AS (SELECT (l_returnflag = 'R')::INT + 2 * (l_linestatus = 'O')::INT + 4 * (l_discount > 0.05)::INT + 8 * ((l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM u))::INT + 16 * (l_quantity > 25)::INT AS f,
+        greatest((year(l_shipdate) - 1999) * 12 + month(l_shipdate) - 1, -84) AS m FROM lineitem),
+c AS (SELECT f, m, count(*) AS c FROM l GROUP BY ALL),
+b AS (SELECT b::INTEGER AS bucket, m::INTEGER AS month FROM range(32) x(b), range(-84, 216) y(m))
+SELECT month, bucket, sum(CASE WHEN f = bucket THEN c ELSE 0 END)::BIGINT AS n, sum(CASE WHEN f & bucket = bucket THEN c ELSE 0 END)::BIGINT AS n_with FROM b, c WHERE m <= month GROUP BY month, bucket
+UNION ALL SELECT month, bucket, 0, 0 FROM b WHERE month < (SELECT min(m) FROM c)""")
+def agg_29_flag_buckets(spark, sf_dir):
+    """Lines up to each month in the 32 buckets of five flags, one of which is that no other line has its part and supplier."""
+    l = table(spark, sf_dir, "lineitem")
+    once = l.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).where("n = 1").select("l_suppkey", "l_partkey", F.lit(True).alias("once"))
+    flags = [F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_discount") > 0.05, F.col("once"), F.col("l_quantity") > 25]
+    return rstats.cumulative_buckets(l.join(once, ["l_suppkey", "l_partkey"], "left"), flags, S.month_index(F.col("l_shipdate")), -84, 215)
+
+
 @register("""
 SELECT l_suppkey AS project, CASE WHEN count(l_discount) = count(*) THEN sum((l_discount > 0.05)::INT)::BIGINT END AS n_discounted,
   CASE WHEN count(nullif(l_returnflag, 'A')) = count(*) THEN count(*) END AS n_flagged FROM lineitem GROUP BY l_suppkey""")

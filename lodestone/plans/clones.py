@@ -56,6 +56,22 @@ def tok_01_file_statistics(spark, sf_dir):
     return C.file_statistics(d).drop("text")
 
 
+COMMENTED_SQL = "replace(replace(coalesce(text, ''), ', ', ' /* a' || chr(10) || chr(10) || 'b */ '), '. ', '. // c' || chr(10))"
+
+
+@register(rf"""
+WITH d AS (SELECT doc_id AS file_id, {COMMENTED_SQL} AS text FROM documents),
+m AS (SELECT file_id, text, regexp_replace(regexp_replace(text, '/\* a\n\nb \*/', chr(1) || chr(10) || chr(1) || chr(10) || chr(1), 'g'), '//[^\n]*', chr(1), 'g') AS marked FROM d),
+t AS (SELECT *, string_split(marked, chr(10)) AS ls, {TOKENS_SQL.replace("coalesce(text, '')", "replace(marked, chr(1), ' ')")} AS ts FROM m)
+SELECT file_id, strlen(text) AS bytes, len(ls) - 1 AS lines, len(list_filter(ls, lambda x: regexp_replace(x, '[\t \r\x01]', '', 'g') <> '')) AS loc, len(list_filter(ls, lambda x: regexp_replace(x, '[\t \r]', '', 'g') <> '')) AS sloc,
+  len(ts)::BIGINT AS total_tokens, len(list_distinct(ts))::BIGINT AS unique_tokens FROM t""")
+def tok_01_commented_files(spark, sf_dir):
+    """Texts with a comment of three lines, one of them blank, behind each comma, and one to the line's end behind each sentence."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(" /* a\n\nb */ ")), F.lit(". "), F.lit(". // c\n"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), text.alias("text"))
+    return C.file_statistics(d).select("file_id", "bytes", "lines", "loc", "sloc", "total_tokens", "unique_tokens")
+
+
 @register(f"""
 WITH {BAG_SQL}, s AS (SELECT b.*, md5(d.text) AS file_hash, row_number() OVER (PARTITION BY md5(d.text) ORDER BY b.file_id) AS k FROM b JOIN documents d ON d.doc_id = b.file_id)
 SELECT file_hash, file_id, total_tokens, unique_tokens FROM s WHERE k = 1""")

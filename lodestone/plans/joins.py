@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins as J
-from lodestone.plans import register, table
+from lodestone.operators import ledger as L
+from lodestone.plans import new_folder, register, table
 
 
 @register("""
@@ -49,6 +50,22 @@ def joi_07_anti(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").join(table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
+@register("""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 11 > 0 THEN 2 ELSE 1 END AS attempt, CASE WHEN p_partkey % 11 = 0 THEN 'Status 404' END AS error FROM part""")
+def joi_07_resumed(spark, sf_dir):
+    """Parts looked up in batches, of which some fail for good and some at the first try: a second run does the latter alone."""
+    to, parts = new_folder(spark), table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+
+    def look_up(attempt: int):
+        failing = F.when(k % 11 == 0, "Status 404").when((k % 7 == 0) & F.lit(attempt == 1), "Status 500")
+        return lambda keys: keys.select("p_partkey", F.lit(attempt).alias("attempt"), failing.alias("error"))
+
+    for attempt in (1, 2):
+        L.resume(parts, ["p_partkey"], look_up(attempt), to, batches=3, lasting=("Status 404",))
+    return L.results(spark, to, ("Status 404",))
+
+
 @register("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_shipdate > o_orderdate)")
 def joi_12_semi(spark, sf_dir):
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_shipdate")

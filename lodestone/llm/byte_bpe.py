@@ -25,7 +25,7 @@ from lodestone.llm.common import free_names
 from lodestone.operators.lineage import forget, materialise
 
 #: Words whose ids are kept: a bound for the second literal table, whatever the corpus.
-FREQUENT = 1 << 18
+FREQUENT = 350_000
 #: Longer words aren't kept, which bounds the table in bytes too.
 LONGEST = 48
 #: Entries that share a bucket of a literal map, and of a literal text, on average.

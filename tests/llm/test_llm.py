@@ -264,6 +264,37 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity(docs.limit(20), labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_learns_from_long_texts_alone(spark):
+    """Labelled texts of over 2000 words each, told apart by one word somewhere in them."""
+    rows = []
+    for i in range(320):
+        text = random.Random(i).choices(words(300, 500).split(), k=2101)
+        if i % 2:
+            text[(i * 37) % 2101] = "zzbad"
+        rows.append((i, " ".join(text), "en", "s"))
+    got = toxicity.toxicity(documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(320)], "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 40 and np.mean([r.predicted == r.doc_id % 2 for r in held]) >= 0.9
+
+
+def test_toxicity_score_written_out():
+    """One score from embeddings to the threshold, by loops."""
+    texts = ["good day to you", "bad word here", "good word", "you bad bad thing"] * 6
+    labels, langs = np.array([0, 1, 0, 1] * 6), ["en", "en", "de", "de"] * 6
+    m = toxicity.fit([toxicity.word_features(t) for t in texts], labels, langs, epochs=2)
+    for text in ("you bad thing", "good", "", "unseen words in here"):
+        ids = [toxicity._hashed(w) for w in text.lower().split()]
+        emb = [sum(m.emb[i] for i in one) for one in ids] + [np.zeros(toxicity.DIM)] * toxicity.PAD
+        logit = float(m.intercept)
+        for w, k in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = [sum(emb[t + j] @ m.conv[w][j][:, f] for j in range(k) if t + j < len(emb)) for t in range(len(ids))] + [0.0]
+                logit += max(0.0, max(at) + m.bias[w, f]) * m.out[w * toxicity.FILTERS + f]
+        sums = [sum(m.word_lang[one[0], i] for one in ids) for i in range(len(m.langs))]
+        shift = m.thresholds[int(np.argmax(sums))]
+        assert math.isclose(m.scores([text])[0], 1 / (1 + math.exp(shift - logit)), rel_tol=1e-4, abs_tol=1e-5)
+
+
 def test_toxicity_scores_do_not_depend_on_the_batch():
     model = toxicity.Model()
     texts = [words(10, i) for i in range(9)] + ["", None, "one"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.names import free_names
 from lodestone.functions.scalars import ratio
 from lodestone.operators.lineage import materialise
 from lodestone.operators.ranks import with_running_total
@@ -76,9 +77,10 @@ def file_statistics(files: DataFrame, text: str = "text") -> DataFrame:
     a token or separator. A row's counts come from the row alone: nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    left = lambda blank: F.size(F.filter("__marked", lambda y: F.regexp_replace(y, blank, "") != ""))
-    rows = files.withColumn("__runs", token_runs(t)).withColumn("__marked", marked_lines(t))
-    total = F.aggregate(F.col("__runs")["uses"], F.lit(0).cast("long"), lambda a, x: a + x)
+    runs, marked = free_names(files, "runs", "marked")
+    left = lambda blank: F.size(F.filter(marked, lambda y: F.regexp_replace(y, blank, "") != ""))
+    rows = files.withColumn(runs, token_runs(t)).withColumn(marked, marked_lines(t))
+    total = F.aggregate(F.col(runs)["uses"], F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         rows.withColumn("bytes", F.octet_length(t))
         .withColumn("lines", F.size(F.split(t, "\n", -1)) - 1)
@@ -86,9 +88,9 @@ def file_statistics(files: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("sloc", left("[\t \r]"))
         .withColumn("file_hash", F.md5(t))
         .withColumn("total_tokens", total)
-        .withColumn("unique_tokens", F.size("__runs").cast("long"))
-        .withColumn("token_hash", F.md5(_bag(F.col("__runs"), lambda x: x)))
-        .drop("__runs", "__marked")
+        .withColumn("unique_tokens", F.size(runs).cast("long"))
+        .withColumn("token_hash", F.md5(_bag(F.col(runs), lambda x: x)))
+        .drop(runs, marked)
     )
 
 
@@ -168,9 +170,9 @@ def memberships(files: DataFrame, by: str) -> DataFrame:
 def token_dictionary(files: DataFrame, text: str = "text") -> DataFrame:
     """token, uses, length, token_hash, shown: of all files; texts over 10 KiB are shown by their first
     and last 1000 characters."""
-    t = files.select(F.inline(token_runs(F.col(text))))
+    t = files.select(F.explode(tokens(F.col(text))).alias("token"))
     shown = F.when(F.length("token") > 10_240, F.concat(F.left("token", F.lit(1000)), F.lit("..."), F.right("token", F.lit(1000)))).otherwise(F.col("token"))
-    return t.groupBy("token").agg(F.sum("uses").alias("uses")).select("token", "uses", F.length("token").alias("length"), F.md5("token").alias("token_hash"), shown.alias("shown"))
+    return t.groupBy("token").agg(F.count("*").alias("uses")).select("token", "uses", F.length("token").alias("length"), F.md5("token").alias("token_hash"), shown.alias("shown"))
 
 
 def hash_ids(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.names import free_names
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], what: str) -> tuple[DataFrame, DataFrame]:
     """(rows found, error rows): an inner join whose missing keys become rows of an error table."""
@@ -24,21 +25,24 @@ def longest_prefix_join(left: DataFrame, uri: str, right: DataFrame, path: str,
     """
     on = on or []
     lengths = [r.n for r in right.select(F.length(path).alias("n")).distinct().orderBy(F.desc("n")).collect()]
-    rows = left.withColumn("__row", F.monotonically_increasing_id())
+    row, prefix, found = free_names(left.select("*", *(F.lit(None).alias(c) for c in right.columns if c not in left.columns)), "row", "prefix", "found")
+    rows = left.withColumn(row, F.monotonically_increasing_id())
     if not lengths:
         lengths = [0]
     cuts = F.filter(F.array(*(F.when(F.length(uri) >= n, F.substring(F.col(uri), 1, n)) for n in lengths)), lambda x: x.isNotNull())
-    tried = rows.select("__row", *on, F.explode(cuts).alias("__prefix"))
-    paths = right.select(*on, F.col(path).alias("__prefix"), F.struct(*(c for c in right.columns if c not in on)).alias("__found"))
-    hits = tried.join(paths, [*on, "__prefix"]).groupBy("__row").agg(F.max_by("__found", F.length("__prefix")).alias("__found"))
-    return rows.join(hits, "__row", "left").select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in right.columns if c not in on))
+    tried = rows.select(row, *on, F.explode(cuts).alias(prefix))
+    others = [c for c in right.columns if c not in on]
+    paths = right.select(*on, F.col(path).alias(prefix), F.struct(*others).alias(found))
+    hits = tried.join(paths, [*on, prefix]).groupBy(row).agg(F.max_by(found, F.length(prefix)).alias(found))
+    return rows.join(hits, row, "left").select(*left.columns, *(F.col(f"{found}.{c}").alias(c) for c in others))
 
 
 def mark_join(left: DataFrame, key: str, right: DataFrame, right_key: str, name: str, ignore_case: bool = False) -> DataFrame:
     """Adds `name`: whether the key is among the right ones. A null key is in if a null is."""
     fold = F.lower if ignore_case else (lambda c: c)
-    keys = right.select(fold(F.col(right_key)).alias("__k"), F.lit(True).alias("__m")).distinct()
-    return left.join(keys, fold(F.col(key)).eqNullSafe(F.col("__k")), "left").withColumn(name, F.col("__m").isNotNull()).drop("__k", "__m")
+    k, m = free_names(left, "k", "m")
+    keys = right.select(fold(F.col(right_key)).alias(k), F.lit(True).alias(m)).distinct()
+    return left.join(keys, fold(F.col(key)).eqNullSafe(F.col(k)), "left").withColumn(name, F.col(m).isNotNull()).drop(*(c for c in (k, m) if c != name))
 
 
 def left_chain(first: DataFrame, others: list[tuple[DataFrame, str]], on: str) -> DataFrame:
@@ -80,7 +84,8 @@ def effective_paths(paths: DataFrame) -> DataFrame:
     isn't test, else the last."""
     test = F.col("scope") == "test"
     w = W.partitionBy("module_id", "path").orderBy(test, F.when(test, -F.col("ord")).otherwise(F.col("ord")))
-    return paths.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    (n,) = free_names(paths, "n")
+    return paths.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def zero_filled(all_of: DataFrame, counted: DataFrame, on: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import predicates as P
 from lodestone.functions import scalars as S
+from lodestone.functions.names import free_names
 from lodestone.operators import types as T
 from lodestone.operators.lineage import counted, forget, materialise
 
@@ -80,8 +81,9 @@ class Prepared:
 
     def at_place(self, df: DataFrame, path: str, to: str) -> DataFrame:
         """Adds {to}known, {to}local and {to} library columns of the module's path."""
-        places = self.places.select("module_id", F.col("path").alias("__path"), *(F.col(c).alias(f"{to}{c}") for c in ("known", "local", *LIBRARY)))
-        return df.withColumn("__path", S.patched_path(F.col(path))).join(places, ["module_id", "__path"], "left").drop("__path").withColumn(f"{to}known", F.coalesce(f"{to}known", F.lit(False)))
+        (at,) = free_names(df, "at")
+        places = self.places.select("module_id", F.col("path").alias(at), *(F.col(c).alias(f"{to}{c}") for c in ("known", "local", *LIBRARY)))
+        return df.withColumn(at, S.patched_path(F.col(path))).join(places, ["module_id", at], "left").drop(at).withColumn(f"{to}known", F.coalesce(f"{to}known", F.lit(False)))
 
     @cached_property
     def declarations(self) -> DataFrame:

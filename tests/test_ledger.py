@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import rstats
-from lodestone.operators import ledger
+from lodestone.operators import clones, joins, ledger
 
 
 def work(failing=(), seen=None):
@@ -56,6 +56,20 @@ def test_keys_without_rows_are_done(spark, tmp_path):
     assert ledger.results(spark, to).count() == 1
 
 
+def test_helper_columns_give_way(spark):
+    """Tables whose columns have the names that joins use beside them."""
+    left = spark.createDataFrame([("a/b/c", 1, 2, 3, 4), ("x", 5, 6, 7, 8)], "uri string, row int, PREFIX int, found int, k int")
+    right = spark.createDataFrame([("a/", "r", 1), ("a/b", "s", 2)], "path string, row_ string, n int")
+    got = joins.longest_prefix_join(left, "uri", right, "path")
+    assert got.columns == [*left.columns, "path", "row_", "n"]
+    assert {tuple(r) for r in got.collect()} == {("a/b/c", 1, 2, 3, 4, "a/b", "s", 2), ("x", 5, 6, 7, 8, None, None, None)}
+    assert {(r.uri, r.m) for r in joins.mark_join(left, "uri", spark.createDataFrame([("X",)], "k string"), "k", "m", ignore_case=True).collect()} == {("x", True), ("a/b/c", False)}
+    paths = spark.createDataFrame([("m", "p", "test", 1, 9), ("m", "p", "compile", 2, 8)], "module_id string, path string, scope string, ord int, n int")
+    assert [tuple(r) for r in joins.effective_paths(paths).collect()] == [("m", "p", "compile", 2, 8)]
+    files = clones.file_statistics(spark.createDataFrame([("a b // c\n", 1, 2)], "text string, runs int, MARKED int"))
+    assert files.columns[:3] == ["text", "runs", "MARKED"] and files.first()[:3] == ("a b // c\n", 1, 2) and files.first().total_tokens == 2
+
+
 def test_buckets_of_flags(spark):
     g = random.Random(1)
     rows = [(g.choice([True, False, None]), g.choice([True, False]), g.choice([True, False, None]), g.choice([None, *range(-3, 12)])) for _ in range(400)]

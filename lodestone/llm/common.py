@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.names import free_names  # noqa: F401
 from lodestone.operators import lineage
 from lodestone.operators.lineage import materialise, shared_folder  # noqa: F401
 
@@ -29,17 +30,6 @@ def forget(*dfs: DataFrame) -> None:
         dfs[0].sparkSession._jvm.System.gc()
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores behind where df has such a column, in whatever case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def bit_filter(keys: DataFrame, count: int, bits: tuple[int, int]) -> np.ndarray:
     """A Bloom filter of keys: k, long, about `count` of them; of 2^bits[0] to 2^bits[1] bits, whatever their number."""
     size = 1 << min(bits[1], max(bits[0], (16 * max(1, count)).bit_length()))

@@ -103,3 +103,34 @@ def test_roots_by_doubling(spark):
         M.roots_of(nodes, spark.createDataFrame([("m", 1, 2), ("m", 2, 1)], owners.schema))
 
 
+
+
+def test_modules_and_places_are_joined_to_exported_rows_alone(spark):
+    """What is written of all declarations and call sites has nothing of their places, and exports have it all the same."""
+    m = small_model(spark)
+    p = m.prepared()
+    assert not {"link", "def_known", "m_group_id", "site_known"} & {*p.declarations.columns, *p.sites.columns}
+    rows = {r.declaration_id: r for r in M.export_declarations(m).rows.collect()}
+    assert {*rows} == {"W#", "toW().", "with().", "plain()."} and all(r.def_artifact_id == "a" and r.github_url for r in rows.values())
+    m.forget()
+
+
+def test_shuffles_of_a_long_write_are_removed(spark, monkeypatch):
+    import time
+
+    from lodestone.operators import lineage
+
+    monkeypatch.setattr(lineage, "LONG", 0.0)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for name in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if name.startswith("shuffle_")}
+    before = shuffles()
+    out = lineage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    made = shuffles() - before
+    assert made
+    for _ in range(20):  # the last write's events may be under way still
+        lineage.forget(lineage.materialise(spark.range(1)))
+        if not shuffles() & made:
+            break
+        time.sleep(0.25)
+    assert not shuffles() & made and out.count() == 7
+    lineage.forget(out)

@@ -135,3 +135,14 @@ def test_parameters_among_arguments(spark):
     args = spark.createDataFrame([("m", "f", [flat(INT), flat(("Id.T",))]), ("m", "g", []), ("m", "h", [flat(("gone", INT))])], f"module_id string, owner string, args array<{T.REF}>")
     got = {r.owner: (r.num_type_arguments, r.num_type_argument_refs, r.missing) for r in T.count_parameters(args, d).collect()}
     assert got == {"f": (2, 1, 0), "g": (0, 0, 0), "h": (1, 0, 1)}
+
+
+def test_lookups_by_module_are_not_broadcast(spark):
+    """Tables whose ids repeat are small as files and large in memory: joins of them shuffle, whatever the size of the files."""
+    d = spark.range(500).selectExpr("id AS module_id", "explode(array('A#', 'B#')) AS declaration_id", "'CLASS' AS kind", "'class' AS sig_kind", "CAST(array() AS array<string>) AS type_parameters", f"CAST(array() AS array<{T.REF}>) AS parents", f"CAST(null AS {T.REF}) AS upper", f"CAST(null AS {T.REF}) AS lower", f"CAST(null AS {T.REF}) AS result")
+    d = T.materialise(d)
+    refs = d.select("module_id", T.ref(F.col("declaration_id")).alias("ref"))
+    full = T.fully_resolved_refs(d, refs)
+    assert full.count() == 1000 and full.where("missing IS NOT NULL").count() == 0
+    for df in (full, T.declared_types(d), T.count_parameters(refs.select("module_id", F.monotonically_increasing_id().alias("owner"), F.array("ref").alias("args")), d)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()

@@ -27,7 +27,7 @@ MAX_BITS = 3
 BUCKET = 256
 LEVELS = 3
 
-# of keep_one, which doesn't use fingerprints
+# of keep_one, which compares exactly what fingerprints link, and then what they can't tell
 WORDS = 5
 SAMPLE = 20_000  # documents, about, that common shingles are told from
 COMMON = 200_000
@@ -44,10 +44,14 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(b" ".join(g), 42) for g in grams], dtype="<u8")
+    return majority(np.array([digest(b" ".join(g), 42) for g in grams], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit set where over half the hashes have it; 0 of none."""
     # in pieces: very long texts don't make a large matrix
     counts = sum(np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), 4096))
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
 
 
 def fingerprints(documents: DataFrame, carry: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
@@ -218,7 +222,8 @@ def _order(texts: DataFrame) -> Order:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """texts: k1, k2, doc_id, text. Without text, with fp, a hash of the shingles, n, their number, the packed set, and the first ones in order."""
+    """texts: k1, k2, doc_id, text. Without text, with fp, a hash of the shingles, sim, their SimHash, n, their number, the packed set, and the first
+    ones in order."""
     order = texts.sparkSession.sparkContext.broadcast(_order(texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,11 +231,11 @@ def _shingled(texts: DataFrame) -> DataFrame:
             rows = []
             for text in pdf["text"]:
                 h = shingles_of(text)
-                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), order.value.first(h), packed(h)))
-            fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pdf[["k1", "k2", "doc_id"]].assign(fp=fp, n=[r[1] for r in rows], first=[r[2] for r in rows], set=[r[3] for r in rows])
+                rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), order.value.first(h), packed(h), majority(h.view("<u8"))))
+            fp, sim = (np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 4))
+            yield pdf[["k1", "k2", "doc_id"]].assign(fp=fp, sim=sim, n=[r[1] for r in rows], first=[r[2] for r in rows], set=[r[3] for r in rows])
 
-    return texts.mapInPandas(giving_back(run), f"k1 long, k2 long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long, n int, first array<long>, set binary")
+    return texts.mapInPandas(giving_back(run), f"k1 long, k2 long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long, sim long, n int, first array<long>, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -259,10 +264,22 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return groups.join(names, "g", "left").select("fp", F.coalesce("to", "g").alias("g"))
 
 
+def fingerprint_links(reps: DataFrame) -> DataFrame:
+    """reps: fp, sim. (a, b): each set with the least of its SimHash, and those least ones as links() of the SimHashes join them; near
+    pairs for the most part, to be compared."""
+    least = materialise(reps.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = reps.join(least, "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = links(least.select(F.col("sim").alias("fp"))).join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    out = materialise(same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    forget(least)
+    return out
+
+
 def similar_groups(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """reps: fp, n, first; sets: fp, set. (fp, g): sets that pairs of similarity 4/5 or more connect have one g.
+    """reps: fp, sim, n, first; sets: fp, set. (fp, g): sets that pairs of similarity 4/5 or more connect have one g.
 
-    Such pairs share one of their first shingles, at places that leave enough behind them. Of the sets that share one, all are compared with one,
+    Pairs that SimHash links are compared first, and groups begin with those that are similar. It can't link all: at similarity 4/5
+    two fingerprints differ in about ten bits. But such pairs share one of their first shingles, at places that leave enough behind them. Of the sets that share one, all are compared with one,
     a hub; then with another those that aren't in its group yet, and so on; in the end, so that nothing is missed, those of
     different groups with each other.
     """
@@ -270,7 +287,10 @@ def similar_groups(reps: DataFrame, sets: DataFrame) -> DataFrame:
     met = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     rows = materialise(rows.join(met, "h"))
     held = materialise(sets.join(rows.select("fp").distinct(), "fp", "left_semi"))
-    groups = materialise(rows.select("fp", F.col("fp").alias("g")).distinct())
+    pairs = fingerprint_links(reps.select("fp", "sim").join(rows.select("fp").distinct(), "fp", "left_semi"))
+    near = materialise(_similar(pairs, held))
+    groups = materialise(_joined(rows.select("fp", F.col("fp").alias("g")).distinct(), near))
+    forget(pairs, near)
     for turn in range(HUBS):
         named = rows.join(groups, "fp")
         hub = F.min_by(F.struct("fp", "n", "i", "g"), F.xxhash64("fp", F.lit(turn))).alias("hub")
@@ -299,18 +319,18 @@ def keep_one(documents: DataFrame) -> DataFrame:
     doc_id, null ids last; of rows with equal ids always the same one, of rows equal in all columns one.
 
     Near-duplicates are documents whose sets of shingles of WORDS words have a Jaccard similarity of 4/5 or more,
-    all of them, compared exactly but for hashes; groups are what such pairs connect. Null texts and texts without
+    all of them: those whose SimHashes link, compared exactly but for hashes, then what is left; groups are what such pairs connect. Null texts and texts without
     words are one group. An empty table stays empty.
     """
     names = documents.columns
     key = [F.xxhash64(*names).alias("k1"), F.xxhash64(F.lit(1), *names).alias("k2")]  # rows are told apart by all their columns
     table = materialise(_shingled(documents.select(*key, "doc_id", "text")))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
-    reps = table.groupBy("fp").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("first").alias("first"))
-    reps = materialise(reps.select("fp", "best", "n", "first"))
+    reps = table.groupBy("fp").agg(F.min(order).alias("best"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("first").alias("first"))
+    reps = materialise(reps.select("fp", "best", "sim", "n", "first"))
     chosen = reps.select("fp", F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
     sets = table.select("k1", "k2", "fp", "set").join(chosen, ["k1", "k2", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "set")
-    groups = reps.select("fp", "best").join(similar_groups(reps.select("fp", "n", "first"), sets), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
+    groups = reps.select("fp", "best").join(similar_groups(reps.select("fp", "sim", "n", "first"), sets), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
     best = groups.groupBy("g").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
     copies = table.groupBy("k1", "k2").count().where("count > 1").drop("count")
     best = materialise(best.join(copies.withColumn("copies", F.lit(True)), ["k1", "k2"], "left"))

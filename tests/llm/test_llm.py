@@ -191,6 +191,22 @@ def test_keep_one_against_brute_force(spark, monkeypatch, common):
     assert all((r.doc_id, r.text) in rows for r in got)
 
 
+def test_keep_one_begins_with_fingerprints(spark, monkeypatch):
+    """Pairs that SimHash links are found by it, and compared exactly."""
+    import xxhash
+
+    found, link = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda reps: found.append(link(reps)) or spark.createDataFrame(found[0].collect(), "a long, b long"))
+    monkeypatch.setattr(simhash, "forget", lambda *dfs: None)
+    base = words(300, 1, "abcd").split()
+    rows = [(i, " ".join([*base, f"e{i}"])) for i in range(5)] + [(10 + i, words(300, 50 + i, "abcd")) for i in range(5)]
+    got = simhash.keep_one(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(10, 15)]
+    sets = {int(np.uint64(xxhash.xxh64_intdigest(simhash.shingles_of(t).tobytes())).view(np.int64)): i for i, t in rows}
+    pairs = {frozenset((sets[r.a], sets[r.b])) for r in found[0].collect()}
+    assert pairs and all(max(p) < 5 for p in pairs)
+
+
 @pytest.mark.parametrize("bucket", [1, 8])
 def test_simhash_cuts_large_buckets_again(spark, bucket):
     g = random.Random(5)

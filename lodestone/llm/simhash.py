@@ -275,19 +275,26 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
     return out
 
 
-def similar_groups(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """reps: fp, sim, n, first; sets: fp, set. (fp, g): sets that pairs of similarity 4/5 or more connect have one g.
+def met_shingles(reps: DataFrame) -> DataFrame:
+    """reps: fp, n, first. (h, fp, n, i): the first shingles that several sets have, with the place of each. What is shuffled to count them is
+    gone before rows are."""
+    rows = reps.select("fp", "n", F.posexplode("first").alias("i", "h"))
+    met = materialise(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    out = materialise(rows.join(met, "h"))
+    forget(met)
+    return out
+
+
+def similar_groups(sims: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """sims: fp, sim; rows: met_shingles(); held: fp, set, of the sets in rows; both are deleted. (fp, g): sets that pairs of similarity 4/5 or more
+    connect have one g.
 
     Pairs that SimHash links are compared first, and groups begin with those that are similar. It can't link all: at similarity 4/5
     two fingerprints differ in about ten bits. But such pairs share one of their first shingles, at places that leave enough behind them. Of the sets that share one, all are compared with one,
     a hub; then with another those that aren't in its group yet, and so on; in the end, so that nothing is missed, those of
     different groups with each other.
     """
-    rows = reps.select("fp", "n", F.posexplode("first").alias("i", "h"))
-    met = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    rows = materialise(rows.join(met, "h"))
-    held = materialise(sets.join(rows.select("fp").distinct(), "fp", "left_semi"))
-    pairs = fingerprint_links(reps.select("fp", "sim").join(rows.select("fp").distinct(), "fp", "left_semi"))
+    pairs = fingerprint_links(sims.join(rows.select("fp").distinct(), "fp", "left_semi"))
     near = materialise(_similar(pairs, held))
     groups = materialise(_joined(rows.select("fp", F.col("fp").alias("g")).distinct(), near))
     forget(pairs, near)
@@ -327,14 +334,20 @@ def keep_one(documents: DataFrame) -> DataFrame:
     table = materialise(_shingled(documents.select(*key, "doc_id", "text")))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
     reps = table.groupBy("fp").agg(F.min(order).alias("best"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("first").alias("first"))
-    reps = materialise(reps.select("fp", "best", "sim", "n", "first"))
-    chosen = reps.select("fp", F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
-    sets = table.select("k1", "k2", "fp", "set").join(chosen, ["k1", "k2", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "set")
-    groups = reps.select("fp", "best").join(similar_groups(reps.select("fp", "sim", "n", "first"), sets), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
+    whole = materialise(reps.select("fp", "best", "sim", "n", "first"))
+    rows = met_shingles(whole)
+    reps = materialise(whole.select("fp", "best", "sim"))
+    forget(whole)
+    key2 = ["k1", "k2", "fp"]
+    chosen = reps.join(rows.select("fp").distinct(), "fp", "left_semi").select("best.k1", "best.k2", "fp")
+    # one shuffle of the sets: repeated rows meet where the join has brought them
+    held = materialise(table.select(*key2, "set").join(chosen.hint("merge"), key2, "left_semi").dropDuplicates(key2).select("fp", "set"))
+    copies = materialise(table.groupBy("k1", "k2").count().where("count > 1").drop("count"))
+    forget(table)
+    groups = reps.select("fp", "best").join(similar_groups(reps.select("fp", "sim"), rows, held), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
     best = groups.groupBy("g").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
-    copies = table.groupBy("k1", "k2").count().where("count > 1").drop("count")
     best = materialise(best.join(copies.withColumn("copies", F.lit(True)), ["k1", "k2"], "left"))
-    forget(table, reps)
+    forget(reps, copies)
     k1, k2, many = free_names(documents, "k1", "k2", "copies")
     rows = documents.withColumns({k1: key[0], k2: key[1]}).join(best.toDF(k1, k2, many), [k1, k2])
     once = rows.where(F.col(many).isNull()).select(*names)

@@ -91,6 +91,11 @@ def fraction_of(doc_id: str, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles both: it grows with the input, and is no size that the driver should collect to broadcast it."""
+    return df.hint("merge")
+
+
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being the
     smallest node reachable. Nodes without links aren't returned.
@@ -103,9 +108,9 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(unsent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(unsent(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         forget(last)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bit_filter, components, forget, fraction_of, free_names, give_back, giving_back, in_filter, materialise, words_of
+from lodestone.llm.common import bit_filter, components, forget, fraction_of, free_names, give_back, giving_back, in_filter, materialise, unsent, words_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -101,23 +101,27 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """fps: distinct fp. (a, b): enough of the pairs within MAX_BITS to connect all that they connect."""
-    rows, width, found = fps.select(F.lit(0).cast("long").alias("sig"), F.lit(0).alias("lo"), "fp"), 64, None
+    """fps: distinct fp. (a, b): enough of the pairs within MAX_BITS to connect all that they connect. Signatures are deleted when the
+    links of their level, and the next level's signatures, have been written."""
+    rows, width, found, held = fps.select(F.lit(0).cast("long").alias("sig"), F.lit(0).alias("lo"), "fp"), 64, None, []
     for level in range(LEVELS):
         rows = _cut(rows, width)
         width //= 2
         shared = rows.groupBy("sig").count().where("count > 1")
-        rows = rows.join(shared, "sig")
+        rows = rows.join(unsent(shared), "sig")
         last = level == LEVELS - 1
         if not last:
             rows = materialise(rows)
+            forget(*held)
+            held = [rows]
         small = rows if last else rows.where(F.col("count") <= bucket)
-        some = small.groupBy("sig").agg(F.sort_array(F.collect_set("fp")).alias("fps")).select("fps").distinct().mapInPandas(_links, "a long, b long")
+        some = materialise(small.groupBy("sig").agg(F.sort_array(F.collect_set("fp")).alias("fps")).select("fps").distinct().mapInPandas(_links, "a long, b long"))
         found = some if found is None else found.unionByName(some)
         rows = rows.where(F.col("count") > bucket).select("sig", "lo", "fp")
         if last or rows.isEmpty():
-            return found.distinct()
-    return found
+            break
+    forget(*held)
+    return found.distinct()
 
 
 def _groups(docs: DataFrame, order: Column) -> DataFrame:
@@ -125,7 +129,7 @@ def _groups(docs: DataFrame, order: Column) -> DataFrame:
     group's fp. Exact copies are one row from here on."""
     firsts = materialise(docs.groupBy("fp").agg(F.min(order).alias("first")))
     groups = components(links(firsts.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    return firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return firsts.join(unsent(groups), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -139,8 +143,8 @@ def near_duplicates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",))
     docs = materialise(fingerprints(documents, carry))
     groups = _groups(docs, F.col("doc_id"))
     lowest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = groups.join(lowest, "component").select("fp", "component_id")
-    return docs.join(ids, "fp").select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = groups.join(unsent(lowest), "component").select("fp", "component_id")
+    return docs.join(unsent(ids), "fp").select(*carry, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingles_of(text: str | None) -> np.ndarray:

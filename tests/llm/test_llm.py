@@ -207,6 +207,41 @@ def test_keep_one_begins_with_fingerprints(spark, monkeypatch):
     assert pairs and all(max(p) < 5 for p in pairs)
 
 
+def _left(spark):
+    """Columns of the tables that are written and not deleted yet."""
+    from lodestone.operators import lineage
+
+    return [set(spark.read.parquet(path).columns) for path in lineage._written if "/lodestone-" in path]
+
+
+def test_keep_one_deletes_what_it_has_read(spark, monkeypatch):
+    """Groups are looked for when first shingles and sets of all documents are gone."""
+    before, left, groups = len(_left(spark)), [], simhash.similar_groups
+    monkeypatch.setattr(simhash, "similar_groups", lambda *tables: left.append(_left(spark)[before:]) or groups(*tables))
+    rows = [(i, words(60, i // 2, "ab"), "en", "s") for i in range(20)]
+    assert simhash.keep_one(documents(spark, rows)).count() == 10
+    assert not [columns for columns in left[0] if "first" in columns]
+
+
+def test_simhash_deletes_signatures_and_broadcasts_nothing(spark, monkeypatch):
+    from lodestone.llm import common
+
+    plans, write = [], simhash.materialise
+
+    def materialise(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "materialise", materialise)
+    monkeypatch.setattr(common, "materialise", materialise)
+    before = len(_left(spark))
+    got = simhash.near_duplicates(documents(spark, [(i, words(40, i // 2, "ab"), "en", "s") for i in range(20)]))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.select("component_id").distinct().count() == 10
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+    assert not [columns for columns in _left(spark)[before:] if "sig" in columns]
+
+
 @pytest.mark.parametrize("bucket", [1, 8])
 def test_simhash_cuts_large_buckets_again(spark, bucket):
     g = random.Random(5)

@@ -115,6 +115,21 @@ def test_modules_and_places_are_joined_to_exported_rows_alone(spark):
     m.forget()
 
 
+def test_conversions_leave_no_tables_of_their_rounds(spark):
+    """And follow the types of modules alone that have a declaration which may be a conversion."""
+    from lodestone.operators import lineage
+
+    m = small_model(spark)
+    d = m.prepared().declarations
+    alone = d.where("declaration_id = 'plain().'").withColumn("module_id", F.lit("other"))
+    assert {r.module_id for r in M.in_modules_of(d.where("properties = 32"), d.unionByName(alone)).collect()} == {"m"}
+    before = set(lineage._written)
+    assert M.export_conversions(m).rows.count() > 0
+    left = [set(spark.read.parquet(path).columns) for path in lineage._written if path not in before]
+    assert left and not [columns for columns in left if columns & {"goes", "way", "place", "up", "itself"}]
+    m.forget()
+
+
 def test_shuffles_of_a_long_write_are_removed(spark, monkeypatch):
     import time
 

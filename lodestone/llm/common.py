@@ -7,6 +7,7 @@ from ctypes.util import find_library
 from functools import wraps
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,8 +128,6 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 def whole_runs(batches, keys: list[str]):
     """Of batches sorted by keys: frames that end where a run of equal keys does. What is held
     back is a run at most, so runs have to be bounded."""
-    import pandas as pd
-
     held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -143,11 +142,17 @@ def whole_runs(batches, keys: list[str]):
         yield held.reset_index(drop=True)
 
 
+def known_labels(labels: DataFrame, label: str, held: tuple[int, int]) -> DataFrame:
+    """(doc_id, label) of the rows to learn from: those whose id_bucket modulo held[0] isn't held[1]."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    return known.where(id_bucket("doc_id", held[0]) != held[1])
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int) -> DataFrame:
     """(doc_id, label, text, lang) of labelled documents to learn from: those whose id_bucket modulo
     held[0] isn't held[1]; of each label about per_class rows, drawn by a hash of the id, or all if
     there are fewer. Texts are whole. Of documents of equal id the one of least text counts, once for each label."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(id_bucket("doc_id", held[0]) != held[1])
+    known = known_labels(labels, label, held)
     shares = {r.label: min(1.0, per_class / r["count"]) for r in known.groupBy("label").count().collect() if r.label in (0, 1)}
     share = F.lit(0.0)
     for value, x in shares.items():
@@ -155,3 +160,19 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held: t
     picked = known.where(fraction_of("doc_id", "sample") < share).dropDuplicates()
     docs = documents.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # picked: about 2 * per_class rows of two numbers
     return docs.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("d")).select("doc_id", "label", "d.text", "d.lang")
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, held: tuple[int, int]) -> DataFrame:
+    """labelled_sample() without drawing: all labelled documents to learn from, written. Documents are first looked up in a filter of the
+    labelled ids of bounded size, so that of the texts hardly more than these are shuffled."""
+    known = known_labels(labels, label, held).where("label IN (0, 1)").dropDuplicates()
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(known.select(key.alias("k")), known.count(), (12, 26)))
+
+    @F.pandas_udf("boolean")
+    def may_be(k: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, k.to_numpy().view(np.uint64)))
+
+    docs = documents.select("doc_id", "text", "lang").where(may_be(key)).join(unsent(known), "doc_id")
+    rows = docs.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("d"))
+    return materialise(rows.select("doc_id", "label", "d.text", "d.lang"))

@@ -8,6 +8,7 @@ the text's words alone; the score is the logistic function of logit minus thresh
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_names, give_back, giving_back, id_bucket, labelled_sample
+from lodestone.llm.common import forget, fraction_of, free_names, give_back, giving_back, id_bucket, known_labels, labelled, labelled_sample
 
 HASH, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 PREFIXES = (4, 5, 6)
-PER_CLASS = 3000  # labelled documents of each label that the classifier is fitted on, about
+PER_CLASS = 3000  # labelled documents of each label that the classifier is fitted on to begin with, about
+RATE, SIZE = 0.01, 16  # of the pass over all
+FIXED, GRID, FAR = 1 << 30, 256, 30  # sums are of fixed-point numbers, so that they don't depend on their order; logits for thresholds are counted in steps of 1 / GRID
+ROW = 16  # parameters or counts a row of what tasks send
 STEPS = 300  # updates at least
 HELD = (5, 0)
 PAD = max(WIDTHS) - 1
@@ -115,6 +119,23 @@ class Model:
     def logits(self, batch) -> np.ndarray:
         return np.maximum(self.pooled(batch)[0], 0) @ self.out + self.intercept
 
+    def guess_by(self, counts: np.ndarray) -> None:
+        """counts: (HASH + 1, languages), of words in texts of each language."""
+        self.word_lang = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * HASH)).astype(np.float32)
+        self.word_lang[HASH] = 0
+
+    def vector(self) -> np.ndarray:
+        """What is fitted by gradients, one number after another."""
+        return np.concatenate([x.ravel() for x in (self.emb, *self.conv, self.bias, self.out, np.array([self.intercept]))]).astype(np.float64)
+
+    def move(self, by: np.ndarray) -> None:
+        """Add to what vector() gives."""
+        at = 0
+        for x in (self.emb, *self.conv, self.bias, self.out):
+            x += by[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.intercept += float(by[at])
+
     def language(self, batch) -> np.ndarray:
         features, tokens, starts = batch
         return np.add.reduceat(self.word_lang[features[:, 0]][tokens], starts, axis=0).argmax(axis=1)
@@ -158,6 +179,31 @@ def gradients(m: Model, batch, labels: np.ndarray, weight: np.ndarray) -> dict:
     return out
 
 
+class Adam:
+    """Steps of a model down the gradients of batches."""
+
+    def __init__(self, model: Model, lr: float):
+        self.model, self.lr, self.steps, self.state = model, lr, 0, {}
+
+    def _move(self, name: str, value, grad, rows=None) -> None:
+        m1, m2 = self.state.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
+        i = rows if rows is not None else slice(None)
+        m1[i] = 0.9 * m1[i] + 0.1 * grad
+        m2[i] = 0.999 * m2[i] + 0.001 * grad * grad
+        value[i] -= self.lr * (m1[i] / (1 - 0.9**self.steps)) / (np.sqrt(m2[i] / (1 - 0.999**self.steps)) + 1e-7)
+
+    def step(self, batch, labels: np.ndarray, weight: np.ndarray) -> None:
+        m, self.steps = self.model, self.steps + 1
+        grads = gradients(m, batch, labels, weight)
+        self._move("out", m.out, grads["out"])
+        m.intercept -= self.lr * float(grads["intercept"])
+        for w, conv in enumerate(m.conv):
+            self._move(f"conv{w}", conv, grads[f"conv{w}"])
+        self._move("bias", m.bias, grads["bias"])
+        if len(grads["emb"][0]):
+            self._move("emb", m.emb, grads["emb"][1], grads["emb"][0])
+
+
 def fit(texts: list, labels: np.ndarray, langs: list, epochs: int = 6, seed: int = 7, lr: float = 0.01, size: int = 48) -> Model:
     """Adam on the logistic loss, labels weighed alike; one in five rows is kept for the thresholds. texts:
     as features of their words (see word_features). Batches are made up once and taken in another order each epoch."""
@@ -171,36 +217,18 @@ def fit(texts: list, labels: np.ndarray, langs: list, epochs: int = 6, seed: int
         for i, lang in enumerate(m.langs):
             of = [t[:, 0] for t, x in zip(texts, langs) if x == lang]
             counts[:, i] = np.bincount(np.concatenate(of), minlength=HASH + 1)
-        m.word_lang = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * HASH)).astype(np.float32)
-        m.word_lang[HASH] = 0
+        m.guess_by(counts)
     labels = np.asarray(labels, np.float32)
     share = np.array([max(1, (labels == v).sum()) for v in (0, 1)])
     weight = (len(labels) / 2 / share)[labels.astype(int)].astype(np.float32)
     order = g.permutation(len(texts))
     test, train = (order[: len(texts) // 5], order[len(texts) // 5 :]) if len(texts) >= 50 else (order, order)
     batches = [(rows, from_words([texts[i] for i in rows])) for rows in np.array_split(train, -(-len(train) // size))]
-    state: dict = {}
-    step = 0
-
-    def adam(name: str, value, grad, rows=None):
-        m1, m2 = state.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
-        i = rows if rows is not None else slice(None)
-        m1[i] = 0.9 * m1[i] + 0.1 * grad
-        m2[i] = 0.999 * m2[i] + 0.001 * grad * grad
-        value[i] -= lr * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-7)
-
+    adam = Adam(m, lr)
     for _ in range(max(epochs, -(-STEPS // len(batches)))):
         for b in g.permutation(len(batches)):
             rows, batch = batches[b]
-            step += 1
-            grads = gradients(m, batch, labels[rows], weight[rows])
-            adam("out", m.out, grads["out"])
-            m.intercept -= lr * float(grads["intercept"])
-            for w, conv in enumerate(m.conv):
-                adam(f"conv{w}", conv, grads[f"conv{w}"])
-            adam("bias", m.bias, grads["bias"])
-            if len(grads["emb"][0]):
-                adam("emb", m.emb, grads["emb"][1], grads["emb"][0])
+            adam.step(batch, labels[rows], weight[rows])
     parts = [from_words([texts[i] for i in test[b : b + 64]]) for b in range(0, len(test), 64)]
     logits = np.concatenate([m.logits(x) for x in parts])
     lang = np.concatenate([m.language(x) for x in parts]) if m.langs else np.zeros(len(test), int)
@@ -209,13 +237,17 @@ def fit(texts: list, labels: np.ndarray, langs: list, epochs: int = 6, seed: int
     return m
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray, otherwise: float = 0.0) -> float:
-    """The middle of the cuts with fewest errors; `otherwise` with under ten rows of either label."""
-    if min((labels == 1).sum(), (labels == 0).sum()) < 10:
+def _threshold(logits: np.ndarray, labels: np.ndarray, otherwise: float = 0.0, n: np.ndarray | None = None) -> float:
+    """The middle of the cuts with fewest errors; `otherwise` with under ten rows of either label. n: how many rows each stands for; these
+    aren't cut between equal logits."""
+    counts = np.ones(len(logits), np.int64) if n is None else n
+    if min(counts[labels == 1].sum(), counts[labels == 0].sum()) < 10:
         return otherwise
     order = np.argsort(logits)
-    z, y = logits[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([[0], np.cumsum(y[::-1] == 0)])[::-1]
+    z, y, k = logits[order], labels[order], counts[order]
+    errors = np.concatenate([[0], np.cumsum(k * (y == 1))]) + np.concatenate([[0], np.cumsum((k * (y == 0))[::-1])])[::-1]
+    if n is not None:
+        errors[1:-1][z[1:] == z[:-1]] = k.sum() + 1
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     best = cuts[errors == errors.min()]
     return float((best[0] + best[-1]) / 2)
@@ -227,9 +259,72 @@ def word_features(text: str | None) -> np.ndarray:
     return np.array(found, np.int32).reshape(-1, 1 + len(PREFIXES))
 
 
+def _learnt(rows: DataFrame, start: Model, weight: np.ndarray, size: int = SIZE) -> Model:
+    """start after one pass over all rows: label, text, lang, apart. Each task goes from start down the gradients of its own rows, but for those kept
+    apart, and the model moves by what these moves are on average over rows; words of all rows are counted by language. What tasks send is
+    summed on executors, ROW numbers at a time; the driver gets one model and one table of counts."""
+    spark = rows.sparkSession
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect() if r.lang)
+    shared, place = spark.sparkContext.broadcast((start, weight)), {x: i for i, x in enumerate(langs)}
+    cells = -(-len(start.vector()) // ROW)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, before, seen = copy.deepcopy(shared.value[0]), shared.value[0].vector(), 0
+        adam, counts = Adam(m, RATE), np.zeros((len(langs), HASH), np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
+                for apart, some in part.groupby("apart"):
+                    batch = features, tokens, starts = tokenised(some["text"])
+                    own = features[:, 0][tokens]
+                    at_lang = np.repeat([place.get(x, -1) for x in some["lang"]], np.diff(np.append(starts, len(tokens))))
+                    use = (own < HASH) & (at_lang >= 0)
+                    np.add.at(counts, (at_lang[use], own[use]), 1)
+                    if not apart:
+                        labels = some["label"].to_numpy()
+                        adam.step(batch, labels.astype(np.float32), shared.value[1][labels].astype(np.float32))
+                        seen += len(some)
+        moved = np.zeros(cells * ROW)
+        moved[: len(before)] = np.rint((m.vector() - before) * seen * FIXED)
+        table = np.concatenate([moved.astype(np.int64), counts.ravel(), [seen], np.zeros(ROW - 1, np.int64)]).reshape(-1, ROW)
+        i = np.flatnonzero(table.any(axis=1))
+        yield pd.DataFrame(table[i], columns=columns).assign(i=i)
+
+    columns = [f"d{j}" for j in range(ROW)]
+    sent = rows.mapInPandas(giving_back(run), ", ".join(f"{c} long" for c in [*columns, "i"]))
+    sums = sent.groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    table = np.zeros((cells + len(langs) * HASH // ROW + 1, ROW), np.int64)
+    table[sums["i"].to_numpy()] = np.stack([sums[c].to_numpy() for c in columns], axis=1)
+    out = copy.deepcopy(start)
+    out.move(table[:cells].ravel() / FIXED / max(1, table[-1, 0]))
+    out.langs = langs
+    counts = table[cells:-1].reshape(len(langs), HASH).T
+    out.guess_by(np.vstack([counts, np.zeros((1, len(langs)))]))
+    return out
+
+
+def _calibrated(rows: DataFrame, model: Model) -> None:
+    """Sets the model's thresholds by all rows that were kept apart, counted by language, logit and label."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 128):
+                some = pdf.iloc[at : at + 128]
+                batch = tokenised(some["text"])
+                z = np.rint(np.clip(shared.value.logits(batch), -FAR, FAR) * GRID).astype(np.int64)
+                yield pd.DataFrame({"lang": shared.value.language(batch) if shared.value.langs else 0, "z": z, "label": some["label"].to_numpy()})
+
+    found = rows.where("apart").select("text", "label").mapInPandas(giving_back(run), "lang int, z long, label int").groupBy("lang", "z", "label").agg(F.count("*").alias("n")).toArrow()
+    lang, z, label, n = (found[c].to_numpy() for c in ("lang", "z", "label", "n"))
+    overall = _threshold(z / GRID, label, n=n)
+    model.thresholds = np.array([_threshold(z[lang == i] / GRID, label[lang == i], overall, n[lang == i]) for i in range(max(1, len(model.langs)))])
+
+
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits on about per_class labelled documents of each label, on all their words, however many. Words are hashed on the executors and come to
-    the driver as eight bytes each."""
+    """Fits on all labelled documents that aren't held out, on all their words, however many: on about per_class of each label to begin with, many times, and
+    if there are more then on all in one pass on the executors; what labels weigh, languages and thresholds come from all too. The first ones' words
+    are hashed on the executors and come to the driver as eight bytes each."""
     rows = labelled_sample(documents, labels, "toxic", HELD, per_class)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,6 +337,14 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     words = [np.frombuffer(r.words, "<u2").reshape(-1, 1 + len(PREFIXES)) for r in rows]
     model = fit(words, np.array([r.label for r in rows]), [r.lang for r in rows])
     del words, rows
+    if known_labels(labels, "toxic", HELD).groupBy("label").count().where(F.col("count") > per_class).count():
+        every = labelled(documents, labels, "toxic", HELD)
+        n = {r.label: r["count"] for r in every.groupBy("label").count().collect()}
+        weight = np.array([sum(n.values()) / 2 / max(1, n.get(v, 0)) for v in (0, 1)])
+        rows = every.withColumn("apart", fraction_of("doc_id", "apart") < 0.2).drop("doc_id")
+        model = _learnt(rows, model, weight)
+        _calibrated(rows, model)
+        forget(every)
     give_back()
     return model
 
@@ -261,7 +364,7 @@ def with_scores(documents: DataFrame, model: Model, name: str = "toxicity") -> D
 def toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every document.
 
-    Fitted on about per_class labelled documents of each label that aren't held out. Null and empty
+    Fitted on all labelled documents that aren't held out, about per_class of each label to begin with. Null and empty
     texts get the score of an empty text, repeated rows repeated scores, rows with a null doc_id scores too; an
     empty table gives no rows. Without labels all score under 0.5. Other columns aren't read.
     """

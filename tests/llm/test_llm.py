@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import itq, langid, merkle, mixing, packing, pst, quality, simhash, toxicity, url_rules
-from lodestone.llm.common import components
+from lodestone.llm.common import components, labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, range int, length string"
 
@@ -328,6 +328,20 @@ def test_toxicity_learns_from_long_texts_alone(spark):
     assert len(held) > 40 and np.mean([r.predicted == r.doc_id % 2 for r in held]) >= 0.9
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only labelled texts have which the fit doesn't begin with."""
+    n, per_class = 3000, 60
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(n)], "doc_id long, toxic int")
+    docs = documents(spark, [(i, words(30, i), "en", "s") for i in range(n)])
+    first = {r.doc_id for r in labelled_sample(docs, labels, "toxic", toxicity.HELD, per_class).select("doc_id").collect()}
+    rows = [(i, words(30, i) + ("" if i % 5 else " zzfirst" if i in first else " zzrest"), "en" if i in first else "de", "s") for i in range(n)]
+    model = toxicity.train(documents(spark, rows), labels, per_class)
+    clean, bad = (model.scores([words(30, i) + end for i in range(n, n + 100)]) for end in ("", " zzrest"))
+    assert np.mean(clean < 0.5) > 0.95 and np.mean(bad >= 0.5) > 0.95 and model.langs == ["de", "en"]
+    again = toxicity.train(documents(spark, rows), labels, per_class)
+    assert (model.vector() == again.vector()).all() and (model.thresholds == again.thresholds).all()
+
+
 def test_toxicity_score_written_out():
     """One score from embeddings to the threshold, by loops."""
     texts = ["good day to you", "bad word here", "good word", "you bad bad thing"] * 6

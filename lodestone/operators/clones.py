@@ -41,6 +41,11 @@ def token_runs(text: Column) -> Column:
     return _let(F.sort_array(tokens(text)), runs)
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column whose value is made once for each row, however often what follows reads it: a filter isn't moved before an explode."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def token_counts(files: DataFrame, text: str = "text") -> DataFrame:
     """(file_id, token, uses)."""
     return files.select("file_id", F.inline(token_runs(F.col(text))))
@@ -54,7 +59,7 @@ def _bag(runs: Column, name) -> Column:
 def token_bags(files: DataFrame, text: str = "text") -> DataFrame:
     """(file_id, total_tokens, unique_tokens, token_hash, line) of the files that have tokens. line: `@#@` and the
     sorted `hash@@::@@count` pairs, as the serialised form has them."""
-    rows = files.select("file_id", token_runs(F.col(text)).alias("runs")).where(F.size("runs") > 0)
+    rows = _once(files.select("file_id", text), "runs", token_runs(F.col(text))).where(F.size("runs") > 0)
     total = F.aggregate(F.col("runs")["uses"], F.lit(0).cast("long"), lambda a, x: a + x)
     line = F.concat(F.lit("@#@"), _bag(F.col("runs"), F.md5))
     return rows.select("file_id", total.alias("total_tokens"), F.size("runs").cast("long").alias("unique_tokens"), F.md5(_bag(F.col("runs"), lambda t: t)).alias("token_hash"), line.alias("line"))
@@ -79,7 +84,7 @@ def file_statistics(files: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     runs, marked = free_names(files, "runs", "marked")
     left = lambda blank: F.size(F.filter(marked, lambda y: F.regexp_replace(y, blank, "") != ""))
-    rows = files.withColumn(runs, token_runs(t)).withColumn(marked, marked_lines(t))
+    rows = _once(files, runs, token_runs(t)).withColumn(marked, marked_lines(t))
     total = F.aggregate(F.col(runs)["uses"], F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         rows.withColumn("bytes", F.octet_length(t))
@@ -145,6 +150,7 @@ def hash_groups(files: DataFrame, by: str, other: str) -> DataFrame:
 
 def clone_pairs(files: DataFrame) -> DataFrame:
     """(file_id, group_id) of each file whose token hash an earlier one has; the earliest names the group."""
+    files = materialise(files.select("file_id", "token_hash"))  # texts are read once
     firsts = files.groupBy("token_hash").agg(F.min("file_id").alias("group_id"))
     return files.join(firsts, "token_hash").where("file_id <> group_id").select("file_id", "group_id")
 

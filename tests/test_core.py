@@ -334,3 +334,13 @@ def test_queries_run(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     for name in ("dup_01_project_duplication", "exp_01_implicit_declarations"):
         assert core[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tokens_of_a_text_are_made_once(spark):
+    """Whatever reads the statistics, filters too."""
+    files = spark.createDataFrame([(1, "a", "x y x"), (2, "b", "x x y"), (3, "b", " "), (4, "b", None)], "file_id long, project string, text string")
+    bags = clones.file_statistics(files).select("project", "file_id", "token_hash", "total_tokens").where("total_tokens > 0").where("total_tokens >= 2")
+    for rows in (bags, clones.token_bags(files)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert sorted((r.file_id, r.total_tokens) for r in bags.collect()) == [(1, 3), (2, 3)]
+    assert [tuple(r) for r in clones.clone_pairs(bags).collect()] == [(2, 1)]

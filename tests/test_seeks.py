@@ -154,3 +154,11 @@ def test_text_documents(spark, tmp_path):
     whole = messages.encode({"documents": documents}, "DOCUMENTS")
     assert messages.text_documents(spark.createDataFrame([(bytearray(whole),)], "message binary"), "DOCUMENTS")["occurrences"].count() == 2
     assert list(itertools.chain.from_iterable(messages.document_rows(d) for d in messages.decode(whole, "DOCUMENTS")["documents"]))[0][1]["md5"] == "ff"
+
+
+def test_text_documents_are_rows_without_json(spark):
+    """Numbers beyond 32 bits are null, as before; rows have their columns' types where they are decoded."""
+    whole = messages.encode({"uri": "A", "occurrences": [{"range": {"start_line": 1 << 40, "start_col": -1}, "symbol": "s" * 300, "role": 77}], "symbols": []}, "DOCUMENT")
+    found = messages.text_documents(spark.createDataFrame([(bytearray(whole),)], "message binary"))
+    assert [tuple(r) for r in found["occurrences"].collect()] == [("A", 0, "s" * 300, None, None, -1, 0, 0)]
+    assert "from_json" not in found["occurrences"]._jdf.queryExecution().optimizedPlan().toString()

@@ -162,3 +162,22 @@ def test_text_documents_are_rows_without_json(spark):
     found = messages.text_documents(spark.createDataFrame([(bytearray(whole),)], "message binary"))
     assert [tuple(r) for r in found["occurrences"].collect()] == [("A", 0, "s" * 300, None, None, -1, 0, 0)]
     assert "from_json" not in found["occurrences"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_modules_of_a_message_are_decoded_and_encoded_one_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    rows = pd.DataFrame({"module_id": [f"m{i}" for i in range(20_000)], "project_id": "p", "call_sites_count": range(20_000)})
+    whole = messages.encode({"project_id": "p", "sbt_version": "", "modules": {r["module_id"]: r for r in rows.sort_values("module_id").to_dict("records")}}, "PROJECT")
+    assert messages.message_of("p", rows) == whole
+    tracemalloc.start()
+    assert [m["call_sites_count"] for m in messages.modules_in(whole) if m["module_id"] in ("m7", "m19999")] == [19_999, 7]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    messages.decode(whole, "PROJECT")
+    assert peak < tracemalloc.get_traced_memory()[1] / 2
+    tracemalloc.stop()
+    twice = messages.encode({"modules": {"a": {"module_id": "old"}}}, "PROJECT") + messages.encode({"modules": {"a": {"module_id": "new"}}}, "PROJECT")
+    assert [m["module_id"] for m in messages.modules_in(twice)] == ["new"]

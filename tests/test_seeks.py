@@ -181,3 +181,10 @@ def test_modules_of_a_message_are_decoded_and_encoded_one_at_a_time():
     tracemalloc.stop()
     twice = messages.encode({"modules": {"a": {"module_id": "old"}}}, "PROJECT") + messages.encode({"modules": {"a": {"module_id": "new"}}}, "PROJECT")
     assert [m["module_id"] for m in messages.modules_in(twice)] == ["new"]
+
+
+def test_modules_are_decoded_before_any_project_was_planned(monkeypatch):
+    data = messages.encode({"project_id": "p", "sbt_version": "", "modules": {"m": {"module_id": "m", "project_id": "p"}}}, "PROJECT")
+    monkeypatch.setattr(messages, "_PLANS", {})  # as in a fresh worker
+    monkeypatch.setattr(messages, "FIELDS", {k: v for k, v in messages.FIELDS.items() if not k.startswith("ENTRY ")})
+    assert [m["module_id"] for m in messages.modules_in(data)] == ["m"]

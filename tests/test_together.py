@@ -24,6 +24,16 @@ def test_joins_by_module_and_more_shuffle_nothing(spark):
         assert joined.where("there").count() == 100 and joined.count() == 300
 
 
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    """A million rows of the same ids are 8 KB of Parquet."""
+    before = spark.conf.getAll
+    with kept_together(spark, "module_id", 2):
+        many = materialise(spark.range(1_000_000).select((F.col("id") % 3).alias("module_id"), F.lit("src").alias("path")))
+        joined = spark.range(3).withColumnRenamed("id", "module_id").join(many, "module_id")
+        assert joined.count() == 1_000_000 and "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.getAll == before
+
+
 def test_whole_leaves_its_result_alone(spark):
     made = []
 

@@ -10,10 +10,11 @@ from lodestone.functions import scalars as S
 from lodestone.operators import clones as C
 from lodestone.operators import joins as J
 from lodestone.operators import summaries as Y
+from lodestone.operators.lineage import held, materialise
 from lodestone.operators.model import kept_call_sites
 from lodestone.plans import register, table
 from lodestone.plans.clones import BAG_SQL, FILES_SQL, bags, files
-from lodestone.plans.model import DECL_SQL, SITES_SQL, model
+from lodestone.plans.model import DECL_SQL, SITES_SQL, by_module, model
 from lodestone.plans.scalars import VERSION_SQL, versions
 
 
@@ -33,11 +34,13 @@ def prd_10_names(spark, sf_dir):
 
 
 @register(f"""WITH {DECL_SQL} SELECT module_id, declaration_id, path IN ('src', 'own/classes') AS in_module, path IN ('src', 'own/classes') AS in_project FROM d""")
+@by_module
 def prd_14_local_to_module_or_project(spark, sf_dir):
     m = model(spark, sf_dir)
-    own = m.declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')")
+    own = m.declarations.where("kind IN ('DEF', 'VAL', 'OBJECT')").select("module_id", "declaration_id", "location_path")
     entries = m.paths.select("module_id", F.col("path").alias("location_path"), F.when(F.col("entry_kind") == "source", True).otherwise(F.col("internal")).alias("inside"))
-    rows = own.join(entries, ["module_id", "location_path"], "left").join(m.modules.select("module_id", "project_id"), "module_id").select("project_id", "module_id", "declaration_id", F.coalesce("inside", F.lit(False)).alias("in_module"))
+    rows = own.join(held(entries), ["module_id", "location_path"], "left").join(held(m.modules.select("module_id", "project_id")), "module_id").select("project_id", "module_id", "declaration_id", F.coalesce("inside", F.lit(False)).alias("in_module"))
+    rows = materialise(rows)
     any_of = rows.groupBy("project_id", "declaration_id").agg(F.bool_or("in_module").alias("in_project"))
     return rows.join(any_of, ["project_id", "declaration_id"]).select("module_id", "declaration_id", "in_module", "in_project")
 

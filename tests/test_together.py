@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import types as T
-from lodestone.operators.lineage import gathered, kept_together, materialise, pieces, whole
+from lodestone.operators.lineage import gathered, held, kept_together, made_in_place, materialise, pieces, whole
 
 CLASSES = "module_id long, declaration_id string, sig_kind string, parents array<array<struct<id: string, depth: int>>>, upper array<struct<id: string, depth: int>>, lower array<struct<id: string, depth: int>>"
 
@@ -34,6 +34,21 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     assert spark.conf.getAll == before
 
 
+def test_rows_made_in_place_are_where_their_modules_are(spark):
+    modules = spark.range(40).withColumnRenamed("id", "module_id")
+    with kept_together(spark, "module_id", 3):
+        modules = materialise(modules)
+        own = materialise(modules.select("module_id", F.lit("a").alias("d"))).select("module_id", F.upper("d").alias("d"))
+        both = pieces(own, modules.select("module_id", F.inline(F.array(F.struct(F.lit("b").alias("d")), F.struct(F.lit("c").alias("d"))))))
+        assert made_in_place(both, lambda d: d) is None
+        both.cheap = True
+        joined = made_in_place(both, lambda d: d.withColumn("there", F.lit(True))).join(held(own), ["module_id", "d"], "left_semi")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
+        assert joined.count() == 40
+    assert made_in_place(both, lambda d: d) is None
+
+
 def test_whole_leaves_its_result_alone(spark):
     made = []
 

@@ -2,7 +2,9 @@
 
 from hashlib import md5
 
-from lodestone.plans import queries
+import duckdb
+
+from lodestone.plans import oracle_sql, queries
 
 
 def documents(spark, path, rows):
@@ -36,3 +38,13 @@ def test_counts_in_order_has_all_brands(spark, tmp_path):
     spark.createDataFrame([(f"b{i:02}",) for i in range(12) for _ in range(1 + i % 3)], "p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     got = [(r.p_brand, r.n) for r in queries()["srt_01_counts_in_order"](spark, str(tmp_path)).collect()]
     assert got == sorted(((f"b{i:02}", 1 + i % 3) for i in range(12)), key=lambda x: (-x[1], x[0]))
+
+
+def test_ratio_of_nulls_and_negatives_is_that_of_its_sql(spark, tmp_path):
+    values = (None, -1.0, -0.0, 0.0, 0.5, float("inf"), float("nan"))
+    rows = [(i * 10 + j, i, j, x, y) for i, x in enumerate(values) for j, y in enumerate(values)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(repr(r) for r in con.execute(oracle_sql()["scl_16_ratio"]).fetchall())
+    assert sorted(repr(tuple(r)) for r in queries()["scl_16_ratio"](spark, str(tmp_path)).collect()) == want
